@@ -123,9 +123,10 @@ def _verified(texts: DataFrame, n: int, threshold: float) -> DataFrame:
         out = []
         for _, unit in pdf.groupby("unit", sort=False):
             unit = unit.sort_values("id")
-            ids = unit["id"].to_numpy()
             sets = list(shingle_sets(pa.array(unit["text"], pa.string()), n))
-            side = unit["side"].to_numpy()
+            # repeated rows of one document count once
+            once = list({(i, s.tobytes()): k for k, (i, s) in enumerate(zip(unit["id"], sets, strict=True))}.values())
+            ids, side, sets = unit["id"].to_numpy()[once], unit["side"].to_numpy()[once], [sets[k] for k in once]
             if (side == 2).all():
                 left = right = np.arange(len(ids))
             else:
