@@ -16,12 +16,15 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ʯ"
-CACHE_UNITS = 600_000
+CACHE_UNITS = 1_000_000
+CUT = "\x1f"
+PART_ROWS = 1000
 SHORT = 48
 NONE = 1 << 30
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_mismatch long"
@@ -51,9 +54,17 @@ class PieceCoder:
         crossing = any(y == MARK != x for x, y in joined)
         whole = f"{line}|" * bool(line) + (f"{MARK}*[{LETTERS}]+(?=[{signs}])|" if signs else "") + f"{MARK}*[^{MARK}{line}]+|{MARK}+"
         self.units = re.compile(r"(?s).+" if crossing else whole)
+        self.cuts, self.line, self.signs = not crossing, line, signs
         self._tables()
-        self.seen: dict[str, tuple[int, str, str]] = {}
+        self.ids_of: dict[str, str] = {}
+        self.changed: dict[str, str] = {}
         self.mismatches = 0
+        # the library's text of every piece, after a first one that keeps its mark
+        plain = [i for i in range(n) if i not in special and i not in self.bytes]
+        lead = self.ids[MARK]
+        for i, text in zip(plain, self.library.decode([[lead, lead, i] for i in plain], num_threads=1), strict=True):
+            if text != " " + self.read[i]:
+                raise ValueError(f"piece {i} decodes to {text!r}")
 
     def _tables(self) -> None:
         """Arrays for the agenda of many units at once: symbols are piece ids, then characters that are no pieces."""
@@ -68,6 +79,10 @@ class PieceCoder:
                 if (k == 1 or p[:k] in self.ids) and (k == len(p) - 1 or p[k:] in self.ids):
                     pairs.append((self.symbol(p[:k]) << 32 | self.symbol(p[k:]), best[self.scores[p]], i))
         pairs.sort()
+        self.of_point = np.full(0x110000, -1, np.int32)
+        for c, i in self.symbols.items():
+            if len(c) == 1:
+                self.of_point[ord(c)] = i
         self.keys, self.ranks, self.made = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
 
     def symbol(self, char: str) -> int:
@@ -132,28 +147,34 @@ class PieceCoder:
         good = (self.keys[at] == key) & same
         return np.where(good, self.ranks[at], NONE), self.made[at]
 
-    def encode_units(self, units: list[str]) -> list[np.ndarray]:
+    def encode_units(self, units: list[str]) -> list[list[int]]:
         """The final symbols of many units: in each round every unit merges the first entry of its agenda.
 
         An entry is (rank of the merged piece's score, place), kept for each adjacent pair; a merge renews its neighbours' entries.
         """
-        get = self.symbols.get
-        flat = [i if (i := get(c)) is not None else self.symbol(c) for u in units for c in u]
-        sym = np.array(flat, np.int64)
-        owner = np.repeat(np.arange(len(units)), [len(u) for u in units])
+        if not units:
+            return []
+        points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        sym = self.of_point[points]
+        if (sym < 0).any():
+            for c in np.unique(points[sym < 0]).tolist():
+                self.of_point[c] = self.symbol(chr(c))
+            sym = self.of_point[points]
+        sym = sym.astype(np.int64)
+        owner = np.repeat(np.arange(len(units)), np.fromiter(map(len, units), np.int64, len(units)))
         rank, made = np.full(len(sym), NONE), np.zeros(len(sym), np.int64)
         rank[:-1], made[:-1] = self._priority(sym[:-1], sym[1:], owner[:-1] == owner[1:])
-        out: list[np.ndarray] = [sym[:0]] * len(units)
+        ended: list[tuple[np.ndarray, np.ndarray]] = []
         while len(sym):
             starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            ends = np.append(starts[1:], len(sym))
+            sizes = np.diff(np.append(starts, len(sym)))
             first = np.minimum.reduceat(rank << 32 | np.arange(len(sym)), starts)
             done = first >> 32 == NONE
-            for i, a, b in zip(owner[starts[done]].tolist(), starts[done].tolist(), ends[done].tolist(), strict=True):
-                out[i] = sym[a:b]
+            over = np.repeat(done, sizes)
+            ended.append((owner[over], sym[over]))
             at = first[~done] & 0xFFFFFFFF
             sym[at] = made[at]
-            stay = np.repeat(~done, ends - starts)
+            stay = ~over
             stay[at + 1] = False
             moved = np.cumsum(stay) - 1
             sym, owner, rank, made, at = sym[stay], owner[stay], rank[stay], made[stay], moved[at]
@@ -161,56 +182,104 @@ class PieceCoder:
                 place = place[place < len(sym) - 1]
                 rank[place], made[place] = self._priority(sym[place], sym[place + 1], owner[place] == owner[place + 1])
             rank[-1:] = NONE
-        return out
+        owner, sym = (np.concatenate(x) for x in zip(*ended, strict=True))
+        order = np.argsort(owner, kind="stable")
+        ends = np.cumsum(np.bincount(owner, minlength=len(units))).tolist()
+        symbols = sym[order].tolist()
+        return [symbols[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
 
     def learn(self, units: list[str]) -> int:
         """Units encoded, decoded, checked and remembered; the number on which the library disagrees.
 
         Long units take their agenda from a heap, one unit at a time. The library puts a mark in front of each text:
-        units that begin with one lose it for the check; others (line feeds, signs after a letter) are few and go unchecked.
+        units that begin with one lose it for the check; others (line feeds, signs after a letter) are few and go
+        unchecked. Decoded texts are put together from the pieces' texts, which are checked when the model is loaded;
+        where bytes are among them, the library decodes them as well.
         """
-        if len(self.seen) + len(units) > CACHE_UNITS:
-            self.seen.clear()
-        short = [u for u in units if len(u) <= SHORT]
         written, read, spelled, pieces = self.written, self.read, self.spelled, len(self.pieces)
-        coded: dict[str, list[int]] = {u: self.encode_unit(u) for u in units if len(u) > SHORT}
-        for u, s in zip(short, self.encode_units(short), strict=True):
-            own = s.tolist()
-            coded[u] = own if max(own) < pieces else [i for x in own for i in (spelled[x] if x >= pieces else (x,))]
-        wrong, bytes_of = 0, self.bytes.keys()
         marked = [u for u in units if u[0] == MARK and u != MARK]
-        for u, ids in zip(marked, self.library.encode([u[1:].replace(MARK, " ") for u in marked], num_threads=1), strict=True):
-            if coded[u] != ids:
+        other = [u for u in units if u[0] != MARK or u == MARK]
+        wrong, odd = 0, []
+        for group in (marked, other):
+            short = [u for u in group if len(u) <= SHORT] if any(len(u) > SHORT for u in group) else group
+            coded = self.encode_units(short)
+            if len(self.written) > pieces:
+                coded = [own if max(own) < pieces else [i for x in own for i in (spelled[x] if x >= pieces else (x,))] for own in coded]
+            if short is not group:
+                found = dict(zip(short, coded, strict=True))
+                coded = [found[u] if len(u) <= SHORT else self.encode_unit(u) for u in group]
+            if group is marked and group:
+                theirs = self.library.encode([u[1:].replace(MARK, " ") for u in group], num_threads=1)
+                if theirs != coded:
+                    wrong += sum(x != y for x, y in zip(theirs, coded, strict=True))
+                    coded = theirs
+            self.ids_of.update(zip(group, [",".join([written[i] for i in ids]) for ids in coded], strict=True))
+            # all texts at once, then one by one only if they differ
+            if "".join([read[i] for ids in coded for i in ids]) != "".join(group).replace(MARK, " "):
+                odd += [(u, ids) for u, ids in zip(group, coded, strict=True) if "".join([read[i] for i in ids]) != u.replace(MARK, " ")]
+        for u, ids in odd:
+            text = self.decode(ids)
+            theirs = self.library.decode(ids, num_threads=1)
+            if theirs != (text[1:] if u[0] == MARK else text):
                 wrong += 1
-                coded[u] = ids
-        texts = {u: "".join([read[i] for i in ids]) if bytes_of.isdisjoint(ids) else self.decode(ids) for u, ids in coded.items()}
-        # one text of many units: each begins with a mark, so the library takes off the first one's only
-        if self.library.decode([i for u in marked for i in coded[u]]) != "".join([texts[u] for u in marked])[1:]:
-            for u in marked:
-                if (text := " " + self.library.decode(coded[u])) != texts[u]:
-                    wrong += 1
-                    texts[u] = text
-        found = {u: (len(ids), ",".join([written[i] for i in ids]), texts[u]) for u, ids in coded.items()}
-        self.seen |= found
+                text = (" " if u[0] == MARK else "") + theirs
+            if text != u.replace(MARK, " "):
+                self.changed[u] = text
         return wrong
 
-    def code(self, texts: list[str]) -> Iterator[tuple[int, str, str, int]]:
-        """(number of ids, ids joined by commas, decoded text, units corrected by the library) of each text."""
-        split = [self.units.findall(self.normalise(t)) for t in texts]
-        seen = self.seen
-        if new := list({u for units in split for u in units if u not in seen}):
+    def _cut(self, texts: pa.Array) -> pa.ListArray:
+        """The units of each text with spaces for marks; empty strings may stand between them."""
+        full = pc.binary_join_element_wise(" ", texts, "")
+        t = pc.if_else(pc.equal(texts, ""), "", full)
+        t = pc.replace_substring(t, MARK, " ")
+        if not self.cuts:
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1), pa.int32()), t)
+        t = pc.replace_substring(t, " ", CUT + " ")
+        while pc.any(pc.match_substring(t, f" {CUT} ")).as_py():  # a run of spaces is not cut
+            t = pc.replace_substring(t, f" {CUT} ", "  ")
+        if self.line:
+            t = pc.replace_substring(t, self.line, CUT + self.line + CUT)
+        if self.signs:
+            t = pc.replace_substring_regex(t, f"([{LETTERS}])([{self.signs}])", rf"\1{CUT}\2")
+        return pc.split_pattern(t, CUT)
+
+    def code(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """(number of ids, ids joined by commas, decoded text) of each text, by the distinct units of all.
+
+        Nearly all units decode to themselves, which learn() has checked; the others are in `changed`.
+        """
+        texts = texts.cast(pa.string()).fill_null("")
+        odd = pc.match_substring(texts, CUT)
+        if pc.any(odd).as_py() and self.cuts:  # texts that hold the separator go unit by unit
+            one = [self._code_one(t.as_py()) if o.as_py() else None for t, o in zip(texts, odd, strict=True)]
+            rest = self.code(pc.if_else(odd, "", texts))
+            pick = lambda k, kind: pa.array([r.as_py() if x is None else x[k] for x, r in zip(one, rest[k], strict=True)], kind)
+            return pick(0, pa.int64()), pick(1, pa.string()), pick(2, pa.string())
+        cut = self._cut(texts)
+        coded = cut.flatten().dictionary_encode()
+        units = pc.replace_substring(coded.dictionary, " ", MARK).to_pylist()
+        if len(self.ids_of) > CACHE_UNITS:
+            self.ids_of.clear()
+            self.changed.clear()
+        if new := [u for u in units if u and u not in self.ids_of]:
             self.mismatches += self.learn(new)
-        for units in split:
-            try:
-                found = [seen[u] for u in units]
-            except KeyError:
-                found = [seen[u] if u in seen else self.again(u) for u in units]
-            yield sum([f[0] for f in found]), ",".join([f[1] for f in found]), "".join([f[2] for f in found])[1:], self.mismatches
-
-    def again(self, unit: str) -> tuple[int, str, str]:
-        """A unit that was dropped when the table of units was emptied."""
-        self.learn([unit])
-        return self.seen[unit]
+        ids = pa.array([self.ids_of[u] if u else None for u in units], pa.string()).take(coded.indices)
+        there = pc.is_valid(ids).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(there)])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.drop_null()), ",")
+        counts = pc.if_else(pc.equal(joined, ""), 0, pc.add(pc.count_substring(joined, ","), 1)).cast(pa.int64())
+        decoded = pc.replace_substring(texts, MARK, " ")
+        if self.changed:
+            # keys are spelled with marks, lists with spaces
+            lost = self.changed
+            decoded = pa.array([d if lost.keys().isdisjoint(m := [u.replace(" ", MARK) for u in us]) else "".join([lost.get(u, u.replace(MARK, " ")) for u in m])[1:] for d, us in zip(decoded.to_pylist(), cut.to_pylist(), strict=True)], pa.string())
+        return counts, joined, decoded
+
+    def _code_one(self, text: str) -> tuple[int, str, str]:
+        units = self.units.findall(self.normalise(text))
+        self.mismatches += self.learn([u for u in set(units) if u not in self.ids_of])
+        joined = ",".join([self.ids_of[u] for u in units])
+        return joined.count(",") + 1 if joined else 0, joined, "".join([self.changed.get(u, u.replace(MARK, " ")) for u in units])[1:]
 
 
 @lru_cache(maxsize=2)
@@ -227,12 +296,11 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model)
         for batch in batches:
-            ids = batch.column(0)
-            for at in range(0, len(ids), 256):
-                part = batch.slice(at, 256)
-                rows = [(n, hashlib.sha256(i.encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest(), w) for n, i, t, w in own.code([x or "" for x in part.column(1).to_pylist()])]
-                n, i, t, w = map(list, zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(t, pa.string()), pa.array(w, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_mismatch"])
+            for at in range(0, batch.num_rows, PART_ROWS):
+                part = batch.slice(at, PART_ROWS)
+                n, ids, texts = own.code(part.column(1))
+                digests = [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in col], pa.string()) for col in (ids, texts)]
+                yield pa.RecordBatch.from_arrays([part.column(0), n, *digests, pa.array([own.mismatches] * len(n), pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_mismatch"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
@@ -243,7 +311,7 @@ def token_ids(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model)
         for batch in batches:
-            ids = [[int(x) for x in i.split(",") if x] for _, i, _, _ in own.code([x or "" for x in batch.column(1).to_pylist()])]
+            ids = [[int(x) for x in i.split(",") if x] for i in own.code(batch.column(1))[1].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
