@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import casefold, jaccard, word_set
+from ..sources.shared import cut
 
 FORM = "types array<string>, edges array<struct<l:int,r:int,c:bigint>>"
 
@@ -48,7 +49,8 @@ def canonical_id(types: list[str], edges: list[tuple[int, int, int]], directed:
 
 def canonical(records: DataFrame, directed: bool = True) -> DataFrame:
     """(set_id, structure_id). The search over node orders runs once per distinct reduced form."""
-    forms = reduced_forms(records, directed).withColumn("form", F.to_json(F.struct("types", "edges")))
+    # used for the distinct forms and for the join back
+    forms = cut(reduced_forms(records, directed).select("set_id", F.to_json(F.struct("types", "edges")).alias("form")))
 
     def run(frames):
         for frame in frames:

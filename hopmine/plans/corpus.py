@@ -10,6 +10,7 @@ from ..operators import index as B
 from ..operators.paths import valid_edges
 from ..sources import star_graph
 from ..sources import tables as T
+from ..sources.shared import cut
 from .base import query, table
 
 TYPES = ["person", "organization", "location", "event", "other"]
@@ -133,7 +134,8 @@ def _responses(spark, d):
 
 def _index(spark, d):
     u, responses = _responses(spark, d)
-    parsed = B.parsed(responses)
+    # what parsing gives is a table of its own: mentions, relationships and claims all come from it
+    parsed = cut(B.parsed(responses))
     found, linked = B.mentions(parsed, TYPES), B.relation_mentions(parsed)
     entities = B.merged_entities(found)
     return u, parsed, found, linked, entities, B.merged_relationships(linked, entities)

@@ -8,6 +8,7 @@ from ..operators import paths as P
 from ..operators import structures as S
 from ..operators import subgraphs as G
 from ..sources import star_graph
+from ..sources.shared import cut
 from .base import query, table
 
 CHAIN = ["ORGANIZATION", "LOCATION", "LOCATION"]
@@ -204,7 +205,7 @@ def d6_sampled_sets(spark, d):
 
 def _records(spark, d):
     e, r, sets = _sets(spark, d)
-    return G.subgraph_records(sets, r, e)
+    return cut(G.subgraph_records(sets, r, e))
 
 
 @query()
@@ -266,7 +267,7 @@ def d16_instance_signature(spark, d):
 
 def _with_structure(spark, d):
     records, quality, names = _scored(spark, d)
-    return S.canonical(records).join(quality, "set_id").join(names, "set_id").join(S.signature(records), "set_id")
+    return cut(S.canonical(records)).join(quality, "set_id").join(names, "set_id").join(S.signature(records), "set_id")
 
 
 @query()
