@@ -3,34 +3,16 @@
 from __future__ import annotations
 
 import json
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_own_folders: dict[str, str] = {}
+from ..sources.shared import cut, shared_folder
 
-MAX_LONG = 2**63 - 1
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a folder of our own in plain local mode only."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or _own_folders.get(sc.applicationId)
-    if not folder:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = _own_folders[sc.applicationId] = tempfile.mkdtemp(prefix="spark-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder)
-    return folder
+__all__ = ["MAX_LONG", "code_points", "components", "cut", "range_of", "salted_join", "shared_folder", "shuffle_partitions", "splitters"]
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+MAX_LONG = 2**63 - 1
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
