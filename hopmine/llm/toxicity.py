@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").filter(~held_out(F.col("id"))).distinct()
     n = known.count()
     share = min(1.0, max_rows / n) if n else 0.0
-    known = known.filter(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = known.filter(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 50)) < F.lit(round(share * (1 << 50))))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(f"text is not null and char_length(text) <= {MAX_TRAIN_CHARS}")
     # known has at most about max_rows rows of two numbers
     rows = texts.join(F.broadcast(known), "id").orderBy("id", "label", "text").collect()
