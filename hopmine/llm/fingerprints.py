@@ -142,13 +142,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cuts = splitters(rows.select("id"), order, F.lit(0).cast("long"), ranges)
     rows = rows.withColumn("range", range_of(order, F.lit(0).cast("long"), cuts))
     firsts = sorted((r.range, r.id) for r in rows.select("range", "id").groupBy("range").agg(F.min("id").alias("id")).collect())
-    before = {low: firsts[i - 1][0] for i, (_, low) in enumerate(firsts)}  # of the first range: the last
-    if before:
-        place = F.element_at(F.create_map(*[F.lit(x).cast(t) for low, r in before.items() for x, t in ((low, "long"), (r, "int"))]), F.col("id"))
-        copies = F.when(F.col("id").isin(list(before)), F.array(F.struct(F.col("range"), F.lit(0).alias("tail")), F.struct(place.alias("range"), F.lit(1).alias("tail"))))
-        rows = rows.withColumn("to", F.explode(F.coalesce(copies, F.array(F.struct(F.col("range"), F.lit(0).alias("tail")))))).select("id", "text", "to.range", "to.tail")
-    else:
-        rows = rows.withColumn("tail", F.lit(0))
+    # a row a range: the first id of each, and the range before it (of the first range: the last)
+    before = [(low, firsts[i - 1][0]) for i, (_, low) in enumerate(firsts)]
+    heads = F.broadcast(rows.sparkSession.createDataFrame(before, "id long, to int"))
+    own = F.struct(F.col("range").cast("int").alias("range"), F.lit(0).alias("tail"))
+    copies = F.when(F.col("to").isNotNull(), F.array(own, F.struct(F.col("to").alias("range"), F.lit(1).alias("tail")))).otherwise(F.array(own))
+    rows = rows.join(heads, "id", "left").select("id", "text", F.explode(copies).alias("at")).select("id", "text", "at.range", "at.tail")
     dealt = rows.repartitionById(len(cuts) + 1, F.col("range").cast("int")).sortWithinPartitions("tail", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
