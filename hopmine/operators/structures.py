@@ -117,11 +117,15 @@ def draw_without_replacement(instances: DataFrame, count: int, policy: str = "pr
     return chosen.join(instances.withColumn("pos", F.row_number().over(order).cast("long")), ["structure_id", "pos"]).select("draw", "structure_id", "set_id")
 
 
-def should_sample(pairs: DataFrame, n_entities: int, low: int, high: int, bound: int = 100_000) -> bool:
-    """Whether the number of node combinations is above the bound, from which sets are sampled and not enumerated."""
-    import math
-
-    return sum(math.comb(n_entities, k) for k in range(low, high + 1)) > bound
+def above_bound(n: Column, low: int, high: int, bound: int = 100_000) -> Column:
+    """Whether n nodes have more than bound combinations of low to high nodes, from which on sets are sampled and not enumerated."""
+    total = F.lit(0.0)
+    for k in range(low, high + 1):
+        ways = F.lit(1.0)
+        for i in range(k):
+            ways = ways * (n - i) / (i + 1)
+        total = total + F.greatest(F.lit(0.0), ways)
+    return total > bound
 
 
 def quality(records: DataFrame) -> DataFrame:

@@ -225,6 +225,11 @@ canon as (select set_id, min(t) structure_id from texts group by set_id)"""
 CANON_SQL = CANON_SQL.replace(" typed as (select set_id, [struct_pack(t := type, n := mem.name) for x in [1]] z, mem.name, type from mem join ents on ents.name = mem.name),", "")
 
 
+@query(CANON_SQL + " select structure_id, count(*) n_instances, min(set_id) first_instance from canon group by 1", graph=True)
+def d9_grouped_instances(spark, d):
+    return S.canonical(_records(spark, d)).groupBy("structure_id").agg(F.count("*").alias("n_instances"), F.min("set_id").alias("first_instance"))
+
+
 @query(CANON_SQL + " select structure_id, count(*) n, round(count(*) / sum(count(*)) over (), 9) proportion from canon group by 1", graph=True)
 def d10_structure_frequencies(spark, d):
     return S.frequencies(S.canonical(_records(spark, d))).withColumn("proportion", F.round("proportion", 9))
@@ -248,6 +253,13 @@ def d13_draw_without_replacement(spark, d):
     return S.draw_without_replacement(S.canonical(_records(spark, d)), 50, "rare", seed=3)
 
 
+@query(", n as (select count(*)::double n from ents) select 2 low, 3 high, n * (n - 1) / 2 + n * (n - 1) * (n - 2) / 6 > 100000 sampled from n", graph=True)
+def d14_enumerate_or_sample(spark, d):
+    """Whether the graph has too many combinations of 2 or 3 entities to enumerate them all."""
+    n = star_graph.entities(spark, d).agg(F.count("*").cast("double").alias("n"))
+    return n.select(F.lit(2).alias("low"), F.lit(3).alias("high"), S.above_bound(F.col("n"), 2, 3).alias("sampled"))
+
+
 def _scored(spark, d):
     records = _records(spark, d)
     units = records.withColumn("relationships", F.transform("relationships", lambda x: x.withField("n_units", F.char_length(x["source"]) % 4)))

@@ -112,6 +112,14 @@ def e7_merged_sources(spark, d):
     return E.merged_sources(rows).withColumn("supports_hops", F.array_join("supports_hops", ","))
 
 
+@query(f", {UNITS_SQL} select path_id question_id, string_agg(unit::varchar, ',' order by rank) units from rk group by 1", graph=True)
+def e8_context_union(spark, d):
+    """All passages behind a question's hops, each at its first place."""
+    e, r, _, _, walks = _provenance(spark, d)
+    ranked = E.ranked_units(walks, r, e)
+    return ranked.groupBy(F.col("path_id").alias("question_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "unit_id"))), lambda s: s["unit_id"]), ",").alias("units"))
+
+
 @query(f", {UNITS_SQL} select path_id, 'unknown document' reason, unit::varchar what from rk join documents on doc_id = unit where doc_id not in (select doc_id from labels) union all select a || ' > ' || b || ' > ' || c, 'unknown entity', c from walks", graph=True)
 def e9_lookup_failures(spark, d):
     """Regions are taken out of the entities, unlabelled documents out of the documents."""
