@@ -488,12 +488,12 @@ def i3_validity_counts(spark, d):
 
 
 @query(
-    """with r as (select turn % 2 kind, text completion, case when conv_id % 3 = 0 then upper(text) || '!' when conv_id % 3 = 1 then text || '</answer> and more' else text || ' x' end answer from conversations where role = 'assistant'),
+    """with r as (select turn % 2 kind, text completion, case when conv_id % 3 = 0 then translate(text, 'e', 'E') || '!' when conv_id % 3 = 1 then text || '</answer> and more' else text || ' x' end answer from conversations where role = 'assistant'),
     p as (select kind, trim(regexp_replace(regexp_replace(lower(split_part(completion, '</answer>', 1)), '[!-/:-@\\[-`{-~]', '', 'g'), '\\s+', ' ', 'g')) = trim(regexp_replace(regexp_replace(lower(split_part(answer, '</answer>', 1)), '[!-/:-@\\[-`{-~]', '', 'g'), '\\s+', ' ', 'g')) ok from r)
     select kind, count(*) n, count(*) filter (ok) n_correct, round(avg(ok::int), 6) accuracy from p group by 1"""
 )
 def i4_exact_match(spark, d):
     x = F.col("conv_id") % 3
-    answer = F.when(x == 0, F.concat(F.upper("text"), F.lit("!"))).when(x == 1, F.concat("text", F.lit("</answer> and more"))).otherwise(F.concat("text", F.lit(" x")))
+    answer = F.when(x == 0, F.concat(F.translate("text", "e", "E"), F.lit("!"))).when(x == 1, F.concat("text", F.lit("</answer> and more"))).otherwise(F.concat("text", F.lit(" x")))
     records = table(spark, d, "conversations").filter("role = 'assistant'").select((F.col("turn") % 2).alias("kind"), F.col("text").alias("completion"), answer.alias("answer"))
     return N.exact_match(records, "kind")
