@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -146,29 +147,17 @@ def signature(records: DataFrame) -> DataFrame:
 def representatives(scored: DataFrame, k: int) -> DataFrame:
     """(structure_id, rank, set_id) of (structure_id, set_id, names, quality, signature): greedy by quality minus the largest similarity to those chosen.
 
-    Similarity is at most 1, so an instance that is more than 1 below the k-th best quality can't be chosen: the rest,
-    a few per structure, go through a small helper.
+    Each of the k rounds takes a structure's best instance with a pre-aggregated maximum and lowers the others by their
+    likeness to it, so no structure's instances are ever gathered. Ties go to the larger names.
     """
-    best = scored.withColumn("pos", F.row_number().over(W.partitionBy("structure_id").orderBy(F.col("quality").desc(), F.col("names").desc())))
-    bar = best.filter(F.col("pos") <= k).groupBy("structure_id").agg(F.min("quality").alias("bar"))
-    near = scored.join(bar, "structure_id").filter("quality >= bar - 1").select("structure_id", "set_id", "names", "quality", "signature")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(q, n, s, frozenset(g)) for q, n, s, g in zip(pdf["quality"], pdf["names"], pdf["set_id"], pdf["signature"], strict=True)]
-        chosen: list[tuple] = []
-        like = [0.0] * len(rows)
-        open_ = set(range(len(rows)))
-        while open_ and len(chosen) < k:
-            i = max(open_, key=lambda j: (rows[j][0] - like[j], rows[j][1]))
-            open_.discard(i)
-            chosen.append((pdf["structure_id"].iloc[0], len(chosen) + 1, rows[i][2]))
-            for j in open_:
-                either = rows[i][3] | rows[j][3]
-                like[j] = max(like[j], len(rows[i][3] & rows[j][3]) / len(either) if either else 0.0)
-        return pd.DataFrame(chosen, columns=["structure_id", "rank", "set_id"])
-
-    kind = scored.schema["set_id"].dataType.simpleString()
-    return near.groupBy("structure_id").applyInPandas(choose, f"structure_id string, rank int, set_id {kind}")
+    left = cut(scored.select("structure_id", "set_id", "names", "quality", "signature").withColumn("like", F.lit(0.0)))
+    chosen = []
+    for rank in range(1, k + 1):
+        best = left.groupBy("structure_id").agg(F.max_by(F.struct("set_id", "signature"), F.struct(F.col("quality") - F.col("like"), "names")).alias("b"))
+        best = cut(best.select("structure_id", F.col("b.set_id").alias("taken"), F.col("b.signature").alias("other")))
+        chosen.append(best.select("structure_id", F.lit(rank).alias("rank"), F.col("taken").alias("set_id")))
+        left = left.join(best, "structure_id").filter("set_id <> taken").withColumn("like", F.greatest("like", jaccard(F.col("signature"), F.col("other")))).drop("taken", "other")
+    return reduce(DataFrame.unionByName, chosen)
 
 
 def backfill(catalogue: DataFrame, scored: DataFrame, per_structure: int) -> DataFrame:

@@ -23,7 +23,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(id, title, raw_content) of text files: id from the resolved path, title the name without its ending."""
     from ..functions.ids import uuid5
 
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw_content"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw_content"))
     plain = F.regexp_replace("path", "^file:(//)?", "")
     return files.select(uuid5(plain).alias("id"), F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]+$", "").alias("title"), "raw_content")
 
