@@ -36,7 +36,7 @@ def approved_view(structures: DataFrame, examples: DataFrame) -> DataFrame:
 def catalogue_gate(instances: DataFrame, view: DataFrame) -> DataFrame:
     """(set_id, structure_id, stage): the stage at which an instance stops, null if it goes on."""
     stage = F.when(F.col("n_examples").isNull(), "structure_review_required").when(F.col("n_examples") == 0, "example_review_required")
-    return instances.join(F.broadcast(view), "structure_id", "left").select("set_id", "structure_id", stage.alias("stage"))
+    return instances.join(view, "structure_id", "left").select("set_id", "structure_id", stage.alias("stage"))
 
 
 def hop_texts(hops: DataFrame, relationships: DataFrame) -> DataFrame:

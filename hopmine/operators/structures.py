@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import casefold, jaccard, word_set
 from ..sources.shared import cut
 
-FORM = "types array<string>, edges array<struct<l:int,r:int,c:bigint>>"
+SLICES = 1024
 
 
 def reduced_forms(records: DataFrame, directed: bool = True) -> DataFrame:
@@ -84,7 +84,8 @@ def _uniform(seed: int, *parts) -> Column:
 def draw_with_replacement(instances: DataFrame, count: int, policy: str = "proportional", strength: float = 2.0, seed: int = 0) -> DataFrame:
     """(draw, structure_id, set_id, n, weight): count draws of a structure by weight, then of one of its instances evenly.
 
-    The cumulative weights have one row a structure; draws meet them by a range condition, then an instance by its number.
+    The cumulative weights have one row a structure. [0, 1) is cut into SLICES equal slices and a structure's interval
+    goes to those that it meets, so draws meet it by an equal slice and then by the interval, and an instance by its number.
     """
     every = W.partitionBy(F.lit(1)).orderBy("structure_id")
     table = frequencies(instances).withColumn("weight", policy_weight(F.col("n"), policy, strength))
@@ -92,7 +93,8 @@ def draw_with_replacement(instances: DataFrame, count: int, policy: str = "propo
     table = table.withColumn("upper", upper).withColumn("lower", F.coalesce(F.lag("upper").over(every), F.lit(0.0)))
     table = table.withColumn("upper", F.when(F.lead("upper").over(every).isNull(), F.lit(1.0)).otherwise(F.col("upper")))
     draws = instances.sparkSession.range(count).select(F.col("id").alias("draw"), _uniform(seed, F.lit("structure"), "id").alias("u"), _uniform(seed, F.lit("instance"), "id").alias("v"))
-    picked = draws.join(F.broadcast(table), (F.col("u") >= F.col("lower")) & (F.col("u") < F.col("upper"))).withColumn("pos", F.floor(F.col("v") * F.col("n")).cast("long") + 1)
+    slices = table.withColumn("slice", F.explode(F.sequence(F.floor(F.col("lower") * SLICES).cast("int"), F.least(F.lit(SLICES - 1), F.floor(F.col("upper") * SLICES).cast("int")))))
+    picked = draws.withColumn("slice", F.floor(F.col("u") * SLICES).cast("int")).join(slices, "slice").filter("u >= lower and u < upper").drop("slice").withColumn("pos", F.floor(F.col("v") * F.col("n")).cast("long") + 1)
     numbered = instances.withColumn("pos", F.row_number().over(W.partitionBy("structure_id").orderBy("set_id")).cast("long"))
     return picked.join(numbered, ["structure_id", "pos"]).select("draw", "structure_id", "set_id", "n", "weight")
 
@@ -174,7 +176,7 @@ def assign_roles(nodes: DataFrame, roles: DataFrame) -> DataFrame:
     """
     ranked = nodes.withColumn("i", F.row_number().over(W.partitionBy("set_id", "type").orderBy("name")))
     wanted = roles.withColumn("i", F.row_number().over(W.partitionBy("structure_id", "type").orderBy("pos")))
-    needed = nodes.select("set_id", "structure_id").distinct().join(F.broadcast(wanted), "structure_id")
+    needed = nodes.select("set_id", "structure_id").distinct().join(wanted, "structure_id")
     return needed.join(ranked.drop("structure_id"), ["set_id", "type", "i"], "left").select("set_id", "role", "name")
 
 
@@ -216,7 +218,7 @@ def nearest_examples(wanted: DataFrame, examples: DataFrame, n: int) -> DataFram
 
     wanted: (set_id, structure_id, text); examples: (structure_id, example_id, pos, text, n_contexts), few per structure.
     """
-    pairs = wanted.withColumn("w", word_set(F.col("text"))).drop("text").join(F.broadcast(examples.withColumn("x", word_set(F.col("text"))).drop("text")), "structure_id").withColumn("overlap", jaccard(F.col("w"), F.col("x")))
+    pairs = wanted.withColumn("w", word_set(F.col("text"))).drop("text").join(examples.withColumn("x", word_set(F.col("text"))).drop("text"), "structure_id").withColumn("overlap", jaccard(F.col("w"), F.col("x")))
     order = W.partitionBy("set_id").orderBy(F.col("overlap").desc(), F.col("n_contexts").desc(), "pos")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("set_id", "rank", "example_id", "overlap")
 
