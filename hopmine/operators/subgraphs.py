@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -93,10 +93,11 @@ def sampled_sets(pairs: DataFrame, entities: DataFrame, low: int, high: int, cou
     spark = pairs.sparkSession
     attempts = max_attempts or max(100, 50 * count)
     starts = pairs.select("a").distinct() if high > 1 else entities.select(F.col("name").alias("a"))
-    n = starts.count()
+    # as many starts as attempts at most, by hash: a bounded table that can be numbered
+    numbered = starts.orderBy(F.xxhash64(F.lit(seed), "a"), "a").limit(attempts).withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.xxhash64(F.lit(seed), "a"), "a")))
+    n = numbered.count()
     if not n:
         return spark.createDataFrame([], "attempt long, nodes array<string>")
-    numbered = starts.select("a", F.row_number().over(_by_hash("a", seed)).alias("pos"))
     draws = spark.range(attempts).select(
         F.col("id").alias("attempt"), (F.pmod(F.xxhash64(F.lit(seed), F.lit("size"), "id"), F.lit(high - low + 1)) + low).alias("size"), (F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), "id"), F.lit(n)) + 1).alias("pos")
     )
@@ -108,8 +109,3 @@ def sampled_sets(pairs: DataFrame, entities: DataFrame, low: int, high: int, cou
     sets = grown.filter(F.size("nodes") >= low).groupBy(F.array_sort("nodes").alias("nodes")).agg(F.min("attempt").alias("attempt"))
     return sets.select("attempt", "nodes").orderBy("attempt").limit(count)
 
-
-def _by_hash(column: str, seed: int):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1)).orderBy(F.xxhash64(F.lit(seed), column), column)

@@ -16,12 +16,11 @@ from ..sources.shared import cut
 from .base import query, table
 from .graph import CHAIN_SQL, _walks
 
-# -- provenance: edge i has the units of documents i mod N and 7 i + 3 mod N -------------------------------------------
+# -- provenance: an edge's place p is a hash of its ends, its units are the documents p mod N and 7 p + 3 mod N ---------------------------------------
 
-UNITS_SQL = f"""{CHAIN_SQL}, docn as (select count(*) n from documents), num as (select row_number() over (order by doc_id) - 1 i, doc_id from documents),
-er as (select *, row_number() over (order by source, target) - 1 position from rels),
-ru as (select source, target, position, 0 pos, (select doc_id from num where i = position % (select n from docn)) unit from er union all
-       select source, target, position, 1, (select doc_id from num where i = (7 * position + 3) % (select n from docn)) from er),
+UNITS_SQL = f"""{CHAIN_SQL}, docn as (select count(*) n from documents),
+er as (select *, ('0x' || substr(md5(source || '|' || target), 1, 13))::bigint position from rels),
+ru as (select source, target, position, 0 pos, position % (select n from docn) unit from er union all select source, target, position, 1, (7 * position + 3) % (select n from docn) from er),
 hops as (select a || ' > ' || b || ' > ' || c path_id, 1 hop, a s, b t from walks union all select a || ' > ' || b || ' > ' || c, 2, b, c from walks),
 rk as (select path_id, unit, row_number() over (partition by path_id order by min([hop, position, pos])) rank from hops join ru on (s = source and t = target) or (s = target and t = source and s <> t) group by path_id, unit),
 sized as (select rk.*, length(text) // 4 n_tokens, source title, text from rk join documents on doc_id = unit)"""
@@ -32,13 +31,8 @@ def _provenance(spark, d):
     e, r, walks = _walks(spark, d)
     docs = table(spark, d, "documents")
     n = docs.count()
-    from pyspark.sql import Window as W
-
-    number = docs.select("doc_id", (F.row_number().over(W.partitionBy(F.lit(1)).orderBy("doc_id")) - 1).alias("i"))
-    numbered = r.withColumn("position", (F.row_number().over(W.partitionBy(F.lit(1)).orderBy("source", "target")) - 1).cast("long"))
-    slots = numbered.select("id", F.posexplode(F.array(F.col("position") % n, (7 * F.col("position") + 3) % n)).alias("pos", "i")).join(number, "i")
-    units_of = slots.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "doc_id"))), lambda s: s["doc_id"].cast("string")).alias("text_unit_ids"))
-    rels = numbered.join(units_of, "id")
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", "source", "target")), 1, 13), 16, 10).cast("long")
+    rels = r.withColumn("position", place).withColumn("text_unit_ids", F.array((F.col("position") % n).cast("string"), ((7 * F.col("position") + 3) % n).cast("string")))
     units = docs.select(F.col("doc_id").cast("string").alias("id"), "text", F.floor(F.char_length("text") / 4).cast("int").alias("n_tokens"), F.array(F.col("doc_id").cast("string")).alias("document_ids"))
     documents = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"))
     entities = e.withColumn("text_unit_ids", F.array().cast("array<string>"))
