@@ -208,11 +208,6 @@ def _records(spark, d):
     return cut(G.subgraph_records(sets, r, e))
 
 
-@query()
-def d8_canonical_structures(spark, d):
-    return S.canonical(_records(spark, d))
-
-
 #: All six orders of three nodes, as sums of the node's place: the text of the smallest form per set.
 CANON_SQL = f""", {SETS_SQL}, typed as (select set_id, [struct_pack(t := type, n := mem.name) for x in [1]] z, mem.name, type from mem join ents on ents.name = mem.name),
 nodes as (select set_id, name, type, row_number() over (partition by set_id order by type, name) - 1 i from mem join ents using (name)),
@@ -225,6 +220,11 @@ canon as (select set_id, min(t) structure_id from texts group by set_id)"""
 CANON_SQL = CANON_SQL.replace(" typed as (select set_id, [struct_pack(t := type, n := mem.name) for x in [1]] z, mem.name, type from mem join ents on ents.name = mem.name),", "")
 
 
+@query(CANON_SQL + " select set_id, structure_id from canon", graph=True)
+def d8_canonical_structures(spark, d):
+    return S.canonical(_records(spark, d))
+
+
 @query(CANON_SQL + " select structure_id, count(*) n_instances, min(set_id) first_instance from canon group by 1", graph=True)
 def d9_grouped_instances(spark, d):
     return S.canonical(_records(spark, d)).groupBy("structure_id").agg(F.count("*").alias("n_instances"), F.min("set_id").alias("first_instance"))
