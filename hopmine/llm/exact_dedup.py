@@ -22,27 +22,27 @@ PREFIX = 16
 _DROP = b" \t\n\x0b\x0c\r"
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
+    """Rows by key; with whole, all columns of docs travel as `row`, else only the text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if whole else text.alias("text"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_LONG)).alias("id"),
-        text.alias("text"),
         code_points(text).alias("n_chars"),
         F.regexp_replace(text, SPACE, "").alias("norm"),
     )
-    return rows.withColumn("sha", F.sha2("norm", 256)).withColumn("key", F.concat(F.substring("norm", 1, PREFIX), F.lit("\u0001"), "sha")).drop("norm")
+    return rows.withColumn("key", F.concat(F.substring("norm", 1, PREFIX), F.lit("\u0001"), F.sha2("norm", 256))).drop("norm")
 
 
-def _sorted(docs: DataFrame, id_col: str, text_col: str, ranges: int | None) -> tuple[DataFrame, dict[tuple[int, str], tuple[int, int, int]]]:
-    """Rows in ranges, sorted by (key, code points descending, id); and of the keys that more than one range holds, the kept id, the group's size and the range of the kept row."""
+def _sorted(docs: DataFrame, id_col: str, text_col: str, ranges: int | None, whole: bool = False) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
+    """Rows in ranges, sorted by (key, code points descending, id); and of the digests that more than one range may hold, the kept id and the group's size."""
     ranges = ranges or shuffle_partitions(docs.sparkSession)
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     norm = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE, "")
     key = F.concat(F.substring(norm, 1, PREFIX), F.lit("\u0001"), F.sha2(norm, 256))
     # inside a key the order of ids alone cuts ranges, so a group's rows are dealt evenly
     cuts = splitters(few, key, F.coalesce(F.col("id").cast("long"), F.lit(MAX_LONG)), ranges)
-    rows = _keyed(docs, id_col, text_col).withColumn("range", range_of(F.col("key"), F.col("id"), cuts))
+    rows = _keyed(docs, id_col, text_col, whole).withColumn("range", range_of(F.col("key"), F.col("id"), cuts))
     # only a key that a splitter carries can lie in two ranges, so this table has fewer than `ranges` rows
     on_cut = sorted({k for k, _ in cuts})
     spanning: dict[str, tuple[int, int]] = {}
@@ -53,11 +53,12 @@ def _sorted(docs: DataFrame, id_col: str, text_col: str, ranges: int | None) ->
         for r in own.filter(F.col("sha").isin(digests)).groupBy("sha").agg(F.min(F.struct(-F.col("n"), "id"))["id"].alias("keep"), F.count("*").alias("size")).collect():
             spanning[r.sha] = (r.keep, r.size)
     dealt = rows.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("key", F.col("n_chars").desc(), "id")
-    return dealt, spanning
+    text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")) if whole else F.col("text")
+    return dealt.select("id", text.alias("text"), F.substring_index("key", "\u0001", -1).alias("sha"), *["row"] * whole), spanning
 
 
-def _runs(batches: Iterator[pa.RecordBatch], spanning: dict[str, tuple[int, int]]) -> Iterator[tuple]:
-    """(batch, position, id, sha, keep, size or None, kept) of each row; the size of a run is known at its end."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(batch, position, id, sha, whether its text differs from the row's before) of each row."""
     last_text, last_sha = None, None
     for batch in batches:
         texts, shas, ids = batch.column("text").to_pylist(), batch.column("sha").to_pylist(), batch.column("id").to_pylist()
@@ -93,7 +94,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             real = lambda xs: pa.array([None if x == MAX_LONG else x for x in xs], pa.int64())
             return pa.RecordBatch.from_pydict({"doc_id": real(ids), "keep_id": real(keep), "group_size": pa.array(size, pa.int64()), "kept": pa.array(kept, pa.bool_()), "text_sha256": pa.array(shas, pa.string())})
 
-        for _, _, row_id, sha, new in _runs(batches, spanning):
+        for _, _, row_id, sha, new in _runs(batches):
             if new:
                 if len(ids) >= 20_000:
                     yield flush()
@@ -104,17 +105,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if ids:
             yield flush()
 
-    return dealt.select("id", "text", "sha").mapInArrow(decide, "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string")
+    return dealt.mapInArrow(decide, "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """The rows of docs that exact_duplicates keeps, with all their columns."""
-    dealt, spanning = _sorted(docs, id_col, text_col, ranges)
+    dealt, spanning = _sorted(docs, id_col, text_col, ranges, whole=True)
     kind = dealt.select("row").schema
 
     def first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch_now, take = None, []
-        for batch, i, row_id, sha, new in _runs(batches, spanning):
+        for batch, i, row_id, sha, new in _runs(batches):
             if batch is not batch_now:
                 if take:
                     yield batch_now.select(["row"]).take(pa.array(take))
@@ -124,7 +125,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         if take:
             yield batch_now.select(["row"]).take(pa.array(take))
 
-    return dealt.select("id", "text", "sha", "row").mapInArrow(first_rows, kind).select("row.*")
+    return dealt.mapInArrow(first_rows, kind).select("row.*")
 
 
 ORACLE = """
