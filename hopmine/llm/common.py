@@ -10,11 +10,18 @@ from pyspark.sql import types as T
 
 from ..sources.shared import cut, shared_folder
 
-__all__ = ["MAX_LONG", "code_points", "components", "cut", "range_of", "salted_join", "shared_folder", "shuffle_partitions", "splitters"]
+__all__ = ["MAX_LONG", "code_points", "components", "cut", "range_of", "salted_join", "shared_folder", "shuffle_partitions", "small_batches", "splitters"]
 
 MAX_LONG = 2**63 - 1
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of at most so many rows for the rest of the session: whole texts are long, and both sides hold a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

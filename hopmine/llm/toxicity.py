@@ -11,21 +11,25 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6)
 SUFFIX = 4
 SENTENCE_END = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"\w+")
 THRESHOLD = 0.7
-MAX_TRAIN_ROWS = 4000
+MAX_TRAIN_ROWS = 3000
 MAX_TRAIN_CHARS = 20_000
 EPOCHS = 100
 MIN_DOCS = 6
@@ -61,33 +65,40 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
     negative: words are evidence for toxicity or none, so a long clean context can't hide an offending word.
     """
     vocabulary: dict[str, int] = {}
-    sent_of, word_of, doc_of = [], [], []
+    sent_of, word_of, doc_of = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
         low = text.lower()
         for a, b in sentences(low):
             words = set(WORD.findall(low, a, b))
-            word_of += [vocabulary.setdefault(w, len(vocabulary)) for w in words]
-            sent_of += [len(doc_of)] * len(words)
+            word_of.extend([vocabulary.setdefault(w, len(vocabulary)) for w in words])
+            sent_of.extend([len(doc_of)] * len(words))
             if words:
                 doc_of.append(d)
     weights, bias = np.zeros(BUCKETS), -5.0
     if not doc_of or len(set(labels.tolist())) < 2:
         share = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-4, 0.5))
         return weights.astype(np.float32), float(np.log(share / (1 - share)))
-    sent_of, word_of, doc_of = np.array(sent_of), np.array(word_of), np.array(doc_of)
-    per_word = [word_features(w) for w in vocabulary]
-    feature = np.array([f for fs in per_word for f in fs])
-    feature_word = np.repeat(np.arange(len(per_word)), [len(f) for f in per_word])
-    # documents that have each feature
-    pair = np.unique(doc_of[sent_of] * len(per_word) + word_of)
-    doc, word = pair // len(per_word), pair % len(per_word)
-    sizes = np.array([len(f) for f in per_word])
+    sent_of, word_of, doc_of = np.frombuffer(sent_of, np.int32), np.frombuffer(word_of, np.int32), np.frombuffer(doc_of, np.int32)
+    feature, sizes = array("i"), array("i")
+    for w in vocabulary:
+        own = word_features(w)
+        feature.extend(own)
+        sizes.append(len(own))
+    feature, sizes = np.frombuffer(feature, np.int32), np.frombuffer(sizes, np.int32)
+    n_words = len(vocabulary)
+    vocabulary.clear()
+    feature_word = np.repeat(np.arange(n_words, dtype=np.int32), sizes)
+    # documents that have each feature; a document's words lie together
     begin = np.concatenate([[0], np.cumsum(sizes)])
-    where = np.repeat(begin[word] - np.concatenate([[0], np.cumsum(sizes[word])])[:-1], sizes[word]) + np.arange(sizes[word].sum())
-    common = np.bincount(np.unique(np.repeat(doc, sizes[word]) * BUCKETS + feature[where]) % BUCKETS, minlength=BUCKETS) >= MIN_DOCS
-    del per_word, pair, doc, word, where
+    have = np.zeros(BUCKETS, np.int32)
+    edges = np.searchsorted(doc_of[sent_of], np.arange(len(texts) + 1))
+    for x, y in zip(edges[:-1], edges[1:], strict=True):
+        own = np.unique(word_of[x:y])
+        if len(own):
+            have[np.unique(np.concatenate([feature[begin[w] : begin[w + 1]] for w in own.tolist()]))] += 1
+    common = have >= MIN_DOCS
     feature_word, feature = feature_word[common[feature]], feature[common[feature]]
-    n_docs, n_sents, n_words = len(texts), len(doc_of), len(vocabulary)
+    n_docs, n_sents = len(texts), len(doc_of)
     first, second = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     balance = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-3), 0.5 / max(1 - labels.mean(), 1e-3))
     for step in range(1, epochs + 1):
@@ -119,7 +130,7 @@ class Scorer:
         self.seen: dict[str, float] = {}
 
     def weight(self, word: str) -> float:
-        if len(self.seen) > 500_000:
+        if len(self.seen) > 100_000:
             self.seen.clear()
         w = self.seen[word] = float(sum(self.weights[f] for f in word_features(word)))
         return w
@@ -159,11 +170,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.filter(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 50)) < F.lit(round(share * (1 << 50))))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(f"text is not null and char_length(text) <= {MAX_TRAIN_CHARS}")
     # known has at most about max_rows rows of two numbers
-    rows = texts.join(F.broadcast(known), "id").orderBy("id", "label", "text").collect()
-    return fit([r.text for r in rows], np.array([r.label for r in rows], np.int64))
+    rows = texts.join(F.broadcast(known), "id").select("id", "label", "text")
+
+    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [f for f in frames if len(f)]
+        pdf = pd.concat(found).sort_values(["id", "label", "text"]) if found else pd.DataFrame({"text": [], "label": []})
+        weights, bias = fit(pdf["text"].tolist(), pdf["label"].to_numpy(np.int64))
+        yield pd.DataFrame({"weights": [weights.tobytes()], "bias": [bias]})
+
+    # the bounded sample meets in one task; the driver sees the weights only
+    model = rows.repartition(1).mapInPandas(learn, "weights binary, bias double").collect()
+    if not model:
+        return fit([], np.zeros(0, np.int64))
+    return np.frombuffer(bytes(model[0].weights), np.float32), model[0].bias
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _scorer(raw: bytes, bias: float) -> Scorer:
     return Scorer(np.frombuffer(raw, np.float32), bias)
 
@@ -173,6 +195,7 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float =
 
     A text without words (null, empty) scores 0 and has no worst sentence. The input of a score is the text alone.
     """
+    small_batches(docs.sparkSession)
     raw, bias = model[0].tobytes(), model[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +214,7 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float =
 
 def offending_sentences(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, score, sentence) of every sentence that alone reaches threshold; places in code points of the lower-cased text."""
+    small_batches(docs.sparkSession)
     raw, bias = model[0].tobytes(), model[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +229,7 @@ def offending_sentences(docs: DataFrame, model: tuple[np.ndarray, float], thresh
 
 def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of docs that score below threshold, with all their columns."""
+    small_batches(docs.sparkSession)
     raw, bias = model[0].tobytes(), model[1]
     place = docs.columns.index(text_col)
 
