@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_LONG, code_points, range_of, shuffle_partitions, splitters
+from .common import MAX_LONG, code_points, range_of, shuffle_partitions, small_batches, splitters
 
 SPACE = r"[\x20\x09-\x0D]+"
 PREFIX = 16
@@ -36,6 +36,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFram
 
 def _sorted(docs: DataFrame, id_col: str, text_col: str, ranges: int | None, whole: bool = False) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
     """Rows in ranges, sorted by (key, code points descending, id); and of the digests that more than one range may hold, the kept id and the group's size."""
+    small_batches(docs.sparkSession)
     ranges = ranges or shuffle_partitions(docs.sparkSession)
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     norm = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE, "")

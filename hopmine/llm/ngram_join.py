@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_LONG, components, cut, salted_join
+from .common import MAX_LONG, components, cut, salted_join, small_batches
 from .shingles import mix, shingle_sets
 
 N, THRESHOLD, RECALL, MAX_HASHES, BLOCK = 5, 0.8, 0.9999, 128, 256
@@ -166,6 +166,7 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
     id and come back null; rows that share an id are rows of one document if their sets are equal, else each of them
     counts in its own set class under that id.
     """
+    small_batches(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall, max_hashes)
     texts = _texts(docs, id_col, text_col)
     sketched = cut(_sketched(texts, n, bands, rows))

@@ -20,11 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MARK = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ʯ"
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 250_000
 CUT = "\x1f"
-PART_ROWS = 1000
+PART_ROWS = 500
 SHORT = 48
 NONE = 1 << 30
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_mismatch long"
@@ -293,6 +295,8 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     model is a file that every executor can open at that path.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model)
         for batch in batches:
