@@ -1,9 +1,9 @@
 """N-gram Jaccard join by MinHash banding.
 
-Documents with equal n-gram sets form one set class, of which only the smallest id goes on. Its signature is cut into
-bands; classes that share a band hash are candidates. Candidate components are dealt out by blocks of bounded size,
-one task unit per pair of blocks, and there every pair is verified on the full n-gram sets. A unit emits one row per
-class in it (its number of links and a verified neighbour of smaller id, if any), never its pairs. So no bucket is
+Every row has a key of its own, since ids may be null or repeated. Rows with equal n-gram sets form one set class, of
+which only the row with the smallest key goes on, as the class's node. Its signature is cut into bands; classes that
+share a band hash are candidates. Candidate components are dealt out by blocks of bounded size, one task unit per pair
+of blocks, and there every pair is verified on the full n-gram sets. A unit emits one row per class in it (its number of links and a verified neighbour of smaller key, if any), never its pairs. So no bucket is
 gathered whole, however many copies a text has, and no verified link between different sets is lost.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_LONG, components, cut, salted_join, small_batches
+from .common import components, cut, salted_join, small_batches
 from .shingles import mix, shingle_sets
 
 N, THRESHOLD, RECALL, MAX_HASHES, BLOCK = 5, 0.8, 0.9999, 128, 256
@@ -54,11 +54,11 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_LONG)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return docs.select("_row", F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def _sketched(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(id, digest, bands) of every row; digest is of the whole n-gram set, bands are empty for an empty set."""
+    """(row, id, digest, bands) of every row; digest is of the whole n-gram set, bands are empty for an empty set."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -75,7 +75,7 @@ def _sketched(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     sets.clear()
 
                 held = 0
-                for s in shingle_sets(part.column(1), n):
+                for s in shingle_sets(part.column(2), n):
                     sets.append(s)
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
                     held += len(s)
@@ -83,9 +83,9 @@ def _sketched(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                         close()
                         held = 0
                 close()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], ["id", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], ["row", "id", "digest", "bands"])
 
-    return texts.mapInArrow(sketch, "id long, digest string, bands array<long>")
+    return texts.mapInArrow(sketch, "row long, id long, digest string, bands array<long>")
 
 
 def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -117,22 +117,20 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
 
 
 def _verified(texts: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(id, links, near) per class and task unit from (pack, unit, side, id, text)."""
+    """(node, links, near) per class and task unit from (pack, unit, side, node, text)."""
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, unit in pdf.groupby("unit", sort=False):
-            unit = unit.sort_values("id")
+            unit = unit.sort_values("node")
             sets = list(shingle_sets(pa.array(unit["text"], pa.string()), n))
-            # repeated rows of one document count once
-            once = list({(i, s.tobytes()): k for k, (i, s) in enumerate(zip(unit["id"], sets, strict=True))}.values())
-            ids, side, sets = unit["id"].to_numpy()[once], unit["side"].to_numpy()[once], [sets[k] for k in once]
+            nodes, side = unit["node"].to_numpy(), unit["side"].to_numpy()
             if (side == 2).all():
-                left = right = np.arange(len(ids))
+                left = right = np.arange(len(nodes))
             else:
                 left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            links = np.zeros(len(ids), np.int64)
-            root = np.arange(len(ids))
+            links = np.zeros(len(nodes), np.int64)
+            root = np.arange(len(nodes))
 
             def find(x: int) -> int:
                 while root[x] != x:
@@ -149,33 +147,29 @@ def _verified(texts: DataFrame, n: int, threshold: float) -> DataFrame:
                     x, y = find(x), find(y)
                     if x != y:
                         root[max(x, y)] = min(x, y)
-            top = np.array([find(x) for x in range(len(ids))])
-            out.append(pd.DataFrame({"id": ids, "links": links, "near": ids[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "links": [], "near": []}).astype("int64")
+            top = np.array([find(x) for x in range(len(nodes))])
+            out.append(pd.DataFrame({"node": nodes, "links": links, "near": nodes[top]}))
+        return pd.concat(out) if out else pd.DataFrame({"node": [], "links": [], "near": []}).astype("int64")
 
-    return texts.groupBy("pack").applyInPandas(verify, "id long, links long, near long")
+    return texts.groupBy("pack").applyInPandas(verify, "node long, links long, near long")
 
 
-def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, set_id, n_links, n_copies for every row.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key per row, kept, so that both passes over the texts see the same keys."""
+    return cut(docs.withColumn("_row", F.monotonically_increasing_id()))
 
-    set_id is the smallest id with the same n-gram set and n_copies the number of such rows; n_links is the number of
-    other set classes with Jaccard similarity of at least threshold; class_id is the smallest id that is reached over
-    links and equal sets. Words are runs outside [\\x20\\x09-\\x0D], lower-cased; texts of fewer than n words have one
-    gram, texts without words (null, empty) none: those form one set class without links. Null ids count as the largest
-    id and come back null; rows that share an id are rows of one document if their sets are equal, else each of them
-    counts in its own set class under that id.
-    """
-    small_batches(docs.sparkSession)
+
+def _joined(texts: DataFrame, n: int, threshold: float, recall: float, max_hashes: int, block: int) -> DataFrame:
+    """(row, id, set_id, class_id, n_links, n_copies, leads) for every row of texts (_row, id, text)."""
+    small_batches(texts.sparkSession)
     bands, rows = choose_bands(threshold, recall, max_hashes)
-    texts = _texts(docs, id_col, text_col)
     sketched = cut(_sketched(texts, n, bands, rows))
-    several = sketched.groupBy("digest").agg(F.min("id").alias("set_id"), F.count("*").alias("n_copies")).filter("n_copies > 1")
-    joined = salted_join(sketched, several, "digest", F.col("id"), "left")
-    classed = cut(joined.select("id", F.coalesce("set_id", "id").alias("set_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), F.when(F.coalesce("set_id", "id") == F.col("id"), F.col("bands")).alias("bands")))
-    spread = classed.filter("bands is not null").select("id", F.explode("bands").alias("band"))
-    hubs = spread.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub <> top").drop("top")
-    edges = salted_join(spread, hubs, "band", F.col("id")).filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    several = sketched.groupBy("digest").agg(F.min("row").alias("node"), F.min("id").alias("set_id"), F.count("*").alias("n_copies")).filter("n_copies > 1")
+    joined = salted_join(sketched, several, "digest", F.col("row"), "left").withColumn("node", F.coalesce("node", "row"))
+    classed = cut(joined.select("row", "id", "node", F.coalesce("set_id", "id").alias("set_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), F.when(F.col("node") == F.col("row"), F.col("bands")).alias("bands")))
+    spread = classed.filter("bands is not null").select("node", F.explode("bands").alias("band"))
+    hubs = spread.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top").drop("top")
+    edges = salted_join(spread, hubs, "band", F.col("node")).filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     groups = cut(components(edges))
     sizes = groups.groupBy("root").agg(F.count("*").alias("m"))
     packs = max(1, groups.count() // PACK)
@@ -183,23 +177,39 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
     # a class of block i meets the blocks 0..i as their right side, and those after it as their left one
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     units = dealt.withColumn("other", other).select(
-        F.col("node").alias("id"),
+        "node",
         F.concat_ws(":", "root", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(packs))).otherwise(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))).alias("pack"),
     )
-    found = cut(_verified(texts.join(units, "id").select("pack", "unit", "side", "id", "text"), n, threshold))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    near = found.filter("id <> near").select(F.col("near").alias("a"), F.col("id").alias("b")).distinct()
-    roots = components(near).withColumnRenamed("node", "id").withColumnRenamed("root", "class_id")
-    known = links.join(roots, "id", "left").select(F.col("id").alias("set_id"), "links", F.coalesce("class_id", "id").alias("class_id")).filter("links > 0")
-    out = salted_join(classed.drop("bands"), known, "set_id", F.col("id"), "left")
-    real = lambda c: F.when(c != MAX_LONG, c)
-    return out.select(real(F.col("id")).alias("doc_id"), real(F.coalesce("class_id", "set_id")).alias("class_id"), real(F.col("set_id")).alias("set_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs whose id is the smallest of its class, with all their columns; rows with a null id stay if they lead theirs."""
-    found = ngram_join(docs, id_col=id_col, **options)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    found = cut(_verified(texts.withColumnRenamed("_row", "node").join(units, "node").select("pack", "unit", "side", "node", "text"), n, threshold))
+    links = found.groupBy("node").agg(F.sum("links").alias("links")).filter("links > 0")
+    near = found.filter("node <> near").select(F.col("near").alias("a"), F.col("node").alias("b")).distinct()
+    heads = classed.filter("bands is not null").select("node", "set_id")
+    linked = cut(links.join(components(near), "node").join(heads, "node"))
+    # the smallest id of each component, nulls last, and the class that has it
+    first = linked.groupBy("root").agg(F.min(F.struct(F.col("set_id").isNull().alias("none"), "set_id", "node")).alias("f")).select("root", F.col("f.set_id").alias("class_id"), F.col("f.node").alias("lead"))
+    known = salted_join(linked.select("node", "root", "links"), first, "root", F.col("node")).select("node", "links", "class_id", "lead")
+    out = salted_join(classed.drop("bands"), known, "node", F.col("row"), "left").withColumn("class_id", F.coalesce("class_id", "set_id"))
+    leads = (F.col("node") == F.coalesce("lead", "node")) & F.when(F.col("class_id").isNull(), F.col("row") == F.col("node")).otherwise(F.col("id").eqNullSafe(F.col("class_id")))
+    return out.select("row", "id", "set_id", "class_id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), "n_copies", leads.alias("leads"))
+
+
+def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id, set_id, n_links, n_copies for every row.
+
+    set_id is the smallest id with the same n-gram set and n_copies the number of such rows; n_links is the number of
+    other set classes with Jaccard similarity of at least threshold; class_id is the smallest id that is reached over
+    links and equal sets. Words are runs outside [\\x20\\x09-\\x0D], lower-cased; texts of fewer than n words have one
+    gram, texts without words (null, empty) none: those form one set class without links. Null ids come after all others
+    and are null in the result; rows that share an id, or have none, are told apart by their sets.
+    """
+    texts = _texts(_keyed(docs.select(id_col, text_col)), id_col, text_col)
+    return _joined(texts, n, threshold, recall, max_hashes, block).select(F.col("id").alias("doc_id"), "class_id", "set_id", "n_links", "n_copies")
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that lead their class, with all their columns: those of its smallest id with one n-gram set, or one row if all its ids are null."""
+    keyed = _keyed(docs)
+    gone = _joined(_texts(keyed, id_col, text_col), n, threshold, recall, max_hashes, block).filter("not leads").select("row")
+    return keyed.join(gone, F.col("_row") == gone["row"], "left_anti").drop("_row")

@@ -352,6 +352,20 @@ def test_ngram_join_on_awkward_rows(spark):
     assert ngram_join.ngram_join(none(spark)).count() == 0 and ngram_join.drop_near_duplicates(none(spark)).count() == 0
 
 
+def test_ngram_join_tells_rows_without_own_ids_apart(spark):
+    w = [f"w{i}" for i in range(120)]
+    near = lambda at, k: " ".join([*w[:at], f"x{k}", *w[at + 1 :]])
+    other = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(None, " ".join(w), "n1"), (None, near(60, 1), "n2"), (None, other("p"), "n3"), (None, other("p").upper(), "n4"), (None, other("q"), "n5")]
+    rows += [(7, other("a"), "a7"), (7, other("b"), "b7"), (3, other("a") + " end", "a3"), (8, other("c"), "c8"), (8, other("c") + " end", "d8"), (9, other("e"), "e9"), (None, other("e") + " end", "n9"), (4, other("f"), "f4"), (4, other("f"), "f4")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    got = Counter(tuple(r) for r in ngram_join.ngram_join(df).collect())
+    assert got == Counter({(None, None, None, 1, 1): 2, (None, None, None, 0, 2): 2, (None, None, None, 0, 1): 1, (7, 3, 7, 1, 1): 1, (7, 7, 7, 0, 1): 1, (3, 3, 3, 1, 1): 1, (8, 8, 8, 1, 1): 2, (9, 9, 9, 1, 1): 1, (None, 9, None, 1, 1): 1, (4, 4, 4, 0, 2): 2})
+    kept = Counter(r.row for r in ngram_join.drop_near_duplicates(df).collect())
+    assert kept.total() == 9 and all(kept[x] == 1 for x in ("n5", "b7", "a3", "e9")) and kept["f4"] == 2
+    assert all(kept[x] + kept[y] == 1 for x, y in (("n1", "n2"), ("n3", "n4"), ("c8", "d8")))
+
+
 def test_bands_reach_the_recall():
     for t, r in ((0.8, 0.9999), (0.7, 0.99), (0.9, 0.999)):
         bands, rows = ngram_join.choose_bands(t, r)
