@@ -238,7 +238,7 @@ def _assignments(spark, d):
 @query(PATTERN_SQL + " select question_id, r, n, s, p, pos from kept", graph=True)
 def g10_pattern_assignments(spark, d):
     """Up to 500 assignments per question (the operator's cap) of region, nation, supplier, part."""
-    return _assignments(spark, d)
+    return _assignments(spark, d).drop("complete")
 
 
 @query(
@@ -250,7 +250,7 @@ def g10_pattern_assignments(spark, d):
 def g11_structure_policy(spark, d):
     from pyspark.sql import Window as W
 
-    rows = _assignments(spark, d).select("question_id", F.col("p").alias("answer"), (F.col("pos") % 3 == 0).alias("admissible"), F.min("p").over(W.partitionBy("question_id")).alias("intended"), F.lit(True).alias("complete"))
+    rows = _assignments(spark, d).select("question_id", F.col("p").alias("answer"), (F.col("pos") % 3 == 0).alias("admissible"), F.min("p").over(W.partitionBy("question_id")).alias("intended"), "complete")
     return A.structure_decision(rows, "disambiguate").select("question_id", F.size("answers").alias("n_answers"), "decision", F.array_join("distractors", ";").alias("distractors"))
 
 

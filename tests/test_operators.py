@@ -332,6 +332,18 @@ def test_patterns_by_brute_force(spark):
         ambiguity.pattern_assignments(q, e, paths.undirected(r), [*roles, ("v", "A")], edges, ("x",))
 
 
+@pytest.mark.parametrize("cap", [2, 3])
+def test_a_search_that_the_cap_cuts_is_not_unique(spark, cap):
+    e = spark.createDataFrame([("r", "L"), ("n1", "N"), ("n2", "N"), ("n3", "N"), ("p1", "P"), ("p2", "P")], "name string, type string")
+    pairs = [("r", "n1"), ("r", "n2"), ("r", "n3"), ("n1", "p1"), ("n2", "p1"), ("n3", "p2")]
+    both = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "a string, b string")
+    q = spark.createDataFrame([("q", "r")], "question_id string, r string")
+    found = ambiguity.pattern_assignments(q, e, both, [("r", "L"), ("n", "N"), ("p", "P")], [("r", "n"), ("n", "p")], ("r",), cap)
+    rows = found.select("question_id", F.col("p").alias("answer"), (F.col("p") == "p1").alias("admissible"), F.lit("p1").alias("intended"), "complete")
+    decided = ambiguity.structure_decision(rows, "disambiguate").first()
+    assert found.count() == cap and decided.answers == ["p1"] and decided.decision == ("accepted" if cap == 3 else "retry")
+
+
 def test_batches_with_other_ids_are_rejected(spark):
     records = spark.createDataFrame([("q", i) for i in range(45)], "question_id string, path_id int")
     said = spark.createDataFrame([("q", i // 20, i, True, [True]) for i in range(45) if i != 25] + [("q", 2, 99, True, [True])], "question_id string, batch int, path_id int, admissible boolean, hop_matches array<boolean>")
