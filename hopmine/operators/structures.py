@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import casefold, jaccard, word_set
 from ..sources.shared import cut
+from .subgraphs import connected_sets, sampled_sets
 
 SLICES = 1024
 
@@ -131,6 +132,14 @@ def above_bound(n: Column, low: int, high: int, bound: int = 100_000) -> Column:
     return total > bound
 
 
+def instances(pairs: DataFrame, entities: DataFrame, low: int = 2, high: int = 3, bound: int = 100_000, count: int = 10_000, seed: int = 0) -> DataFrame:
+    """(nodes) of all connected sets of low to high nodes, or of count sampled ones if the entities have more than bound combinations; pairs are undirected."""
+    n = entities.agg(F.count("*").cast("double").alias("n"))
+    if n.select(above_bound(F.col("n"), low, high, bound).alias("above")).first().above:
+        return sampled_sets(pairs, entities, low, high, count, seed).select("nodes")
+    return connected_sets(pairs, entities, low, high)
+
+
 def quality(records: DataFrame) -> DataFrame:
     """(set_id, quality) of (set_id, relationships with weight, description, n_units)."""
     r = F.col("relationships")

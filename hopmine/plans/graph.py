@@ -260,6 +260,13 @@ def d14_enumerate_or_sample(spark, d):
     return n.select(F.lit(2).alias("low"), F.lit(3).alias("high"), S.above_bound(F.col("n"), 2, 3).alias("sampled"))
 
 
+@query()
+def d25_structure_instances(spark, d):
+    """The instances that d14's switch decides on: all connected sets of 2 or 3 nodes, or 10,000 sampled ones (the operator's numbers)."""
+    e, r = _graph(spark, d)
+    return S.instances(P.undirected(r), e, 2, 3, seed=7).select(F.array_join("nodes", "|").alias("nodes"), F.size("nodes").alias("size"))
+
+
 def _scored(spark, d):
     records = _records(spark, d)
     units = records.withColumn("relationships", F.transform("relationships", lambda x: x.withField("n_units", F.char_length(x["source"]) % 4)))

@@ -180,6 +180,16 @@ def test_connectivity_and_sampling(spark):
         subgraphs.check_sizes(3, 2, 9)
 
 
+def test_instances_are_all_sets_or_a_sample(spark):
+    _, rels, e, r = graph(spark, seed=2)
+    pairs, near = paths.undirected(r), neighbours(rels)
+    every = {tuple(x.nodes) for x in subgraphs.connected_sets(pairs, e, 2, 3).collect()}
+    # 9 nodes have 36 + 84 combinations
+    assert {tuple(x.nodes) for x in structures.instances(pairs, e, 2, 3, bound=120).collect()} == every
+    drawn = [tuple(x.nodes) for x in structures.instances(pairs, e, 2, 3, bound=119, count=5).collect()]
+    assert len(drawn) == len(set(drawn)) == 5 and set(drawn) < every and all(connected(x, near) for x in drawn)
+
+
 def test_self_loops_and_parallel_edges_count(spark):
     e = spark.createDataFrame([("a", "T", ""), ("b", "T", "")], "name string, type string, description string")
     r = spark.createDataFrame([("1", "a", "a", "", 1.0), ("2", "a", "b", "", 1.0), ("3", "a", "b", "x", 1.0)], "id string, source string, target string, description string, weight double")
