@@ -2,8 +2,9 @@
 
 A text is normalised (spaces become ▁, one is put in front) and cut into units that no piece of the vocabulary can
 cross. Each distinct unit is encoded by an agenda of adjacent symbol pairs: the pair whose merged piece scores best, the
-leftmost of equals, is merged first. New units of an Arrow batch are checked against the sentencepiece library, ids and
-decoded text both; where the library disagrees, its answer is taken, and n_mismatch counts such units of the task so far.
+leftmost of equals, is merged first. Each document's ids are decoded, all of them, from the pieces' bytes. New units of
+an Arrow batch are checked against the sentencepiece library, ids and decoded text both; the library's answer is never
+taken in place of the own one: n_mismatch counts the units of a document on which the two disagree.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 MARK = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ʯ"
 CACHE_UNITS = 250_000
@@ -59,8 +58,13 @@ class PieceCoder:
         self.cuts, self.line, self.signs = not crossing, line, signs
         self._tables()
         self.ids_of: dict[str, str] = {}
-        self.changed: dict[str, str] = {}
-        self.mismatches = 0
+        self.wrong: set[str] = set()
+        # for each id the bytes that it decodes to
+        raw = [bytes([self.bytes[i]]) if i in self.bytes else b"" if i in special else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
+        self.raw = pa.array(raw, pa.binary())
+        # what goes before a unit without a mark, so that the library sees it where it stands in texts
+        self.before = self.line or "a"
+        self.n_before = len(self.library.encode(self.before))
         # the library's text of every piece, after a first one that keeps its mark
         plain = [i for i in range(n) if i not in special and i not in self.bytes]
         lead = self.ids[MARK]
@@ -133,15 +137,10 @@ class PieceCoder:
                     out += [self.byte_ids[b] for b in s.encode()]
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids; the mark in front that encoding puts there goes."""
-        raw = bytearray()
-        for i in ids:
-            if (b := self.bytes.get(i)) is not None:
-                raw.append(b)
-            elif self.pieces[i] in self.ids:
-                raw += self.pieces[i].encode()
-        return raw.decode("utf-8", "replace").replace(MARK, " ")
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids; the space in front that stands for the mark which encoding puts there goes."""
+        texts = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.raw.take(ids.values)), b"")
+        return pc.if_else(pc.starts_with(texts, b" "), pc.binary_replace_slice(texts, 0, 1, b""), texts)
 
     def _priority(self, left: np.ndarray, right: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left << 32 | right
@@ -190,19 +189,17 @@ class PieceCoder:
         symbols = sym[order].tolist()
         return [symbols[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def learn(self, units: list[str]) -> int:
-        """Units encoded, decoded, checked and remembered; the number on which the library disagrees.
+    def learn(self, units: list[str]) -> None:
+        """Units encoded, checked and remembered.
 
         Long units take their agenda from a heap, one unit at a time. The library puts a mark in front of each text:
-        units that begin with one lose it for the check; others (line feeds, signs after a letter) are few and go
-        unchecked. Decoded texts are put together from the pieces' texts, which are checked when the model is loaded;
-        where bytes are among them, the library decodes them as well.
+        units that begin with one lose it for the check, the others go behind a text whose ids are known and at whose
+        end there is a cut. The library's text of the ids must be the unit's.
         """
-        written, read, spelled, pieces = self.written, self.read, self.spelled, len(self.pieces)
+        written, spelled, pieces = self.written, self.spelled, len(self.pieces)
         marked = [u for u in units if u[0] == MARK and u != MARK]
-        other = [u for u in units if u[0] != MARK or u == MARK]
-        wrong, odd = 0, []
-        for group in (marked, other):
+        other = [u for u in units if u[0] != MARK]
+        for group in (marked, other, [u for u in units if u == MARK]):
             short = [u for u in group if len(u) <= SHORT] if any(len(u) > SHORT for u in group) else group
             coded = self.encode_units(short)
             if len(self.written) > pieces:
@@ -210,24 +207,19 @@ class PieceCoder:
             if short is not group:
                 found = dict(zip(short, coded, strict=True))
                 coded = [found[u] if len(u) <= SHORT else self.encode_unit(u) for u in group]
-            if group is marked and group:
-                theirs = self.library.encode([u[1:].replace(MARK, " ") for u in group], num_threads=1)
-                if theirs != coded:
-                    wrong += sum(x != y for x, y in zip(theirs, coded, strict=True))
-                    coded = theirs
+            if group is marked:
+                theirs = self.library.encode([u[1:].replace(MARK, " ") for u in group], num_threads=1) if group else []
+            elif group is other:
+                theirs = [x[self.n_before :] for x in self.library.encode([self.before + u.replace(MARK, " ") for u in group], num_threads=1)] if group else []
+            else:
+                theirs = [[self.ids[MARK]]] * len(group)
+            if theirs != coded:
+                self.wrong.update(u for u, x, y in zip(group, coded, theirs, strict=True) if x != y)
             self.ids_of.update(zip(group, [",".join([written[i] for i in ids]) for ids in coded], strict=True))
-            # all texts at once, then one by one only if they differ
-            if "".join([read[i] for ids in coded for i in ids]) != "".join(group).replace(MARK, " "):
-                odd += [(u, ids) for u, ids in zip(group, coded, strict=True) if "".join([read[i] for i in ids]) != u.replace(MARK, " ")]
-        for u, ids in odd:
-            text = self.decode(ids)
-            theirs = self.library.decode(ids, num_threads=1)
-            if theirs != (text[1:] if u[0] == MARK else text):
-                wrong += 1
-                text = (" " if u[0] == MARK else "") + theirs
-            if text != u.replace(MARK, " "):
-                self.changed[u] = text
-        return wrong
+            if group is not marked or not group:
+                continue
+            texts = self.library.decode(coded, num_threads=1)
+            self.wrong.update(u for u, t in zip(group, texts, strict=True) if " " + t != u.replace(MARK, " "))
 
     def _cut(self, texts: pa.Array) -> pa.ListArray:
         """The units of each text with spaces for marks; empty strings may stand between them."""
@@ -245,43 +237,39 @@ class PieceCoder:
             t = pc.replace_substring_regex(t, f"([{LETTERS}])([{self.signs}])", rf"\1{CUT}\2")
         return pc.split_pattern(t, CUT)
 
-    def code(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
-        """(number of ids, ids joined by commas, decoded text) of each text, by the distinct units of all.
-
-        Nearly all units decode to themselves, which learn() has checked; the others are in `changed`.
-        """
+    def code(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+        """(number of ids, ids joined by commas, text that these ids decode to, number of mismatches) of each text, by the distinct units of all."""
         texts = texts.cast(pa.string()).fill_null("")
-        odd = pc.match_substring(texts, CUT)
-        if pc.any(odd).as_py() and self.cuts:  # texts that hold the separator go unit by unit
-            one = [self._code_one(t.as_py()) if o.as_py() else None for t, o in zip(texts, odd, strict=True)]
-            rest = self.code(pc.if_else(odd, "", texts))
-            pick = lambda k, kind: pa.array([r.as_py() if x is None else x[k] for x, r in zip(one, rest[k], strict=True)], kind)
-            return pick(0, pa.int64()), pick(1, pa.string()), pick(2, pa.string())
-        cut = self._cut(texts)
+        if self.cuts and pc.any(pc.match_substring(texts, CUT)).as_py():  # texts that hold the separator are cut one by one
+            cut = pa.array([self.units.findall(self.normalise(t)) for t in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            cut = self._cut(texts)
         coded = cut.flatten().dictionary_encode()
         units = pc.replace_substring(coded.dictionary, " ", MARK).to_pylist()
         if len(self.ids_of) > CACHE_UNITS:
             self.ids_of.clear()
-            self.changed.clear()
         if new := [u for u in units if u and u not in self.ids_of]:
-            self.mismatches += self.learn(new)
+            self.learn(new)
         ids = pa.array([self.ids_of[u] if u else None for u in units], pa.string()).take(coded.indices)
         there = pc.is_valid(ids).to_numpy(zero_copy_only=False)
-        ends = np.concatenate([[0], np.cumsum(there)])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        places = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        ends = np.concatenate([[0], np.cumsum(there)])[places]
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.drop_null()), ",")
-        counts = pc.if_else(pc.equal(joined, ""), 0, pc.add(pc.count_substring(joined, ","), 1)).cast(pa.int64())
-        decoded = pc.replace_substring(texts, MARK, " ")
-        if self.changed:
-            # keys are spelled with marks, lists with spaces
-            lost = self.changed
-            decoded = pa.array([d if lost.keys().isdisjoint(m := [u.replace(" ", MARK) for u in us]) else "".join([lost.get(u, u.replace(MARK, " ")) for u in m])[1:] for d, us in zip(decoded.to_pylist(), cut.to_pylist(), strict=True)], pa.string())
-        return counts, joined, decoded
+        counts, listed = _numbers(joined)
+        wrong = np.zeros(len(texts), np.int64)
+        if self.wrong:
+            bad = np.array([u in self.wrong for u in units], np.int64)[coded.indices.to_numpy()]
+            wrong = np.diff(np.concatenate([[0], np.cumsum(bad)])[places])
+        return counts, joined, self.decode(listed), pa.array(wrong, pa.int64())
 
-    def _code_one(self, text: str) -> tuple[int, str, str]:
-        units = self.units.findall(self.normalise(text))
-        self.mismatches += self.learn([u for u in set(units) if u not in self.ids_of])
-        joined = ",".join([self.ids_of[u] for u in units])
-        return joined.count(",") + 1 if joined else 0, joined, "".join([self.changed.get(u, u.replace(MARK, " ")) for u in units])[1:]
+
+def _numbers(joined: pa.Array) -> tuple[pa.Array, pa.ListArray]:
+    """Lists of ids out of their texts, and their lengths."""
+    parts = pc.split_pattern(joined, ",")
+    full = pc.not_equal(joined, "").to_numpy(zero_copy_only=False)
+    counts = np.where(full, pc.list_value_length(parts).to_numpy(zero_copy_only=False), 0)
+    values = pc.cast(parts.flatten().filter(pc.not_equal(parts.flatten(), "")), pa.int32())
+    return pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
 
 
 @lru_cache(maxsize=2)
@@ -292,30 +280,32 @@ def coder(path: str) -> PieceCoder:
 def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_mismatch of every row's whole text; null texts are empty.
 
-    model is a file that every executor can open at that path.
+    Repeated rows and rows without an id are rows of their own; an empty table has no rows. n_mismatch is the number of
+    the text's units on which the sentencepiece library disagrees with the agenda or with the decoded text: 0, or the row
+    is not to be trusted. model is a file that every executor can open at that path.
     """
 
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model)
         for batch in batches:
             for at in range(0, batch.num_rows, PART_ROWS):
                 part = batch.slice(at, PART_ROWS)
-                n, ids, texts = own.code(part.column(1))
+                n, ids, texts, wrong = own.code(part.column(1))
                 digests = [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in col], pa.string()) for col in (ids, texts)]
-                yield pa.RecordBatch.from_arrays([part.column(0), n, *digests, pa.array([own.mismatches] * len(n), pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_mismatch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), n, *digests, wrong], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_mismatch"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def token_ids(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) of every row's whole text, and nothing else."""
+    """(doc_id, ids, decoded) of every row's whole text: its ids and the text that they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model)
         for batch in batches:
-            ids = [[int(x) for x in i.split(",") if x] for i in own.code(batch.column(1))[1].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for at in range(0, batch.num_rows, PART_ROWS):
+                part = batch.slice(at, PART_ROWS)
+                _, joined, texts, _ = own.code(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), _numbers(joined)[1], texts.cast(pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
