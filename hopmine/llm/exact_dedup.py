@@ -1,108 +1,148 @@
 """Exact duplicates by content sort.
 
-Texts are equal when they are identical after deleting every character of [\\x20\\x09-\\x0D]. Rows are range-partitioned
-by sampled splitters of (content key, id) and sorted outside memory where needed, so that equal texts are adjacent, and
-each row's whole normalised text is compared with its neighbour's. The content key is the text's first characters and
-the SHA-256 of all of it, which keeps splitters short; the id in the splitters lets a group of copies with a third of
-all rows span many ranges. A group that spans ranges is joined by its key (its digest) from counts per (range, key).
+Texts are equal when they are identical after deleting every character of [\\x20\\x09-\\x0D]. Sampled splitters of the
+normalised text deal the rows to ranges, each range is sorted by its whole normalised texts (outside memory where
+needed), so that equal texts are adjacent, and each text is compared in full with its neighbour's. Splitters are short:
+the first characters of a text and, for texts that begin alike, the digest of all of it. All rows of a text go to one range,
+but for texts that so many rows share that several splitters fall on them: those are cut by id as well, so a group with
+a third of all rows spans many ranges, and what is kept of them is found by grouping on the whole normalised text.
 """
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_LONG, code_points, range_of, shuffle_partitions, small_batches, splitters
+from .common import MAX_LONG, code_points, range_of, shuffle_partitions
 
 SPACE = r"[\x20\x09-\x0D]+"
-PREFIX = 16
-_DROP = b" \t\n\x0b\x0c\r"
+PREFIX = 64
+PER_RANGE = 32
+RANGE_BYTES = 64 << 20
+PART_ROWS = 500
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
-    """Rows by key; with whole, all columns of docs travel as `row`, else only the text."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if whole else text.alias("text"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_LONG)).alias("id"),
-        code_points(text).alias("n_chars"),
-        F.regexp_replace(text, SPACE, "").alias("norm"),
-    )
-    return rows.withColumn("key", F.concat(F.substring("norm", 1, PREFIX), F.lit("\u0001"), F.sha2("norm", 256))).drop("norm")
+def _text(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def normalised(text: Column) -> Column:
+    return F.regexp_replace(text, SPACE, "")
+
+
+def _key(norm: Column) -> Column:
+    return F.concat(F.substring(norm, 1, PREFIX), F.lit("\u0001"), F.sha2(norm, 256))
+
+
+def _id(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(MAX_LONG))
+
+
+def _cuts(few: DataFrame, ranges: int | None) -> tuple[list[tuple[str, int]], list[str]]:
+    """Cut points (key, id) out of a sample of (id, text), and the digests of texts that several of them fall on.
+
+    There are as many ranges as shuffle partitions, more if they would hold over RANGE_BYTES of text. The sample holds
+    about PER_RANGE rows a range; it is drawn before texts are normalised.
+    """
+    total, n = few.count(), ranges or shuffle_partitions(few.sparkSession)
+    if not total:
+        return [], []
+
+    def sample(n: int) -> list:
+        share = 1.2 * n * PER_RANGE / total
+        rows = few.sample(fraction=share, seed=11) if share < 1 else few
+        return rows.select(_key(normalised(_text("text"))).alias("k"), _id("id").alias("t"), F.octet_length(_text("text")).alias("b")).collect()
+
+    found = sample(n)
+    if ranges is None and found:
+        wanted = math.ceil(total * sum(r.b for r in found) / len(found) / RANGE_BYTES)
+        if wanted > n:
+            n = wanted
+            found = sample(n)
+    order = sorted((r.k, r.t) for r in found)
+    picks = sorted({order[len(order) * i // n] for i in range(1, n)}) if order else []
+    keys = [k for k, _ in picks]
+    hot = {a for a, b in zip(keys, keys[1:], strict=False) if a == b}
+    # a cut before all rows of its text, unless it is one of several on that text
+    cuts = sorted({(k, t if i and keys[i - 1] == k else -MAX_LONG) for i, (k, t) in enumerate(picks)})
+    return cuts, sorted(k.rpartition("\u0001")[2] for k in hot)
 
 
 def _sorted(docs: DataFrame, id_col: str, text_col: str, ranges: int | None, whole: bool = False) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
-    """Rows in ranges, sorted by (key, code points descending, id); and of the digests that more than one range may hold, the kept id and the group's size."""
-    small_batches(docs.sparkSession)
-    ranges = ranges or shuffle_partitions(docs.sparkSession)
+    """(id, norm, sha) in ranges, sorted by (norm, code points descending, id), with whole all columns as `row` too; and for the digests of texts in several ranges the kept id and the group's size."""
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    norm = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE, "")
-    key = F.concat(F.substring(norm, 1, PREFIX), F.lit("\u0001"), F.sha2(norm, 256))
-    # inside a key the order of ids alone cuts ranges, so a group's rows are dealt evenly
-    cuts = splitters(few, key, F.coalesce(F.col("id").cast("long"), F.lit(MAX_LONG)), ranges)
-    rows = _keyed(docs, id_col, text_col, whole).withColumn("range", range_of(F.col("key"), F.col("id"), cuts))
-    # only a key that a splitter carries can lie in two ranges, so this table has fewer than `ranges` rows
-    on_cut = sorted({k for k, _ in cuts})
+    cuts, hot = _cuts(few, ranges)
     spanning: dict[str, tuple[int, int]] = {}
-    if on_cut:
-        # keyed by digest alone: it is the key's last part
-        digests = [k.rpartition("\u0001")[2] for k in on_cut]
-        own = few.select(F.sha2(norm, 256).alias("sha"), F.coalesce(F.col("id").cast("long"), F.lit(MAX_LONG)).alias("id"), code_points(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("n"))
-        for r in own.filter(F.col("sha").isin(digests)).groupBy("sha").agg(F.min(F.struct(-F.col("n"), "id"))["id"].alias("keep"), F.count("*").alias("size")).collect():
-            spanning[r.sha] = (r.keep, r.size)
-    dealt = rows.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("key", F.col("n_chars").desc(), "id")
-    text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")) if whole else F.col("text")
-    return dealt.select("id", text.alias("text"), F.substring_index("key", "\u0001", -1).alias("sha"), *["row"] * whole), spanning
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(batch, position, id, sha, whether its text differs from the row's before) of each row."""
-    last_text, last_sha = None, None
+    if hot:
+        own = few.select(_id("id").alias("id"), normalised(_text("text")).alias("norm"), code_points(_text("text")).alias("n")).withColumn("sha", F.sha2("norm", 256))
+        # whole texts are grouped; the driver sees a digest and two numbers of fewer texts than ranges
+        groups = own.filter(F.col("sha").isin(hot)).groupBy("norm", "sha").agg(F.min(F.struct(-F.col("n"), "id"))["id"].alias("keep"), F.count("*").alias("size"))
+        spanning = {r.sha: (r.keep, r.size) for r in groups.select("sha", "keep", "size").collect()}
+    rows = docs.select(
+        *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * whole, _id(id_col).alias("id"), code_points(_text(text_col)).alias("n_chars"), normalised(_text(text_col)).alias("norm")
+    ).withColumn("sha", F.sha2("norm", 256))
+    key = F.concat(F.substring("norm", 1, PREFIX), F.lit("\u0001"), "sha")
+    dealt = rows.withColumn("range", range_of(key, F.col("id"), cuts)).drop(*["norm"] * whole).repartitionById(len(cuts) + 1, F.col("range"))
+    if whole:
+        dealt = dealt.withColumn("norm", normalised(F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))))
+    return dealt.sortWithinPartitions("norm", F.col("n_chars").desc(), "id").select("id", "norm", "sha", *["row"] * whole), spanning
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int], list[str], list[bool]]]:
+    """(rows, ids, digests, whether a row's text differs from the one before) of some rows at a time."""
+    last: str | None = None
     for batch in batches:
-        texts, shas, ids = batch.column("text").to_pylist(), batch.column("sha").to_pylist(), batch.column("id").to_pylist()
-        for i, (text, sha, row_id) in enumerate(zip(texts, shas, ids, strict=True)):
-            # neighbours are compared in full; equal digests only save the comparison of texts that differ
-            norm = text.encode().translate(None, _DROP)
-            new = sha != last_sha or norm != last_text
-            yield batch, i, row_id, sha, new
-            last_text, last_sha = norm, sha
+        for at in range(0, batch.num_rows, PART_ROWS):
+            part = batch.slice(at, PART_ROWS)
+            texts = part.column(1).to_pylist()
+            new = [a != b for a, b in zip(texts, [last, *texts[:-1]], strict=True)]
+            last = texts[-1]
+            yield part, part.column(0).to_pylist(), part.column(2).to_pylist(), new
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row.
 
     Of equal texts the row with the most code points stays, then that with the smallest id; null texts are empty, a null
-    id counts as the largest. Of rows that repeat the kept row's id, text and all, one stays.
+    id counts as the largest. Of rows that repeat the kept row's id, text and all, one stays. An empty table has no rows.
     """
     dealt, spanning = _sorted(docs, id_col, text_col, ranges)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        starts: list[int] = []
-        shas: list[str] = []
+        # eight bytes a row until its group ends
+        ids, starts, shas = array("q"), array("q"), []
 
         def flush() -> pa.RecordBatch:
-            keep, size, kept = [], [], []
-            for a, b in zip(starts, [*starts[1:], len(ids)], strict=True):
-                k, n = spanning.get(shas[a], (ids[a], b - a))
-                keep += [k] * (b - a)
-                size += [n] * (b - a)
-                # the kept row leads its group, so it also leads the run of the range that holds it
-                kept += [ids[a] == k, *[False] * (b - a - 1)]
-            real = lambda xs: pa.array([None if x == MAX_LONG else x for x in xs], pa.int64())
-            return pa.RecordBatch.from_pydict({"doc_id": real(ids), "keep_id": real(keep), "group_size": pa.array(size, pa.int64()), "kept": pa.array(kept, pa.bool_()), "text_sha256": pa.array(shas, pa.string())})
-
-        for _, _, row_id, sha, new in _runs(batches):
-            if new:
-                if len(ids) >= 20_000:
-                    yield flush()
-                    ids, starts, shas = [], [], []
-                starts.append(len(ids))
-            ids.append(row_id)
-            shas.append(sha)
+            first = np.frombuffer(starts, np.int64).copy()
+            own = np.frombuffer(ids, np.int64).copy()
+            sizes = np.diff(np.append(first, len(own)))
+            keep = own[first]
+            n = sizes.copy()
+            for k, sha in enumerate(shas):
+                if sha in spanning:
+                    keep[k], n[k] = spanning[sha]
+            # the kept row leads its group, so it also leads the run of the range that holds it
+            kept = np.zeros(len(own), bool)
+            kept[first] = own[first] == keep
+            real = lambda x: pa.array(x, pa.int64(), mask=x == MAX_LONG)
+            digests = pa.array(shas, pa.string()).take(pa.array(np.repeat(np.arange(len(shas)), sizes)))
+            return pa.RecordBatch.from_arrays([real(own), real(np.repeat(keep, sizes)), pa.array(np.repeat(n, sizes)), pa.array(kept), digests], ["doc_id", "keep_id", "group_size", "kept", "text_sha256"])
+
+        for _, row_ids, row_shas, new in _runs(batches):
+            for row_id, sha, begins in zip(row_ids, row_shas, new, strict=True):
+                if begins:
+                    if len(ids) >= 20_000:
+                        yield flush()
+                        ids, starts, shas = array("q"), array("q"), []
+                    starts.append(len(ids))
+                    shas.append(sha)
+                ids.append(row_id)
         if ids:
             yield flush()
 
@@ -110,21 +150,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
-    """The rows of docs that exact_duplicates keeps, with all their columns."""
+    """The rows of docs that exact_duplicates keeps, with all their columns, whatever their names."""
     dealt, spanning = _sorted(docs, id_col, text_col, ranges, whole=True)
     kind = dealt.select("row").schema
 
     def first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch_now, take = None, []
-        for batch, i, row_id, sha, new in _runs(batches):
-            if batch is not batch_now:
-                if take:
-                    yield batch_now.select(["row"]).take(pa.array(take))
-                batch_now, take = batch, []
-            if new and spanning.get(sha, (row_id,))[0] == row_id:
-                take.append(i)
-        if take:
-            yield batch_now.select(["row"]).take(pa.array(take))
+        for part, ids, shas, new in _runs(batches):
+            take = [i for i, begins in enumerate(new) if begins and spanning.get(shas[i], (ids[i],))[0] == ids[i]]
+            if take:
+                yield part.select(["row"]).take(pa.array(take))
 
     return dealt.mapInArrow(first_rows, kind).select("row.*")
 
