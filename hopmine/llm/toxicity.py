@@ -1,9 +1,10 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences and is toxic if one of them is. A sentence's probability is sigmoid(bias + sum of its
-words' weights), a document's the noisy-or of its sentences', and the weights are fitted to document labels alone. When
-scoring, a sentence counts by what its words add to sigmoid(bias), so that a long document of clean sentences scores 0. A word's weight
-is the sum over its hashed features (the word, its beginnings and its end), so unseen forms of a known stem score too.
+words' weights) less what a sentence without evidence has, a document's is the noisy-or of its sentences', and the weights
+are fitted to document labels alone, in the same form that scores: 1 - product of (1 - sigmoid(z)) / (1 - sigmoid(bias)). So
+a long document of clean sentences scores 0. A word's weight is the sum over its hashed features (the word, its
+beginnings and its end), so unseen forms of a known stem score too.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 BUCKETS = 1 << 18
+BIAS = -5.0
+PART_ROWS = 500
 PREFIXES = (3, 4, 5, 6)
 SUFFIX = 4
 SENTENCE_END = re.compile(r"[.!?\n]+")
@@ -33,6 +33,7 @@ MAX_TRAIN_ROWS = 3000
 MAX_TRAIN_CHARS = 20_000
 EPOCHS = 100
 MIN_DOCS = 6
+STEEPEST = 50.0
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, worst_sentence int, worst_score double"
 
 
@@ -58,8 +59,14 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, place by place: a letter whose lower case is longer stays as it is."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join([x if len(x := c.lower()) == 1 else c for c in text])
+
+
 def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.2, decay: float = 5e-5) -> tuple[np.ndarray, float]:
-    """Feature weights and bias, by full-batch Adam on the document log loss with a little L1.
+    """Feature weights and bias, by full-batch Adam on the document log loss of the noisy-or with a little L1.
 
     Features that few training documents have tell documents apart, not classes, and get no weight. Weights are not
     negative: words are evidence for toxicity or none, so a long clean context can't hide an offending word.
@@ -67,17 +74,16 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
     vocabulary: dict[str, int] = {}
     sent_of, word_of, doc_of = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
-        low = text.lower()
+        low = lowered(text)
         for a, b in sentences(low):
             words = set(WORD.findall(low, a, b))
             word_of.extend([vocabulary.setdefault(w, len(vocabulary)) for w in words])
             sent_of.extend([len(doc_of)] * len(words))
             if words:
                 doc_of.append(d)
-    weights, bias = np.zeros(BUCKETS), -5.0
+    weights, bias = np.zeros(BUCKETS), BIAS
     if not doc_of or len(set(labels.tolist())) < 2:
-        share = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-4, 0.5))
-        return weights.astype(np.float32), float(np.log(share / (1 - share)))
+        return weights.astype(np.float32), bias
     sent_of, word_of, doc_of = np.frombuffer(sent_of, np.int32), np.frombuffer(word_of, np.int32), np.frombuffer(doc_of, np.int32)
     feature, sizes = array("i"), array("i")
     for w in vocabulary:
@@ -99,26 +105,23 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
     common = have >= MIN_DOCS
     feature_word, feature = feature_word[common[feature]], feature[common[feature]]
     n_docs, n_sents = len(texts), len(doc_of)
-    first, second = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    first, second = np.zeros(BUCKETS), np.zeros(BUCKETS)
     balance = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-3), 0.5 / max(1 - labels.mean(), 1e-3))
     for step in range(1, epochs + 1):
         word_weight = np.bincount(feature_word, weights[feature], n_words)
-        z = bias + np.bincount(sent_of, word_weight[word_of], n_sents)
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        # log of the product of (1 - p) over a document's sentences
-        clean = np.bincount(doc_of, -np.logaddexp(0, np.clip(z, -30, 30)), n_docs)
+        z = np.clip(bias + np.bincount(sent_of, word_weight[word_of], n_sents), -30, 30)
+        p = 1 / (1 + np.exp(-z))
+        # log of the product of the sentences' (1 - p) / (1 - sigmoid(bias))
+        clean = np.minimum(0.0, np.bincount(doc_of, np.logaddexp(0, bias) - np.logaddexp(0, z), n_docs))
         toxic = -np.expm1(clean)
-        # of the loss by z: p for clean documents, -p (1 - toxic) / toxic for toxic ones
-        grad_z = p * (balance * np.where(labels == 1, -np.exp(clean) / np.maximum(toxic, 1e-9), 1.0))[doc_of]
+        # of the loss by z: p for clean documents, -p (1 - toxic) / toxic for toxic ones, bounded where there is no evidence yet
+        grad_z = p * (balance * np.where(labels == 1, -np.minimum(np.exp(clean) / np.maximum(toxic, 1e-9), STEEPEST), 1.0))[doc_of]
         grad_word = np.bincount(word_of, grad_z[sent_of], n_words)
-        grad = np.append(np.bincount(feature, grad_word[feature_word], BUCKETS), grad_z.sum()) / n_docs
-        grad[:-1] += decay
+        grad = np.bincount(feature, grad_word[feature_word], BUCKETS) / n_docs + decay
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad**2
-        move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-7)
-        weights = np.maximum(0.0, weights - move[:-1])
-        bias -= move[-1]
-    return weights.astype(np.float32), float(bias)
+        weights = np.maximum(0.0, weights - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-7))
+    return weights.astype(np.float32), bias
 
 
 class Scorer:
@@ -136,8 +139,8 @@ class Scorer:
         return w
 
     def sentence_scores(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, score) of each sentence of the lower-cased text."""
-        low, seen, out = text.lower(), self.seen, []
+        """(start, end, score) of each sentence with words, in code points of the text."""
+        low, seen, out = lowered(text), self.seen, []
         for a, b in sentences(low):
             words = set(WORD.findall(low, a, b))
             if not words:
@@ -158,19 +161,22 @@ class Scorer:
         return max(0.0, float(-np.expm1(np.log1p(-np.minimum(s, 1 - 1e-12)).sum()))), int(s.argmax()), float(s.max())
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    """Weights and bias from at most about max_rows labelled rows outside the held-out third.
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAIN_ROWS, max_chars: int = MAX_TRAIN_CHARS
+) -> tuple[np.ndarray, float]:
+    """Weights and bias from at most about max_rows labelled rows outside the held-out third, of texts of up to max_chars code points.
 
-    The sample is bounded: rows are chosen by a hash of their id, of texts up to MAX_TRAIN_CHARS code points. Rows with a
-    null id, a null or other label than 0 and 1, or a null text aren't learned from; an id labelled both ways counts twice.
+    These two parameters bound the sample: rows are chosen by a hash of their id. Rows with a null id, a null or other
+    label than 0 and 1, or a null text aren't learned from; of several texts under one id one is, and an id labelled both
+    ways counts twice. Without rows of both labels all weights are 0.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").filter(~held_out(F.col("id"))).distinct()
     n = known.count()
     share = min(1.0, max_rows / n) if n else 0.0
     known = known.filter(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 50)) < F.lit(round(share * (1 << 50))))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(f"text is not null and char_length(text) <= {MAX_TRAIN_CHARS}")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.char_length("text") <= max_chars)
     # known has at most about max_rows rows of two numbers
-    rows = texts.join(F.broadcast(known), "id").select("id", "label", "text")
+    rows = texts.join(F.broadcast(known), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = [f for f in frames if len(f)]
@@ -185,26 +191,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return np.frombuffer(bytes(model[0].weights), np.float32), model[0].bias
 
 
-@lru_cache(maxsize=1)
-def _scorer(raw: bytes, bias: float) -> Scorer:
-    return Scorer(np.frombuffer(raw, np.float32), bias)
+def _scored(batches: Iterator[pa.RecordBatch], text: int, raw: bytes, bias: float) -> Iterator[tuple[pa.RecordBatch, Scorer, list[str]]]:
+    """(rows, scorer, texts), some rows at a time; the words that a scorer remembers go with the task."""
+    own = Scorer(np.frombuffer(raw, np.float32), bias)
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            part = batch.slice(at, PART_ROWS)
+            yield part, own, [t or "" for t in part.column(text).to_pylist()]
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, worst_sentence, worst_score for every row's whole text.
 
-    A text without words (null, empty) scores 0 and has no worst sentence. The input of a score is the text alone.
+    A text without words (null, empty) scores 0 and has no worst sentence. The input of a score is the text alone, so
+    rows with one text have one score. An empty table has no rows.
     """
-    small_batches(docs.sparkSession)
     raw, bias = model[0].tobytes(), model[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _scorer(raw, bias)
-        for batch in batches:
-            got = [own.score(t.as_py() or "") for t in batch.column(2)]
-            score, worst, high = map(list, zip(*got, strict=True)) if got else ([], [], [])
+        for part, own, texts in _scored(batches, 2, raw, bias):
+            score, worst, high = map(list, zip(*[own.score(t) for t in texts], strict=True))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32()), pa.array(worst, pa.int32()), pa.array(high, pa.float64())],
+                [part.column(0), part.column(1), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32()), pa.array(worst, pa.int32()), pa.array(high, pa.float64())],
                 ["doc_id", "held_out", "score", "predicted", "worst_sentence", "worst_score"],
             )
 
@@ -213,14 +221,12 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float =
 
 
 def offending_sentences(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, score, sentence) of every sentence that alone reaches threshold; places in code points of the lower-cased text."""
-    small_batches(docs.sparkSession)
+    """(doc_id, start, end, score, sentence) of every sentence that alone reaches threshold; places in code points of the text."""
     raw, bias = model[0].tobytes(), model[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _scorer(raw, bias)
-        for batch in batches:
-            rows = [(i.as_py(), a, b, s, text[a:b]) for i, t in zip(batch.column(0), batch.column(1), strict=True) for text in [(t.as_py() or "").lower()] for a, b, s in own.sentence_scores(text) if s >= threshold]
+        for part, own, texts in _scored(batches, 1, raw, bias):
+            rows = [(i, a, b, s, t[a:b]) for i, t in zip(part.column(0).to_pylist(), texts, strict=True) for a, b, s in own.sentence_scores(t) if s >= threshold]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.string()), strict=True)], ["doc_id", "start", "end", "score", "sentence"])
 
@@ -228,15 +234,13 @@ def offending_sentences(docs: DataFrame, model: tuple[np.ndarray, float], thresh
 
 
 def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of docs that score below threshold, with all their columns."""
-    small_batches(docs.sparkSession)
+    """The rows of docs that score below threshold, with all their columns; texts without words stay, and so do all rows of a text that stays."""
     raw, bias = model[0].tobytes(), model[1]
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _scorer(raw, bias)
-        for batch in batches:
-            yield batch.filter(pa.array([own.score(t.as_py() or "")[0] < threshold for t in batch.column(place)], pa.bool_()))
+        for part, own, texts in _scored(batches, place, raw, bias):
+            yield part.filter(pa.array([own.score(t)[0] < threshold for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
