@@ -3,7 +3,8 @@
 Rows get a hash key that is as good as random. Within a source, the leading hex digits of the key cut the key space into
 equal ranges; word counts are summed per (source, range), a running sum over the ranges gives each range its offset, and
 a running sum inside a range gives each row its own. There are about sqrt(rows) ranges of sqrt(rows) rows, so neither
-running sum is long, and a source that holds a third of all rows is dealt over all tasks.
+running sum is long, and a source that holds a third of all rows is dealt over all tasks. Words are counted once, into a
+narrow table of sizes that all sums are taken from.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import MAX_LONG
+from .common import MAX_LONG, cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEAT = 3
@@ -49,22 +50,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     A source's budget is its target rounded to whole words. With S its size, every row is taken budget div S times in
     full, and the rest of the budget is filled in key order, the last row in part. Null texts and texts without words
-    have size 0 and are never taken. Null ids and repeated rows are rows like others; ties of the key are broken by
-    the id and the size, and equal rows share a place in the order without changing any sum.
+    have size 0 and are never taken. A null source is a source. Repeated rows are rows like others. Rows without an id
+    get their key from their text; ties of the key are broken by the id, the size and a hash of the text, and rows that
+    are equal in all of these are exchangeable. An empty table has no rows.
     """
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_of(F.col(text_col).cast("string")).alias("size"), key.alias("key"), *[F.struct(*[F.col(c) for c in carry]).alias("carried")] * bool(carry)
-    )
-    n = docs.count()
+    text = F.col(f"`{text_col}`").cast("string")
+    name = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
+    given = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("tie").cast("string"))))
+
+    def sized(*more: Column) -> DataFrame:
+        rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), words_of(text).alias("size"), F.xxhash64(text).alias("tie"), *more)
+        return rows.withColumn("key", F.md5(given)).withColumn("name", name)
+
+    narrow = cut(sized())
+    n = narrow.count()
     digits = max(1, round(math.log(max(2, n), 16) / 2))
-    rows = rows.withColumn("range", F.substring("key", 1, digits)).withColumn("name", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")))
-    ranges = rows.groupBy("name", "source", "range").agg(F.sum("size").alias("range_size"))
+    rows = (sized(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")) if carry else narrow).withColumn("range", F.substring("key", 1, digits))
+    ranges = narrow.withColumn("range", F.substring("key", 1, digits)).groupBy("name", "source", "range").agg(F.sum("size").alias("range_size"))
     totals = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
-    targets = source_targets(totals, weights).withColumn("name", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))).drop("source")
+    targets = source_targets(totals, weights).withColumn("name", name).drop("source")
     order = W.partitionBy("name").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     placed = ranges.drop("source").withColumn("offset", F.coalesce(F.sum("range_size").over(order), F.lit(0))).join(targets, "name").drop("range_size")
-    inside = W.partitionBy("name", "range").orderBy("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)), "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("name", "range").orderBy("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)), "size", "tie").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(placed, ["name", "range"])
     budget = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -77,7 +84,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them: a row of which taken words are taken stays ceil(taken / size) times.
 
-    Rows of which nothing is taken go. All columns of docs stay, whatever their names.
+    Rows of which nothing is taken go, so texts without words do. All columns of docs stay, whatever their names, and a
+    repeated row is taken for itself. An empty table stays empty.
     """
     mixed = mix(docs, carry=tuple(docs.columns), **options).filter("taken > 0")
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
