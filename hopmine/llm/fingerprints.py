@@ -133,22 +133,22 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many of the next row's text in
     ascending id (after the last: the first row's). Null texts are empty; null ids come last; rows that share an id
-    follow each other in text order. Rows go once through one shuffle, into ranges of ids by sampled splitters; only each
-    range's first row is sent to the range before it as well.
+    follow each other in the order of a hash of their text, so repeated rows are neighbours. An empty table has no rows.
+    Rows go once through one shuffle, into ranges of (id, hash) by sampled splitters; only each range's first row is
+    sent to the range before it as well.
     """
     ranges = ranges or shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_LONG)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    order = F.lpad(F.hex(F.col("id").bitwiseXOR(F.lit(-MAX_LONG - 1))), 16, "0")
-    cuts = splitters(rows.select("id"), order, F.lit(0).cast("long"), ranges)
-    rows = rows.withColumn("range", range_of(order, F.lit(0).cast("long"), cuts))
-    firsts = sorted((r.range, r.id) for r in rows.select("range", "id").groupBy("range").agg(F.min("id").alias("id")).collect())
-    # a row a range: the first id of each, and the range before it (of the first range: the last)
-    before = [(low, firsts[i - 1][0]) for i, (_, low) in enumerate(firsts)]
-    heads = F.broadcast(rows.sparkSession.createDataFrame(before, "id long, to int"))
-    own = F.struct(F.col("range").cast("int").alias("range"), F.lit(0).alias("tail"))
-    copies = F.when(F.col("to").isNotNull(), F.array(own, F.struct(F.col("to").alias("range"), F.lit(1).alias("tail")))).otherwise(F.array(own))
-    rows = rows.join(heads, "id", "left").select("id", "text", F.explode(copies).alias("at")).select("id", "text", "at.range", "at.tail")
-    dealt = rows.repartitionById(len(cuts) + 1, F.col("range").cast("int")).sortWithinPartitions("tail", "id", "text")
+    order, tie = F.lpad(F.hex(F.col("id").bitwiseXOR(F.lit(-MAX_LONG - 1))), 16, "0"), F.xxhash64("text")
+    cuts = splitters(rows, order, tie, ranges)
+    rows = rows.withColumn("tie", tie).withColumn("range", range_of(order, F.col("tie"), cuts).cast("int"))
+    firsts = sorted((r.range, r.f.id, r.f.tie) for r in rows.groupBy("range").agg(F.min(F.struct("id", "tie")).alias("f")).collect())
+    # a row a range: the first of each, and the range before it (of the first range: the last)
+    before = [(low, t, firsts[i - 1][0]) for i, (_, low, t) in enumerate(firsts)]
+    heads = F.broadcast(rows.sparkSession.createDataFrame(before, "id long, tie long, to int"))
+    ends = rows.join(heads, ["id", "tie"]).groupBy("to").agg(F.min("text").alias("text")).select(F.col("to").alias("range"), F.lit(1).alias("tail"), F.lit(MAX_LONG).alias("id"), F.lit(0).cast("long").alias("tie"), "text")
+    both = rows.select("range", F.lit(0).alias("tail"), "id", "tie", "text").unionByName(ends)
+    dealt = both.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("tail", "id", "tie", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None  # (id, text, sketch) of the row whose next row is in the next chunk
