@@ -1,4 +1,4 @@
-"""Small helpers that the corpus operators share: lineage cuts, range splitters, salted joins, components."""
+"""Small helpers that the corpus operators share: lineage cuts, range splitters, joins with hot keys, components."""
 
 from __future__ import annotations
 
@@ -10,16 +10,10 @@ from pyspark.sql import types as T
 
 from ..sources.shared import cut, shared_folder
 
-__all__ = ["MAX_LONG", "code_points", "components", "cut", "range_of", "salted_join", "shared_folder", "shuffle_partitions", "small_batches", "splitters"]
+__all__ = ["MAX_LONG", "code_points", "components", "cut", "fair_share", "hot_join", "maybe_in", "range_of", "shared_folder", "shuffle_partitions", "splitters"]
 
 MAX_LONG = 2**63 - 1
-
-
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of at most so many rows for the rest of the session: whole texts are long, and both sides hold a batch."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
-        spark.conf.set(name, str(rows))
+BITMAP_WORDS = 1 << 18
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -69,38 +63,66 @@ def range_of(key: Column, tie: Column, cuts: list[tuple[str, int]]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1)), start, step, lambda s: s["lo"])
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "inner", salts: int = 8) -> DataFrame:
-    """big joined with small on key, where one key may hold a large share of big: small has one row a key and is repeated per salt."""
-    big = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def fair_share(spark: SparkSession, total: int) -> int:
+    """The rows that one key may send to one task: an eighth of an even share of total, and no less than 1,000."""
+    return max(1000, total // (8 * shuffle_partitions(spark)))
+
+
+def hot_join(big: DataFrame, small: DataFrame, key: str, n: str, share: int, spread: Column, how: str = "inner") -> DataFrame:
+    """big joined with small on key, where one key may hold a large share of big.
+
+    small has one row a key and the number n of big's rows that have it. Keys of more than share rows are dealt out over
+    n / share salts; as the counts add up to big's rows, such keys are fewer than rows / share, a bounded table that is broadcast.
+    """
+    salts = F.ceil(F.col(n) / share).cast("int")
+    hot = small.filter(F.col(n) > share).select(F.col(key).alias("_hot"), salts.alias("_salts"))
+    big = big.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    big = big.withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"))).drop("_hot", "_salts")
+    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(n) > share, salts - 1).otherwise(0))))
     return big.join(small, [key, "_salt"], how).drop("_salt")
 
 
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str, words: int = BITMAP_WORDS) -> DataFrame:
+    """rows with `_maybe`: false only if the key is none of keys.
+
+    A bitmap of at most `words` 64-bit words is broadcast, whatever the number of keys; rows that it leaves out need no
+    shuffle to learn that. Once it is full, all rows pass it, and the join behind it decides alone.
+    """
+    hashed = F.xxhash64(F.col(key))
+    word, bit = F.pmod(F.shiftrightunsigned(hashed, 6), F.lit(words)), (hashed.bitwiseAND(F.lit(63))).cast("int")
+    one = F.expr("shiftleft(1L, _bit)")
+    table = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(one).alias("_bits"))
+    joined = rows.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(table), "_word", "left")
+    return joined.withColumn("_maybe", F.coalesce(F.expr("(shiftrightunsigned(_bits, _bit) & 1L) = 1L"), F.lit(False))).drop("_word", "_bit", "_bits")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b), root being the smallest node that it reaches.
 
     Alternating large-star and small-star rounds: every round connects a node's neighbours to its smallest one, by a
-    pre-aggregated minimum and a salted join; no adjacency list is ever gathered.
+    pre-aggregated minimum and a join with hot keys dealt out; no adjacency list is ever gathered.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, share: int) -> DataFrame:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         if not large:
             both = both.filter("b < a")
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        near = salted_join(both, low, "a", F.col("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
+        near = hot_join(both, low, "a", "n", share, F.col("b"))
         if large:
             return near.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         own = low.filter("m <> a").select("a", F.col("m").alias("b"))
         return near.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(own).distinct()
 
     now, seen = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()), None
+    size = now.count()
     for _ in range(max_rounds):
-        now = cut(star(star(now, True), False))
+        share = fair_share(now.sparkSession, 2 * size)
+        now = cut(star(star(now, True, share), False, share))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break
-        seen = tuple(state)
+        seen, size = tuple(state), state[0]
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

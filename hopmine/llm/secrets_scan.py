@@ -2,8 +2,8 @@
 
 Three fixed kinds give the base spans. A fourth pattern takes other long mixed tokens as candidates; whether a candidate
 or a base value looks live follows from the whole corpus: its hash is counted over distinct owners and repositories, and
-a value that few owners have is owner-specific, one that many have is a widely copied example. Owner-specific extra
-candidates add spans of kind `owned`; base spans always stay.
+a value that few owners have, in few repositories, is owner-specific; one that many owners have, or that lies in many
+repositories, is a widely copied example. Owner-specific extra candidates add spans of kind `owned`; base spans always stay.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, salted_join
+from .common import cut, fair_share, hot_join
 
 KINDS = ("assign", "access", "hex", "owned")
 # Fixed patterns: letters of the key words in either case, ASCII only.
@@ -25,9 +25,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the same as [0-9a-f]+ of 24 or more: a match always takes a whole run
 OTHER = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 MIN_ASSIGN, MIN_ACCESS, MIN_DIGITS = 6, 20, 4
-MAX_OWNERS = 3
-
-
+MAX_OWNERS, MAX_REPOSITORIES = 3, 6
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(kind, start, end, secret value) of the three fixed kinds, in code points."""
@@ -79,11 +77,15 @@ def ownership(found: DataFrame) -> DataFrame:
     return per_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("rows").alias("rows"))
 
 
-def secret_spans(docs: DataFrame, max_owners: int = MAX_OWNERS, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang")) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example for every row.
+def secret_spans(
+    docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang")
+) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, verdicts, n_live, n_example for every row.
 
-    spans lists kind:start:end of all spans by start, then kind. n_live counts candidates whose value at most max_owners
-    owners have, n_example the others. Null texts are empty; a null owner or repository is one owner or repository.
+    spans lists kind:start:end of all spans by start, then kind; verdicts says live or example for each of them, in that
+    order. A value is live if at most max_owners owners have it, in at most max_repositories repositories. n_live and
+    n_example count all candidates, also the other tokens that make no span. Null texts are empty; a null owner or
+    repository is one owner or repository. Repeated rows are rows of their own; an empty table has no rows.
     """
     null = F.lit("\u0000")
     rows = docs.select(
@@ -94,10 +96,13 @@ def secret_spans(docs: DataFrame, max_owners: int = MAX_OWNERS, id_col: str = "d
     )
     found = cut(candidates(rows, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
     each = found.select("row", "owner", "repository", F.explode("spans").alias("s")).select("row", "owner", "repository", "s.*")
-    known = ownership(each).select("hash", (F.col("owners") <= max_owners).alias("live"))
-    judged = salted_join(each.select("row", "kind", "start", "end", "hash"), known, "hash", F.col("row"))
+    owned = ownership(each)
+    known = owned.select("hash", ((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).alias("live"), "rows")
+    # a document has few candidates: as many as its rows in the table that is counted here
+    share = fair_share(docs.sparkSession, found.agg(F.sum(F.size("spans"))).first()[0] or 0)
+    judged = hot_join(each.select("row", "kind", "start", "end", "hash"), known, "hash", "rows", share, F.struct("row", "start"))
     per_row = judged.groupBy("row").agg(
-        F.sort_array(F.collect_list(F.when((F.col("kind") < 3) | F.col("live"), F.struct("start", "kind", "end")))).alias("all"),
+        F.sort_array(F.collect_list(F.when((F.col("kind") < 3) | F.col("live"), F.struct("start", "kind", "end", "live")))).alias("all"),
         F.count_if("live").alias("n_live"),
         F.count_if(~F.col("live")).alias("n_example"),
     )
@@ -106,11 +111,12 @@ def secret_spans(docs: DataFrame, max_owners: int = MAX_OWNERS, id_col: str = "d
         name = lambda k: F.element_at(F.array(*[F.lit(x) for x in KINDS]), k + 1)
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"], s["end"])), ",")
 
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>")
     out = found.select("row", "doc_id").join(per_row, "row", "left").withColumn("all", F.coalesce("all", none))
     base = F.filter("all", lambda s: s["kind"] < 3)
     number = lambda k: F.size(F.filter("all", lambda s: s["kind"] == k)).cast("long")
     return out.select(
         "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), F.sha2(F.encode(listed(base), "UTF-8"), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"),
+        F.array_join(F.transform("all", lambda s: F.when(s["live"], "live").otherwise("example")), ",").alias("verdicts"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"),
     )

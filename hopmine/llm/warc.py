@@ -1,8 +1,11 @@
 """WARC archives: a writer with revisit records, and a splittable reader.
 
 Writing: one gzip member per record, so a file can be cut anywhere. Reading: a task takes a byte range of a file, looks
-for the gzip magic in it, accepts a candidate only if the bytes decode to a WARC header and the member ends at another
-member or at the end of the file, and owns the records that start inside its range.
+for the gzip magic in it, accepts a candidate only if it is a complete member, by its own checksum, that decodes to a
+WARC header, and owns the records that start inside its range. The records of a file are those that a reader meets who
+starts at its first byte and, after each, goes on at the next candidate; so a member that lies stored inside another one
+is no record, and what follows a member doesn't matter. A first pass over the ranges finds the members that reach over
+a range's end (a few numbers a range), which tell each range where its first record may start.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_LONG, cut, salted_join, shared_folder
+from .common import MAX_LONG, cut, fair_share, hot_join, shared_folder
 
 MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 20
@@ -73,9 +76,9 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         .groupBy("digest")
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
         .filter("n > 1 and first_id is not null")
-        .drop("n")
     )
-    joined = salted_join(rows, shared, "digest", F.coalesce("page_id", F.lit(MAX_LONG)), "left")
+    share = fair_share(pages.sparkSession, pages.count())
+    joined = hot_join(rows, shared, "digest", "n", share, F.struct("page_id", "url", F.monotonically_increasing_id()), "left")
     revisit = F.coalesce(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(False))
     return joined.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("first_id")).alias("refers_to"), revisit.alias("revisit"))
 
@@ -115,7 +118,7 @@ class _Window:
     """Bytes of a file from a position on, read in blocks and dropped once passed."""
 
     def __init__(self, file: pa.NativeFile, size: int, at: int):
-        self.file, self.size, self.base, self.data = file, size, at, b""
+        self.file, self.size, self.base, self.data = file, size, at, bytearray()
 
     def ensure(self, upto: int) -> None:
         while self.base + len(self.data) < min(upto, self.size):
@@ -127,11 +130,12 @@ class _Window:
 
     def drop(self, before: int) -> None:
         if before - self.base > BLOCK:
-            self.data, self.base = self.data[before - self.base :], before
+            del self.data[: before - self.base]
+            self.base = before
 
     def get(self, at: int, n: int) -> bytes:
         self.ensure(at + n)
-        return self.data[at - self.base : at - self.base + n]
+        return bytes(self.data[at - self.base : at - self.base + n])
 
     def find(self, what: bytes, at: int, end: int) -> int:
         """The first place of what that starts in [at, end), or -1."""
@@ -146,11 +150,12 @@ class _Window:
 
 
 def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
-    """The content and end of the gzip member at a place, if it is one of a WARC record."""
-    unpacker, out, pos = zlib.decompressobj(31), [], at
+    """The content and end of the complete gzip member at a place, if it begins as a WARC record."""
+    unpacker, out, pos, begun = zlib.decompressobj(31), [], at, False
     try:
         while not unpacker.eof:
-            piece = window.get(pos, 1 << 16)
+            # a candidate's first bytes tell most others off
+            piece = window.get(pos, 1 << 16 if begun else 1 << 10)
             if not piece:
                 return None
             got = unpacker.decompress(piece)
@@ -158,15 +163,12 @@ def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
                 return None
             if got:
                 out.append(got)
+                begun = True
             pos += len(piece)
     except zlib.error:
         return None
-    end = pos - len(unpacker.unused_data)
-    following = window.get(end, 3)
     content = b"".join(out)
-    if not content.startswith(b"WARC/") or following not in (b"", MAGIC):
-        return None
-    return content, end
+    return (content, pos - len(unpacker.unused_data)) if content.startswith(b"WARC/") else None
 
 
 def _header(content: bytes) -> tuple[dict[str, str], bytes] | None:
@@ -186,16 +188,16 @@ def _header(content: bytes) -> tuple[dict[str, str], bytes] | None:
     return (fields, rest[:n]) if len(rest) >= n and "warc-type" in fields else None
 
 
-def records_in(file: pa.NativeFile, size: int, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, header fields, block) of the records that start in [start, end)."""
+def candidates_in(file: pa.NativeFile, size: int, start: int, end: int, chained: bool) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(offset, end, header fields, block) of the candidates that start in [start, end): all, or if chained those that begin after the one before has ended."""
     window, at = _Window(file, size, start), start
     while at < end:
         if (at := window.find(MAGIC, at, end)) < 0:
             return
         window.drop(at)
         if (found := _member(window, at)) and (parsed := _header(found[0])):
-            yield at, *parsed
-            at = found[1]
+            yield at, found[1], *parsed
+            at = found[1] if chained else at + 1
         else:
             at += 1
 
@@ -205,10 +207,41 @@ def _page(urn: str) -> int | None:
     return int(digits) if digits.lstrip("-").isdigit() else None
 
 
+def _first_starts(splits: DataFrame, folder: str, split_bytes: int) -> DataFrame:
+    """splits (file, length, start) with `first`: where the last record that starts before the range ends, if it is inside the range or behind it.
+
+    Of the candidates that reach over the end of their range, those are records that start at or after the end of the
+    record before; so one running maximum over a file's few such members decides.
+    """
+
+    def reach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, path = open_folder(folder)
+        for frame in frames:
+            rows = []
+            for name, length, start in zip(frame["file"], frame["length"], frame["start"], strict=True):
+                stop = min(int(start) + split_bytes, int(length))
+                if stop == length:
+                    continue
+                with store.open_input_file(f"{path}/{name}") as file:
+                    rows += [(name, a, b) for a, b, _, _ in candidates_in(file, int(length), int(start), stop, False) if b > stop]
+            yield pd.DataFrame(rows, columns=["file", "a", "b"]).astype({"a": "int64", "b": "int64"})
+
+    over = splits.mapInPandas(reach, "file string, a long, b long")
+    # one row a range at most, but for members that lie inside others: (reached so far, those that are records)
+    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("kept"))
+    fold = F.aggregate("all", state, lambda s, x: F.when(x["a"] >= s["at"], F.struct(x["b"].alias("at"), F.array_append(s["kept"], x).alias("kept"))).otherwise(s), lambda s: s["kept"])
+    kept = over.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("all")).select("file", F.explode(fold).alias("k")).select("file", "k.a", "k.b")
+    # the ranges that a kept member reaches: from the one after its own to the one where it ends
+    grid = lambda c: F.floor(c / split_bytes).cast("long") * split_bytes
+    reached = kept.select("file", F.explode(F.sequence(grid(F.col("a")) + split_bytes, grid(F.col("b") - 1), F.lit(split_bytes).cast("long"))).alias("start"), F.col("b").alias("first"))
+    return splits.join(reached, ["file", "start"], "left").withColumn("first", F.greatest("start", F.coalesce("first", F.lit(0))))
+
+
 def read_warc(spark: SparkSession, folder: str, files: DataFrame | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The records of the archives in folder, or of the listed (file, length) in it.
+    """The records of the archives in folder, or of the listed (file, length) in it; the same ones for every split size.
 
     payload is the HTTP body, null for revisit records; payload_digest is computed from the payload where there is one.
+    Damaged members and bytes between members are passed over. An archive without records has no rows.
     """
     if files is None:
         names = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
@@ -216,14 +249,18 @@ def read_warc(spark: SparkSession, folder: str, files: DataFrame | None = None,
     splits = files.filter("length > 0").select(
         "file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start")
     )
+    parts = min(max(1, splits.count()), 100_000)
+    splits = cut(_first_starts(splits.repartition(parts), folder, split_bytes))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, path = open_folder(folder)
         for frame in frames:
-            for name, length, start in zip(frame["file"], frame["length"], frame["start"], strict=True):
-                rows, held = [], 0
+            for name, length, start, first in zip(frame["file"], frame["length"], frame["start"], frame["first"], strict=True):
+                rows, held, stop = [], 0, min(int(start) + split_bytes, int(length))
+                if first >= stop:
+                    continue
                 with store.open_input_file(f"{path}/{name}") as file:
-                    for offset, h, block in records_in(file, int(length), int(start), min(int(start) + split_bytes, int(length))):
+                    for offset, _, h, block in candidates_in(file, int(length), int(first), stop, True):
                         http, _, payload = block.partition(b"\r\n\r\n")
                         revisit = h["warc-type"] == "revisit"
                         size = len(payload)
@@ -241,8 +278,7 @@ def read_warc(spark: SparkSession, folder: str, files: DataFrame | None = None,
                 if rows:
                     yield _frame(rows)
 
-    parts = max(1, splits.count())
-    return splits.repartition(min(parts, 100_000)).mapInPandas(read, RECORD)
+    return splits.select("file", "length", "start", "first").repartition(parts).mapInPandas(read, RECORD)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
