@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -65,6 +66,44 @@ def test_warc_skips_damaged_members(spark, tmp_path):
     assert sorted(r.page_id for r in warc.read_warc(spark, str(tmp_path)).select("page_id").collect()) == [0, 1, 3, 4]
 
 
+def nested_archive(seed):
+    """Bytes of an archive whose stored members hold other members, with padding and damaged neighbours; and the page ids and places of its records."""
+    rng = random.Random(seed)
+    packed = lambda i, body: warc._record(i, "u", body, "0" * 64, None, False)
+
+    def stored(i, body):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+        packer = zlib.compressobj(0, zlib.DEFLATED, 31)
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(block)}\r\n\r\n".encode()
+        return packer.compress(head + block + b"\r\n\r\n") + packer.flush()
+
+    out, records = b"", []
+    for i in range(30):
+        kind = rng.randrange(6)
+        if kind == 0:  # a member that holds several, one of which holds one more
+            inner = packed(900 + i, b"in " * rng.randrange(40))
+            member = stored(i, b"x" * rng.randrange(300) + inner + b"y" * rng.randrange(100) + stored(800 + i, inner + inner) + packed(700 + i, b"z" * 400))
+        else:
+            member = packed(i, bytes(rng.randrange(256) for _ in range(rng.randrange(600))))
+        if kind == 1:  # damaged: its checksum is wrong
+            member = member[:-6] + bytes([member[-6] ^ 1]) + member[-5:]
+        elif kind == 2:  # cut off
+            member = member[: len(member) // 2]
+        else:
+            records.append((i, len(out)))
+        out += member + b"\0" * rng.choice([0, 0, 1, 50]) + b"\x1f\x8b\x08" * rng.choice([0, 0, 1])
+    return out, records
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_warc_records_do_not_depend_on_the_splits(spark, tmp_path, seed):
+    raw, records = nested_archive(seed)
+    (tmp_path / "a.warc.gz").write_bytes(raw)
+    for size in (97, 150, 1000, 4096, 1 << 20):
+        got = warc.read_warc(spark, str(tmp_path), split_bytes=size).select("page_id", "offset").collect()
+        assert sorted(map(tuple, got)) == records, size
+
+
 def test_warc_empty(spark):
     assert warc.round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -163,7 +202,24 @@ def test_edited_fingerprints(spark, ranges):
         want[(len(a), hashlib.sha256((a[: len(a) - h] + b[:h]).encode()).hexdigest())] += 1
     assert Counter((r.n_chars, r.edited_sha256) for r in got) == want
     assert len({r.fingerprint for r in got if r.n_chars == 39}) == 1
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    # fingerprints and likenesses from the sets themselves
+    sketch = lambda t: fingerprints.bottom_k(next(shingle_sets(pa.array([t], pa.string()))))
+    like = Counter()
+    for a, b in zip(texts, texts[1:] + texts[:1], strict=True):
+        h = len(a) // 2
+        x, y, z = sketch(a), sketch(a[: len(a) - h] + b[:h]), sketch(b)
+        near = [1.0 if not len(u | v) else len(set(sorted(u | v)[: fingerprints.K]) & u & v) / len(sorted(u | v)[: fingerprints.K]) for u, v in ((set(x.tolist()), set(y.tolist())), (set(x.tolist()), set(z.tolist())))]
+        like[(fingerprints.pack(x), fingerprints.pack(y), *[round(n, 9) for n in near])] += 1
+    assert Counter((r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == like
+
+
+@pytest.mark.parametrize("ranges", [2, 5])
+def test_edited_fingerprints_of_rows_that_share_an_id(spark, ranges):
+    rows = [(None, f"text {i} of a row without an id") for i in range(20)] + [(7, f"seven {i}") for i in range(5)] * 2 + [(None, "text 3 of a row without an id")] * 4
+    got = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), ranges=ranges).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i, len(t)) for i, t in rows)
+    again = fingerprints.edited_fingerprints(spark.createDataFrame(rows[::-1], "doc_id long, text string"), ranges=1).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
 def test_sketches_merge_and_estimate():
@@ -212,13 +268,24 @@ def odd_texts():
 def test_pieces_equal_the_library():
     coder = piece_bpe.PieceCoder(entry.vocabulary("piece_bpe_32k.model"))
     texts = [*odd_texts(), "a\x1fb \x1f c", "\x1f"]
-    for text, n, ids, decoded in zip(texts, *[x.to_pylist() for x in coder.code(pa.array(texts))], strict=True):
+    for text, n, ids, decoded, wrong in zip(texts, *[x.to_pylist() for x in coder.code(pa.array(texts))], strict=True):
         theirs = coder.library.encode(text)
         assert (n, ids) == (len(theirs), ",".join(map(str, theirs))), repr(text)
-        assert decoded == coder.library.decode(theirs)
+        assert (decoded.decode(), wrong) == (coder.library.decode(theirs), 0)
         # the plain agenda agrees with the batched one
         assert [i for u in coder.units.findall(coder.normalise(text)) for i in coder.encode_unit(u)] == theirs
-    assert coder.mismatches == 0
+    assert not coder.wrong
+
+
+def test_a_disagreement_is_flagged_and_the_own_ids_stay(monkeypatch):
+    coder = piece_bpe.PieceCoder(entry.vocabulary("piece_bpe_32k.model"))
+    texts = pa.array(["some plain words here", "other words", "words\nwords", ""])
+    _, right, decoded, _ = coder.code(texts)
+    other = piece_bpe.PieceCoder(entry.vocabulary("piece_bpe_32k.model"))
+    real = other.library.encode
+    monkeypatch.setattr(other.library, "encode", lambda x, **k: [[5] if "plain" in t else ids for t, ids in zip(x, real(x), strict=True)])
+    _, ids, texts_too, wrong = other.code(texts)
+    assert ids == right and texts_too == decoded and wrong.to_pylist() == [1, 0, 0, 0]
 
 
 def test_pieces_on_rows(spark):
@@ -230,7 +297,8 @@ def test_pieces_on_rows(spark):
         want[(i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest(), 0)] += 1
     assert Counter(map(tuple, piece_bpe.encode_decode(docs(spark), model).collect())) == want
     assert piece_bpe.encode_decode(none(spark), model).count() == 0
-    assert {r.doc_id: r.ids for r in piece_bpe.token_ids(docs(spark), model).collect()}[8] == sp.encode(ROWS[7][1])
+    found = {r.doc_id: r for r in piece_bpe.token_ids(docs(spark), model).collect()}
+    assert found[8].ids == sp.encode(ROWS[7][1]) and found[8].decoded == ROWS[7][1]
 
 
 def test_a_full_table_of_units_is_emptied(monkeypatch):
@@ -269,6 +337,39 @@ def test_permutation_is_one(spark, n):
         assert got != list(range(n)) and abs(np.corrcoef(got, range(n))[0, 1]) < 0.3
 
 
+def test_shards_by_a_network_in_python(spark):
+    """Row numbers in id order through the same rounds, with Spark's hash of each round's half asked for one by one."""
+    n, a, b = 23, 5, 5
+    hashes = {(i, x): h for i, x, h in spark.range(sharding.ROUNDS).crossJoin(spark.range(5).withColumnRenamed("id", "x")).select(F.col("id").cast("int").alias("i"), F.col("x"), F.xxhash64(F.lit(3), F.col("id").cast("int"), F.col("x"))).collect()}
+
+    def once(v):
+        left, right = v % a, v // a
+        for i in range(sharding.ROUNDS):
+            if i % 2 == 0:
+                left = (left + hashes[i, right] % a) % a
+            else:
+                right = (right + hashes[i, left] % b) % b
+        return right * a + left
+
+    def place(v):
+        v = once(v)
+        while v >= n:
+            v = once(v)
+        return v
+
+    df = spark.createDataFrame([(i * 10, f"t{i}") for i in range(n)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shards(df, 4, seed=3).collect()}
+    assert got == {i * 10: (place(i) % 4, place(i) // 4) for i in range(n)}
+
+
+def test_repeated_rows_are_cut_into_ranges(spark):
+    df = spark.createDataFrame([(5, "same")] * 400 + [(None, None)] * 300 + [(1, "a"), (9, "b")], "doc_id long, text string")
+    got = sharding.shards(df, 7).collect()
+    per = Counter(r.shard for r in got)
+    assert max(per.values()) - min(per.values()) <= 1 and len({(r.shard, r.slot) for r in got}) == 702
+    assert Counter(map(tuple, got)) == Counter(map(tuple, sharding.shards(df.repartition(3), 7).collect()))
+
+
 def test_shards(spark):
     got = sharding.shards(docs(spark), 4).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in ROWS)
@@ -276,8 +377,6 @@ def test_shards(spark):
     assert max(per.values()) - min(per.values()) <= 1
     for s in per:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(per[s]))
-    import zlib
-
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, _, _ in ROWS)
     again = sharding.shards(docs(spark).repartition(3), 4).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
@@ -341,9 +440,66 @@ def test_ngram_join_loses_no_link(spark, block):
         rep, r = reps[frozenset(grams(t))], by_id[i]
         assert (r.set_id, r.class_id, r.n_links, r.n_copies) == (rep, find(rep), links[rep], len(sets[frozenset(grams(t))])), i
     assert sum(links.values()) > 20
+    # one row per class stays
     kept = ngram_join.drop_near_duplicates(df, block=block)
     assert kept.columns == df.columns
-    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.doc_id == r.class_id}
+    assert Counter(r.doc_id for r in kept.collect()) == Counter({r.class_id for r in got})
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_a_chain_of_weak_candidates_is_verified_by_buckets(spark, block):
+    """Texts that drift away from each other: one candidate component, of which only neighbours are alike."""
+    rng = random.Random(4)
+    w, rows = [f"w{i}" for i in range(80)], []
+    for i in range(60):
+        rows.append((i, " ".join(w)))
+        w[rng.randrange(80)] = f"v{i}"
+        if i % 3 == 0:
+            w[rng.randrange(80)] = f"u{i}"
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [grams(t) for _, t in rows]
+    want, root = Counter(), list(range(60))
+    for x, y in ((x, y) for x in range(60) for y in range(x)):
+        if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+            want[x] += 1
+            want[y] += 1
+            low, high = sorted((root[x], root[y]))
+            root = [low if r == high else r for r in root]
+    got = {r.doc_id: (r.n_links, r.class_id) for r in ngram_join.ngram_join(df, block=block).collect()}
+    assert got == {i: (want[i], root[i]) for i in range(60)} and len(set(root)) < 60
+
+
+def test_near_copies_of_the_table_by_brute_force(spark, sf_dir):
+    """Links and classes of the whole small table against all pairs: the recall of the bands in practice."""
+    rows = [(r.doc_id, grams(r.text)) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    reps = {}
+    for i, g in sorted(rows, key=lambda r: r[0]):
+        reps.setdefault(frozenset(g), i)
+    keys, want = [k for k in reps if k], Counter()
+    for x in range(len(keys)):
+        for y in range(x):
+            both = len(keys[x] & keys[y])
+            if both and both >= 0.8 * (len(keys[x]) + len(keys[y]) - both):
+                want[reps[keys[x]]] += 1
+                want[reps[keys[y]]] += 1
+    got = {r.doc_id: r for r in ngram_join.ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    assert {i: r.n_links for i, r in got.items()} == {i: want[reps[frozenset(g)]] for i, g in rows}
+
+
+def test_dropping_near_copies_keeps_what_only_shares_an_id(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    for rows, kept in (
+        ([(1, a), (2, b), (None, a + " x"), (None, b + " x"), (None, c)], [(1, a), (2, b), (None, c)]),
+        ([(2, b), (5, a), (5, b), (7, a)], [(2, b), (5, a)]),
+        ([(None, a)] * 5 + [(None, b)] + [(3, c)] * 4, [(None, a), (None, b), (3, c)]),
+        ([(i, a) for i in range(40)], [(0, a)]),
+        ([(1, None), (2, ""), (3, " ")], [(1, None)]),
+    ):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        for col in ("_gone", "row", "name", "t", "id", "a.b", "_maybe", "stays"):
+            df = df.withColumn(col, F.lit("x"))
+        got = ngram_join.drop_near_duplicates(df)
+        assert got.columns == df.columns and Counter((r[0], r[1]) for r in got.collect()) == Counter(kept)
 
 
 def test_ngram_join_on_awkward_rows(spark):
@@ -362,7 +518,7 @@ def test_ngram_join_tells_rows_without_own_ids_apart(spark):
     got = Counter(tuple(r) for r in ngram_join.ngram_join(df).collect())
     assert got == Counter({(None, None, None, 1, 1): 2, (None, None, None, 0, 2): 2, (None, None, None, 0, 1): 1, (7, 3, 7, 1, 1): 1, (7, 7, 7, 0, 1): 1, (3, 3, 3, 1, 1): 1, (8, 8, 8, 1, 1): 2, (9, 9, 9, 1, 1): 1, (None, 9, None, 1, 1): 1, (4, 4, 4, 0, 2): 2})
     kept = Counter(r.row for r in ngram_join.drop_near_duplicates(df).collect())
-    assert kept.total() == 9 and all(kept[x] == 1 for x in ("n5", "b7", "a3", "e9")) and kept["f4"] == 2
+    assert kept.total() == 8 and all(kept[x] == 1 for x in ("n5", "b7", "a3", "e9", "f4"))
     assert all(kept[x] + kept[y] == 1 for x, y in (("n1", "n2"), ("n3", "n4"), ("c8", "d8")))
 
 
@@ -409,10 +565,95 @@ def test_ownership_separates_examples(spark):
     assert got[10].base_sha256 == hashlib.sha256(b"assign:30:45").hexdigest() and got[10].n_assign == 1
     assert got[11].spans == got[12].spans == "" and got[11].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert got[13].spans == "owned:0:21"
+    assert (got[0].verdicts, got[10].verdicts, got[11].verdicts) == ("example", "live,live", "")
+    # one owner, but many repositories
+    copied = spark.createDataFrame([(i, "password=manyrepos1", "s1", f"l{i}") for i in range(9)] + [(20, "password=onerepo11", "s1", "en")] * 9, "doc_id long, text string, source string, lang string")
+    verdicts = {r.doc_id: r.verdicts for r in secrets_scan.secret_spans(copied).collect()}
+    assert verdicts[0] == "example" and verdicts[20] == "live"
     assert Counter(r.doc_id for r in secrets_scan.secret_spans(docs(spark)).collect()) == Counter(r[0] for r in ROWS)
     assert secrets_scan.secret_spans(none(spark)).count() == 0
 
 
+def scanned(text):
+    """Base spans by plain scanning, and other tokens, without the operator's patterns."""
+    word, low, out = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), "".join(c.lower() if c.isascii() else c for c in text), []
+    at = 0
+    while at < len(text):
+        end = next((at + len(k) for k in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(k, at)), None)
+        if end is None:
+            at += 1
+            continue
+        end += text[end : end + 1] in ('"', "'") and end < len(text)
+        while text[end : end + 1] == " ":
+            end += 1
+        if text[end : end + 1] not in (":", "=") or end >= len(text):
+            at += 1
+            continue
+        end += 1
+        while text[end : end + 1] == " ":
+            end += 1
+        end += text[end : end + 1] in ('"', "'") and end < len(text)
+        stop = end
+        while stop < len(text) and text[stop] in word:
+            stop += 1
+        if stop == end:
+            at += 1
+            continue
+        if stop - end >= 6:
+            out.append((0, at, stop, text[end:stop]))
+        at = stop
+
+    def runs(chars, begin=0):
+        at = begin
+        while at < len(text):
+            stop = at
+            while stop < len(text) and text[stop] in chars:
+                stop += 1
+            if stop > at:
+                yield at, stop
+            at = stop + 1
+
+    upper = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    at = 0
+    while (at := text.find("AKIA", at)) >= 0:
+        stop = at + 4
+        while stop < len(text) and text[stop] in upper:
+            stop += 1
+        if stop == at + 4:
+            at += 1
+            continue
+        if stop - at >= 20:
+            out.append((1, at, stop, text[at:stop]))
+        at = stop
+    out += [(2, a, b, text[a:b]) for a, b in runs(set("0123456789abcdef")) if b - a >= 24]
+    base = list(out)
+    for a, b in runs(word - set(".=")):
+        s = text[a:b]
+        if b - a >= 20 and sum(c.isdigit() for c in s) >= 4 and s.lower() != s != s.upper() and not any(x < b and a < y for _, x, y, _ in base):
+            out.append((3, a, b, s))
+    return out
+
+
+def test_secrets_of_the_table_by_brute_force(spark, sf_dir):
+    sf_dir = sf_dir.replace("0.001", "0.01")  # the smallest table has none
+    found = {r.doc_id: (scanned(r.text or ""), r.source, (r.source, r.lang)) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    owners, places = {}, {}
+    for spans, owner, repository in found.values():
+        for *_, v in spans:
+            owners.setdefault(v, set()).add(owner)
+            places.setdefault(v, set()).add(repository)
+    live = {v for v in owners if len(owners[v]) <= 3 and len(places[v]) <= 6}
+    got = {r.doc_id: r for r in secrets_scan.secret_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    assert len(got) == len(found) and sum(len(s) for s, _, _ in found.values()) > 0
+    for i, (spans, _, _) in found.items():
+        listed = sorted((a, k, b, v in live) for k, a, b, v in spans if k < 3 or v in live)
+        text = lambda xs: ",".join(f"{secrets_scan.KINDS[k]}:{a}:{b}" for a, k, b, _ in xs)
+        base = [x for x in listed if x[1] < 3]
+        assert (got[i].spans, got[i].base_sha256, got[i].verdicts) == (text(listed), hashlib.sha256(text(base).encode()).hexdigest(), ",".join("live" if x[3] else "example" for x in listed)), i
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(x[1] == k for x in base) for k in range(3))
+        assert (got[i].n_live, got[i].n_example) == (sum(v in live for *_, v in spans), sum(v not in live for *_, v in spans))
+
+
 # -- 10 toxicity -------------------------------------------------------------------------------------------------------
 
 
@@ -439,19 +680,43 @@ def test_toxicity_learns_and_locates(spark):
     got = {r.doc_id: r for r in toxicity.scores(df, model).collect()}
     truth = dict(labels)
     held = [i for i in got if got[i].held_out]
-    import zlib
-
     assert set(held) == {i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1}
     assert sum(got[i].predicted == truth[i] for i in held) / len(held) > 0.97
     spans = toxicity.offending_sentences(df, model).collect()
     assert spans and all(any(b in r.sentence for b in ("vileword", "nastyterm", "grimstem")) for r in spans)
     kept = toxicity.drop_toxic(df, model)
     assert kept.count() == sum(1 - r.predicted for r in got.values())
+    # the noisy-or of every document, from the weights alone
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for i, text in rows:
+        clean = 1.0
+        for sentence in text.lower().split("."):
+            evidence = sum(float(model[0][zlib.crc32(k.encode()) % toxicity.BUCKETS]) for w in set(sentence.split()) for k in ["=" + w, *["^" + w[:n] for n in (3, 4, 5, 6) if len(w) >= n], *["$" + w[-4:]] * (len(w) > 4)])
+            clean *= (1 - sigmoid(model[1] + evidence)) / (1 - sigmoid(model[1])) if sentence.split() else 1
+        assert got[i].score == pytest.approx(1 - clean, abs=1e-6)
     # labels of the held-out third change nothing
     other = toxicity.train(df, known.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic"))))
     assert (other[0] == model[0]).all() and other[1] == model[1]
 
 
+def test_places_are_those_of_the_text(spark):
+    model = (np.zeros(toxicity.BUCKETS, np.float32), toxicity.BIAS)
+    for f in toxicity.word_features("vileword"):
+        model[0][f] = 5.0
+    text = "İstanbul İİ. Here a VileWord stands! Ok"
+    got = toxicity.offending_sentences(spark.createDataFrame([(1, text), (1, text), (None, None)], "doc_id long, text string"), model).collect()
+    assert [(r.doc_id, r.sentence, text[r.start : r.end]) for r in got] == [(1, " Here a VileWord stands", " Here a VileWord stands")] * 2
+
+
+def test_training_takes_one_text_an_id_and_bounded_ones(spark):
+    rows, labels = toxic_rows(300)
+    df, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(df, known)
+    more = df.unionByName(spark.createDataFrame([(0, rows[0][1])] * 500, "doc_id long, text string"))
+    assert (toxicity.train(more, known)[0] == model[0]).all()
+    assert (toxicity.train(df, known, max_chars=10)[0] != model[0]).any()
+
+
 def test_toxicity_awkward_rows(spark):
     df = docs(spark)
     model = toxicity.train(df, spark.createDataFrame([(1, 1), (5, 0), (None, 1), (8, None)], "doc_id long, toxic int"))
