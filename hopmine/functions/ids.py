@@ -14,3 +14,14 @@ def uuid5(key: Column) -> Column:
     part = lambda a, n: F.substring(digest, a, n)
     variant = F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
     return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
+def draw(*parts: Column | str | int) -> Column:
+    """A pseudo-random number in [0, 2 ** 52) from the parts: the first 13 hex digits of their MD5, so other engines find the same."""
+    columns = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in columns])), 1, 13), 16, 10).cast("long")
+
+
+def draw_sql(*parts: str) -> str:
+    """The same in SQL, from expressions of strings or numbers."""
+    return f"('0x' || substr(md5({' || chr(124) || '.join(f'({p})::varchar' for p in parts)}), 1, 13))::bigint"

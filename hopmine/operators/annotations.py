@@ -21,10 +21,18 @@ def agreement_matrix(notes: DataFrame, reviewers: list[str]) -> DataFrame:
     return agreement(notes).groupBy("a").pivot("b", reviewers).agg(F.first("n_agree"))
 
 
-def majority(notes: DataFrame, needed: int = 2) -> DataFrame:
-    """(item_id, answerable, multi_hop, n_reviewers): flags that at least `needed` reviewers set."""
+def majority(notes: DataFrame, items: DataFrame | None = None, needed: int = 2) -> DataFrame:
+    """(item_id, answerable, multi_hop, n_reviewers): flags that at least `needed` reviewers set; with items (item_id, ..) their other fields stay."""
     said = lambda c: (F.count_if(F.coalesce(c, F.lit(False))) >= needed).alias(c)
-    return notes.groupBy("item_id").agg(said("answerable"), said("multi_hop"), F.count("*").alias("n_reviewers"))
+    voted = notes.groupBy("item_id").agg(said("answerable"), said("multi_hop"), F.count("*").alias("n_reviewers"))
+    return voted if items is None else items.join(voted, "item_id")
+
+
+def uneven_reviewers(notes: DataFrame) -> DataFrame:
+    """(reviewer, n_items, reason) of reviewers that lack items which others have: a reject of the vote."""
+    per = notes.groupBy("reviewer").agg(F.count_distinct("item_id").alias("n_items"))
+    every = notes.agg(F.count_distinct("item_id").alias("n_all"))
+    return per.join(every, F.col("n_items") < F.col("n_all")).select("reviewer", "n_items", F.lit("other number of items").alias("reason"))
 
 
 def validity_counts(notes: DataFrame) -> DataFrame:

@@ -7,18 +7,73 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import json_object
 from ..sources.tables import prompt_key
 from .review import is_true
 
-STAGES = ("precheck", "decomposition", "paths", "validation", "shortcut", "ambiguity", "adjudication")
+#: The stages of an evaluation, and the earlier answers that each one reads.
+STAGE_INPUTS = {
+    "precheck": (),
+    "decomposition": ("precheck",),
+    "paths": ("precheck", "decomposition"),
+    "validation": ("decomposition", "paths"),
+    "shortcut": ("decomposition", "validation"),
+    "ambiguity": ("precheck", "decomposition", "validation"),
+    "adjudication": ("precheck", "decomposition", "paths", "validation", "shortcut", "ambiguity"),
+}
+STAGES = tuple(STAGE_INPUTS)
 MODES = ("baseline", "no_graph", "no_composition", "no_self_review", "full")
 FUNNEL = ("structure_review_required", "example_review_required", "single_hop_review", "operation_review", "multi_hop_review", "ambiguity")
 
+#: What each kind of prompt asks for, and the columns that it shows.
+TASKS: dict[str, tuple[str, tuple[str, ...]]] = {
+    "structure_induction": ("Name the roles of this graph pattern, an order of hops, the open and hidden roles and the answer role.", ("schema", "instance")),
+    "worked_example": ("Write one question per hop and one that joins them all for this pattern, from the passages alone.", ("structure", "entities", "examples", "context")),
+    "single_hop": ("Ask about this one fact so that the second entity is the only answer.", ("source", "target", "relationship", "context", "examples")),
+    "composition": ("Join the hop questions into one question; name open entities, never hidden ones.", ("structure", "entities", "hops", "context", "examples")),
+    "operation": ("Carry out the pattern's operations on these facts and say whether the result holds.", ("structure", "entities", "hops", "context")),
+    "answer_review": ("Answer the question from the passages and cite them by number.", ("question", "context")),
+    "equivalence_review": ("Do both answers mean the same?", ("predicted", "expected")),
+    "regeneration": ("Write the hop question anew without the faults listed.", ("source", "target", "relationship", "context", "question", "failures")),
+    "chain_review": ("Does the question follow the intended hops, each on the one before?", ("question", "hops", "context")),
+    "necessity_review": ("Can the answer be found without this hop?", ("question", "answer", "hop", "hops", "context")),
+    "shortcut_review": ("Is there a direct way to the answer?", ("question", "answer", "relationships", "context")),
+    "structure_review": ("Check every hop and operation of the pattern behind the question.", ("question", "answer", "hops", "context")),
+    "rewrite": ("Change the question as little as needed to leave the intended answer only.", ("question", "answer", "path", "alternatives")),
+    "direct": ("Write one question of several hops and its answer from this text.", ("context",)),
+    "hop_list": ("Write questions that each need the answer before, from this text.", ("context",)),
+    "hop_join": ("Join these questions into one.", ("hops", "context")),
+}
+#: What each stage of an evaluation asks for.
+STAGE_TASKS = {
+    "precheck": "Can the question be worked on with this text alone? List the facts that it needs.",
+    "decomposition": "Split the question into the fewest hops that the facts support.",
+    "paths": "List every way to an answer, also those that fail.",
+    "validation": "Which of these ways hold in the text and meet all conditions?",
+    "shortcut": "Leave out one hop at a time: does the answer still follow?",
+    "ambiguity": "Look for other answers anywhere in the text.",
+    "adjudication": "Weigh all stages: is it a valid question of several hops with one answer?",
+}
+
 
 def prompts(rows: DataFrame, kind: str, *parts: tuple[str, str]) -> DataFrame:
-    """rows with prompt and key: a heading and a paragraph per (title, column)."""
-    blocks = [F.concat(F.lit(f"{title}:\n"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for title, c in parts]
-    return rows.withColumn("prompt", F.concat_ws("\n\n", F.lit(f"Task: {kind.replace('_', ' ')}"), *blocks)).withColumn("key", prompt_key(F.lit(kind), "prompt"))
+    """rows with prompt and key: what the kind of prompt asks for and a paragraph per column that it shows, in order, or per (title, column) of parts."""
+    task, shown = TASKS.get(kind, (kind.replace("_", " "), ()))
+    blocks = [F.concat(F.lit(f"{title}:\n"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for title, c in parts or [(c.capitalize(), c) for c in shown]]
+    return rows.withColumn("prompt", F.concat_ws("\n\n", F.lit(f"Task: {task}"), *blocks)).withColumn("key", prompt_key(F.lit(kind), "prompt"))
+
+
+def approved_examples(structures: DataFrame, examples: DataFrame) -> DataFrame:
+    """The approved examples (all their columns) of approved structures, under their structure_id, with `source`: own, or general for structures without any of their own.
+
+    A missing review status is pending. General examples have a null structure_id; there are few of them.
+    """
+    ok = F.coalesce("review_status", F.lit("pending")) == "approved"
+    wanted = structures.filter(ok).select("structure_id")
+    own = examples.filter(ok).join(wanted, "structure_id").withColumn("source", F.lit("own"))
+    bare = wanted.join(own.select("structure_id"), "structure_id", "left_anti").withColumn("_general", F.lit(True))
+    general = examples.filter(ok & F.col("structure_id").isNull()).drop("structure_id").withColumn("_general", F.lit(True)).withColumn("source", F.lit("general"))
+    return own.unionByName(bare.join(general, "_general").drop("_general"))
 
 
 def approved_view(structures: DataFrame, examples: DataFrame) -> DataFrame:
@@ -72,26 +127,82 @@ def funnel(attempts: DataFrame) -> DataFrame:
     return attempts.filter("stage is not null").groupBy("stage").agg(F.count("*").alias("n"))
 
 
+#: The fields of an accepted question's record, in order; `all_entities` are the distinct ones of the assignment.
+RECORD = ("question", "answer", "structure_id", "entities", "entity_path", "resolved_hops", "single_hops", "context", "context_passages", "multi_hop_review", "operation_review", "ambiguity", "distractors")
+
+
 def accepted_record(rows: DataFrame) -> DataFrame:
-    """(question_id, record): question, answer, path, distinct entities and context as one JSON text."""
-    body = F.struct("question", "answer", "path", F.array_distinct("path").alias("entities"), "context")
+    """(question_id, record): the RECORD columns that rows has, and all_entities out of entities (a map of roles), as one JSON text."""
+    body = F.struct(*[c for c in RECORD if c in rows.columns], F.array_distinct(F.map_values("entities")).alias("all_entities"))
     return rows.select("question_id", F.to_json(body).alias("record"))
 
 
+def _stages(items: DataFrame, responses: DataFrame) -> DataFrame:
+    """items with a column per stage, its answer's JSON object, and `processable`."""
+    said = responses.filter(F.col("stage").isin(list(STAGES))).select("item_id", "stage", json_object(F.col("response")).alias("r"))
+    per = said.groupBy("item_id").agg(*[F.max(F.when(F.col("stage") == s, F.col("r"))).alias(s) for s in STAGES])
+    joined = items.join(per, "item_id", "left")
+    return joined.withColumn("processable", is_true(F.from_json("precheck", "processable boolean")["processable"]))
+
+
+def _ready(stage: str) -> Column:
+    """Whether a stage can be asked: all answers that it reads are there; an item that can't be processed goes straight to the last one."""
+    there = reduce(lambda a, b: a & b, [F.col(s).isNotNull() for s in STAGE_INPUTS[stage]], F.lit(True))
+    if stage == "precheck":
+        return there
+    if stage == "adjudication":
+        return F.when(F.col("processable"), there).otherwise(F.col("precheck").isNotNull())
+    return F.col("processable") & there
+
+
+def evaluation_prompts(items: DataFrame, responses: DataFrame) -> DataFrame:
+    """(item_id, stage, prompt, key) of every stage of (item_id, question, context) that can be asked, with the answers of earlier stages that it reads.
+
+    responses: (item_id, stage, response). What an item that can't be processed shows of the stages in between is empty.
+    """
+    rows = _stages(items, responses)
+    made = []
+    for stage, read in STAGE_INPUTS.items():
+        answer = lambda s: F.coalesce(F.col(s) if s == "precheck" else F.when(F.col("processable"), F.col(s)), F.lit("{}"))
+        blocks = [F.concat(F.lit("Question:\n"), "question"), *[F.concat(F.lit(f"{s.capitalize()}:\n"), answer(s)) for s in read], F.concat(F.lit("Context:\n"), "context")]
+        made.append(F.when(_ready(stage), F.struct(F.lit(stage).alias("stage"), F.concat_ws("\n\n", F.lit(f"Task: {STAGE_TASKS[stage]}"), *blocks).alias("prompt"))))
+    each = rows.select("item_id", F.explode(F.array_compact(F.array(*made))).alias("s")).select("item_id", "s.stage", "s.prompt")
+    return each.withColumn("key", prompt_key(F.concat(F.lit("evaluate:"), "stage"), "prompt"))
+
+
 def staged_evaluation(items: DataFrame, responses: DataFrame) -> DataFrame:
-    """(item_id, processable, n_stages, accepted): items that the precheck can't process go straight to adjudication.
+    """(item_id, processable, n_stages, accepted) of items (item_id, ..): n_stages is how many stages were asked and answered.
+
+    responses: (item_id, stage, response). An item is accepted if its adjudication could be asked and answered with a
+    literally true `accepted`.
+    """
+    rows = _stages(items.select("item_id"), responses)
+    done = [(_ready(s) & F.col(s).isNotNull()).cast("int") for s in STAGES]
+    accepted = _ready("adjudication") & is_true(F.from_json("adjudication", "accepted boolean")["accepted"])
+    return rows.select("item_id", "processable", reduce(lambda a, b: a + b, done).alias("n_stages"), F.coalesce(accepted, F.lit(False)).alias("accepted"))
+
+
+def ablation_items(contexts: DataFrame, attempts: DataFrame, direct: DataFrame, joined: DataFrame, count: int) -> DataFrame:
+    """(mode, item_id, question, context) of the five modes, to be evaluated alike.
 
-    responses: (item_id, stage, ok). An item is accepted if its adjudication is literally true and, where it was
-    processable, every earlier stage has an answer.
+    contexts: (pos, context); attempts: generation's (attempt, question, context, passes, reviewed), where `passes` leaves
+    the self-review out and `reviewed` has it; direct and joined: (key, question) responses to the `direct` prompt of a
+    context and to the `hop_join` prompt that follows its `hop_list` (by the key of the latter). baseline and no_graph
+    take the first count contexts; full and no_self_review the first count attempts that get through; no_composition is
+    full with its questions asked directly of their contexts.
     """
-    said = lambda s: F.max(F.when(F.col("stage") == s, is_true(F.col("ok")))).alias(s)
-    per = responses.filter(F.col("stage").isin(list(STAGES))).groupBy("item_id").agg(*[said(s) for s in STAGES])
-    joined = items.select("item_id").join(per, "item_id", "left")
-    processable = F.coalesce("precheck", F.lit(False))
-    present = reduce(lambda a, b: a + b, [F.col(s).isNotNull().cast("int") for s in STAGES[1:-1]])
-    middle = F.when(processable, present).otherwise(F.lit(0))
-    accepted = F.coalesce("adjudication", F.lit(False)) & processable & (present == len(STAGES) - 2)
-    return joined.select("item_id", processable.alias("processable"), (middle + 2).alias("n_stages"), accepted.alias("accepted"))
+    first = contexts.orderBy("pos").limit(count).withColumn("item_id", F.col("pos").cast("string"))
+    taken = lambda flag: accepted_attempts(attempts.withColumn("accepted", F.col(flag)), count).select(F.col("attempt").cast("string").alias("item_id"), "question", "context")
+    asked = lambda rows, kind, said: prompts(rows.drop("question"), kind).select("item_id", "context", "key").join(said.select("key", "question"), "key").drop("key")
+    full = taken("reviewed")
+    branches = {
+        "baseline": asked(first, "direct", direct),
+        "no_graph": asked(first, "hop_list", joined),
+        "no_composition": asked(full, "direct", direct),
+        "no_self_review": taken("passes"),
+        "full": full,
+    }
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(mode).alias("mode"), "item_id", "question", "context") for mode, rows in branches.items()])
 
 
 def ablation(evaluated: DataFrame) -> DataFrame:

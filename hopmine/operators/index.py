@@ -76,16 +76,30 @@ def mentions(parsed_rows: DataFrame, types: list[str]) -> DataFrame:
     ).filter("name <> ''")
 
 
+def entity_units(found: DataFrame) -> DataFrame:
+    """(name, unit_id) of the units that mention a name, once each: the working form, one row a link however often a name occurs."""
+    return found.select("name", "unit_id").distinct()
+
+
 def merged_entities(found: DataFrame) -> DataFrame:
-    """(id, name, type, description, text_unit_ids): the first mention's type, distinct descriptions in first-seen order, sorted units.
+    """(id, name, type, description): the first mention's type, distinct descriptions in first-seen order.
 
     Descriptions are reduced to their first place per (name, description) before a name's few distinct ones are collected.
     """
-    head = found.groupBy("name").agg(F.min_by("type", "ord").alias("type"), F.sort_array(F.collect_set("unit_id")).alias("text_unit_ids"))
+    head = found.groupBy("name").agg(F.min_by("type", "ord").alias("type"))
     firsts = found.filter("description <> ''").groupBy("name", "description").agg(F.min("ord").alias("ord"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "description"))), lambda s: s["description"]), " ")
     said = firsts.groupBy("name").agg(text.alias("description"))
-    return head.join(said, "name", "left").select(uuid5(F.concat(F.lit("entity:"), "name")).alias("id"), "name", "type", F.coalesce("description", F.lit("")).alias("description"), "text_unit_ids")
+    return head.join(said, "name", "left").select(uuid5(F.concat(F.lit("entity:"), "name")).alias("id"), "name", "type", F.coalesce("description", F.lit("")).alias("description"))
+
+
+def with_unit_ids(rows: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with text_unit_ids, the sorted units of links (keys, unit_id), for writing the tables out.
+
+    Only here does a name's list become one value: a name may be in as many units as fit one row (2 GB, or some 50 million ids).
+    """
+    lists = links.groupBy(*keys).agg(F.sort_array(F.collect_list("unit_id")).alias("text_unit_ids"))
+    return rows.join(lists, keys, "left").withColumn("text_unit_ids", F.coalesce("text_unit_ids", F.array().cast("array<string>")))
 
 
 def weight_of(text: Column) -> Column:
@@ -100,21 +114,28 @@ def relation_mentions(parsed_rows: DataFrame) -> DataFrame:
     return rows.select("unit_id", *[strip(F.coalesce(c, F.lit(""))).alias(c) for c in ("source", "target", "description")], weight_of(F.col("weight")).alias("weight")).filter("source <> '' and target <> '' and description <> ''")
 
 
+KEYS = ["source", "target", "description"]
+
+
+def relation_units(found: DataFrame) -> DataFrame:
+    """(source, target, description, unit_id) of the units behind a relationship, once each."""
+    return found.filter("weight is not null").select(*KEYS, "unit_id").distinct()
+
+
 def merged_relationships(found: DataFrame, entities: DataFrame) -> DataFrame:
-    """(id, source, target, description, weight, text_unit_ids): the largest weight and sorted units per key, both ends known."""
-    keyed = found.filter("weight is not null").groupBy("source", "target", "description").agg(F.max("weight").alias("weight"), F.sort_array(F.collect_set("unit_id")).alias("text_unit_ids"))
+    """(id, source, target, description, weight): the largest weight per key, both ends known."""
+    keyed = found.filter("weight is not null").groupBy(*KEYS).agg(F.max("weight").alias("weight"))
     names = entities.select("name")
     both = keyed.join(names, F.col("source") == F.col("name"), "left_semi").join(names, F.col("target") == F.col("name"), "left_semi")
-    return both.withColumn("id", uuid5(F.concat(F.lit("relation:"), F.concat_ws("\u0000", "source", "target", "description"))))
+    return both.withColumn("id", uuid5(F.concat(F.lit("relation:"), F.concat_ws("\u0000", *KEYS))))
 
 
 def memberships(units: DataFrame, found: DataFrame, relations: DataFrame, entities: DataFrame, relationships: DataFrame) -> DataFrame:
     """units with entity_ids (by name) and relationship_ids (by key); units without mentions have empty lists."""
     named = found.select("unit_id", "name").distinct().join(entities.select("name", F.col("id").alias("eid")), "name")
     ids = named.groupBy("unit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("name", "eid"))), lambda s: s["eid"]).alias("entity_ids"))
-    keys = ["source", "target", "description"]
-    keyed = relations.select("unit_id", *keys).distinct().join(relationships.select(*keys, F.col("id").alias("rid")), keys)
-    rids = keyed.groupBy("unit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(*keys, "rid"))), lambda s: s["rid"]).alias("relationship_ids"))
+    keyed = relation_units(relations).join(relationships.select(*KEYS, F.col("id").alias("rid")), KEYS)
+    rids = keyed.groupBy("unit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(*KEYS, "rid"))), lambda s: s["rid"]).alias("relationship_ids"))
     none = F.array().cast("array<string>")
     out = units.join(ids, units["id"] == ids["unit_id"], "left").drop("unit_id").join(rids, units["id"] == rids["unit_id"], "left").drop("unit_id")
     return out.withColumn("entity_ids", F.coalesce("entity_ids", none)).withColumn("relationship_ids", F.coalesce("relationship_ids", none))

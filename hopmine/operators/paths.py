@@ -116,7 +116,7 @@ def relation_block(paths: DataFrame, relationships: DataFrame) -> DataFrame:
 
 def budgeted_paths(paths: DataFrame, priorities: DataFrame, limit: int) -> DataFrame:
     """The first paths over all, by (priority of their type sequence, path); limit is the budget of questions."""
-    return paths.join(F.broadcast(priorities), "types").orderBy("priority", "path").limit(limit)
+    return paths.join(priorities, "types").orderBy("priority", "path").limit(limit)
 
 
 def path_record(paths: DataFrame, entities: DataFrame, relationships: DataFrame) -> DataFrame:

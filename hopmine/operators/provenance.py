@@ -59,11 +59,20 @@ def titled(units: DataFrame, documents: DataFrame) -> DataFrame:
     return named.groupBy("unit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda s: s["title"]).alias("titles"))
 
 
-def path_tags(selected: DataFrame, paths: DataFrame, units: DataFrame, entities: DataFrame) -> DataFrame:
-    """(path_id, unit_id, path_entities): the path's entities that a unit names, in the unit's order."""
-    each = selected.select("path_id", "unit_id").join(units.select(F.col("id").alias("unit_id"), F.posexplode("entity_ids").alias("pos", "eid")), "unit_id").join(entities.select(F.col("id").alias("eid"), "name"), "eid")
-    on_path = each.join(paths.select("path_id", F.explode(F.array_distinct("path")).alias("name")), ["path_id", "name"])
-    return on_path.groupBy("path_id", "unit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda s: s["name"]).alias("path_entities"))
+def path_tags(selected: DataFrame, paths: DataFrame, units: DataFrame, entities: DataFrame, relationships: DataFrame, directed: bool = False) -> DataFrame:
+    """(path_id, unit_id, path_entities, path_relationships) of selected units: what a unit names of the path, in the unit's order.
+
+    path_relationships are (source, target) of the relationships behind the path's hops. A unit that names nothing has empty lists.
+    """
+    kept = selected.select("path_id", "unit_id")
+    named = kept.join(units.select(F.col("id").alias("unit_id"), F.posexplode("entity_ids").alias("pos", "eid")), "unit_id").join(entities.select(F.col("id").alias("eid"), "name"), "eid")
+    on_path = named.join(paths.select("path_id", F.explode(F.array_distinct("path")).alias("name")), ["path_id", "name"])
+    ents = on_path.groupBy("path_id", "unit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda s: s["name"]).alias("path_entities"))
+    behind = hop_relations(hops_of(paths), relationships, directed).select("path_id", F.col("id").alias("rid"), "source", "target").distinct()
+    linked = kept.join(units.select(F.col("id").alias("unit_id"), F.posexplode("relationship_ids").alias("pos", "rid")), "unit_id").join(behind, ["path_id", "rid"])
+    rels = linked.groupBy("path_id", "unit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "source", "target"))), lambda s: F.struct(s["source"].alias("source"), s["target"].alias("target"))).alias("path_relationships"))
+    both = kept.join(ents, ["path_id", "unit_id"], "left").join(rels, ["path_id", "unit_id"], "left")
+    return both.withColumn("path_entities", F.coalesce("path_entities", F.array().cast("array<string>"))).withColumn("path_relationships", F.coalesce("path_relationships", F.array().cast("array<struct<source:string,target:string>>")))
 
 
 def rendered(selected: DataFrame, units: DataFrame, documents: DataFrame) -> DataFrame:

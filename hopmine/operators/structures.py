@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ids import draw
 from ..functions.text import casefold, jaccard, word_set
 from ..sources.shared import cut
 from .subgraphs import connected_sets, sampled_sets
@@ -77,9 +78,28 @@ def policy_weight(n: Column, policy: str, strength: float = 2.0) -> Column:
     return {"proportional": n, "common": F.pow(n, F.lit(strength)), "rare": F.pow(n, F.lit(-strength)), "uniform": F.lit(1.0)}[policy]
 
 
-def _uniform(seed: int, *parts) -> Column:
-    """A hash of the parts as a number in [0, 1)."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 11).cast("double") / F.lit(float(1 << 53))
+def grouped(instances: DataFrame) -> DataFrame:
+    """(structure_id, schema, n_instances, first_instance): the schema is what the id spells out."""
+    schema = "directed boolean, entity_types array<string>, edges array<array<int>>"
+    return instances.groupBy("structure_id").agg(F.count("*").alias("n_instances"), F.min("set_id").alias("first_instance")).withColumn("schema", F.from_json("structure_id", schema))
+
+
+def _uniform(*parts) -> Column:
+    """A number in [0, 1) from the parts."""
+    return draw(*parts).cast("double") / F.lit(float(1 << 52))
+
+
+def numbered(instances: DataFrame, *seed: str) -> DataFrame:
+    """instances (structure_id, set_id) with pos, from 1 within a structure, in the order of a hash of the set id.
+
+    The hash's first digits cut a structure into parts, which are counted and then numbered each for itself, so no task
+    sorts a structure that holds a large share of all instances.
+    """
+    rows = instances.withColumn("_h", F.md5(F.concat_ws("|", *[F.lit(s) for s in seed], "set_id"))).withColumn("_part", F.substring("_h", 1, 2))
+    counts = rows.groupBy("structure_id", "_part").agg(F.count("*").alias("_n"))
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(W.partitionBy("structure_id").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inside = rows.withColumn("_inside", F.row_number().over(W.partitionBy("structure_id", "_part").orderBy("_h", "set_id")))
+    return inside.join(offsets, ["structure_id", "_part"]).withColumn("pos", (F.col("_offset") + F.col("_inside")).cast("long")).drop("_h", "_part", "_offset", "_inside")
 
 
 def draw_with_replacement(instances: DataFrame, count: int, policy: str = "proportional", strength: float = 2.0, seed: int = 0) -> DataFrame:
@@ -93,32 +113,29 @@ def draw_with_replacement(instances: DataFrame, count: int, policy: str = "propo
     upper = F.sum("weight").over(every.rowsBetween(W.unboundedPreceding, 0)) / F.sum("weight").over(W.partitionBy(F.lit(1)))
     table = table.withColumn("upper", upper).withColumn("lower", F.coalesce(F.lag("upper").over(every), F.lit(0.0)))
     table = table.withColumn("upper", F.when(F.lead("upper").over(every).isNull(), F.lit(1.0)).otherwise(F.col("upper")))
-    draws = instances.sparkSession.range(count).select(F.col("id").alias("draw"), _uniform(seed, F.lit("structure"), "id").alias("u"), _uniform(seed, F.lit("instance"), "id").alias("v"))
+    draws = instances.sparkSession.range(count).select(F.col("id").alias("draw"), _uniform(seed, "structure", F.col("id")).alias("u"), _uniform(seed, "instance", F.col("id")).alias("v"))
     slices = table.withColumn("slice", F.explode(F.sequence(F.floor(F.col("lower") * SLICES).cast("int"), F.least(F.lit(SLICES - 1), F.floor(F.col("upper") * SLICES).cast("int")))))
     picked = draws.withColumn("slice", F.floor(F.col("u") * SLICES).cast("int")).join(slices, "slice").filter("u >= lower and u < upper").drop("slice").withColumn("pos", F.floor(F.col("v") * F.col("n")).cast("long") + 1)
-    numbered = instances.withColumn("pos", F.row_number().over(W.partitionBy("structure_id").orderBy("set_id")).cast("long"))
-    return picked.join(numbered, ["structure_id", "pos"]).select("draw", "structure_id", "set_id", "n", "weight")
+    return picked.join(numbered(instances), ["structure_id", "pos"]).select("draw", "structure_id", "set_id", "n", "weight")
 
 
 def draw_without_replacement(instances: DataFrame, count: int, policy: str = "proportional", strength: float = 2.0, seed: int = 0) -> DataFrame:
     """(draw, structure_id, set_id): as above, but an instance is drawn once and structures run out; weights keep the first frequencies.
 
-    Only the sequence of structures is sequential, over the small frequency table; instances join by their random number.
+    Every structure rings like a clock with exponential gaps whose rate is its weight, once per instance; the first count
+    rings of all are the draws. The next clock to ring is each time one that isn't exhausted, with probability in proportion to its
+    weight, so this is drawing one by one, without a sequence. A structure's k-th ring takes its k-th instance in hash order.
     """
-    table = frequencies(instances).withColumn("weight", policy_weight(F.col("n"), policy, strength)).orderBy("structure_id").toPandas()
-    left = table["n"].to_numpy().copy()
-    if count > left.sum():
+    table = frequencies(instances).withColumn("weight", policy_weight(F.col("n"), policy, strength))
+    if count > (table.agg(F.sum("n")).first()[0] or 0):
         raise ValueError("more draws than instances")
-    weights, rng, picks, used = table["weight"].to_numpy(float), np.random.default_rng(seed), [], np.zeros(len(left), int)
-    for draw in range(count):
-        w = np.where(left > 0, weights, 0.0)
-        i = int(rng.choice(len(w), p=w / w.sum()))
-        left[i] -= 1
-        used[i] += 1
-        picks.append((draw, table["structure_id"][i], int(used[i])))
-    chosen = instances.sparkSession.createDataFrame(picks, "draw long, structure_id string, pos long")
-    order = W.partitionBy("structure_id").orderBy(F.xxhash64(F.lit(seed), "set_id"), "set_id")
-    return chosen.join(instances.withColumn("pos", F.row_number().over(order).cast("long")), ["structure_id", "pos"]).select("draw", "structure_id", "set_id")
+    rings = table.select("structure_id", "weight", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n"), F.lit(count).cast("long")))).alias("pos"))
+    gap = -F.log((draw(seed, "gap", F.col("structure_id"), F.col("pos")) + 1).cast("double") / F.lit(float((1 << 52) + 1))) / F.col("weight")
+    timed = rings.withColumn("at", F.sum(gap).over(W.partitionBy("structure_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
+    # count rows
+    first = timed.orderBy("at", "structure_id", "pos").limit(count)
+    chosen = first.withColumn("draw", (F.row_number().over(W.partitionBy(F.lit(1)).orderBy("at", "structure_id", "pos")) - 1).cast("long"))
+    return chosen.join(numbered(instances, str(seed)), ["structure_id", "pos"]).select("draw", "structure_id", "set_id")
 
 
 def above_bound(n: Column, low: int, high: int, bound: int = 100_000) -> Column:
@@ -132,11 +149,11 @@ def above_bound(n: Column, low: int, high: int, bound: int = 100_000) -> Column:
     return total > bound
 
 
-def instances(pairs: DataFrame, entities: DataFrame, low: int = 2, high: int = 3, bound: int = 100_000, count: int = 10_000, seed: int = 0) -> DataFrame:
+def instances(pairs: DataFrame, entities: DataFrame, low: int = 2, high: int = 3, bound: int = 100_000, count: int = 10_000, seed: int = 0, max_attempts: int | None = None) -> DataFrame:
     """(nodes) of all connected sets of low to high nodes, or of count sampled ones if the entities have more than bound combinations; pairs are undirected."""
     n = entities.agg(F.count("*").cast("double").alias("n"))
     if n.select(above_bound(F.col("n"), low, high, bound).alias("above")).first().above:
-        return sampled_sets(pairs, entities, low, high, count, seed).select("nodes")
+        return sampled_sets(pairs, entities, low, high, count, seed, max_attempts).select("nodes")
     return connected_sets(pairs, entities, low, high)
 
 
@@ -210,13 +227,13 @@ def resolved_hops(hops: Column, roles: Column) -> Column:
 
 
 def ordered_path(hops: Column) -> Column:
-    """The nodes that relational hops run along: from the first source, by the other end while hops are contiguous; null under 2 nodes."""
+    """The nodes that relational hops run along: from the first source, by the other end of every hop that touches the last node, so nodes may come again; null under 2 nodes."""
     start = F.array(F.element_at(hops, 1)["source"])
 
     def step(path: Column, h: Column) -> Column:
         last = F.element_at(path, -1)
         other = F.when(h["source"] == last, h["target"]).when(h["target"] == last, h["source"])
-        return F.when(other.isNull() | F.array_contains(path, other), path).otherwise(F.array_append(path, other))
+        return F.when(other.isNull(), path).otherwise(F.array_append(path, other))
 
     path = F.when(F.size(hops) > 0, F.aggregate(hops, start, step))
     return F.when(F.size(path) >= 2, path)
@@ -225,11 +242,22 @@ def ordered_path(hops: Column) -> Column:
 def nearest_examples(wanted: DataFrame, examples: DataFrame, n: int) -> DataFrame:
     """(set_id, rank, example_id, overlap): the n examples of the same structure whose words overlap most, then with most contexts, then in order.
 
-    wanted: (set_id, structure_id, text); examples: (structure_id, example_id, pos, text, n_contexts), few per structure.
+    wanted: (set_id, structure_id, text); examples: (structure_id, example_id, pos, text, n_contexts). Sets meet the examples that
+    share a word with them, by word; only the first n examples of a structure are offered to all its sets, for those that
+    share words with fewer than n.
     """
-    pairs = wanted.withColumn("w", word_set(F.col("text"))).drop("text").join(examples.withColumn("x", word_set(F.col("text"))).drop("text"), "structure_id").withColumn("overlap", jaccard(F.col("w"), F.col("x")))
+    w = wanted.select("set_id", "structure_id", word_set(F.col("text")).alias("w"))
+    x = examples.select("structure_id", "example_id", "pos", "n_contexts", word_set(F.col("text")).alias("x"))
+    common = w.select("set_id", "structure_id", F.explode("w").alias("word")).join(x.select("structure_id", "example_id", F.explode("x").alias("word")), ["structure_id", "word"])
+    shared = common.groupBy("structure_id", "set_id", "example_id").agg(F.count("*").alias("c"))
+    first = x.withColumn("r", F.row_number().over(W.partitionBy("structure_id").orderBy(F.col("n_contexts").desc(), "pos"))).filter(F.col("r") <= n)
+    offered = w.select("structure_id", "set_id").join(first.select("structure_id", "example_id"), "structure_id").withColumn("c", F.lit(0).cast("long"))
+    met = shared.unionByName(offered).groupBy("structure_id", "set_id", "example_id").agg(F.max("c").alias("c"))
+    sized = met.join(w.select("set_id", F.size("w").alias("nw")), "set_id").join(x.select("structure_id", "example_id", "pos", "n_contexts", F.size("x").alias("nx")), ["structure_id", "example_id"])
+    either = F.col("nw") + F.col("nx") - F.col("c")
+    rows = sized.withColumn("overlap", F.when(either > 0, F.col("c") / either).otherwise(F.lit(0.0)))
     order = W.partitionBy("set_id").orderBy(F.col("overlap").desc(), F.col("n_contexts").desc(), "pos")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("set_id", "rank", "example_id", "overlap")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("set_id", "rank", "example_id", "overlap")
 
 
 def role_descriptions(assigned: DataFrame, relationships: DataFrame) -> DataFrame:

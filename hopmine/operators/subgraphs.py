@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import draw
+from ..sources.shared import cut
+
 
 def adjacency(relationships: DataFrame, entities: DataFrame) -> DataFrame:
     """(name, n_out, n_in, n_incident): sizes of neighbour sets; parallel edges count once, isolates have zeros."""
@@ -26,9 +29,11 @@ def check_sizes(low: int, high: int, n_entities: int) -> None:
 def connected_sets(pairs: DataFrame, entities: DataFrame, low: int, high: int, max_degree: int | None = None, limit: int | None = None) -> DataFrame:
     """(nodes) of all connected node sets with low to high nodes, sorted names; pairs are the undirected (a, b) both ways.
 
-    Sets grow level by level along edges and repeats go at each level: a connected set of k nodes holds a connected set
-    of k - 1. max_degree, if given, leaves out nodes with more neighbours, whose sets would dominate everything.
+    Sets grow level by level along edges and repeats go at each level, which is kept before the next one grows: a connected
+    set of k nodes holds a connected set of k - 1. max_degree, if given, leaves out nodes with more neighbours, whose
+    sets would dominate everything. Sizes that the entities can't have are an error.
     """
+    check_sizes(low, high, entities.count())
     if max_degree is not None:
         small = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") <= max_degree).select("a")
         pairs = pairs.join(small, "a", "left_semi").join(small.withColumnRenamed("a", "b"), "b", "left_semi")
@@ -37,6 +42,8 @@ def connected_sets(pairs: DataFrame, entities: DataFrame, low: int, high: int, m
     for k in range(2, high + 1):
         grown = level.select("nodes", F.explode("nodes").alias("a")).join(pairs, "a").filter(~F.array_contains("nodes", F.col("b")))
         level = grown.select(F.array_sort(F.array_append("nodes", F.col("b"))).alias("nodes")).distinct()
+        if k < high:
+            level = cut(level)
         if k >= low:
             levels.append(level)
     out = reduce(DataFrame.unionByName, levels)
@@ -88,24 +95,24 @@ def sampled_sets(pairs: DataFrame, entities: DataFrame, low: int, high: int, cou
     """(attempt, nodes): up to count distinct connected sets grown at random, in attempt order.
 
     An attempt draws a size and a start with neighbours, then adds a random frontier node at a time. Every draw is the
-    minimum of a seeded hash, taken with partial aggregation, so a hub's neighbours are never gathered.
+    minimum of a seeded hash, taken with partial aggregation, so a hub's neighbours are never gathered. Sizes that the
+    entities can't have are an error.
     """
+    check_sizes(low, high, entities.count())
     spark = pairs.sparkSession
     attempts = max_attempts or max(100, 50 * count)
     starts = pairs.select("a").distinct() if high > 1 else entities.select(F.col("name").alias("a"))
     # as many starts as attempts at most, by hash: a bounded table that can be numbered
-    numbered = starts.orderBy(F.xxhash64(F.lit(seed), "a"), "a").limit(attempts).withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.xxhash64(F.lit(seed), "a"), "a")))
+    order = [draw(seed, "order", F.col("a")), F.col("a")]
+    numbered = cut(starts.orderBy(*order).limit(attempts).withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))))
     n = numbered.count()
     if not n:
         return spark.createDataFrame([], "attempt long, nodes array<string>")
-    draws = spark.range(attempts).select(
-        F.col("id").alias("attempt"), (F.pmod(F.xxhash64(F.lit(seed), F.lit("size"), "id"), F.lit(high - low + 1)) + low).alias("size"), (F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), "id"), F.lit(n)) + 1).alias("pos")
-    )
+    draws = spark.range(attempts).select(F.col("id").alias("attempt"), (draw(seed, "size", F.col("id")) % (high - low + 1) + low).alias("size"), (draw(seed, "start", F.col("id")) % n + 1).alias("pos"))
     grown = draws.join(numbered, "pos").select("attempt", "size", F.array("a").alias("nodes"))
     for step in range(1, high):
         frontier = grown.filter(F.size("nodes") < F.col("size")).select("attempt", "nodes", F.explode("nodes").alias("a")).join(pairs, "a").filter(~F.array_contains("nodes", F.col("b")))
-        pick = frontier.groupBy("attempt").agg(F.min_by("b", F.struct(F.xxhash64(F.lit(seed), F.lit(step), "attempt", "b"), "b")).alias("b"))
+        pick = frontier.groupBy("attempt").agg(F.min(F.struct(draw(seed, step, F.col("attempt"), F.col("b")).alias("h"), "b"))["b"].alias("b"))
         grown = grown.join(pick, "attempt", "left").select("attempt", "size", F.when(F.col("b").isNotNull(), F.array_append("nodes", F.col("b"))).otherwise(F.col("nodes")).alias("nodes"))
     sets = grown.filter(F.size("nodes") >= low).groupBy(F.array_sort("nodes").alias("nodes")).agg(F.min("attempt").alias("attempt"))
     return sets.select("attempt", "nodes").orderBy("attempt").limit(count)
-

@@ -13,13 +13,13 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, graph: bool = False) -> Callable[[Query], Query]:
-    """Registers a query; graph puts the star graph's table expressions before the SQL."""
+def query(sql: str | None = None, graph: bool | str = False) -> Callable[[Query], Query]:
+    """Registers a query; graph puts the table expressions of the star graph, or of its `places`, before the SQL."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = f"with {star_graph.SQL} {sql}" if graph else sql
+            SQL[f.__name__] = f"with {star_graph.PLACES_SQL if graph == 'places' else star_graph.SQL} {sql}" if graph else sql
         return f
 
     return add

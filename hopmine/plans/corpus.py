@@ -62,17 +62,18 @@ def a10_valid_edges(spark, d):
 
 @query(
     """with s as (select p_brand structure_id, case when max(p_size) = 50 then 'approved' end review_status from part group by 1),
-    x as (select p_brand structure_id, case when p_size > 45 then 'approved' end review_status from part union all select null, case when p_size > 48 then 'approved' end from part)
-    select structure_id, coalesce(n, (select count(*) from x where structure_id is null and review_status = 'approved')) n_examples, case when n is not null then 'own' else 'general' end source
-    from s left join (select structure_id, count(*) n from x where review_status = 'approved' and structure_id is not null group by 1) using (structure_id) where review_status = 'approved'"""
+    x as (select p_brand structure_id, p_partkey example_id, p_size > 45 and p_partkey % 2 = 0 ok from part union all select null, p_partkey, p_size > 48 and p_partkey % 7 = 0 from part),
+    o as (select s.structure_id, example_id, 'own' source from s join x using (structure_id) where review_status = 'approved' and ok)
+    select * from o union all select s.structure_id, example_id, 'general' from s, x where review_status = 'approved' and x.structure_id is null and ok and s.structure_id not in (select structure_id from o)"""
 )
 def a11_approved_catalogue(spark, d):
-    """Brands stand for structures, parts for examples."""
+    """Brands stand for structures, parts for examples; a few parts are general examples."""
     part = table(spark, d, "part")
     structures = part.groupBy(F.col("p_brand").alias("structure_id")).agg(F.when(F.max("p_size") == 50, "approved").alias("review_status"))
-    own = part.select(F.col("p_brand").alias("structure_id"), F.when(F.col("p_size") > 45, "approved").alias("review_status"))
-    general = part.select(F.lit(None).cast("string").alias("structure_id"), F.when(F.col("p_size") > 48, "approved").alias("review_status"))
-    return H.approved_view(structures, own.unionByName(general))
+    approved = lambda size, k: F.when((F.col("p_size") > size) & (F.col("p_partkey") % k == 0), "approved").alias("review_status")
+    own = part.select(F.col("p_brand").alias("structure_id"), F.col("p_partkey").alias("example_id"), approved(45, 2))
+    general = part.select(F.lit(None).cast("string").alias("structure_id"), F.col("p_partkey").alias("example_id"), approved(48, 7))
+    return H.approved_examples(structures, own.unionByName(general)).select("structure_id", "example_id", "source")
 
 
 @query("select item_id, text question, null::boolean answerable, null::boolean multi_hop from benchmark order by md5('79:' || item_id::varchar), item_id limit 20")
@@ -107,9 +108,9 @@ ch as (select id document_id, (s / 1100)::int chunk, substr(raw, s + 1, 1200) te
 units as (select *, {uuid_sql("document_id || ':' || chunk::varchar")} unit_id from ch),
 nm as (select *, regexp_extract_all(text, '{NAME}') all_names from units),
 men as (select unit_id, document_id, chunk, unnest(all_names) name from nm),
-ents as (select name, case length(name) % 5 when 0 then 'PERSON' when 1 then 'ORGANIZATION' when 2 then 'LOCATION' else 'OTHER' end type, 'Word of ' || length(name) || ' letters' description, list_sort(list(distinct unit_id)) ids, {uuid_sql("'entity:' || name")} id from men group by name),
+ents as (select name, case length(name) % 5 when 0 then 'PERSON' when 1 then 'ORGANIZATION' when 2 then 'LOCATION' else 'OTHER' end type, 'Word of ' || length(name) || ' letters' description, count(*) n_units, bit_xor(('0x' || substr(md5(unit_id), 1, 15))::bigint) units, {uuid_sql("'entity:' || name")} id from (select distinct unit_id, name from men) group by name),
 rm as (select unit_id, all_names[1] source, list_filter(all_names, lambda x: x <> all_names[1])[1] target, least(1.0, length(all_names[1]) / 10.0)::double weight from nm),
-rels as (select source, target, 'Seen with ' || target description, max(weight) weight, list_sort(list(distinct unit_id)) ids, {uuid_sql("'relation:' || source || chr(0) || target || chr(0) || 'Seen with ' || target")} id from rm where target is not null group by all)
+rels as (select source, target, 'Seen with ' || target description, max(weight) weight, count(*) n_units, bit_xor(('0x' || substr(md5(unit_id), 1, 15))::bigint) units, {uuid_sql("'relation:' || source || chr(0) || target || chr(0) || 'Seen with ' || target")} id from rm where target is not null group by all)
 """
 
 
@@ -167,9 +168,16 @@ def b5_mentions(spark, d):
     return B.mentions(B.parsed(_responses(spark, d)[1]), TYPES).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query(f"with {CHUNKS_SQL} select id, name, type, description, len(ids) n_units, md5(array_to_string(ids, ',')) units from ents")
+def _counted(links, keys):
+    """(keys, n_units, units): how many units, and the exclusive or of their digests, which needs no list of them."""
+    digest = F.conv(F.substring(F.md5("unit_id"), 1, 15), 16, 10).cast("long")
+    return links.groupBy(*keys).agg(F.count("*").alias("n_units"), F.bit_xor(digest).alias("units"))
+
+
+@query(f"with {CHUNKS_SQL} select id, name, type, description, n_units, units from ents")
 def b7_merged_entities(spark, d):
-    return _index(spark, d)[4].select("id", "name", "type", "description", F.size("text_unit_ids").alias("n_units"), F.md5(F.array_join("text_unit_ids", ",")).alias("units"))
+    _, _, found, _, entities, _ = _index(spark, d)
+    return entities.join(_counted(B.entity_units(found), ["name"]), "name").select("id", "name", "type", "description", "n_units", "units")
 
 
 @query(f"with {CHUNKS_SQL} select unit_id, source, target, round(weight, 6) weight from rm where target is not null")
@@ -177,9 +185,10 @@ def b8_relation_mentions(spark, d):
     return _index(spark, d)[3].select("unit_id", "source", "target", F.round("weight", 6).alias("weight"))
 
 
-@query(f"with {CHUNKS_SQL} select id, source, target, description, round(weight, 6) weight, md5(array_to_string(ids, ',')) units from rels")
+@query(f"with {CHUNKS_SQL} select id, source, target, description, round(weight, 6) weight, n_units, units from rels")
 def b9_merged_relationships(spark, d):
-    return _index(spark, d)[5].select("id", "source", "target", "description", F.round("weight", 6).alias("weight"), F.md5(F.array_join("text_unit_ids", ",")).alias("units"))
+    _, _, _, linked, _, relationships = _index(spark, d)
+    return relationships.join(_counted(B.relation_units(linked), B.KEYS), B.KEYS).select("id", *B.KEYS, F.round("weight", 6).alias("weight"), "n_units", "units")
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ids import draw_sql
 from ..operators import paths as P
 from ..operators import structures as S
 from ..operators import subgraphs as G
@@ -106,7 +107,7 @@ def c10_path_budget(spark, d):
     e, r = _graph(spark, d)
     lists = [["ORGANIZATION", "PRODUCT", "ARTIFACT"], CHAIN]
     walks = [P.typed_walks(r, e, ts).withColumn("types", F.lit(" > ".join(ts))) for ts in lists]
-    priorities = table(spark, d, "region").agg(F.count("*").alias("n")).select(F.explode(F.array(*[F.struct(F.lit(" > ".join(ts)).alias("types"), F.lit(i + 1).alias("priority")) for i, ts in enumerate(lists)])).alias("s")).select("s.*")
+    priorities = spark.createDataFrame([(" > ".join(ts), i + 1) for i, ts in enumerate(lists)], "types string, priority int")
     return P.budgeted_paths(walks[0].unionByName(walks[1]), priorities, 100).select("types", P.sequence_text("path").alias("path"), "priority")
 
 
@@ -148,8 +149,12 @@ ind as (select m.set_id, r.* from mem m join rels r on r.source = m.name join me
 """
 
 
+def _places(spark, d):
+    return star_graph.entities(spark, d, places=True), star_graph.relationships(spark, d, places=True)
+
+
 def _sets(spark, d, low=3, high=3):
-    e, r = _graph(spark, d)
+    e, r = _places(spark, d)
     sets = G.connected_sets(P.undirected(r), e, low, high).withColumn("set_id", F.array_join("nodes", "|"))
     return e, r, sets
 
@@ -176,12 +181,12 @@ def d2_connectivity(spark, d):
     return G.is_connected(sets, P.undirected(star_graph.relationships(spark, d)))
 
 
-@query(f", {SETS_SQL} select array_to_string(nodes, '|') nodes, 3 size from sets union all select a || '|' || b, 2 from und where a < b", graph=True)
+@query(f", {SETS_SQL} select array_to_string(nodes, '|') nodes, 3 size from sets union all select a || '|' || b, 2 from und where a < b", graph="places")
 def d3_connected_sets(spark, d):
     return _sets(spark, d, 2, 3)[2].select(F.col("set_id").alias("nodes"), F.size("nodes").alias("size"))
 
 
-@query(f", {SETS_SQL} select set_id, source, target, round(weight, 6) weight from ind", graph=True)
+@query(f", {SETS_SQL} select set_id, source, target, round(weight, 6) weight from ind", graph="places")
 def d4_induced_edges(spark, d):
     _, r, sets = _sets(spark, d)
     return G.induced_edges(sets, r).select("set_id", "source", "target", F.round("weight", 6).alias("weight"))
@@ -189,17 +194,26 @@ def d4_induced_edges(spark, d):
 
 @query(
     f""", {SETS_SQL} select mem.set_id, mem.name, count(*) filter (o = 1) n_out, count(*) filter (o = 0) n_in, count(o) degree from mem left join (select set_id, source n, 1 o from ind union all select set_id, target, 0 from ind) x on x.set_id = mem.set_id and x.n = mem.name group by all""",
-    graph=True,
+    graph="places",
 )
 def d5_degrees(spark, d):
     _, r, sets = _sets(spark, d)
     return G.degrees(sets, r).select("set_id", "name", "n_out", "n_in", "degree")
 
 
-@query()
+def sampled_sql(count: int, attempts: int, seed: int) -> str:
+    """Sampled sets of 2 or 3 nodes: starts, sizes and the nodes taken by their digests."""
+    return f"""st as (select a, row_number() over (order by h, a) pos from (select a, {draw_sql("'%d'" % seed, "'order'", "a")} h from (select distinct a from und)) order by h, a limit {attempts}),
+dr as (select i attempt, {draw_sql("'%d'" % seed, "'size'", "i")} % 2 + 2 size, {draw_sql("'%d'" % seed, "'start'", "i")} % (select count(*) from st) + 1 pos from range({attempts}) t(i)),
+g1 as (select attempt, any_value(size) size, any_value(st.a) x, first(und.b order by {draw_sql("'%d'" % seed, "'1'", "attempt", "und.b")}, und.b) y from dr join st using (pos) join und on und.a = st.a group by attempt),
+g2 as (select attempt, first(b order by {draw_sql("'%d'" % seed, "'2'", "attempt", "b")}, b) z from g1 join und on und.a in (x, y) and b <> x and b <> y where size = 3 group by attempt),
+smp as (select min(attempt) attempt, nodes from (select attempt, list_sort(case when z is null then [x, y] else [x, y, z] end) nodes from g1 left join g2 using (attempt)) group by nodes order by 1 limit {count})"""
+
+
+@query(f", {sampled_sql(200, 10_000, 7)} select attempt, array_to_string(nodes, '|') nodes from smp", graph="places")
 def d6_sampled_sets(spark, d):
     """200 connected sets of 2 or 3 nodes; the count is the sampler's argument."""
-    e, r = _graph(spark, d)
+    e, r = _places(spark, d)
     return G.sampled_sets(P.undirected(r), e, 2, 3, 200, seed=7).select("attempt", F.array_join("nodes", "|").alias("nodes"))
 
 
@@ -220,51 +234,64 @@ canon as (select set_id, min(t) structure_id from texts group by set_id)"""
 CANON_SQL = CANON_SQL.replace(" typed as (select set_id, [struct_pack(t := type, n := mem.name) for x in [1]] z, mem.name, type from mem join ents on ents.name = mem.name),", "")
 
 
-@query(CANON_SQL + " select set_id, structure_id from canon", graph=True)
+@query(CANON_SQL + " select set_id, structure_id from canon", graph="places")
 def d8_canonical_structures(spark, d):
     return S.canonical(_records(spark, d))
 
 
-@query(CANON_SQL + " select structure_id, count(*) n_instances, min(set_id) first_instance from canon group by 1", graph=True)
+@query(CANON_SQL + " select structure_id, count(*) n_instances, min(set_id) first_instance, json_extract_string(structure_id, '$.entity_types[0]') first_type, json_array_length(structure_id, '$.edges')::int n_pairs from canon group by 1", graph="places")
 def d9_grouped_instances(spark, d):
-    return S.canonical(_records(spark, d)).groupBy("structure_id").agg(F.count("*").alias("n_instances"), F.min("set_id").alias("first_instance"))
+    groups = S.grouped(S.canonical(_records(spark, d)))
+    return groups.select("structure_id", "n_instances", "first_instance", F.get("schema.entity_types", F.lit(0)).alias("first_type"), F.size("schema.edges").alias("n_pairs"))
 
 
-@query(CANON_SQL + " select structure_id, count(*) n, round(count(*) / sum(count(*)) over (), 9) proportion from canon group by 1", graph=True)
+@query(CANON_SQL + " select structure_id, count(*) n, round(count(*) / sum(count(*)) over (), 9) proportion from canon group by 1", graph="places")
 def d10_structure_frequencies(spark, d):
     return S.frequencies(S.canonical(_records(spark, d))).withColumn("proportion", F.round("proportion", 9))
 
 
-@query(CANON_SQL + " select structure_id, round(n::double, 6) proportional, round(pow(n, 2.0), 6) common, round(pow(n, -2.0), 12) rare, 1.0::double \"uniform\" from (select structure_id, count(*) n from canon group by 1)", graph=True)
+@query(CANON_SQL + " select structure_id, round(n::double, 6) proportional, round(pow(n, 2.0), 6) common, round(pow(n, -2.0), 12) rare, 1.0::double \"uniform\" from (select structure_id, count(*) n from canon group by 1)", graph="places")
 def d11_policy_weights(spark, d):
     f = S.frequencies(S.canonical(_records(spark, d)))
     w = lambda p, k: F.round(S.policy_weight(F.col("n"), p), k).alias(p)
     return f.select("structure_id", w("proportional", 6), w("common", 6), w("rare", 12), S.policy_weight(F.col("n"), "uniform").alias("uniform"))
 
 
-@query()
+DRAWS_SQL = CANON_SQL + f""", f as (select structure_id, count(*) n from canon group by 1),
+w2 as (select *, pow(n, 2.0) weight from f),
+up as (select *, case when lead(structure_id) over (order by structure_id) is null then 1.0 else sum(weight) over (order by structure_id) / sum(weight) over () end upper from w2),
+iv as (select *, coalesce(lag(upper) over (order by structure_id), 0.0) lower from up),
+drw as (select i draw, {draw_sql("'3'", "'structure'", "i")}::double / 4503599627370496 u, {draw_sql("'3'", "'instance'", "i")}::double / 4503599627370496 v from range(500) t(i)),
+num as (select structure_id, set_id, row_number() over (partition by structure_id order by md5(set_id), set_id) pos from canon),
+ring as (select structure_id, pos, sum(-ln(({draw_sql("'3'", "'gap'", "structure_id", "pos")} + 1)::double / 4503599627370497) / pow(n, -2.0)) over (partition by structure_id order by pos) t from (select structure_id, n, unnest(range(1, least(n, 50) + 1)) pos from f)),
+seq as (select *, row_number() over (order by t, structure_id, pos) - 1 draw from ring order by t, structure_id, pos limit 50),
+num3 as (select structure_id, set_id, row_number() over (partition by structure_id order by md5('3|' || set_id), set_id) pos from canon)"""
+
+
+@query(DRAWS_SQL + " select draw, structure_id, set_id, n, weight from drw join iv on u >= lower and u < upper join num using (structure_id) where pos = floor(v * n)::bigint + 1", graph="places")
 def d12_draw_with_replacement(spark, d):
     """500 draws; the count is the sampler's argument."""
     return S.draw_with_replacement(S.canonical(_records(spark, d)), 500, "common", seed=3)
 
 
-@query()
+@query(DRAWS_SQL + " select draw, structure_id, set_id from seq join num3 using (structure_id, pos)", graph="places")
 def d13_draw_without_replacement(spark, d):
+    """50 draws; the count is the sampler's argument."""
     return S.draw_without_replacement(S.canonical(_records(spark, d)), 50, "rare", seed=3)
 
 
-@query(", n as (select count(*)::double n from ents) select 2 low, 3 high, n * (n - 1) / 2 + n * (n - 1) * (n - 2) / 6 > 100000 sampled from n", graph=True)
+@query(f", {sampled_sql(10_000, 40_000, 7)} select array_to_string(nodes, '|') nodes, len(nodes) size from smp", graph="places")
 def d14_enumerate_or_sample(spark, d):
-    """Whether the graph has too many combinations of 2 or 3 entities to enumerate them all."""
-    n = star_graph.entities(spark, d).agg(F.count("*").cast("double").alias("n"))
-    return n.select(F.lit(2).alias("low"), F.lit(3).alias("high"), S.above_bound(F.col("n"), 2, 3).alias("sampled"))
+    """The instances: with more than 100,000 combinations of 2 or 3 entities 10,000 sampled sets out of 40,000 attempts (the operator's arguments), else all connected ones."""
+    e, r = _places(spark, d)
+    return S.instances(P.undirected(r), e, 2, 3, seed=7, max_attempts=40_000).select(F.array_join("nodes", "|").alias("nodes"), F.size("nodes").alias("size"))
 
 
-@query()
-def d25_structure_instances(spark, d):
-    """The instances that d14's switch decides on: all connected sets of 2 or 3 nodes, or 10,000 sampled ones (the operator's numbers)."""
-    e, r = _graph(spark, d)
-    return S.instances(P.undirected(r), e, 2, 3, seed=7).select(F.array_join("nodes", "|").alias("nodes"), F.size("nodes").alias("size"))
+@query(", n as (select count(*)::double n from ents) select 2 low, 3 high, n * (n - 1) / 2 + n * (n - 1) * (n - 2) / 6 > 100000 sampled from n", graph="places")
+def d25_sampling_switch(spark, d):
+    """Whether the graph has too many combinations of 2 or 3 entities to enumerate them all."""
+    n = star_graph.entities(spark, d, places=True).agg(F.count("*").cast("double").alias("n"))
+    return n.select(F.lit(2).alias("low"), F.lit(3).alias("high"), S.above_bound(F.col("n"), 2, 3).alias("sampled"))
 
 
 def _scored(spark, d):
@@ -274,27 +301,43 @@ def _scored(spark, d):
     return records, S.quality(units), names
 
 
-@query(f", {SETS_SQL} select set_id, round(coalesce(sum(weight), 0) + 0.25 * sum(length(source) % 4) + 0.5 * count(*), 6) quality from ind group by 1", graph=True)
+@query(f", {SETS_SQL} select set_id, round(coalesce(sum(weight), 0) + 0.25 * sum(length(source) % 4) + 0.5 * count(*), 6) quality from ind group by 1", graph="places")
 def d15_instance_quality(spark, d):
     return _scored(spark, d)[1].select("set_id", F.round("quality", 6).alias("quality"))
 
 
-@query(f", {SETS_SQL} select set_id, array_to_string(list_sort(list_distinct(list(lower(t)))), ';') signature from (select set_id, name t from mem union all select set_id, description from ind) where t <> '' group by 1", graph=True)
+@query(f", {SETS_SQL} select set_id, array_to_string(list_sort(list_distinct(list(lower(t)))), ';') signature from (select set_id, name t from mem union all select set_id, description from ind) where t <> '' group by 1", graph="places")
 def d16_instance_signature(spark, d):
     return S.signature(_records(spark, d)).select("set_id", F.array_join("signature", ";").alias("signature"))
 
 
 def _with_structure(spark, d):
+    """Scored instances; qualities are rounded, so that sums in another order choose the same."""
     records, quality, names = _scored(spark, d)
-    return cut(S.canonical(records)).join(quality, "set_id").join(names, "set_id").join(S.signature(records), "set_id")
+    scored = quality.withColumn("quality", F.round("quality", 6))
+    return cut(S.canonical(records)).join(scored, "set_id").join(names, "set_id").join(S.signature(records), "set_id")
+
+
+_LIKE = "len(list_intersect(p.sig, {0}.sig)) / len(list_distinct(list_concat(p.sig, {0}.sig)))"
+REPS_SQL = CANON_SQL + f""", qu as (select set_id, round(coalesce(sum(weight), 0) + 0.25 * sum(length(source) % 4) + 0.5 * count(*), 6) quality from ind group by 1),
+sg as (select set_id, list_distinct(list(lower(t))) sig from (select set_id, name t from mem union all select set_id, description from ind) where t <> '' group by 1),
+pool as (select structure_id, set_id, set_id names, quality, sig from canon join qu using (set_id) join sg using (set_id)),
+c1 as (select structure_id, first(set_id order by quality desc, names desc) set_id from pool group by 1),
+f1 as (select pool.* from pool join c1 using (structure_id, set_id)),
+p2 as (select p.*, {_LIKE.format("f1")} l1 from pool p join f1 using (structure_id) where p.set_id <> f1.set_id),
+c2 as (select structure_id, first(set_id order by quality - l1 desc, names desc) set_id from p2 group by 1),
+f2 as (select pool.* from pool join c2 using (structure_id, set_id)),
+p3 as (select p.*, greatest(p.l1, {_LIKE.format("f2")}) l2 from p2 p join f2 using (structure_id) where p.set_id <> f2.set_id),
+c3 as (select structure_id, first(set_id order by quality - l2 desc, names desc) set_id from p3 group by 1),
+reps as (select structure_id, 1 rank, set_id from c1 union all select structure_id, 2, set_id from c2 union all select structure_id, 3, set_id from c3)"""
 
 
-@query()
+@query(REPS_SQL + " select structure_id, rank, set_id from reps", graph="places")
 def d17_representatives(spark, d):
     return S.representatives(_with_structure(spark, d), 3)
 
 
-@query()
+@query(REPS_SQL + ", have as (select structure_id, count(*) % 3 k from canon group by 1) select structure_id, rank, set_id from reps join have using (structure_id) where rank <= greatest(0, 3 - k)", graph="places")
 def d18_example_backfill(spark, d):
     scored = _with_structure(spark, d)
     have = S.frequencies(scored).select("structure_id", (F.col("n") % 3).alias("n_examples"))
@@ -314,12 +357,12 @@ def _assigned(spark, d):
     return r, S.assign_roles(nodes, roles)
 
 
-@query(ROLES_SQL + " select set_id, role, name from asg", graph=True)
+@query(ROLES_SQL + " select set_id, role, name from asg", graph="places")
 def d19_role_assignment(spark, d):
     return _assigned(spark, d)[1]
 
 
-@query(ROLES_SQL + " select x.set_id, source, target, description from asg x join asg y on x.set_id = y.set_id join rels on source = x.name and target = y.name", graph=True)
+@query(ROLES_SQL + " select x.set_id, source, target, description from asg x join asg y on x.set_id = y.set_id join rels on source = x.name and target = y.name", graph="places")
 def d24_role_descriptions(spark, d):
     r, assigned = _assigned(spark, d)
     return S.role_descriptions(assigned, r)
@@ -329,30 +372,30 @@ HOP = "array<struct<hop:int,source:string,target:string,operation:string,inputs:
 
 
 def _hops(spark, d):
-    """Two relational hops and one operation per supplier with its nation and region, from the tables."""
+    """Three relational hops, of which the last goes back to the nation, and one operation per supplier with its nation and region."""
     s, n, r = table(spark, d, "supplier"), table(spark, d, "nation"), table(spark, d, "region")
     rows = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     hop = lambda i, a, b, op, x, y: F.struct(F.lit(i).alias("hop"), F.lit(a).alias("source"), F.lit(b).alias("target"), F.lit(op).alias("operation"), x.alias("inputs"), y.alias("returns"))
     none = F.lit(None).cast("array<string>")
-    hops = F.array(hop(1, "s", "n", None, none, none), hop(2, "n", "r", None, none, none), hop(3, None, None, "argmax", F.array(F.lit("s"), F.lit("zz")), F.array(F.lit("r")))).cast(HOP)
+    hops = F.array(hop(1, "s", "n", None, none, none), hop(2, "n", "r", None, none, none), hop(3, "n", "r", None, none, none), hop(4, None, None, "argmax", F.array(F.lit("s"), F.lit("zz")), F.array(F.lit("r")))).cast(HOP)
     return rows.select(F.col("s_name").alias("set_id"), hops.alias("hops"), F.create_map(F.lit("s"), "s_name", F.lit("n"), "n_name", F.lit("r"), "r_name").alias("roles"))
 
 
 CHAIN3 = "from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey"
 
 
-@query(f"select s_name set_id, 2 relational, 1 operations {CHAIN3}")
+@query(f"select s_name set_id, 3 relational, 1 operations {CHAIN3}")
 def d20_hop_kinds(spark, d):
     return _hops(spark, d).select("set_id", F.size(S.relational_hops(F.col("hops"))).alias("relational"), F.size(S.operation_hops(F.col("hops"))).alias("operations"))
 
 
-@query(f"select s_name set_id, s_name || '>' || n_name || ';' || n_name || '>' || r_name || ';' || s_name || ',zz>' || r_name hops {CHAIN3}")
+@query(f"select s_name set_id, s_name || '>' || n_name || ';' || n_name || '>' || r_name || ';' || n_name || '>' || r_name || ';' || s_name || ',zz>' || r_name hops {CHAIN3}")
 def d21_resolved_hops(spark, d):
     text = lambda h: F.coalesce(F.concat(h["source"], F.lit(">"), h["target"]), F.concat(F.array_join(h["inputs"], ","), F.lit(">"), F.array_join(h["returns"], ",")))
     return _hops(spark, d).select("set_id", F.array_join(F.transform(S.resolved_hops(F.col("hops"), F.col("roles")), text), ";").alias("hops"))
 
 
-@query(f"select s_name set_id, s_name || ' > ' || n_name || ' > ' || r_name path {CHAIN3}")
+@query(f"select s_name set_id, s_name || ' > ' || n_name || ' > ' || r_name || ' > ' || n_name path {CHAIN3}")
 def d22_ordered_path(spark, d):
     resolved = S.resolved_hops(S.relational_hops(F.col("hops")), F.col("roles"))
     return _hops(spark, d).select("set_id", P.sequence_text(S.ordered_path(resolved)).alias("path"))
@@ -365,7 +408,7 @@ def d22_ordered_path(spark, d):
     select set_id, rank, item_id example_id, round(overlap, 6) overlap from (select *, row_number() over (partition by set_id order by overlap desc, n_contexts desc, item_id) rank from s) where rank <= 2"""
 )
 def d23_nearest_examples(spark, d):
-    """The two nearest benchmark items of every user turn; examples per structure are few."""
+    """The two nearest benchmark items of every user turn."""
     wanted = table(spark, d, "conversations").filter("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("set_id"), F.lit("s").alias("structure_id"), "text")
     examples = table(spark, d, "benchmark").select(F.lit("s").alias("structure_id"), F.col("item_id").alias("example_id"), F.col("item_id").alias("pos"), "text", (F.char_length("text") % 3).alias("n_contexts"))
     return S.nearest_examples(wanted, examples, 2).withColumn("overlap", F.round("overlap", 6))

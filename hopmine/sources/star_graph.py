@@ -1,11 +1,14 @@
-"""A typed graph out of the star-schema tables: regions, nations, suppliers, customers in debt, parts and brands.
+"""Typed graphs out of all rows of the star-schema tables.
 
-Only lines of 50 or more returned pieces link a supplier to a part, and only large parts a brand, so that no node is
-linked to a fixed share of the table.
+The whole graph has regions, nations, suppliers, customers, parts and brands. The graph of places leaves parts and brands
+out: it is the one whose connected sets of three are listed, since there are as many of them in the whole graph as the
+sum of the squared degrees.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ def clamp(x):
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
-def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+def entities(spark: SparkSession, sf_dir: str, places: bool = False) -> DataFrame:
     """(name, type, description), one row a name."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     parts = [
@@ -27,49 +30,50 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         t("part").select(F.concat(F.lit("Part#"), F.col("p_partkey").cast("string")).alias("name"), F.lit("PRODUCT").alias("type")),
         t("part").select(F.col("p_brand").alias("name"), F.lit("ARTIFACT").alias("type")).distinct(),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = reduce(DataFrame.unionByName, parts[:4] if places else parts)
     return out.withColumn("description", F.concat("name", F.lit(" is a "), F.lower("type")))
 
 
-def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+def relationships(spark: SparkSession, sf_dir: str, places: bool = False) -> DataFrame:
     """(id, source, target, description, weight)."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     nation, region, supplier = t("nation"), t("region"), t("supplier")
     part_name = lambda c: F.concat(F.lit("Part#"), F.col(c).cast("string"))
     name = lambda c: F.col(c)
-    lines = t("lineitem").filter("l_quantity >= 50 and l_returnflag = 'R'").groupBy("l_suppkey", "l_partkey").agg(F.max(F.col("l_discount").cast("double")).alias("d"))
+    lines = t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max(F.col("l_discount").cast("double")).alias("d"))
     parts = [
         nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(name("n_name").alias("source"), name("r_name").alias("target"), F.lit(1.0).alias("weight")),
         supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"]).select(name("s_name").alias("source"), name("n_name").alias("target"), clamp(F.col("s_acctbal").cast("double") / 10000).alias("weight")),
-        t("customer").filter("c_acctbal < 0").join(nation, F.col("c_nationkey") == nation["n_nationkey"]).select(name("c_name").alias("source"), name("n_name").alias("target"), clamp(F.col("c_acctbal").cast("double") / -1000).alias("weight")),
+        t("customer").join(nation, F.col("c_nationkey") == nation["n_nationkey"]).select(name("c_name").alias("source"), name("n_name").alias("target"), clamp(F.col("c_acctbal").cast("double") / 10000).alias("weight")),
         lines.join(supplier, lines["l_suppkey"] == supplier["s_suppkey"]).select(name("s_name").alias("source"), part_name("l_partkey").alias("target"), clamp(F.col("d") * 10).alias("weight")),
-        t("part").filter("p_size > 45").select(part_name("p_partkey").alias("source"), name("p_brand").alias("target"), clamp(F.col("p_size").cast("double") / 50).alias("weight")),
+        t("part").select(part_name("p_partkey").alias("source"), name("p_brand").alias("target"), clamp(F.col("p_size").cast("double") / 50).alias("weight")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = reduce(DataFrame.unionByName, parts[:3] if places else parts)
     out = out.withColumn("description", F.concat("source", F.lit(" is linked to "), "target"))
     return out.withColumn("id", uuid5(F.concat(F.lit("relation:"), F.concat_ws("\u0000", "source", "target", "description"))))
 
 
-#: The same two tables as SQL common table expressions.
-SQL = """
-ents as (
-  select name, type, name || ' is a ' || lower(type) description from (
+_ENDS = """
     select r_name name, 'LOCATION' type from region union all select n_name, 'LOCATION' from nation
-    union all select s_name, 'ORGANIZATION' from supplier union all select c_name, 'PERSON' from customer
-    union all select 'Part#' || p_partkey::varchar, 'PRODUCT' from part union all select distinct p_brand, 'ARTIFACT' from part)
-), rels as (
-  select source, target, weight, source || ' is linked to ' || target description from (
+    union all select s_name, 'ORGANIZATION' from supplier union all select c_name, 'PERSON' from customer"""
+_LINKS = """
     select n_name source, r_name target, 1.0::double weight from nation join region on n_regionkey = r_regionkey
     union all select s_name, n_name, greatest(0.0, least(1.0, s_acctbal::double / 10000)) from supplier join nation on s_nationkey = n_nationkey
-    union all select c_name, n_name, greatest(0.0, least(1.0, c_acctbal::double / -1000)) from customer join nation on c_nationkey = n_nationkey where c_acctbal < 0
-    union all select s_name, 'Part#' || l_partkey::varchar, greatest(0.0, least(1.0, max(l_discount::double) * 10)) from lineitem join supplier on l_suppkey = s_suppkey
-      where l_quantity >= 50 and l_returnflag = 'R' group by s_name, l_partkey
-    union all select 'Part#' || p_partkey::varchar, p_brand, greatest(0.0, least(1.0, p_size::double / 50)) from part where p_size > 45)
-), und as (
-  select distinct a, b from (select source a, target b from rels union all select target, source from rels) where a <> b
-)
+    union all select c_name, n_name, greatest(0.0, least(1.0, c_acctbal::double / 10000)) from customer join nation on c_nationkey = n_nationkey"""
+_MORE_ENDS = """
+    union all select 'Part#' || p_partkey::varchar, 'PRODUCT' from part union all select distinct p_brand, 'ARTIFACT' from part"""
+_MORE_LINKS = """
+    union all select s_name, 'Part#' || l_partkey::varchar, greatest(0.0, least(1.0, max(l_discount::double) * 10)) from lineitem join supplier on l_suppkey = s_suppkey group by s_name, l_partkey
+    union all select 'Part#' || p_partkey::varchar, p_brand, greatest(0.0, least(1.0, p_size::double / 50)) from part"""
+
+
+def _sql(ends: str, links: str) -> str:
+    return f"""
+ents as (select name, type, name || ' is a ' || lower(type) description from ({ends})),
+rels as (select source, target, weight, source || ' is linked to ' || target description from ({links})),
+und as (select distinct a, b from (select source a, target b from rels union all select target, source from rels) where a <> b)
 """
+
+
+#: The same tables as SQL common table expressions.
+SQL, PLACES_SQL = _sql(_ENDS + _MORE_ENDS, _LINKS + _MORE_LINKS), _sql(_ENDS, _LINKS)

@@ -24,8 +24,9 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     from ..functions.ids import uuid5
 
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw_content"))
-    plain = F.regexp_replace("path", "^file:(//)?", "")
-    return files.select(uuid5(plain).alias("id"), F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]+$", "").alias("title"), "raw_content")
+    # Spark gives paths as URLs; a plus sign is one in them
+    plain = F.url_decode(F.replace(F.regexp_replace("path", "^file:(//)?", ""), F.lit("+"), F.lit("%2B")))
+    return files.select(uuid5(plain).alias("id"), F.regexp_replace(F.element_at(F.split(plain, "/"), -1), r"(?<=.)\.[^.]+$", "").alias("title"), "raw_content")
 
 
 def read_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import random
 import uuid
 from collections import Counter
@@ -49,9 +50,9 @@ def test_uuid5_equals_the_standard_one(spark):
 
 
 def test_json_object(spark):
-    rows = ['{"x": 1}', '```json\n{"x": 1}\n```', 'Sure: {"x": {"y": 2}} done', "[1]", "no", None, "{broken"]
+    rows = ['{"x": 1}', '```json\n{"x": 1}\n```', 'Sure: {"x": {"y": 2}} done', "[1]", "no", None, "{broken", '[{"x": 1}]', '[note] {"x": 1}', '```\n{"x": 1}', ' \u2003{"x": 1}\n', "} {", '{"x": "}"', ""]
     got = [r[0] for r in spark.createDataFrame([(k,) for k in rows], "k string").select(json_object(F.col("k"))).collect()]
-    assert got == ['{"x": 1}', '{"x": 1}', '{"x": {"y": 2}}', None, None, None, None]
+    assert got == ['{"x": 1}', '{"x": 1}', '{"x": {"y": 2}}', None, None, None, None, None, '{"x": 1}', '{"x": 1}', '{"x": 1}', None, None, None]
 
 
 def test_strip_and_normal_answer(spark):
@@ -76,6 +77,9 @@ def test_corpus_and_records(spark, tmp_path):
     (tmp_path / "a.b.txt").write_text("line 1\nline 2")
     row = tables.read_corpus(spark, str(tmp_path / "*.txt")).first()
     assert (row.title, row.raw_content, row.id) == ("a.b", "line 1\nline 2", str(uuid.uuid5(uuid.NAMESPACE_URL, str(tmp_path / "a.b.txt"))))
+    (tmp_path / "a b+c%20.txt").write_text("x")
+    odd = tables.read_corpus(spark, str(tmp_path / "a b*.txt")).first()
+    assert (odd.title, odd.id) == ("a b+c%20", str(uuid.uuid5(uuid.NAMESPACE_URL, str(tmp_path / "a b+c%20.txt"))))
     (tmp_path / "one.json").write_text('{"q": "x",\n "n": 1}')
     (tmp_path / "many.json").write_text('[{"q": "y", "n": 2}, {"q": "z", "n": 3}]')
     got = tables.read_records(spark, str(tmp_path / "*.json"), "q string, n long")
@@ -121,11 +125,12 @@ def test_index_merges_in_reading_order(spark):
     parsed = index.parsed(responses)
     found, linked = index.mentions(parsed, ["person", "place"]), index.relation_mentions(parsed)
     entities = index.merged_entities(found)
-    got = {r.name: r for r in entities.collect()}
+    got = {r.name: r for r in index.with_unit_ids(entities, index.entity_units(found), ["name"]).collect()}
     assert (got["Ann"].type, got["Ann"].description, got["Ann"].text_unit_ids) == ("PERSON", "first second", ["u1", "u2"])
     assert got["Bob"].type == "PLACE" and set(got) == {"Ann", "Bob"}
     relations = index.merged_relationships(linked, entities)
-    assert [(r.source, r.target, r.weight, r.text_unit_ids) for r in relations.collect()] == [("Ann", "Bob", 1.0, ["u1", "u2"])]
+    listed = index.with_unit_ids(relations, index.relation_units(linked), index.KEYS)
+    assert [(r.source, r.target, r.weight, r.text_unit_ids) for r in listed.collect()] == [("Ann", "Bob", 1.0, ["u1", "u2"])]
     assert [(r.unit_id, r.reason) for r in index.rejected(responses).collect()] == [("u3", "no JSON object")]
     units = spark.createDataFrame([("u1",), ("u2",), ("u3",)], "id string")
     members = {r.id: (len(r.entity_ids), len(r.relationship_ids)) for r in index.memberships(units, found, linked, entities, relations).collect()}
@@ -271,6 +276,8 @@ def test_hops(spark):
     df = spark.createDataFrame([(hops, {"a": "A", "b": "B", "c": "C"})], f"hops {kind}, roles map<string,string>")
     r = df.select(structures.resolved_hops(F.col("hops"), F.col("roles")).alias("h")).first().h
     assert [(x.source, x.target) for x in r] == [("A", "B"), ("C", "B"), (None, None)] and r[2].inputs == ["A", "zz"] and r[2].returns == ["C"]
+    back = spark.createDataFrame([([(1, "a", "b", None, None, None), (2, "b", "c", None, None, None), (3, "b", "c", None, None, None), (4, "d", "e", None, None, None)],)], f"hops {kind}")
+    assert back.select(structures.ordered_path(F.col("hops"))).first()[0] == ["a", "b", "c", "b"]
     path = df.select(structures.ordered_path(structures.relational_hops(structures.resolved_hops(F.col("hops"), F.col("roles"))))).first()[0]
     assert path == ["A", "B", "C"]
 
@@ -291,17 +298,59 @@ def test_budget_skips_and_stops(spark):
 
 
 def test_flags_must_be_literal(spark):
-    rows = [(1, '{"answerable": true, "predicted_answer": "The X!", "citations": [1, 2]}', 2), (2, '{"answerable": "true", "predicted_answer": "x", "citations": [1]}', 2), (3, '{"answerable": true, "predicted_answer": "y z", "citations": [3]}', 2), (4, "?", 2)]
+    rows = [
+        (1, '{"answerable": true, "answer": "The X!", "evidence_sources": [1, 2]}', 2), (2, '{"answerable": "true", "answer": "x", "evidence_sources": [1]}', 2), (3, '{"answerable": true, "answer": "y z", "evidence_sources": [3]}', 2), (4, "?", 2),
+        (5, '{"answerable": true, "answer": "q", "evidence_sources": []}', 2), (6, '{"answerable": true, "answer": "q", "evidence_sources": [2], "equivalent": [false, true]}', 2), (7, '{"answerable": true, "evidence_sources": [2]}', 2),
+    ]
     df = spark.createDataFrame(rows, "id int, response string, n_passages int").withColumn("expected", F.lit("x")).withColumn("aliases", F.array(F.lit("Y, Z")))
     got = {r.id: (r.supported, r.failures) for r in review.single_hop_verdict(review.answer_match(review.parse(df, review.ANSWER))).collect()}
-    assert got[1] == (True, []) and got[2] == (False, ["not answerable"]) and got[3] == (False, ["invalid citations"])
-    assert got[4] == (False, ["not answerable", "invalid citations", "answer mismatch"])
+    none, cited, other = "not_answerable_from_context", "missing_or_invalid_evidence_citations", "answer_does_not_match_expected"
+    # what isn't answerable fails for that alone
+    assert got == {1: (True, []), 2: (False, [none]), 3: (False, [cited]), 4: (False, [none]), 5: (False, [cited, other]), 6: (True, []), 7: (False, [none])}
+
+
+def test_multi_hop_conditions_one_by_one(spark):
+    hop = lambda i: {"hop": i, "required_by_question": True, "supported_by_sources": True, "feeds_later_hop": i == 1}
+    good = ({"well_formed": True, "answerable": True, "answer": "X"}, {"follows_intended_chain": True, "sequential_dependency": True, "unsupported_constraints": [], "hop_reviews": [hop(2), hop(1)]}, True, False)
+    change = lambda at, **fields: tuple({**x, **fields} if i == at else x for i, x in enumerate(good))
+    cases = [
+        (good, []), (change(0, well_formed=None), ["not_well_formed"]), (change(0, answerable="yes"), ["not_answerable"]), (change(0, answer=None), ["not_answerable"]), (change(0, answer="other"), ["answer_mismatch"]),
+        (change(1, follows_intended_chain=False), ["does_not_follow_intended_chain"]), (change(1, sequential_dependency=None), ["no_sequential_dependency"]), (change(1, unsupported_constraints=["c"]), ["unsupported_constraints"]), (change(1, unsupported_constraints=None), []),
+        (change(1, hop_reviews=[hop(1)]), ["hop_alignment_failed"]), (change(1, hop_reviews=[hop(1), hop(1), hop(2)]), []), (change(1, hop_reviews=[hop(1), {**hop(2), "supported_by_sources": None}]), ["hop_alignment_failed"]),
+        ((*good[:2], False, False), ["unnecessary_hop_or_bypass"]), ((*good[:3], None), ["shortcut_found"]), ((*good[:3], True), ["shortcut_found"]), ((*change(0, answerable=False, well_formed=False)[:2], None, None), ["not_well_formed", "not_answerable", "unnecessary_hop_or_bypass", "shortcut_found"]),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(c[0]), json.dumps(c[1]), c[2], c[3]) for i, (c, _) in enumerate(cases)], "id int, response string, chain string, all_necessary boolean, shortcut_found boolean")
+    df = review.parse(df.withColumn("expected", F.lit("x")).withColumn("aliases", F.array().cast("array<string>")).withColumn("n_hops", F.lit(2)), "struct<well_formed:boolean,answerable:boolean,answer:string,equivalent:array<boolean>>")
+    df = review.answer_match(df).withColumn("chain", F.from_json("chain", review.CHAIN))
+    got = {r.id: (r.accepted, r.failures, r.decision) for r in review.multi_hop_verdict(df).collect()}
+    assert got == {i: (not f, f, "discarded" if f else "accepted") for i, (_, f) in enumerate(cases)}
+    short = spark.createDataFrame([("p", ["a", "b"]), ("q", ["a", "b", "c"])], "path_id string, path array<string>")
+    assert [r.path_id for r in review.short_paths(short).collect()] == ["p"]
+
+
+def test_structure_verdicts(spark):
+    hops = [(1, "a", "b"), (2, "b", "c"), (3, None, None)]
+    said = lambda **x: json.dumps({"valid": True, "globally_unique": True, "shortcut_found": False, "hop_reviews": [{"hop": 1}, {"hop": 2}, {"hop": 1}], "operation_reviews": [{"hop": 3}], **x})
+    rows = [
+        (1, hops, said(), "strict", True, []), (2, hops, said(valid=False, failure_reasons=["f"]), "strict", False, ["f"]), (3, hops, said(valid=None), "loose", False, []), (4, hops, said(operation_reviews=[]), "loose", False, ["incomplete_topology_review"]),
+        (5, hops, said(globally_unique=False), "strict", False, []), (6, hops, said(globally_unique=False), "balanced", True, []), (7, hops, said(shortcut_found=None), "loose", False, []), (8, [hops[0], hops[2]], said(), "strict", False, ["fewer_than_two_relational_hops"]),
+    ]
+    df = review.parse(spark.createDataFrame([r[:4] for r in rows], "id int, hops array<struct<hop:int,source:string,target:string>>, response string, rigor string"), review.STRUCTURE)
+    got = {r.id: (r.accepted, r.failures) for r in review.structure_verdict(df).collect()}
+    assert got == {r[0]: r[4:] for r in rows}
 
 
 def test_operations(spark):
-    rows = [("q", "argmin", "a", "2"), ("q", "argmin", "b", "1"), ("t", "earliest", "a", "2001-02-03"), ("t", "earliest", "b", "1999-01-01"), ("u", "argmax", "a", "x"), ("u", "argmax", "b", "1"), ("c", "count", "a", None), ("c", "count", "b", None)]
+    rows = [("q", "argmin", "a", "2"), ("q", "argmin", "b", "1"), ("t", "temporal_order", "a", "2001-02-03"), ("t", "temporal_order", "b", "1999-01-01"), ("u", "argmax", "a", "x"), ("u", "argmax", "b", "1"), ("c", "counting", "a", None), ("c", "counting", "b", None)]
+    rows += [("m", "comparison", "a", "1"), ("m", "comparison", "b", "3"), ("e", "comparison", "a", "1"), ("e", "comparison", "b", "1.0"), ("i", "intersection", "a", "x"), ("i", "intersection", "a", "y"), ("i", "intersection", "b", "x"), ("i", "intersection", "c", "y"), ("i", "intersection", "c", "x")]
+    rows += [("s", "selection", "a", "true"), ("s", "selection", "b", "no"), ("n", "selection", "a", "no"), ("x", "unheard", "a", "1")]
     df = spark.createDataFrame(rows, "question_id string, operation string, name string, value string")
-    assert {r.question_id: r.answer for r in review.operation_answers(df).collect()} == {"q": "b", "t": "b", "u": None, "c": "2"}
+    computed = review.operation_answers(df)
+    assert {r.question_id: r.answer for r in computed.collect()} == {"q": "b", "t": "b < a", "u": None, "c": "2", "m": "b", "e": "equal", "i": "a, c", "s": "a", "n": None, "x": None}
+    said = spark.createDataFrame([("q", '{"valid": true, "answer": "said"}'), ("t", '{"valid": "true", "answer": "said"}'), ("u", "?")], "question_id string, response string")
+    got = {r.question_id: (r.answer, r.stage) for r in review.operation_verdict(computed, said, computed).collect()}
+    assert got["q"] == ("said", None) and got["t"] == got["u"] == (None, "operation_review") and got["c"] == ("2", None) and got["n"] == (None, "pending")
+    assert {r.stage for r in review.operation_verdict(computed, said).filter("question_id = 'c'").collect()} == {"pending"}
 
 
 # -- ambiguity ---------------------------------------------------------------------------------------------------------
@@ -349,9 +398,22 @@ def test_a_search_that_the_cap_cuts_is_not_unique(spark, cap):
     both = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "a string, b string")
     q = spark.createDataFrame([("q", "r")], "question_id string, r string")
     found = ambiguity.pattern_assignments(q, e, both, [("r", "L"), ("n", "N"), ("p", "P")], [("r", "n"), ("n", "p")], ("r",), cap)
-    rows = found.select("question_id", F.col("p").alias("answer"), (F.col("p") == "p1").alias("admissible"), F.lit("p1").alias("intended"), "complete")
+    rows = found.select("question_id", F.col("pos").alias("id"), F.col("p").alias("answer"), (F.col("p") == "p1").alias("admissible"), F.lit("p1").alias("intended_answer"), "complete")
     decided = ambiguity.structure_decision(rows, "disambiguate").first()
-    assert found.count() == cap and decided.answers == ["p1"] and decided.decision == ("accepted" if cap == 3 else "retry")
+    assert found.count() == cap and decided.answers == ["p1"] and (decided.decision, decided.acceptable_answers) == (("accepted", ["p1"]) if cap == 3 else ("discarded", []))
+
+
+def test_structure_decisions(spark):
+    rows = [("q", i, a, ok, "x", True) for i, (a, ok) in enumerate([("x", True), ("y", True), ("z", None), ("w", False), ("x", False), ("v", False), ("u", False)])]
+    rows += [("o", 0, "y", True, "x", True), ("n", 0, "x", False, "x", True)]
+    df = spark.createDataFrame(rows, "question_id string, id int, answer string, admissible boolean, intended_answer string, complete boolean")
+    again = spark.createDataFrame([("q", 0, "x", True), ("q", 1, "y", False), ("o", 0, "x", True)], "question_id string, id int, answer string, admissible boolean")
+    got = lambda *a: {r.question_id: (r.decision, r.acceptable_answers, r.distractors) for r in ambiguity.structure_decision(df, *a).collect()}
+    wrong = ["z", "w", "x", "v"]
+    assert got("discard") == {"q": ("discarded", [], wrong), "o": ("discarded", [], []), "n": ("discarded", [], ["x"])}
+    assert got("retain") == {"q": ("accepted", ["x", "y"], wrong), "o": ("accepted", ["y"], []), "n": ("discarded", [], ["x"])}
+    # only a question whose intended answer is among the answers is asked again
+    assert got("disambiguate", again) == {"q": ("disambiguated", ["x"], ["y"]), "o": ("discarded", [], []), "n": ("discarded", [], ["x"])}
 
 
 def test_batches_with_other_ids_are_rejected(spark):
@@ -361,12 +423,70 @@ def test_batches_with_other_ids_are_rejected(spark):
     assert good.count() == 20 and sorted(r.batch for r in rejects.collect()) == [1, 2]
 
 
-def test_disambiguation(spark):
-    groups = spark.createDataFrame([("a", ["x"], True, True), ("b", ["x", "y"], True, False), ("c", ["x", "y"], True, False), ("d", [], False, False)], "question_id string, answers array<string>, intended_admissible boolean, is_unique boolean")
-    again = spark.createDataFrame([("b", True, ["x"]), ("c", False, ["x", "y"])], "question_id string, is_unique boolean, answers array<string>")
-    got = {r.question_id: (r.decision, r.acceptable_answers) for r in ambiguity.policy_decision(groups, "disambiguate", again).collect()}
-    assert got == {"a": ("accepted", ["x"]), "b": ("disambiguated", ["x"]), "c": ("discarded", None), "d": ("discarded", None)}
-    assert {r.question_id: r.decision for r in ambiguity.policy_decision(groups, "discard").collect()} == {"a": "accepted", "b": "discarded", "c": "discarded", "d": "discarded"}
+def test_policies_go_by_the_intended_answer(spark):
+    """Paths p0.. with answers; the intended path of a and b is not admissible, another one to its answer is."""
+    judged = [("a", 0, "x", True, False), ("a", 1, "x", False, True), ("b", 0, "x", True, False), ("b", 1, "x", False, True), ("b", 2, "y", False, True), ("c", 0, "x", True, True), ("c", 1, "y", False, True), ("d", 0, "x", True, False), ("d", 1, "y", False, True), ("e", 0, "x", True, False)]
+    df = spark.createDataFrame([(q, i, [f"p{i}", x], x, own, ok, "x", True) for q, i, x, own, ok in judged], "question_id string, path_id int, path array<string>, answer string, is_intended boolean, admissible boolean, intended_answer string, complete boolean")
+    groups = ambiguity.answer_groups(df)
+    found = {r.question_id: (r.answers, r.intended_admissible, r.is_unique) for r in groups.collect()}
+    assert found == {"a": (["x"], True, True), "b": (["x", "y"], True, False), "c": (["x", "y"], True, False), "d": (["y"], False, False), "e": ([], False, False)}
+    assert {r.question_id: r.answer_paths for r in groups.collect()}["b"] == {"x": [["p1", "x"]], "y": [["p2", "y"]]}
+    got = lambda *a: {r.question_id: (r.decision, r.acceptable_answers) for r in ambiguity.policy_decision(groups, *a).collect()}
+    assert got("discard") == {"a": ("accepted", ["x"]), "b": ("discarded", []), "c": ("discarded", []), "d": ("discarded", []), "e": ("discarded", [])}
+    assert got("retain") == {"a": ("accepted", ["x"]), "b": ("retained_with_alternatives", ["x", "y"]), "c": ("retained_with_alternatives", ["x", "y"]), "d": ("discarded", ["y"]), "e": ("discarded", [])}
+    again = ambiguity.answer_groups(df.filter("question_id <> 'c' or answer = 'x'").filter("question_id <> 'a' and question_id <> 'e'"))
+    assert got("disambiguate", again) == {"a": ("accepted", ["x"]), "b": ("discarded", []), "c": ("disambiguated", ["x"]), "d": ("discarded", []), "e": ("discarded", [])}
+    with pytest.raises(ValueError):
+        ambiguity.policy_decision(groups, "other", again)
+
+
+def test_directed_records(spark):
+    q = spark.createDataFrame([("q", ["a", "b"])], "question_id string, path array<string>")
+    c = spark.createDataFrame([("q", 0, ["a", "b"], True, True)], "question_id string, path_id int, path array<string>, is_intended boolean, complete boolean")
+    r = spark.createDataFrame([("a", "b", "there", 0.25), ("b", "a", "back", 0.5)], "source string, target string, description string, weight double")
+    both, one = (ambiguity.path_records(c, r, q, directed=x).first() for x in (False, True))
+    assert (both.hops[0].descriptions, both.total_weight) == (["back", "there"], 0.5) and (one.hops[0].descriptions, one.total_weight) == (["there"], 0.25)
+
+
+def test_nearest_examples_by_brute_force(spark):
+    rng = random.Random(3)
+    text = lambda k: " ".join(rng.choice("abcdefghij") for _ in range(k))
+    wanted = [(f"w{i}", "s" if i % 2 else "t", text(rng.randrange(4))) for i in range(12)]
+    examples = [("s" if i % 3 else "t", i, i, text(3), rng.randrange(3)) for i in range(9)]
+    got = {}
+    w, x = spark.createDataFrame(wanted, "set_id string, structure_id string, text string"), spark.createDataFrame(examples, "structure_id string, example_id int, pos int, text string, n_contexts int")
+    for r in structures.nearest_examples(w, x, 3).orderBy("set_id", "rank").collect():
+        got.setdefault(r.set_id, []).append((r.example_id, round(r.overlap, 9)))
+    for s, t, text_ in wanted:
+        a = set(text_.split())
+        like = lambda e: len(a & set(e[3].split())) / len(a | set(e[3].split()))
+        best = sorted((e for e in examples if e[0] == t), key=lambda e: (-like(e), -e[4], e[2]))[:3]
+        assert got[s] == [(e[1], round(like(e), 9)) for e in best]
+
+
+def test_reviewers_and_catalogue(spark):
+    from hopmine.operators import annotations
+
+    notes = spark.createDataFrame([(i, r, i % 2 == 0, True) for i in range(4) for r in "abc" if (i, r) != (3, "c")], "item_id int, reviewer string, answerable boolean, multi_hop boolean")
+    items = spark.createDataFrame([(i, f"q{i}") for i in range(4)], "item_id int, question string")
+    assert {r.item_id: (r.question, r.answerable, r.multi_hop) for r in annotations.majority(notes, items).collect()} == {i: (f"q{i}", i % 2 == 0, True) for i in range(4)}
+    assert [(r.reviewer, r.n_items) for r in annotations.uneven_reviewers(notes).collect()] == [("c", 3)]
+    s = spark.createDataFrame([("x", "approved"), ("y", "approved"), ("z", None)], "structure_id string, review_status string")
+    e = spark.createDataFrame([("x", 1, "approved", "q1"), ("x", 2, None, "q2"), ("y", 3, "pending", "q3"), (None, 4, "approved", "q4"), ("z", 5, "approved", "q5")], "structure_id string, example_id int, review_status string, question string")
+    assert sorted((r.structure_id, r.example_id, r.question, r.source) for r in generation.approved_examples(s, e).collect()) == [("x", 1, "q1", "own"), ("y", 4, "q4", "general")]
+
+
+def test_an_item_that_cant_be_processed_goes_to_adjudication(spark):
+    items = spark.createDataFrame([("a", "Q", "C"), ("b", "Q", "C"), ("c", "Q", "C")], "item_id string, question string, context string")
+    said = [("a", "precheck", '{"processable": false}'), ("b", "precheck", '```json\n{"processable": true}\n```'), ("b", "decomposition", '{"hops": []}')]
+    responses = spark.createDataFrame(said, "item_id string, stage string, response string")
+    asked = {}
+    for r in generation.evaluation_prompts(items, responses).collect():
+        asked.setdefault(r.item_id, {})[r.stage] = r.prompt
+    assert {i: set(x) for i, x in asked.items()} == {"a": {"precheck", "adjudication"}, "b": {"precheck", "decomposition", "paths"}, "c": {"precheck"}}
+    assert "Decomposition:\n{}" in asked["a"]["adjudication"] and '{"hops": []}' in asked["b"]["paths"]
+    done = responses.unionByName(spark.createDataFrame([("a", "adjudication", '{"accepted": false}')], responses.schema))
+    assert {r.item_id: (r.processable, r.n_stages, r.accepted) for r in generation.staged_evaluation(items, done).collect()} == {"a": (False, 2, False), "b": (True, 2, False), "c": (False, 0, False)}
 
 
 def test_evaluation_sample_is_stable(spark):
