@@ -6,8 +6,13 @@ Entities are (name, type, description), relationships (source, target, descripti
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
+NAME_RANGES = 64
+
 
 def valid_edges(relationships: DataFrame, entities: DataFrame) -> DataFrame:
     """Relationships whose two ends are entities."""
@@ -58,23 +63,62 @@ def simple_paths(pairs: DataFrame, entities: DataFrame, n: int) -> DataFrame:
     return paths
 
 
+def _later_neighbours(asked: DataFrame, steps: DataFrame) -> DataFrame:
+    """(last, first, b_type, k): for every (last, first) the number k of neighbours of last whose names come after first, by their type.
+
+    Questions and neighbours lie in one order, where a running count answers: nodes * log instead of pairs of neighbours.
+    Sampled names cut the order into up to NAME_RANGES parts, so that a hub's neighbours are counted by several tasks.
+    """
+    names = steps.select("b")
+    n = names.count()
+    sample = sorted(r.b for r in names.sample(min(1.0, 2000 / max(n, 1)), seed=5).collect())
+    cuts = sorted({sample[len(sample) * i // NAME_RANGES] for i in range(1, NAME_RANGES)}) if sample else []
+    part = lambda c: F.size(F.filter(F.array(*[F.lit(x) for x in cuts]).cast("array<string>"), lambda x: x <= F.col(c)))
+    # a question for every type that last has neighbours of
+    kinds = steps.select(F.col("a").alias("last"), "b_type").distinct()
+    rows = asked.join(kinds, "last").select("last", "b_type", F.col("first").alias("name"), F.lit(0).alias("one"))
+    rows = rows.unionByName(steps.select(F.col("a").alias("last"), "b_type", F.col("b").alias("name"), F.lit(1).alias("one"))).withColumn("part", part("name"))
+    totals = rows.groupBy("last", "b_type", "part").agg(F.sum("one").alias("n"))
+    later = totals.withColumn("later", F.coalesce(F.sum("n").over(W.partitionBy("last", "b_type").orderBy(F.col("part").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    # questions come before the neighbour of the same name, which isn't after itself
+    inside = F.sum("one").over(W.partitionBy("last", "b_type", "part").orderBy(F.col("name").desc(), "one").rowsBetween(W.unboundedPreceding, 0))
+    answered = rows.withColumn("inside", inside).filter("one = 0").join(later, ["last", "b_type", "part"])
+    return answered.select("last", F.col("name").alias("first"), "b_type", (F.col("inside") + F.col("later")).alias("k"))
+
+
 def rank_type_sequences(relationships: DataFrame, entities: DataFrame, n: int, directed: bool = False) -> DataFrame:
     """(types, n_paths) of the simple paths of n nodes, most frequent first.
 
     An undirected path counts once, as the smaller of itself and its reverse, whose types it has: as the nodes of a path
-    differ, that is the one with the smaller end first. Types travel with the nodes, so no path is looked up again.
+    differ, that is the one with the smaller end first. Paths grow to n - 1 nodes only; how many nodes of each type can
+    be the last one is a count of the neighbours of the node before (those after the first node by name, if undirected), less
+    those that are on the path already.
     """
     typed = entities.select("name", "type")
+    paths = typed.select(F.array("name").alias("path"), F.array("type").alias("types"), F.col("name").alias("last"))
+    if n == 1:
+        return paths.groupBy("types").agg(F.count("*").alias("n_paths")).orderBy(F.col("n_paths").desc(), "types")
     known = valid_edges(relationships, entities)
     pairs = undirected(known) if not directed else known.select(F.col("source").alias("a"), F.col("target").alias("b")).filter("a <> b").distinct()
-    steps = pairs.join(typed.select(F.col("name").alias("b"), F.col("type").alias("b_type")), "b")
-    paths = typed.select(F.array("name").alias("path"), F.array("type").alias("types"), F.col("name").alias("last"))
-    for k in range(n - 1):
-        paths = paths.join(steps, F.col("last") == F.col("a")).filter(~F.array_contains("path", F.col("b")))
-        if k == n - 2 and not directed:
-            paths = paths.filter(F.element_at("path", 1) < F.col("b"))
-        paths = paths.select(F.array_append("path", F.col("b")).alias("path"), F.array_append("types", F.col("b_type")).alias("types"), F.col("b").alias("last"))
-    return paths.groupBy("types").agg(F.count("*").alias("n_paths")).orderBy(F.col("n_paths").desc(), "types")
+    steps = cut(pairs.join(typed.select(F.col("name").alias("b"), F.col("type").alias("b_type")), "b"))
+    for _ in range(n - 2):
+        grown = paths.join(steps, F.col("last") == F.col("a")).filter(~F.array_contains("path", F.col("b")))
+        paths = grown.select(F.array_append("path", F.col("b")).alias("path"), F.array_append("types", F.col("b_type")).alias("types"), F.col("b").alias("last"))
+    paths = paths.withColumn("first", F.element_at("path", 1))
+    if directed:
+        able = steps.groupBy(F.col("a").alias("last"), "b_type").agg(F.count("*").alias("k"))
+        counted = paths.groupBy("types", "last").agg(F.count("*").alias("c")).join(able, "last")
+    else:
+        ends = cut(paths.groupBy("types", "last", "first").agg(F.count("*").alias("c")))
+        counted = ends.join(_later_neighbours(ends.select("last", "first").distinct(), steps), ["last", "first"])
+    counts = counted.select("types", "b_type", (F.col("c") * F.col("k")).alias("k"))
+    # nodes of the path that are neighbours of its last one: all but that may be; undirected, only those after the first
+    held = paths.select("types", "last", "first", F.explode(F.slice("path", 1, n - 2)).alias("b") if n > 2 else F.lit(None).cast("string").alias("b"))
+    if not directed:
+        held = held.filter("b > first")
+    seen = held.join(steps.withColumnRenamed("a", "last"), ["last", "b"]).select("types", "b_type", F.lit(-1).cast("long").alias("k"))
+    total = counts.unionByName(seen).groupBy("types", "b_type").agg(F.sum("k").alias("n_paths")).filter("n_paths > 0")
+    return total.select(F.array_append("types", F.col("b_type")).alias("types"), "n_paths").orderBy(F.col("n_paths").desc(), "types")
 
 
 def entity_by_name(entities: DataFrame, wanted: DataFrame) -> DataFrame:

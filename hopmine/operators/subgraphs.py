@@ -67,10 +67,12 @@ def is_connected(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 def induced_edges(sets: DataFrame, relationships: DataFrame) -> DataFrame:
     """(set_id, id, source, target, description, weight, ...) of every relationship with both ends in the set, self-loops and parallel ones too.
 
-    Each set's ordered member pairs are few, so edges are found by an equi-join on the pair.
+    Each set has few pairs of members, the smaller name first in each, and edges are found by an
+    equi-join on the pair, whichever way they point.
     """
-    members = sets.select("set_id", F.explode("nodes").alias("source"), "nodes").select("set_id", "source", F.explode("nodes").alias("target"))
-    return members.join(relationships, ["source", "target"])
+    members = sets.select("set_id", F.explode("nodes").alias("low"), "nodes").select("set_id", "low", F.explode(F.filter("nodes", lambda x: x >= F.col("low"))).alias("high"))
+    ends = relationships.withColumn("low", F.least("source", "target")).withColumn("high", F.greatest("source", "target"))
+    return members.join(ends, ["low", "high"]).drop("low", "high")
 
 
 def degrees(sets: DataFrame, relationships: DataFrame) -> DataFrame:

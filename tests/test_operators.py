@@ -141,18 +141,18 @@ def test_index_merges_in_reading_order(spark):
 # -- graph -------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("directed", [False, True])
-def test_type_sequences_by_brute_force(spark, directed):
+@pytest.mark.parametrize("directed,n", [(False, 2), (True, 2), (False, 3), (True, 3), (False, 4), (True, 4), (False, 5)])
+def test_type_sequences_by_brute_force(spark, directed, n):
     ents, rels, e, r = graph(spark)
     kind = {n: t for n, t, _ in ents}
     edges = {(s, t) for _, s, t, *_ in rels if s != t}
     if not directed:
         edges |= {(t, s) for s, t in edges}
     want = Counter()
-    for p in itertools.permutations(kind, 3):
+    for p in itertools.permutations(kind, n):
         if all(x in edges for x in zip(p, p[1:])) and (directed or p < p[::-1]):
             want[tuple(kind[x] for x in p)] += 1
-    got = {tuple(x.types): x.n_paths for x in paths.rank_type_sequences(r, e, 3, directed).collect()}
+    got = {tuple(x.types): x.n_paths for x in paths.rank_type_sequences(r, e, n, directed).collect()}
     assert got == want
     assert sum(x.n_paths for x in paths.rank_type_sequences(r, e, 1).collect()) == len(ents)
 
