@@ -6,7 +6,8 @@ of bounded size: a small candidate component is one unit; a large one is dealt o
 blocks, either of the whole component or of each of its band buckets, whichever sends fewer texts. A pair that shares
 several buckets counts in the first. A unit emits one row per class in it (its number of links and a verified class that
 it reaches), never its pairs. So no bucket is gathered whole, however many copies a text has, and no verified link
-between different sets is lost. Only texts of candidates are shuffled: a bounded bitmap of their digests keeps most
+between different sets is lost. Joins on a component or a class are left to Spark's adaptive skew join; those on a digest or
+a band, where one key may hold a third of all rows, deal hot keys out by their counts. Only texts of candidates are shuffled: a bounded bitmap of their digests keeps most
 others out, and a join on the digest decides.
 """
 
@@ -164,11 +165,11 @@ def _verified(texts: DataFrame, n: int, threshold: float) -> DataFrame:
     return texts.groupBy("pack").applyInPandas(verify, "node long, links long, near long")
 
 
-def _units(groups: DataFrame, spread: DataFrame, block: int, share: int) -> DataFrame:
+def _units(groups: DataFrame, spread: DataFrame, block: int) -> DataFrame:
     """(node, unit, side, pack, band) of every task unit that a class of a candidate component (node, root) is part of."""
     sizes = groups.groupBy("root").agg(F.count("*").alias("m"))
     packs = max(1, groups.count() // PACK)
-    dealt = cut(hot_join(groups, sizes, "root", "m", share, F.col("node")))
+    dealt = cut(groups.join(sizes, "root"))
     one = dealt.filter(F.col("m") <= block).select("node", F.col("root").cast("string").alias("unit"), F.lit(2).alias("side"), F.pmod(F.xxhash64("root"), F.lit(packs)).alias("pack"), F.lit(None).cast("int").alias("band"))
     large = dealt.filter(F.col("m") > block)
     placed = cut(spread.join(large, "node").select("node", "root", "m", "b", "band"))
@@ -189,7 +190,7 @@ def _units(groups: DataFrame, spread: DataFrame, block: int, share: int) -> Data
 
     whole = large.join(split.select("root"), "root", "left_anti").withColumn("head", F.concat(F.lit("c"), F.col("root").cast("string")))
     split_buckets = kept.join(split.select("root"), "root", "left_semi").select("band", "k")
-    parts = hot_join(placed.select("node", "b", "band"), split_buckets, "band", "k", share, F.col("node")).withColumn("head", F.concat(F.lit("b"), F.col("band").cast("string")))
+    parts = placed.select("node", "b", "band").join(split_buckets, "band").withColumn("head", F.concat(F.lit("b"), F.col("band").cast("string")))
     return one.unionByName(paired(whole, "m", F.lit(None))).unionByName(paired(parts, "k", F.col("b")))
 
 
@@ -201,7 +202,7 @@ def _joined(docs: DataFrame, n: int, threshold: float, recall: float, max_hashes
     share = fair_share(docs.sparkSession, sketched.count())
     place = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t", "row"))
     several = sketched.groupBy("digest").agg(F.min("row").alias("node"), place.alias("f"), F.count("*").alias("n_copies")).filter("n_copies > 1")
-    several = several.select("digest", "node", F.col("f.id").alias("set_id"), F.col("f.row").alias("leader"), "n_copies")
+    several = cut(several.select("digest", "node", F.col("f.id").alias("set_id"), F.col("f.row").alias("leader"), "n_copies"))
     joined = hot_join(sketched, several, "digest", "n_copies", share, F.col("row"), "left").withColumn("node", F.coalesce("node", "row"))
     own = F.col("node") == F.col("row")
     classed = cut(
@@ -212,21 +213,21 @@ def _joined(docs: DataFrame, n: int, threshold: float, recall: float, max_hashes
     )
     heads = classed.filter("bands is not null")
     spread = heads.select("node", F.posexplode("bands").alias("b", "band"))
-    hubs = spread.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("k")).filter("k > 1")
+    hubs = cut(spread.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("k")).filter("k > 1"))
     edges = hot_join(spread, hubs, "band", "k", share, F.col("node")).filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     groups = cut(components(edges))
-    units = _units(groups, spread, block, share).join(heads.select("node", "t", "bands"), "node").withColumn("bands", F.when(F.col("band").isNotNull(), F.col("bands")))
+    units = cut(_units(groups, spread, block)).join(heads.select("node", "t", "bands"), "node").withColumn("bands", F.when(F.col("band").isNotNull(), F.col("bands")))
     wanted = heads.join(groups.select("node"), "node", "left_semi").select("t")
     # one text a digest, however many rows have it
     asked = maybe_in(texts.select("t", "text"), wanted, "t").filter("_maybe").groupBy("t").agg(F.first("text").alias("text"))
     found = cut(_verified(asked.join(units, "t").select("pack", "unit", "side", "node", "band", "bands", "text"), n, threshold))
     links = found.groupBy("node").agg(F.sum("links").alias("links")).filter("links > 0")
     near = found.filter("node <> near").select(F.col("near").alias("a"), F.col("node").alias("b")).distinct()
-    linked = cut(links.join(components(near), "node").join(heads.select("node", "set_id", "t", "n_copies"), "node"))
+    linked = cut(links.join(components(near), "node").join(heads.select("node", "set_id", "t"), "node"))
     # the smallest id of each component, nulls last, and the class that has it
-    first = linked.groupBy("root").agg(F.min(F.struct(F.col("set_id").isNull().alias("none"), "set_id", "t", "node")).alias("f"), F.count("*").alias("k")).select("root", F.col("f.set_id").alias("class_id"), F.col("f.node").alias("lead"), "k")
-    known = hot_join(linked.select("node", "root", "links", F.col("n_copies").alias("c")), first, "root", "k", share, F.col("node")).select("node", "links", "class_id", "lead", "c")
-    out = hot_join(classed.drop("bands"), known, "node", "c", share, F.col("row"), "left").withColumn("class_id", F.when(F.col("lead").isNull(), F.col("set_id")).otherwise(F.col("class_id")))
+    first = linked.groupBy("root").agg(F.min(F.struct(F.col("set_id").isNull().alias("none"), "set_id", "t", "node")).alias("f")).select("root", F.col("f.set_id").alias("class_id"), F.col("f.node").alias("lead"))
+    known = cut(linked.select("node", "root", "links").join(first, "root").select("node", "links", "class_id", "lead"))
+    out = classed.drop("bands").join(known, "node", "left").withColumn("class_id", F.when(F.col("lead").isNull(), F.col("set_id")).otherwise(F.col("class_id")))
     leads = F.col("leader") & (F.col("node") == F.coalesce("lead", "node"))
     return out.select("id", "t", "set_id", "class_id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), "n_copies", leads.alias("leads"))
 
