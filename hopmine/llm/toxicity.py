@@ -242,7 +242,9 @@ def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, float], threshold: floa
         for part, own, texts in _scored(batches, place, raw, bias):
             yield part.filter(pa.array([own.score(t)[0] < threshold for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # columns go by number meanwhile: their names may hold dots
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
 
 
 def train_from(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, float]:
