@@ -19,11 +19,11 @@ ROWS = [
 SCHEMA = "doc_id long, text string, source string, size double"
 
 
-def docs(spark):
+def docs(spark, rows=ROWS):
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame(ROWS, SCHEMA)
-    for c in ("id", "range", "key", "row", "spans", "bands", "taken", "kept", "score", "label"):
+    df = spark.createDataFrame(rows, SCHEMA)
+    for c in ("id", "range", "key", "row", "spans", "bands", "taken", "kept", "score", "label", "norm", "sha", "name", "tie", "t", "a.b", "_gone", "_maybe"):
         df = df.withColumn(c, F.lit("x"))
     return df.withColumn("lang", F.lit(None).cast("string"))
 

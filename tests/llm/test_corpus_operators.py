@@ -487,62 +487,19 @@ def test_near_copies_of_the_table_by_brute_force(spark, sf_dir):
 
 
 def test_dropping_near_copies_keeps_what_only_shares_an_id(spark):
-    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
-    for rows, kept in (
+    a, b, c, d, e, f, g, h, i = (" ".join(f"{k}{j}" for j in range(60)) for k in "abcdefghi")
+    cases = (
         ([(1, a), (2, b), (None, a + " x"), (None, b + " x"), (None, c)], [(1, a), (2, b), (None, c)]),
-        ([(2, b), (5, a), (5, b), (7, a)], [(2, b), (5, a)]),
-        ([(None, a)] * 5 + [(None, b)] + [(3, c)] * 4, [(None, a), (None, b), (3, c)]),
-        ([(i, a) for i in range(40)], [(0, a)]),
+        ([(2, d), (5, e), (5, d), (7, e)], [(2, d), (5, e)]),
+        ([(None, f)] * 5 + [(None, g)] + [(3, h)] * 4, [(None, f), (None, g), (3, h)]),
+        ([(k, i) for k in range(40)], [(0, i)]),
         ([(1, None), (2, ""), (3, " ")], [(1, None)]),
-    ):
-        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-        for col in ("_gone", "row", "name", "t", "id", "a.b", "_maybe", "stays"):
-            df = df.withColumn(col, F.lit("x"))
-        got = ngram_join.drop_near_duplicates(df)
-        assert got.columns == df.columns and Counter((r[0], r[1]) for r in got.collect()) == Counter(kept)
-
-
-def test_ngram_join_on_awkward_rows(spark):
-    got = {r.doc_id: r for r in ngram_join.ngram_join(docs(spark)).collect()}
-    assert got[1].set_id == got[2].set_id == got[9].set_id == 1 and got[3].set_id == got[4].set_id == got[7].set_id == 3
-    assert ngram_join.ngram_join(none(spark)).count() == 0 and ngram_join.drop_near_duplicates(none(spark)).count() == 0
-
-
-def test_ngram_join_tells_rows_without_own_ids_apart(spark):
-    w = [f"w{i}" for i in range(120)]
-    near = lambda at, k: " ".join([*w[:at], f"x{k}", *w[at + 1 :]])
-    other = lambda k: " ".join(f"{k}{i}" for i in range(60))
-    rows = [(None, " ".join(w), "n1"), (None, near(60, 1), "n2"), (None, other("p"), "n3"), (None, other("p").upper(), "n4"), (None, other("q"), "n5")]
-    rows += [(7, other("a"), "a7"), (7, other("b"), "b7"), (3, other("a") + " end", "a3"), (8, other("c"), "c8"), (8, other("c") + " end", "d8"), (9, other("e"), "e9"), (None, other("e") + " end", "n9"), (4, other("f"), "f4"), (4, other("f"), "f4")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
-    got = Counter(tuple(r) for r in ngram_join.ngram_join(df).collect())
-    assert got == Counter({(None, None, None, 1, 1): 2, (None, None, None, 0, 2): 2, (None, None, None, 0, 1): 1, (7, 3, 7, 1, 1): 1, (7, 7, 7, 0, 1): 1, (3, 3, 3, 1, 1): 1, (8, 8, 8, 1, 1): 2, (9, 9, 9, 1, 1): 1, (None, 9, None, 1, 1): 1, (4, 4, 4, 0, 2): 2})
-    kept = Counter(r.row for r in ngram_join.drop_near_duplicates(df).collect())
-    assert kept.total() == 8 and all(kept[x] == 1 for x in ("n5", "b7", "a3", "e9", "f4"))
-    assert all(kept[x] + kept[y] == 1 for x, y in (("n1", "n2"), ("n3", "n4"), ("c8", "d8")))
-
-
-def test_bands_reach_the_recall():
-    for t, r in ((0.8, 0.9999), (0.7, 0.99), (0.9, 0.999)):
-        bands, rows = ngram_join.choose_bands(t, r)
-        assert bands * rows <= 128 and 1 - (1 - t**rows) ** bands >= r
-
-
-def test_components(spark):
-    rng = random.Random(2)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)]
-    root = {x: x for e in edges for x in e}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in edges:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    got = {(r.node, r.root) for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {(x, find(x)) for a, b in edges if a != b for x in (a, b)}
+    )
+    df = spark.createDataFrame([r for rows, _ in cases for r in rows], "doc_id long, text string").repartition(3)
+    for col in ("_gone", "row", "name", "t", "id", "a.b", "_maybe", "stays"):
+        df = df.withColumn(col, F.lit("x"))
+    got = ngram_join.drop_near_duplicates(df)
+    assert got.columns == df.columns and Counter((r[0], r[1]) for r in got.collect()) == Counter(r for _, kept in cases for r in kept)
 
 
 # -- 9 secrets ---------------------------------------------------------------------------------------------------------
@@ -783,6 +740,58 @@ def test_pipeline_stages(spark, sf_dir):
     assert got == +final
 
 
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Nulls, shared ids, repeated rows, empty and long texts and clashing columns: every stage's rows by brute force on its own input."""
+    import corpus_pipeline
+
+    near = [f"n{i}" for i in range(200)]
+    rows = [*ROWS, (None, " ".join(near), "a", 1.0), (None, " ".join([*near[:90], "other", *near[91:]]), "b", 1.0), (12, " ".join([*near[:150], "third", *near[151:]]), None, 1.0), (12, "twelve has two texts", "z", 1.0), (None, "no id here but some words", "a", 9.0)]
+    df = docs(spark, rows)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0), (5, 0), (None, 1), (8, None), (99, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, str(tmp_path))
+        assert out.columns == df.columns, name
+        out.write.parquet(str(tmp_path / name))
+        before, now = now.collect(), spark.read.parquet(str(tmp_path / name))
+        kept.append((before, now.collect()))
+    assert Counter(map(tuple, kept[0][1])) == Counter(map(tuple, kept[0][0]))  # nothing is known of what is toxic
+    best = {}
+    for r in kept[1][0]:
+        k, order = (r.text or "").translate(SPACE), (-len(r.text or ""), r.doc_id is None, r.doc_id)
+        best[k] = min(best.get(k, order), order, key=lambda o: (o[0], o[1], o[2] or 0))
+    assert Counter(((r.text or "").translate(SPACE), len(r.text or ""), r.doc_id) for r in kept[1][1]) == Counter((k, -o[0], o[2]) for k, o in best.items())
+    groups = []
+    for r in kept[2][0]:
+        g = grams(r.text)
+        same = [x for x in groups if any(g == h or (g and h and len(g & h) >= 0.8 * len(g | h)) for _, h in x)]
+        groups = [x for x in groups if x not in same] + [[(r, g), *[y for x in same for y in x]]]
+    lead = [min((r for r, _ in x), key=lambda r: (r.doc_id is None, r.doc_id or 0, hashlib.md5((r.text or "").encode()).hexdigest())) for x in groups]
+    assert len(lead) < len(kept[2][0]) and Counter((r.doc_id, r.text or "") for r in kept[2][1]) == Counter((r.doc_id, r.text or "") for r in lead)
+    sizes, taken = Counter(), Counter()
+    for r in kept[3][0]:
+        sizes[r.source] += len(words(r.text))
+    for r in kept[3][1]:
+        taken[r.source] += len(words(r.text))
+    want = targets(dict(sizes))
+    longest = max(len(words(r.text)) for r in kept[3][0])
+    assert {(r.doc_id, r.text) for r in kept[3][1]} <= {(r.doc_id, r.text) for r in kept[3][0]}
+    assert all(want[s] - 1 <= taken[s] <= want[s] + longest for s in want)
+    final = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in final) == Counter(r.doc_id for r in kept[3][1]) and all(r.n_mismatch == 0 for r in final)
+    sp = piece_bpe.PieceCoder(entry.vocabulary("piece_bpe_32k.model")).library
+    assert Counter(r.ids_sha256 for r in final) == Counter(hashlib.sha256(",".join(map(str, sp.encode(r.text or ""))).encode()).hexdigest() for r in kept[3][1])
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    none(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_sql_gives_the_same_rows(spark, sf_dir, name):
     duckdb = pytest.importorskip("duckdb")
