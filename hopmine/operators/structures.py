@@ -50,10 +50,36 @@ def canonical_id(types: list[str], edges: list[tuple[int, int, int]], directed:
     return best
 
 
-def canonical(records: DataFrame, directed: bool = True) -> DataFrame:
-    """(set_id, structure_id). The search over node orders runs once per distinct reduced form."""
+def set_forms(sets: DataFrame, relationships: DataFrame, entities: DataFrame, size: int, directed: bool = True) -> DataFrame:
+    """(set_id, types, edges) as reduced_forms gives them, straight from sets (set_id, nodes) of up to `size` nodes.
+
+    Types and counted edges are looked up by a node's or a pair's place in the set, one join a place, so no set is taken
+    apart and gathered again; Spark broadcasts the two tables while they are small.
+    """
+    rows = sets.select("set_id", "nodes")
+    typed = entities.select(F.col("name").alias("_n"), F.coalesce("type", F.lit("")).alias("_t"))
+    for i in range(size):
+        rows = rows.join(typed, F.get("nodes", F.lit(i)) == F.col("_n"), "left").drop("_n").withColumnRenamed("_t", f"_t{i}")
+    named = F.array(*[F.struct(F.col(f"_t{i}").alias("t"), F.get("nodes", F.lit(i)).alias("n")) for i in range(size)])
+    rows = rows.select("set_id", F.array_sort(F.filter(named, lambda s: s["n"].isNotNull())).alias("placed"))
+    forward = F.col("source") <= F.col("target")
+    pairs = relationships.groupBy(F.least("source", "target").alias("_lo"), F.greatest("source", "target").alias("_hi")).agg(F.count_if(forward).alias("_f"), F.count_if(~forward).alias("_b"))
+    at = lambda i: F.get("placed", F.lit(i))["n"]
+    edges = []
+    for i in range(size):
+        for j in range(i, size):
+            found = (F.least(at(i), at(j)) == F.col("_lo")) & (F.greatest(at(i), at(j)) == F.col("_hi")) & at(j).isNotNull()
+            rows = rows.join(pairs, found, "left").drop("_lo", "_hi").withColumnsRenamed({"_f": f"_f{i}{j}", "_b": f"_b{i}{j}"})
+            there, back = (F.when(at(i) <= at(j), F.col(f"_{x}{i}{j}")).otherwise(F.col(f"_{y}{i}{j}")) for x, y in ("fb", "bf"))
+            ways = [(i, j, there), (j, i, back)] if directed and i < j else [(i, j, F.col(f"_f{i}{j}") + F.col(f"_b{i}{j}"))]
+            edges += [F.when(c > 0, F.struct(F.lit(l).alias("l"), F.lit(r).alias("r"), c.alias("c"))) for l, r, c in ways]
+    return rows.select("set_id", F.transform("placed", lambda s: s["t"]).alias("types"), F.array_sort(F.array_compact(F.array(*edges))).alias("edges"))
+
+
+def _searched(forms: DataFrame, directed: bool) -> DataFrame:
+    """(set_id, structure_id) of (set_id, types, edges): the search over node orders runs once per distinct form."""
     # used for the distinct forms and for the join back
-    forms = cut(reduced_forms(records, directed).select("set_id", F.to_json(F.struct("types", "edges")).alias("form")))
+    forms = cut(forms.select("set_id", F.to_json(F.struct("types", "edges")).alias("form")))
 
     def run(frames):
         for frame in frames:
@@ -64,6 +90,16 @@ def canonical(records: DataFrame, directed: bool = True) -> DataFrame:
     return forms.select("set_id", "form").join(known, "form").select("set_id", "structure_id")
 
 
+def canonical(records: DataFrame, directed: bool = True) -> DataFrame:
+    """(set_id, structure_id) of subgraph records."""
+    return _searched(reduced_forms(records, directed), directed)
+
+
+def canonical_sets(sets: DataFrame, relationships: DataFrame, entities: DataFrame, size: int, directed: bool = True) -> DataFrame:
+    """(set_id, structure_id) of node sets (set_id, nodes) of up to size nodes."""
+    return _searched(set_forms(sets, relationships, entities, size, directed), directed)
+
+
 def frequencies(instances: DataFrame) -> DataFrame:
     """(structure_id, n, proportion), most frequent first."""
     counts = instances.groupBy("structure_id").agg(F.count("*").alias("n"))

@@ -222,6 +222,11 @@ def _records(spark, d):
     return cut(G.subgraph_records(sets, r, e))
 
 
+def _canonical(spark, d):
+    e, r, sets = _sets(spark, d)
+    return S.canonical_sets(sets, r, e, 3)
+
+
 #: All six orders of three nodes, as sums of the node's place: the text of the smallest form per set.
 CANON_SQL = f""", {SETS_SQL}, typed as (select set_id, [struct_pack(t := type, n := mem.name) for x in [1]] z, mem.name, type from mem join ents on ents.name = mem.name),
 nodes as (select set_id, name, type, row_number() over (partition by set_id order by type, name) - 1 i from mem join ents using (name)),
@@ -236,23 +241,23 @@ CANON_SQL = CANON_SQL.replace(" typed as (select set_id, [struct_pack(t := type,
 
 @query(CANON_SQL + " select set_id, structure_id from canon", graph="places")
 def d8_canonical_structures(spark, d):
-    return S.canonical(_records(spark, d))
+    return _canonical(spark, d)
 
 
 @query(CANON_SQL + " select structure_id, count(*) n_instances, min(set_id) first_instance, json_extract_string(structure_id, '$.entity_types[0]') first_type, json_array_length(structure_id, '$.edges')::int n_pairs from canon group by 1", graph="places")
 def d9_grouped_instances(spark, d):
-    groups = S.grouped(S.canonical(_records(spark, d)))
+    groups = S.grouped(_canonical(spark, d))
     return groups.select("structure_id", "n_instances", "first_instance", F.get("schema.entity_types", F.lit(0)).alias("first_type"), F.size("schema.edges").alias("n_pairs"))
 
 
 @query(CANON_SQL + " select structure_id, count(*) n, round(count(*) / sum(count(*)) over (), 9) proportion from canon group by 1", graph="places")
 def d10_structure_frequencies(spark, d):
-    return S.frequencies(S.canonical(_records(spark, d))).withColumn("proportion", F.round("proportion", 9))
+    return S.frequencies(_canonical(spark, d)).withColumn("proportion", F.round("proportion", 9))
 
 
 @query(CANON_SQL + " select structure_id, round(n::double, 6) proportional, round(pow(n, 2.0), 6) common, round(pow(n, -2.0), 12) rare, 1.0::double \"uniform\" from (select structure_id, count(*) n from canon group by 1)", graph="places")
 def d11_policy_weights(spark, d):
-    f = S.frequencies(S.canonical(_records(spark, d)))
+    f = S.frequencies(_canonical(spark, d))
     w = lambda p, k: F.round(S.policy_weight(F.col("n"), p), k).alias(p)
     return f.select("structure_id", w("proportional", 6), w("common", 6), w("rare", 12), S.policy_weight(F.col("n"), "uniform").alias("uniform"))
 
@@ -271,13 +276,13 @@ num3 as (select structure_id, set_id, row_number() over (partition by structure_
 @query(DRAWS_SQL + " select draw, structure_id, set_id, n, weight from drw join iv on u >= lower and u < upper join num using (structure_id) where pos = floor(v * n)::bigint + 1", graph="places")
 def d12_draw_with_replacement(spark, d):
     """500 draws; the count is the sampler's argument."""
-    return S.draw_with_replacement(S.canonical(_records(spark, d)), 500, "common", seed=3)
+    return S.draw_with_replacement(_canonical(spark, d), 500, "common", seed=3)
 
 
 @query(DRAWS_SQL + " select draw, structure_id, set_id from seq join num3 using (structure_id, pos)", graph="places")
 def d13_draw_without_replacement(spark, d):
     """50 draws; the count is the sampler's argument."""
-    return S.draw_without_replacement(S.canonical(_records(spark, d)), 50, "rare", seed=3)
+    return S.draw_without_replacement(_canonical(spark, d), 50, "rare", seed=3)
 
 
 @query(f", {sampled_sql(10_000, 40_000, 7)} select array_to_string(nodes, '|') nodes, len(nodes) size from smp", graph="places")

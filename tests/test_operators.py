@@ -211,6 +211,10 @@ def test_canonical_ids_ignore_names(spark, directed):
     sets = [list(c) for c in itertools.combinations(sorted(n for n, *_ in ents), 3)]
     df = spark.createDataFrame([("|".join(c), c) for c in sets], "set_id string, nodes array<string>")
     got = {x.set_id: x.structure_id for x in structures.canonical(subgraphs.subgraph_records(df, r, e), directed).collect()}
+    few = df.unionByName(spark.createDataFrame([("n0", ["n0"]), ("n1|n2", ["n1", "n2"])], "set_id string, nodes array<string>"))
+    assert {x.set_id: x.structure_id for x in structures.canonical_sets(df, r, e, 3, directed).collect()} == got
+    records = structures.canonical(subgraphs.subgraph_records(few, r, e), directed).collect()
+    assert Counter(map(tuple, structures.canonical_sets(few, r, e, 4, directed).collect())) == Counter(map(tuple, records))
     kind = {n: t for n, t, _ in ents}
     shape = {}
     for c in sets:
