@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import cut, shared_folder
 
-__all__ = ["MAX_LONG", "code_points", "components", "cut", "fair_share", "hot_join", "maybe_in", "range_of", "shared_folder", "shuffle_partitions", "splitters"]
+__all__ = ["MAX_LONG", "Shelf", "code_points", "components", "cut", "fair_share", "hot_join", "maybe_in", "numbered", "range_of", "shared_folder", "shuffle_partitions", "splitters"]
 
 MAX_LONG = 2**63 - 1
 BITMAP_WORDS = 1 << 18
@@ -125,3 +127,46 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+class Shelf:
+    """Narrow tables of one job, kept as Parquet in a folder of the shared place.
+
+    A table that is used more than once, or that a later step must see unchanged after an executor is lost, goes there.
+    `drop` deletes what the job's result doesn't read; the rest stays until its owner deletes `path`.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self._n = spark, f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}", 0
+        self._places: list[tuple[DataFrame, str]] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self._n += 1
+        place = f"{self.path}/{self._n}"
+        df.write.parquet(place)
+        table = self.spark.read.schema(df.schema).parquet(place)
+        self._places.append((table, place))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table, place in self._places:
+            if any(table is t for t in tables):
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def numbered(df: DataFrame, keys: list[str], shelf: Shelf) -> DataFrame:
+    """df with `at`, its row numbers from 0 in the order of keys, as a kept table.
+
+    Spark range-partitions and sorts the rows; rows that agree in all keys are cut into ranges by the place that they were
+    read from. The rows of each range are counted, and sums over the ranges (one row a partition) give each its first number.
+    """
+    rows = df.withColumn("_tie", F.monotonically_increasing_id())
+    # the number that Spark gives is made of the range's own and the row's place in it
+    dealt = rows.repartitionByRange(*keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
+    placed = shelf.keep(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    counts = placed.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count("*").alias("n"))
+    before = W.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    own = placed.withColumn("_range", F.shiftright("_at", 33))
+    return own.join(F.broadcast(starts), "_range").withColumn("at", F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_range", "_start", "_at")

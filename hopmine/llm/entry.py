@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, mixing, ngram_join, piece_bpe, secrets_scan, sharding, token_counts, toxicity, warc
+from . import exact_dedup, fingerprints, merkle, mixing, ngram_join, piece_bpe, secrets_scan, sharding, token_counts, toxicity, warc
 
 
 def vocabulary(name: str) -> str:
@@ -61,6 +61,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(_documents(spark, sf_dir), toxicity.train_from(spark, sf_dir))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked_manifest(_documents(spark, sf_dir))
+
+
 WARC_ORACLE = """
 with p as (
   select page_id, strlen(coalesce(html, ''))::bigint payload_bytes, sha256(coalesce(html, '')) payload_digest from pages
@@ -74,8 +78,8 @@ from f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_source_mixing, op3_exact_dedup, op4_fingerprints, op5_sentencepiece, op6_sharding, op7_ngram_join, op8_token_counts, op9_secret_scan, op10_toxicity)}
+    return {f.__name__: f for f in (op1_warc, op2_source_mixing, op3_exact_dedup, op4_fingerprints, op5_sentencepiece, op6_sharding, op7_ngram_join, op8_token_counts, op9_secret_scan, op10_toxicity, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": WARC_ORACLE, "op2_source_mixing": mixing.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_warc": WARC_ORACLE, "op2_source_mixing": mixing.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
