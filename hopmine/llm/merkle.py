@@ -177,7 +177,7 @@ def manifest(leaves: DataFrame, id_col: str = "doc_id", group_col: str = "lang",
     top = numbered(groups.select("tree").join(subroots, "tree").select(F.col("tree").alias("own"), "digest"), ["own"], shelf)
     top = top.select("own", "digest", F.col("at").alias("pos"), F.lit(TOP).cast("long").alias("tree"), F.lit(n_groups).cast("long").alias("m"))
     top_bands = _rise(top, n_groups, shelf)
-    root = _roots(top_bands).select("tree", F.array().cast("array<string>").alias("proof"), F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"))
+    root = shelf.keep(_roots(top_bands).select("tree", F.array().cast("array<string>").alias("proof"), F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root")))
     ends = _fall(top_bands, root, shelf).select(F.col("own").alias("tree"), "proof", F.col("digest").alias("subroot"), "root")
     return _fall(bands, shelf.keep(ends), shelf).drop("tree", "m", "pos", "digest")
 
