@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, exact_dedup, fingerprints, merkle, mixing, ngram_join, piece_bpe, secrets_scan, sharding, token_counts, toxicity, warc
+from . import alignment, exact_dedup, fingerprints, merkle, mixing, ngram_join, piece_bpe, secrets_scan, sharding, substring_dedup, token_counts, toxicity, warc
 
 
 def vocabulary(name: str) -> str:
@@ -65,6 +65,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated_passages(_documents(spark, sf_dir))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked_manifest(_documents(spark, sf_dir))
 
@@ -82,7 +86,7 @@ from f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_source_mixing, op3_exact_dedup, op4_fingerprints, op5_sentencepiece, op6_sharding, op7_ngram_join, op8_token_counts, op9_secret_scan, op10_toxicity, op11_alignment, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_warc, op2_source_mixing, op3_exact_dedup, op4_fingerprints, op5_sentencepiece, op6_sharding, op7_ngram_join, op8_token_counts, op9_secret_scan, op10_toxicity, op11_alignment, op12_substring_dedup, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
