@@ -52,9 +52,9 @@ def _digest(run: list[str]) -> str:
     return hashlib.sha256("".join(run).encode()).hexdigest()
 
 
-def _levels(m: int) -> int:
+def _levels(m: int, band: int) -> int:
     """The levels that a slab rises: a whole band, or fewer where the tree of m nodes ends."""
-    return min(SLAB_LEVELS, (m - 1).bit_length())
+    return min(band, (m - 1).bit_length())
 
 
 def forward(digests: list[str], levels: int) -> tuple[str, list[tuple[int, int, list[str]]]]:
@@ -89,25 +89,24 @@ def backward(made: list[tuple[int, int, list[str]]], levels: int, suffix: list[s
     return leaves or [waiting[(0, i)] for i in range(len(waiting))]
 
 
-def _slab(pos: str = "pos") -> Column:
-    return F.shiftright(F.col(pos), SLAB_LEVELS)
+def _slab(band: int) -> Column:
+    return F.shiftright("pos", band).alias("slab")
 
 
-def _rise(nodes: DataFrame, largest: int, shelf: Shelf) -> list[DataFrame]:
+def _rise(nodes: DataFrame, largest: int, shelf: Shelf, band: int) -> list[DataFrame]:
     """The nodes of every band's lowest level, from the leaves to the one that has only roots."""
 
     def up(slab: pa.Table) -> pa.Table:
         slab = slab.sort_by("pos")
         m = slab["m"][0].as_py()
-        top, _ = forward(slab["digest"].to_pylist(), _levels(m))
-        above = 1 if m <= 1 << SLAB_LEVELS else -(-m >> SLAB_LEVELS)
-        return pa.table({"tree": slab["tree"][:1], "m": [above], "pos": [slab["pos"][0].as_py() >> SLAB_LEVELS], "digest": [top]})
+        top, _ = forward(slab["digest"].to_pylist(), _levels(m, band))
+        return pa.table({"tree": slab["tree"][:1], "m": [-(-m >> band)], "pos": [slab["pos"][0].as_py() >> band], "digest": [top]})
 
     bands = [nodes]
     while largest > 1:
         low = bands[-1].filter("m > 1").select("tree", "m", "pos", "digest")
-        bands.append(shelf.keep(low.groupBy("tree", _slab().alias("slab")).applyInArrow(up, NODE)))
-        largest = 1 if largest <= 1 << SLAB_LEVELS else -(-largest >> SLAB_LEVELS)
+        bands.append(shelf.keep(low.groupBy("tree", _slab(band)).applyInArrow(up, NODE)))
+        largest = -(-largest >> band)
     return bands
 
 
@@ -119,39 +118,39 @@ def _roots(bands: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _fall(bands: list[DataFrame], roots: DataFrame, shelf: Shelf) -> DataFrame:
+def _fall(bands: list[DataFrame], roots: DataFrame, shelf: Shelf, band: int) -> DataFrame:
     """The rows of the lowest band with their proof, subroot and root; roots has (tree, proof, subroot, root), a row a tree."""
 
-    def steps(band: DataFrame, above: DataFrame | None) -> DataFrame:
-        lone = band.filter("m = 1").join(roots, "tree")
+    def steps(nodes: DataFrame, above: DataFrame | None) -> DataFrame:
+        lone = nodes.filter("m = 1").join(roots, "tree")
         if above is None:
             return lone
-        names = band.columns
-        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in band.schema.fields)
+        names = nodes.columns
+        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema.fields)
 
         def down(slab: pa.Table, top: pa.Table) -> pa.Table:
             slab = slab.sort_by("pos")
-            levels = _levels(slab["m"][0].as_py())
+            levels = _levels(slab["m"][0].as_py(), band)
             _, made = forward(slab["digest"].to_pylist(), levels)
             proofs = backward(made, levels, top["proof"][0].as_py())
             n = slab.num_rows
             same = lambda c: pa.array([top[c][0].as_py()] * n, pa.string())
             return pa.table([*[slab[c] for c in names], pa.array(proofs, pa.list_(pa.string())), same("subroot"), same("root")], names=[*names, "proof", "subroot", "root"])
 
-        low = band.filter("m > 1").groupBy("tree", _slab().alias("slab"))
+        low = nodes.filter("m > 1").groupBy("tree", _slab(band))
         high = above.select("tree", "pos", "proof", "subroot", "root").groupBy("tree", F.col("pos").alias("slab"))
         return low.cogroup(high).applyInArrow(down, f"{kind}, {STEPS}").select(*lone.columns).unionByName(lone)
 
     above = None
-    for i, band in enumerate(reversed(bands)):
-        before, above = above, steps(band, above)
+    for i, nodes in enumerate(reversed(bands)):
+        before, above = above, steps(nodes, above)
         if i < len(bands) - 1:
             above = shelf.keep(above)
-            shelf.drop(band, *[before] * (before is not None))
+            shelf.drop(nodes, *[before] * (before is not None))
     return above
 
 
-def manifest(leaves: DataFrame, id_col: str = "doc_id", group_col: str = "lang", leaf_col: str = "leaf") -> DataFrame:
+def manifest(leaves: DataFrame, id_col: str = "doc_id", group_col: str = "lang", leaf_col: str = "leaf", band: int = SLAB_LEVELS) -> DataFrame:
     """leaves with proof, subroot and root: one binary tree per group, over its leaves in the order of id_col, and one over the groups' roots.
 
     A run of two nodes, or the last one alone, becomes the digest of its digests; a lone leaf is its group's root, a lone
@@ -172,17 +171,17 @@ def manifest(leaves: DataFrame, id_col: str = "doc_id", group_col: str = "lang",
     named = groups.withColumnRenamed("_lang", "_own")
     nodes = order.join(named, F.col("_lang").eqNullSafe(F.col("_own"))).drop("_lang", "_own")
     nodes = nodes.withColumn("pos", F.col("_at") - F.col("tree")).withColumn("digest", F.col(leaf_col)).drop("_at")
-    bands = _rise(nodes, largest, shelf)
+    bands = _rise(nodes, largest, shelf, band)
     subroots = shelf.keep(_roots(bands))
     top = numbered(groups.select("tree").join(subroots, "tree").select(F.col("tree").alias("own"), "digest"), ["own"], shelf)
     top = top.select("own", "digest", F.col("at").alias("pos"), F.lit(TOP).cast("long").alias("tree"), F.lit(n_groups).cast("long").alias("m"))
-    top_bands = _rise(top, n_groups, shelf)
+    top_bands = _rise(top, n_groups, shelf, band)
     root = shelf.keep(_roots(top_bands).select("tree", F.array().cast("array<string>").alias("proof"), F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root")))
-    ends = _fall(top_bands, root, shelf).select(F.col("own").alias("tree"), "proof", F.col("digest").alias("subroot"), "root")
-    return _fall(bands, shelf.keep(ends), shelf).drop("tree", "m", "pos", "digest")
+    ends = _fall(top_bands, root, shelf, band).select(F.col("own").alias("tree"), "proof", F.col("digest").alias("subroot"), "root")
+    return _fall(bands, shelf.keep(ends), shelf, band).drop("tree", "m", "pos", "digest")
 
 
-def checked_manifest(docs: DataFrame) -> DataFrame:
+def checked_manifest(docs: DataFrame, band: int = SLAB_LEVELS) -> DataFrame:
     """The manifest of documents, and what each leaf, changed where 7 divides the checksum of its id, folds to with its own proof.
 
     The change adds 1 to n_chars; where that or the id is null nothing changes. Null ids, groups and fields, repeated rows
@@ -193,7 +192,7 @@ def checked_manifest(docs: DataFrame) -> DataFrame:
     leaf = fields(F.col("n_chars"))
     # the texts are hashed where they are read, and only digests go on
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), leaf.alias("leaf"), F.when(hit, fields(F.col("n_chars") + 1)).alias("changed"))
-    out = manifest(rows).withColumn("folded_root", folded(F.coalesce("changed", "leaf"), F.col("proof")))
+    out = manifest(rows, band=band).withColumn("folded_root", folded(F.coalesce("changed", "leaf"), F.col("proof")))
     return out.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
