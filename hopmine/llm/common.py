@@ -12,12 +12,18 @@ from pyspark.sql import types as T
 
 from ..sources.shared import cut, shared_folder
 
-__all__ = ["MAX_LONG", "Shelf", "code_points", "components", "cut", "fair_share", "hot_join", "maybe_in", "numbered", "range_of", "shared_folder", "shuffle_partitions", "splitters"]
+__all__ = ["MAX_LONG", "Shelf", "code_points", "components", "cut", "fair_share", "hot_join", "maybe_in", "numbered", "range_of", "row_hash", "shared_folder", "shuffle_partitions", "splitters"]
 
 MAX_LONG = 2**63 - 1
 BITMAP_WORDS = 1 << 18
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns, to order rows that agree in everything that an operator looks at."""
+    hashable = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    return F.xxhash64(*[hashable(f) for f in df.schema.fields]) if df.columns else F.lit(0).cast("long")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

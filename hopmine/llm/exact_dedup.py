@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_LONG, code_points, range_of, shuffle_partitions
+from .common import MAX_LONG, code_points, range_of, row_hash, shuffle_partitions
 
 SPACE = r"[\x20\x09-\x0D]+"
 PREFIX = 64
@@ -74,27 +74,31 @@ def _cuts(few: DataFrame, ranges: int | None) -> tuple[list[tuple[str, int]], li
     return cuts, sorted(k.rpartition("\u0001")[2] for k in hot)
 
 
-def _sorted(docs: DataFrame, id_col: str, text_col: str, ranges: int | None, whole: bool = False) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
-    """(id, norm, sha) in ranges, sorted by (norm, code points descending, id), with whole all columns as `row` too; and for the digests of texts in several ranges the kept id and the group's size."""
+def _sorted(docs: DataFrame, id_col: str, text_col: str, ranges: int | None, whole: bool = False) -> tuple[DataFrame, dict[str, tuple[int | None, int]]]:
+    """(id, norm, sha) in ranges, sorted by (norm, code points descending, id, null last), with whole all columns as `row` too; and for the digests of texts in several ranges the kept id and the group's size.
+
+    With whole, rows that agree in all of these are in the order of their texts, then of a hash of all columns.
+    """
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     cuts, hot = _cuts(few, ranges)
-    spanning: dict[str, tuple[int, int]] = {}
+    spanning: dict[str, tuple[int | None, int]] = {}
     if hot:
-        own = few.select(_id("id").alias("id"), normalised(_text("text")).alias("norm"), code_points(_text("text")).alias("n")).withColumn("sha", F.sha2("norm", 256))
+        own = few.select(F.col("id").cast("long").alias("id"), normalised(_text("text")).alias("norm"), code_points(_text("text")).alias("n")).withColumn("sha", F.sha2("norm", 256))
         # whole texts are grouped; the driver sees a digest and two numbers of fewer texts than ranges
-        groups = own.filter(F.col("sha").isin(hot)).groupBy("norm", "sha").agg(F.min(F.struct(-F.col("n"), "id"))["id"].alias("keep"), F.count("*").alias("size"))
+        groups = own.filter(F.col("sha").isin(hot)).groupBy("norm", "sha").agg(F.min(F.struct(-F.col("n"), F.col("id").isNull().alias("none"), "id"))["id"].alias("keep"), F.count("*").alias("size"))
         spanning = {r.sha: (r.keep, r.size) for r in groups.select("sha", "keep", "size").collect()}
     rows = docs.select(
-        *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * whole, _id(id_col).alias("id"), code_points(_text(text_col)).alias("n_chars"), normalised(_text(text_col)).alias("norm")
+        *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * whole, F.col(id_col).cast("long").alias("id"), code_points(_text(text_col)).alias("n_chars"), normalised(_text(text_col)).alias("norm"), *[row_hash(docs).alias("tie")] * whole
     ).withColumn("sha", F.sha2("norm", 256))
     key = F.concat(F.substring("norm", 1, PREFIX), F.lit("\u0001"), "sha")
-    dealt = rows.withColumn("range", range_of(key, F.col("id"), cuts)).drop(*["norm"] * whole).repartitionById(len(cuts) + 1, F.col("range"))
+    dealt = rows.withColumn("range", range_of(key, _id("id"), cuts)).drop(*["norm"] * whole).repartitionById(len(cuts) + 1, F.col("range"))
     if whole:
         dealt = dealt.withColumn("norm", normalised(F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))))
-    return dealt.sortWithinPartitions("norm", F.col("n_chars").desc(), "id").select("id", "norm", "sha", *["row"] * whole), spanning
+    ties = [F.col("row").getField(text_col), "tie"] if whole else []
+    return dealt.sortWithinPartitions("norm", F.col("n_chars").desc(), F.col("id").asc_nulls_last(), *ties).select("id", "norm", "sha", *["row"] * whole), spanning
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int], list[str], list[bool]]]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int | None], list[str], list[bool]]]:
     """(rows, ids, digests, whether a row's text differs from the one before) of some rows at a time."""
     last: str | None = None
     for batch in batches:
@@ -110,39 +114,41 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """doc_id, keep_id, group_size, kept, text_sha256 for every row.
 
     Of equal texts the row with the most code points stays, then that with the smallest id; null texts are empty, a null
-    id counts as the largest. Of rows that repeat the kept row's id, text and all, one stays. An empty table has no rows.
+    id comes after all others. Of rows that repeat the kept row's id, text and all, one stays. An empty table has no rows.
     """
     dealt, spanning = _sorted(docs, id_col, text_col, ranges)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # eight bytes a row until its group ends
-        ids, starts, shas = array("q"), array("q"), []
+        # nine bytes a row until its group ends
+        ids, none, starts, shas = array("q"), array("b"), array("q"), []
 
         def flush() -> pa.RecordBatch:
             first = np.frombuffer(starts, np.int64).copy()
-            own = np.frombuffer(ids, np.int64).copy()
+            own, without = np.frombuffer(ids, np.int64).copy(), np.frombuffer(none, np.int8).astype(bool)
             sizes = np.diff(np.append(first, len(own)))
-            keep = own[first]
+            keep, keep_none = own[first], without[first]
             n = sizes.copy()
             for k, sha in enumerate(shas):
                 if sha in spanning:
-                    keep[k], n[k] = spanning[sha]
+                    keep_none[k] = spanning[sha][0] is None
+                    keep[k], n[k] = spanning[sha][0] or 0, spanning[sha][1]
             # the kept row leads its group, so it also leads the run of the range that holds it
             kept = np.zeros(len(own), bool)
-            kept[first] = own[first] == keep
-            real = lambda x: pa.array(x, pa.int64(), mask=x == MAX_LONG)
+            kept[first] = (own[first] == keep) & (without[first] == keep_none)
             digests = pa.array(shas, pa.string()).take(pa.array(np.repeat(np.arange(len(shas)), sizes)))
-            return pa.RecordBatch.from_arrays([real(own), real(np.repeat(keep, sizes)), pa.array(np.repeat(n, sizes)), pa.array(kept), digests], ["doc_id", "keep_id", "group_size", "kept", "text_sha256"])
+            keeps = pa.array(np.repeat(keep, sizes), pa.int64(), mask=np.repeat(keep_none, sizes))
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int64(), mask=without), keeps, pa.array(np.repeat(n, sizes)), pa.array(kept), digests], ["doc_id", "keep_id", "group_size", "kept", "text_sha256"])
 
         for _, row_ids, row_shas, new in _runs(batches):
             for row_id, sha, begins in zip(row_ids, row_shas, new, strict=True):
                 if begins:
                     if len(ids) >= 20_000:
                         yield flush()
-                        ids, starts, shas = array("q"), array("q"), []
+                        ids, none, starts, shas = array("q"), array("b"), array("q"), []
                     starts.append(len(ids))
                     shas.append(sha)
-                ids.append(row_id)
+                ids.append(row_id or 0)
+                none.append(row_id is None)
         if ids:
             yield flush()
 
@@ -150,7 +156,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
-    """The rows of docs that exact_duplicates keeps, with all their columns, whatever their names."""
+    """The rows of docs that exact_duplicates keeps, with all their columns, whatever their names.
+
+    Of rows that agree in id and normalised text and have as many code points, the one with the smallest text stays, then
+    that with the smallest hash of all its columns: the same for every order of the input. An empty table stays empty.
+    """
     dealt, spanning = _sorted(docs, id_col, text_col, ranges, whole=True)
     kind = dealt.select("row").schema
 

@@ -138,24 +138,25 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sent to the range before it as well.
     """
     ranges = ranges or shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_LONG)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    order, tie = F.lpad(F.hex(F.col("id").bitwiseXOR(F.lit(-MAX_LONG - 1))), 16, "0"), F.xxhash64("text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # digits in the order of ids, null last
+    order, tie = F.coalesce(F.lpad(F.hex(F.col("id").bitwiseXOR(F.lit(-MAX_LONG - 1))), 16, "0"), F.lit("none")), F.xxhash64("text")
     cuts = splitters(rows, order, tie, ranges)
-    rows = rows.withColumn("tie", tie).withColumn("range", range_of(order, F.col("tie"), cuts).cast("int"))
-    firsts = sorted((r.range, r.f.id, r.f.tie) for r in rows.groupBy("range").agg(F.min(F.struct("id", "tie")).alias("f")).collect())
+    rows = rows.withColumn("order", order).withColumn("tie", tie).withColumn("range", range_of(F.col("order"), F.col("tie"), cuts).cast("int"))
+    firsts = sorted((r.range, r.f.order, r.f.tie) for r in rows.groupBy("range").agg(F.min(F.struct("order", "tie")).alias("f")).collect())
     # a row a range: the first of each, and the range before it (of the first range: the last)
     before = [(low, t, firsts[i - 1][0]) for i, (_, low, t) in enumerate(firsts)]
-    heads = F.broadcast(rows.sparkSession.createDataFrame(before, "id long, tie long, to int"))
-    ends = rows.join(heads, ["id", "tie"]).groupBy("to").agg(F.min("text").alias("text")).select(F.col("to").alias("range"), F.lit(1).alias("tail"), F.lit(MAX_LONG).alias("id"), F.lit(0).cast("long").alias("tie"), "text")
-    both = rows.select("range", F.lit(0).alias("tail"), "id", "tie", "text").unionByName(ends)
-    dealt = both.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("tail", "id", "tie", "text")
+    heads = F.broadcast(rows.sparkSession.createDataFrame(before, "order string, tie long, to int"))
+    ends = rows.join(heads, ["order", "tie"]).groupBy("to").agg(F.min("text").alias("text")).select(F.col("to").alias("range"), F.lit(1).alias("tail"), F.lit(None).cast("long").alias("id"), F.lit("").alias("order"), F.lit(0).cast("long").alias("tie"), "text")
+    both = rows.select("range", F.lit(0).alias("tail"), "id", "order", "tie", "text").unionByName(ends)
+    dealt = both.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("tail", "order", "tie", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = None  # (id, text, sketch) of the row whose next row is in the next chunk
+        waiting = None  # (tail, id, text, sketch) of the row whose next row is in the next chunk
         for chunk in _chunks(batches):
             sketches = [bottom_k(s, k) for s in shingle_sets(pa.array([t for _, _, t in chunk], pa.string()), n)]
-            line = [*[waiting] * (waiting is not None), *[(i, t, s) if not tail else (None, t, s) for (tail, i, t), s in zip(chunk, sketches, strict=True)]]
-            pairs = [(a, b) for a, b in zip(line[:-1], line[1:], strict=True) if a[0] is not None]
+            line = [*[waiting] * (waiting is not None), *[(*row, s) for row, s in zip(chunk, sketches, strict=True)]]
+            pairs = [(a[1:], b[1:]) for a, b in zip(line[:-1], line[1:], strict=True) if not a[0]]
             waiting = line[-1]
             if not pairs:
                 continue
@@ -163,7 +164,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             changed = [bottom_k(s, k) for s in shingle_sets(pa.array(edited, pa.string()), n)]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": pa.array([None if a[0] == MAX_LONG else a[0] for a, _ in pairs], pa.int64()),
+                    "doc_id": pa.array([a[0] for a, _ in pairs], pa.int64()),
                     "n_chars": pa.array([len(a[1]) for a, _ in pairs], pa.int64()),
                     "edited_sha256": [hashlib.sha256(e.encode()).hexdigest() for e in edited],
                     "fingerprint": [pack(a[2]) for a, _ in pairs],

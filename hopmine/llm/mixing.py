@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import MAX_LONG, cut
+from .common import cut, row_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEAT = 3
@@ -51,8 +51,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A source's budget is its target rounded to whole words. With S its size, every row is taken budget div S times in
     full, and the rest of the budget is filled in key order, the last row in part. Null texts and texts without words
     have size 0 and are never taken. A null source is a source. Repeated rows are rows like others. Rows without an id
-    get their key from their text; ties of the key are broken by the id, the size and a hash of the text, and rows that
-    are equal in all of these are exchangeable. An empty table has no rows.
+    get their key from their text; ties of the key are broken by the id, the size and a hash of the text, then by a
+    hash of the columns of carry; rows that are equal in all of these are exchangeable. An empty table has no rows.
     """
     text = F.col(f"`{text_col}`").cast("string")
     name = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
@@ -65,13 +65,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     narrow = cut(sized())
     n = narrow.count()
     digits = max(1, round(math.log(max(2, n), 16) / 2))
-    rows = (sized(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")) if carry else narrow).withColumn("range", F.substring("key", 1, digits))
+    # rows that agree in all that is mixed by are in the order of what they carry
+    last = ["carried_hash"] if carry else []
+    rows = (sized(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"), row_hash(docs.select(*[F.col(f"`{c}`") for c in carry])).alias("carried_hash")) if carry else narrow).withColumn("range", F.substring("key", 1, digits))
     ranges = narrow.withColumn("range", F.substring("key", 1, digits)).groupBy("name", "source", "range").agg(F.sum("size").alias("range_size"))
     totals = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
     targets = source_targets(totals, weights).withColumn("name", name).drop("source")
     order = W.partitionBy("name").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     placed = ranges.drop("source").withColumn("offset", F.coalesce(F.sum("range_size").over(order), F.lit(0))).join(targets, "name").drop("range_size")
-    inside = W.partitionBy("name", "range").orderBy("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)), "size", "tie").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("name", "range").orderBy("key", F.col("doc_id").cast("long").asc_nulls_last(), "size", "tie", *last).rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(placed, ["name", "range"])
     budget = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, fair_share, hot_join, maybe_in
+from .common import components, cut, fair_share, hot_join, maybe_in, row_hash
 from .shingles import mix, shingle_sets
 
 N, THRESHOLD, RECALL, MAX_HASHES, BLOCK = 5, 0.8, 0.9999, 128, 256
@@ -249,14 +249,14 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHO
     """One row of docs for each class of ngram_join, with all its columns, whatever their names.
 
     It is the row with the smallest id (null last), then the smallest digest of its text; of rows that repeat this id and
-    text one stays. Texts without words are one class, so one of them stays. An empty table stays empty.
+    text that with the smallest hash of all its columns, whatever the input's order. Texts without words are one class, so one of them stays. An empty table stays empty.
     """
     judged = _joined(docs, n, threshold, recall, max_hashes, block, id_col, text_col)
     name = lambda i: F.concat(F.coalesce(i.cast("string"), F.lit("null")), F.lit(":"), F.col("t"))
     fate = cut(judged.groupBy("id", "t").agg(F.max("leads").alias("stays"), F.count("*").alias("k")).filter("not stays or k > 1").select(name(F.col("id")).alias("name"), "stays", "k"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.md5(F.encode(text, "UTF-8")).alias("t")).select("row", name(F.col("id")).alias("name"), F.monotonically_increasing_id().alias("at"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.md5(F.encode(text, "UTF-8")).alias("t"), row_hash(docs).alias("at")).select("row", name(F.col("id")).alias("name"), "at")
     marked = maybe_in(rows, fate, "name")
     met = hot_join(marked.filter("_maybe").drop("_maybe"), fate, "name", "k", fair_share(docs.sparkSession, docs.count()), F.col("at"), "left")
-    once = met.filter("stays").groupBy("name").agg(F.first("row").alias("row")).select("row")
+    once = met.filter("stays").groupBy("name").agg(F.min_by("row", "at").alias("row")).select("row")
     return marked.filter("not _maybe").select("row").unionByName(met.filter("stays is null").select("row")).unionByName(once).select("row.*")

@@ -181,11 +181,29 @@ def _header(content: bytes) -> tuple[dict[str, str], bytes] | None:
         if not colon:
             return None
         fields[k.decode("latin-1").strip().lower()] = v.decode("utf-8", "replace").strip()
-    try:
-        n = int(fields["content-length"])
-    except (KeyError, ValueError):
-        return None
-    return (fields, rest[:n]) if len(rest) >= n and "warc-type" in fields else None
+    n = _number(fields.get("content-length", ""))
+    return (fields, rest[:n]) if n is not None and len(rest) >= n and "warc-type" in fields else None
+
+
+def _number(text: str) -> int | None:
+    """A length as headers write it; null for whatever else stands there, or is too large for a long."""
+    text = text.strip()
+    return int(text) if text.isascii() and text.isdigit() and len(text) < 20 and int(text) <= MAX_LONG else None
+
+
+def _body(fields: dict[str, str], block: bytes) -> tuple[bytes | None, int | None]:
+    """(payload, its length) of a record: the block behind the HTTP head where there is one, else all of it.
+
+    Only requests, responses and revisits of application/http have an HTTP head. A revisit has no payload; its length is
+    the one that its HTTP head tells, null if that is unreadable or not there.
+    """
+    kind = fields["warc-type"].lower()
+    http = kind in ("request", "response", "revisit") and fields.get("content-type", "").lower().startswith("application/http")
+    head, _, rest = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+    if kind != "revisit":
+        return rest, len(rest)
+    told = [x.partition(b":")[2].decode("latin-1") for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+    return None, _number(told[0]) if told else None
 
 
 def candidates_in(file: pa.NativeFile, size: int, start: int, end: int, chained: bool) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -203,8 +221,11 @@ def candidates_in(file: pa.NativeFile, size: int, start: int, end: int, chained:
 
 
 def _page(urn: str) -> int | None:
-    digits = urn.strip("<>").rpartition(":")[2]
-    return int(digits) if digits.lstrip("-").isdigit() else None
+    """The page id in the names that this module's writer gives; null for all other names."""
+    name = urn.strip("<>").strip()
+    digits = name.removeprefix("urn:page:")
+    number = _number(digits.removeprefix("-")) if digits != name else None
+    return number if number is None or not digits.startswith("-") else -number
 
 
 def _first_starts(splits: DataFrame, folder: str, split_bytes: int) -> DataFrame:
@@ -240,8 +261,9 @@ def _first_starts(splits: DataFrame, folder: str, split_bytes: int) -> DataFrame
 def read_warc(spark: SparkSession, folder: str, files: DataFrame | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """The records of the archives in folder, or of the listed (file, length) in it; the same ones for every split size.
 
-    payload is the HTTP body, null for revisit records; payload_digest is computed from the payload where there is one.
-    Damaged members and bytes between members are passed over. An archive without records has no rows.
+    payload is the HTTP body of HTTP records and the whole block of all others, null for revisit records; payload_digest is
+    computed from the payload where there is one. page_id and refers_to are null for names that this module didn't give,
+    payload_bytes for revisits whose HTTP head has no readable length. Records without a readable Content-Length, damaged members and bytes between members are passed over. An archive without records has no rows.
     """
     if files is None:
         names = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
@@ -261,15 +283,8 @@ def read_warc(spark: SparkSession, folder: str, files: DataFrame | None = None,
                     continue
                 with store.open_input_file(f"{path}/{name}") as file:
                     for offset, _, h, block in candidates_in(file, int(length), int(first), stop, True):
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        revisit = h["warc-type"] == "revisit"
-                        size = len(payload)
-                        digest = h.get("warc-payload-digest", "").partition(":")[2]
-                        if revisit:
-                            sizes = [int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-                            size, payload = (sizes or [None])[0], None
-                        else:
-                            digest = hashlib.sha256(payload).hexdigest()
+                        payload, size = _body(h, block)
+                        digest = h.get("warc-payload-digest", "").partition(":")[2] if payload is None else hashlib.sha256(payload).hexdigest()
                         rows.append((_page(h.get("warc-record-id", "")), h.get("warc-target-uri"), h["warc-type"], payload, size, digest, _page(h.get("warc-refers-to", "")), name, offset))
                         held += len(payload or b"")
                         if held > BLOCK * 4:
