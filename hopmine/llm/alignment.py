@@ -35,8 +35,9 @@ from .token_counts import byte_symbols
 
 MARK = "▁"
 UNITS = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
-CACHE_UNITS = 250_000
-BATCH_BYTES = 1 << 20
+CACHE_UNITS = 400_000
+RUN_UNITS = 500
+BATCH_BYTES = 1 << 21
 BLOCK_DOCS, BLOCK_BYTES = 1 << 13, 16 << 20
 PLACE_BITS = 13
 DOCS = -1  # the plane number of rows that are documents
@@ -75,6 +76,7 @@ class Aligner:
         if any("\n" in p for p in pieces) or any(y == MARK != x for p in pieces for x, y in zip(p, p[1:], strict=False)) or self.b.normalize("  a ﬁ ") != f"{MARK * 3}a{MARK}ﬁ{MARK}":
             raise ValueError("vocabulary B must have no line feeds, no mark behind other characters, and no normalisation")
         self.b_raw = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.digits = np.array([len(str(i)) for i in range(max(len(self.a_raw), len(self.b_raw)))], np.int64)
         self.a_len, self.b_len = (np.array([len(r) for r in raw], np.int64) for raw in (self.a_raw, self.b_raw))
         # what the library puts in front of a unit that follows a line feed
         self.before = len(self.b.encode("\n"))
@@ -84,55 +86,88 @@ class Aligner:
         self.places: dict[str, int] = {}
         self.groups: list[str] = []
         # per unit: tokens of A and of B, groups, whether the bytes differ, where its links start, how many there are
-        self.units, self.links = np.zeros((0, 6), np.int64), np.zeros(0, np.int64)
+        self.units, self.links = np.zeros((0, 6), np.int32), np.zeros(0, np.int64)
+
+    def _encoded(self, runs: list[list[str]]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
+        """(units, ids of A, ids of B) of runs of units, of which each but the last of a run ends without white space; no ids where the bytes differ."""
+        texts = ["".join(units) for units in runs]
+        a_ids = [np.array(e.ids, np.int64) for e in self.a.encode_batch(texts, add_special_tokens=False)]
+        b_ids = [np.array(ids[self.before :], np.int64) for ids in self.b.encode(["\n" + t for t in texts], num_threads=1)]
+        out = []
+        for units, text, a, b in zip(runs, texts, a_ids, b_ids, strict=True):
+            if b"".join(map(self.a_raw.__getitem__, a.tolist())) == text.encode() == b"".join(map(self.b_raw.__getitem__, b.tolist())):
+                out.append((units, a, b))
+            elif len(units) > 1:
+                out += self._encoded([[u] for u in units])
+            else:
+                out.append((units, a[:0], b[:0]))
+        return out
 
     def _learn(self, units: list[str]) -> None:
-        a_ids = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        b_ids = [ids[self.before :] for ids in self.b.encode(["\n" + u for u in units], num_threads=1)]
-        raw = [u.encode() for u in units]
-        good = [b"".join(map(self.a_raw.__getitem__, a)) == r == b"".join(map(self.b_raw.__getitem__, b)) for a, b, r in zip(a_ids, b_ids, raw, strict=True)]
-        a_ids, b_ids = [a if g else [] for a, g in zip(a_ids, good, strict=True)], [b if g else [] for b, g in zip(b_ids, good, strict=True)]
-        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a_ids, b_ids))
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a_ids, b_ids))
+        # units that end in white space stand at the end of their text
+        inner = [u for u in units if not u[-1].isspace()]
+        encoded = self._encoded([*(inner[i : i + RUN_UNITS] for i in range(0, len(inner), RUN_UNITS)), *([u] for u in units if u[-1].isspace())])
+        units = list(chain.from_iterable(e[0] for e in encoded))
+        a, b = (np.concatenate([e[k] for e in encoded]) for k in (1, 2))
+        sizes = np.concatenate([[len(u.encode()) for u in own] if len(x) else [0] for own, x, _ in encoded])
+        unit_end = np.cumsum(sizes)
         a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
         # all units end to end: a common end closes a group, every end of either closes the stretch of one link
-        common, every = np.intersect1d(a_end, b_end), np.union1d(a_end, b_end)
-        links = a[np.searchsorted(a_end, every)] * len(self.b_raw) + b[np.searchsorted(b_end, every)] if len(every) else np.zeros(0, np.int64)
-        unit_end = np.cumsum([len(r) if g else 0 for r, g in zip(raw, good, strict=True)])
-        per = lambda ends: np.diff(np.searchsorted(ends, unit_end, "right"), prepend=0)
-        n_groups, n_links = per(common), per(every)
-        in_group = [np.searchsorted(ends, common, "right") for ends in (a_end, b_end)]
-        words = [list(map(str, x.tolist())) for x in (a, b)]
-        spans = [list(zip([0, *e.tolist()], e.tolist(), strict=False)) for e in in_group]
-        texts = [f"{','.join(words[0][i:j])}|{','.join(words[1][k:m])}" for (i, j), (k, m) in zip(*spans, strict=True)]
-        at = np.append(0, np.cumsum(n_groups)).tolist()
-        self.groups += [";".join(texts[i:j]) for i, j in zip(at, at[1:], strict=False)]
+        both = np.sort(np.concatenate([a_end, b_end]))
+        twice = np.diff(both, append=-1) == 0
+        common, every = both[twice], both[~twice]
+        links = a[np.searchsorted(a_end, every)] * len(self.b_raw) + b[np.searchsorted(b_end, every)]
+        n_a, n_b, n_groups, n_links = (np.diff(np.searchsorted(ends, unit_end, "right"), prepend=0) for ends in (a_end, b_end, common, every))
+        # groups written out: in each its A ids, then its B ids, each with the sign behind it
+        a_upto, b_upto = (np.searchsorted(ends, common, "right") for ends in (a_end, b_end))
+        ids = np.empty(len(a) + len(b), np.int64)
+        sign = np.full(len(ids), ord(","), np.uint8)
+        a_group, b_group = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
+        ids[np.arange(len(a)) + np.append(0, b_upto)[a_group]] = a
+        ids[np.arange(len(b)) + a_upto[b_group]] = b
+        sign[a_upto + np.append(0, b_upto)[:-1] - 1] = ord("|")
+        sign[a_upto + b_upto - 1] = ord(";")
+        digits = self.digits[ids]
+        ends = np.cumsum(digits + 1)
+        text = np.empty(ends[-1] if len(ends) else 0, np.uint8)
+        text[ends - 1] = sign
+        at = ends - 2
+        for _ in range(int(digits.max(initial=0))):
+            text[at] = ord("0") + ids % 10
+            ids = ids // 10
+            on = ids > 0
+            ids, at = ids[on], at[on] - 1
+        written = text.tobytes().decode("ascii")
+        tokens = np.cumsum(n_a + n_b)
+        cuts = np.append(0, ends)[np.append(0, tokens)].tolist()
+        self.groups += [written[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
         self.places.update(zip(units, range(len(self.places), len(self.places) + len(units)), strict=True))
         starts = len(self.links) + np.cumsum(n_links) - n_links
-        self.units = np.concatenate([self.units, np.stack([n_a, n_b, n_groups, ~np.array(good, bool), starts, n_links], 1)])
+        self.units = np.concatenate([self.units, np.stack([n_a, n_b, n_groups, sizes == 0, starts, n_links], 1).astype(np.int32)])
         self.links = np.concatenate([self.links, links])
 
     def aligned(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
         """Per text (tokens of A, of B, groups, links) and digest of the groups; per link its text's place and its pair."""
         split = [UNITS.findall(" " + t) if t else [] for t in texts]
-        new = list({u for units in split for u in units if u not in self.places})
+        distinct = set(chain.from_iterable(split))
+        new = distinct.difference(self.places)
         if len(self.places) + len(new) > CACHE_UNITS:
             self._forget()
-            new = list({u for units in split for u in units})
+            new = distinct
         if new:
-            self._learn(new)
-        places = np.fromiter(map(self.places.__getitem__, chain.from_iterable(split)), np.int64)
+            self._learn(list(new))
+        listed = list(map(self.places.__getitem__, chain.from_iterable(split)))
+        places = np.array(listed, np.int64)
         owner = np.repeat(np.arange(len(texts)), [len(u) for u in split])
-        facts = self.units[places]
+        facts = self.units[places].astype(np.int64)
         wrong = np.bincount(owner, facts[:, 3], len(texts)) > 0
         counts = np.stack([np.bincount(owner, facts[:, c], len(texts)) for c in (0, 1, 2, 5)], 1).astype(np.int64)
         counts[wrong] = 0
         digests, at = [], 0
-        listed = places.tolist()
         for units, bad in zip(split, wrong.tolist(), strict=True):
             own = listed[at : at + len(units)]
             at += len(units)
-            digests.append("" if bad or not units else hashlib.sha256(";".join(map(self.groups.__getitem__, own)).encode()).hexdigest())
+            digests.append("" if bad or not units else hashlib.sha256("".join(map(self.groups.__getitem__, own))[:-1].encode()).hexdigest())
         kept = ~wrong[owner]
         starts, n = facts[kept, 4], facts[kept, 5]
         return counts, digests, np.repeat(owner[kept], n), self.links[_ragged(starts, n)]
@@ -195,7 +230,9 @@ class _Block:
     def add(self, own: Aligner, ids: pa.Array, texts: list[str]) -> None:
         counts, digests, owner, pairs = own.aligned(texts)
         # the batch's part of each bitmap: its places, ascending
-        keys, times = np.unique((pairs << PLACE_BITS) | (self.docs + owner), return_counts=True)
+        keys = np.sort((pairs << PLACE_BITS) | (self.docs + owner))
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        keys, times = keys[first], np.diff(np.append(first, len(keys)))
         self.keys.append(keys)
         self.times.append(times)
         a, b, groups, links = counts.T
