@@ -35,10 +35,10 @@ from .token_counts import byte_symbols
 
 MARK = "▁"
 UNITS = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
-CACHE_UNITS = 400_000
+CACHE_UNITS = 200_000
 RUN_UNITS = 500
-BATCH_BYTES = 1 << 21
-BLOCK_DOCS, BLOCK_BYTES = 1 << 13, 16 << 20
+BATCH_BYTES = 1 << 20
+BLOCK_DOCS, BLOCK_BYTES = 1 << 13, 12 << 20
 PLACE_BITS = 13
 DOCS = -1  # the plane number of rows that are documents
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
