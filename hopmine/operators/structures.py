@@ -100,10 +100,278 @@ def canonical_sets(sets: DataFrame, relationships: DataFrame, entities: DataFram
     return _searched(set_forms(sets, relationships, entities, size, directed), directed)
 
 
+def _forms_ids(forms: DataFrame, directed: bool) -> DataFrame:
+    """(form, structure_id) of distinct (kinds: array of (type, loops), links: array of (l, r, c)), form being their JSON."""
+
+    def run(frames):
+        for frame in frames:
+            ids = []
+            for form in map(json.loads, frame["form"]):
+                order = sorted(range(len(form["kinds"])), key=lambda i: form["kinds"][i]["t"])
+                place = {i: k for k, i in enumerate(order)}
+                edges = [(place[e["l"]], place[e["r"]], e["c"]) for e in form["links"] if e["c"]]
+                edges += [(place[i], place[i], k["s"]) for i, k in enumerate(form["kinds"]) if k["s"]]
+                ids.append(canonical_id([form["kinds"][i]["t"] for i in order], edges, directed))
+            yield pd.DataFrame({"form": frame["form"], "structure_id": ids})
+
+    return forms.select(F.to_json(F.struct("kinds", "links")).alias("form")).mapInPandas(run, "form string, structure_id string")
+
+
+def _forms_named(forms: DataFrame, directed: bool) -> DataFrame:
+    """(structure_id, n) of (kinds, links, n); there are few different forms."""
+    few = cut(forms.groupBy("kinds", "links").agg(F.sum("n").alias("n")).filter("n > 0"))
+    ids = _forms_ids(few, directed)
+    return few.withColumn("form", F.to_json(F.struct("kinds", "links"))).join(ids, "form").groupBy("structure_id").agg(F.sum("n").cast("long").alias("n"))
+
+
+def linked_pairs(relationships: DataFrame, entities: DataFrame, directed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(name, kind) of all entities, kind being (t, s): the type and the number of self-loops; and (a, b, f, r, ka, kb) of linked pairs, a < b.
+
+    f counts the relationships from a to b, r those from b to a; if undirected, f counts both and r is 0.
+    """
+    loops = relationships.filter("source = target").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("s"))
+    typed = entities.select("name", F.coalesce("type", F.lit("")).alias("t")).join(loops, "name", "left")
+    kinds = typed.select("name", F.struct("t", F.coalesce("s", F.lit(0).cast("long")).alias("s")).alias("kind"))
+    ahead = F.col("source") < F.col("target")
+    ends = relationships.filter("source <> target").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"))
+    pairs = ends.agg(*[F.count_if(ahead).alias("f"), F.count_if(~ahead).alias("r")] if directed else [F.count("*").alias("f"), F.lit(0).cast("long").alias("r")])
+    pairs = pairs.join(kinds.select(F.col("name").alias("a"), F.col("kind").alias("ka")), "a").join(kinds.select(F.col("name").alias("b"), F.col("kind").alias("kb")), "b")
+    return kinds, pairs.select("a", "b", "f", "r", "ka", "kb")
+
+
+def triangles(pairs: DataFrame) -> DataFrame:
+    """(a, b, c, ka, kb, kc, ab, ac, bc) of all triangles of linked pairs, each once; ab is (f, r) of a and b, and so on.
+
+    Every pair points from its end with fewer neighbours to the other one, and two pairs that leave one node are looked
+    up as a pair. No node has more than about sqrt(2 * pairs) of those, however many neighbours it has.
+    """
+    ends = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).groupBy("n").agg(F.count("*").alias("d"))
+    known = pairs.join(ends.select(F.col("n").alias("a"), F.col("d").alias("da")), "a").join(ends.select(F.col("n").alias("b"), F.col("d").alias("db")), "b")
+    up = F.struct("da", "a") < F.struct("db", "b")
+    way, back = F.struct("f", "r").alias("l"), F.struct(F.col("r").alias("f"), F.col("f").alias("r")).alias("l")
+    out = known.filter(up).select(F.col("a").alias("u"), F.col("b").alias("v"), "ka", F.col("kb").alias("kv"), way)
+    out = cut(out.unionByName(known.filter(~up).select(F.col("b").alias("u"), F.col("a").alias("v"), F.col("kb").alias("ka"), F.col("ka").alias("kv"), back)))
+    x, y = (out.select("u", F.col("v").alias(n), F.col("ka").alias(f"k0{n}"), F.col("kv").alias(f"k{n}"), F.col("l").alias(f"l{n}")) for n in "vw")
+    open_ = x.join(y, "u").filter("v < w")
+    closing = pairs.select(F.col("a").alias("v"), F.col("b").alias("w"), F.struct("f", "r").alias("vw"))
+    return open_.join(closing, ["v", "w"]).select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("w").alias("c"), F.col("k0v").alias("ka"), F.col("kv").alias("kb"), F.col("kw").alias("kc"), F.col("lv").alias("ab"), F.col("lw").alias("ac"), F.col("vw").alias("bc"))
+
+
+def _turned(link: Column) -> Column:
+    """A link (f, r) seen from its other end."""
+    return F.struct(link["r"].alias("f"), link["f"].alias("r"))
+
+
+def neighbour_classes(pairs: DataFrame) -> DataFrame:
+    """(node, kind, other, class) of linked pairs from both ends; class is what a neighbour looks like from node: (kind, link)."""
+    seen = lambda kind, link: F.struct(F.col(kind).alias("k"), link.alias("l")).alias("class")
+    way = F.struct("f", "r")
+    one = pairs.select(F.col("a").alias("node"), F.col("ka").alias("kind"), F.col("b").alias("other"), seen("kb", way))
+    return one.unionByName(pairs.select(F.col("b").alias("node"), F.col("kb").alias("kind"), F.col("a").alias("other"), seen("ka", _turned(way))))
+
+
+def wedges(classes: DataFrame) -> DataFrame:
+    """(node, kind, x, y, kx, ky, n): how many pairs of neighbours of a node are of the classes x and y, x <= y, from the sizes of its classes.
+
+    A node has few classes, as many as its neighbours differ in type, loops and links; its pairs of neighbours aren't made.
+    """
+    sizes = cut(classes.groupBy("node", "kind", "class").agg(F.count("*").alias("k")))
+    x, y = (sizes.select("node", *["kind"] * (n == "x"), F.col("class").alias(n), F.col("k").alias(f"k{n}")) for n in "xy")
+    n = F.when(F.col("x") == F.col("y"), F.floor(F.col("kx") * (F.col("kx") - 1) / 2)).otherwise(F.col("kx") * F.col("ky")).cast("long")
+    return x.join(y, "node").filter("x <= y").withColumn("n", n).filter("n > 0")
+
+
+def closed_wedges(found: DataFrame, *more: str) -> DataFrame:
+    """(node, kind, x, y, p, q, *more) of the three wedges of each triangle; p and q are the neighbours of the classes x <= y, p < q within one class."""
+    seen = lambda other, kind, link: F.struct(F.struct(F.col(kind).alias("k"), link.alias("l")).alias("class"), F.col(other).alias("other"))
+    ab, ac, bc = F.col("ab"), F.col("ac"), F.col("bc")
+    views = [("a", "ka", seen("b", "kb", ab), seen("c", "kc", ac)), ("b", "kb", seen("a", "ka", _turned(ab)), seen("c", "kc", bc)), ("c", "kc", seen("a", "ka", _turned(ac)), seen("b", "kb", _turned(bc)))]
+    parts = [found.select(F.col(n).alias("node"), F.col(k).alias("kind"), F.least(s, t).alias("s"), F.greatest(s, t).alias("t"), *more) for n, k, s, t in views]
+    return reduce(DataFrame.unionByName, parts).select("node", "kind", F.col("s.class").alias("x"), F.col("t.class").alias("y"), F.col("s.other").alias("p"), F.col("t.other").alias("q"), *more)
+
+
+def _link(left: int, right: int, link: Column) -> list[Column]:
+    return [F.struct(F.lit(i).alias("l"), F.lit(j).alias("r"), c.alias("c")) for i, j, c in ((left, right, link["f"]), (right, left, link["r"]))]
+
+
+def wedge_form(n: Column | str) -> list[Column]:
+    """The form of a wedge (kind, x, y), for _forms_named."""
+    x, y = F.col("x"), F.col("y")
+    return [F.array("kind", x["k"], y["k"]).alias("kinds"), F.array(*_link(0, 1, x["l"]), *_link(0, 2, y["l"])).alias("links"), n if isinstance(n, Column) else F.col(n)]
+
+
+def triangle_form(n: Column | str) -> list[Column]:
+    links = [*_link(0, 1, F.col("ab")), *_link(0, 2, F.col("ac")), *_link(1, 2, F.col("bc"))]
+    return [F.array("ka", "kb", "kc").alias("kinds"), F.array(*links).alias("links"), n if isinstance(n, Column) else F.col(n)]
+
+
+def census(relationships: DataFrame, entities: DataFrame, low: int = 2, high: int = 3, directed: bool = True) -> DataFrame:
+    """(structure_id, n): how many connected sets of low to high entities (at most 3) have each structure, none of them listed.
+
+    Pairs are counted by kind and link. Three nodes are connected as an open wedge or as a triangle: wedges are counted
+    from the sizes of each node's classes of neighbours, triangles are found, and the three wedges of each are taken off
+    again. The work is that of finding the triangles, of which no node is the first corner of more than all pairs.
+    Parallel relationships and self-loops are part of a structure. Relationships to unknown entities don't count.
+    """
+    if not 1 <= low <= high <= 3:
+        raise ValueError("sets of 1 to 3 entities can be counted")
+    kinds, pairs = linked_pairs(relationships, entities, directed)
+    pairs = cut(pairs)
+    none = F.array().cast("array<struct<l:int,r:int,c:bigint>>").alias("links")
+    forms = []
+    if low == 1:
+        forms.append(kinds.groupBy("kind").agg(F.count("*").alias("n")).select(F.array("kind").alias("kinds"), none, "n"))
+    if low <= 2 <= high:
+        counted = pairs.groupBy("ka", "kb", "f", "r").agg(F.count("*").alias("n"))
+        forms.append(counted.select(F.array("ka", "kb").alias("kinds"), F.array(*_link(0, 1, F.struct("f", "r"))).alias("links"), "n"))
+    if high == 3:
+        closed = cut(triangles(pairs).groupBy("ka", "kb", "kc", "ab", "ac", "bc").agg(F.count("*").alias("n")))
+        forms.append(closed.select(*triangle_form("n")))
+        all_wedges = wedges(neighbour_classes(pairs)).groupBy("kind", "x", "y").agg(F.sum("n").alias("n"))
+        forms.append(all_wedges.select(*wedge_form("n")))
+        # of a form's triangles only the count is turned into wedges
+        named = closed.withColumns({n: F.lit(n) for n in "abc"})
+        forms.append(closed_wedges(named, "n").select(*wedge_form((-F.col("n")).alias("n"))))
+    return _forms_named(reduce(DataFrame.unionByName, forms), directed)
+
+
+CELL_PARTS = 256
+
+
+def _cell_key(*parts: Column | str) -> Column:
+    return F.concat_ws("|", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+
+
+def _class_key(c: str) -> list[Column]:
+    k, link = F.col(c)["k"], F.col(c)["l"]
+    return [k["t"], k["s"], link["f"], link["r"]]
+
+
+def _ordered_starts(rows: DataFrame, group: str, key: str, size: str) -> DataFrame:
+    """rows with h, part and start: the sum of the sizes in front of a row, within its group, in the order of (hash of the key, key).
+
+    The hash's first digits cut a group into CELL_PARTS parts, which are added up and then run through each for itself.
+    """
+    rows = rows.withColumn("h", F.md5(F.col(key))).withColumn("part", F.substring("h", 1, 2))
+    before = lambda *by: W.partitionBy(group, *by[:-1]).orderBy(*by[-1]).rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy(group, "part").agg(F.sum(size).alias("_n"))
+    offsets = totals.withColumn("_offset", F.coalesce(F.sum("_n").over(before(["part"])), F.lit(0))).drop("_n")
+    inside = F.coalesce(F.sum(size).over(before("part", ["h", key])), F.lit(0))
+    return rows.withColumn("_inside", inside).join(offsets, [group, "part"]).withColumn("start", (F.col("_offset") + F.col("_inside")).cast("long")).drop("_offset", "_inside")
+
+
+class CountedSets:
+    """The connected sets of two and three entities of a graph, numbered within their structures without being listed.
+
+    Sets lie in cells: a pair or a triangle is a cell of its own, the open wedges of a node with neighbours of two given
+    classes are one. Cells of a structure are in the order of a hash of their keys, and prefix sums of their sizes tell
+    which cell holds a number. Inside a wedge cell the neighbours of a class are numbered by a hash of their names, a pair
+    of them has a number by arithmetic, and the numbers of closed wedges, which triangles give, are skipped.
+    """
+
+    def __init__(self, relationships: DataFrame, entities: DataFrame, low: int = 2, directed: bool = True):
+        _, pairs = linked_pairs(relationships, entities, directed)
+        self.pairs = pairs = cut(pairs)
+        self.triangles = cut(triangles(pairs).withColumn("tri", F.array_sort(F.array("a", "b", "c"))))
+        self.classes = neighbour_classes(pairs)
+        wedge = wedges(self.classes).withColumn("key", _cell_key(F.lit("w"), "node", *_class_key("x"), *_class_key("y")))
+        self.closed = closed_wedges(self.triangles).withColumn("key", _cell_key(F.lit("w"), "node", *_class_key("x"), *_class_key("y")))
+        shut = self.closed.groupBy("key").agg(F.count("*").alias("shut"))
+        open_ = wedge.join(shut, "key", "left").withColumn("n", F.col("n") - F.coalesce("shut", F.lit(0))).filter("n > 0")
+        none = F.lit(None)
+        form = lambda f: F.to_json(F.struct(*f[:2])).alias("form")
+        rows = [open_.select("key", "n", form(wedge_form("n")), none.cast("array<string>").alias("nodes"), "node", "x", "y", "ky")]
+        klass = "struct<k:struct<t:string,s:bigint>,l:struct<f:bigint,r:bigint>>"
+        lone = [none.cast("string").alias("node"), none.cast(klass).alias("x"), none.cast(klass).alias("y"), none.cast("long").alias("ky")]
+        one = F.lit(1).cast("long").alias("n")
+        rows.append(self.triangles.select(_cell_key(F.lit("t"), F.array_join("tri", "|")).alias("key"), one, form(triangle_form(one)), F.col("tri").alias("nodes"), *lone))
+        if low <= 2:
+            kinds = [F.array("ka", "kb").alias("kinds"), F.array(*_link(0, 1, F.struct("f", "r"))).alias("links")]
+            rows.append(pairs.select(_cell_key(F.lit("p"), "a", "b").alias("key"), one, form(kinds), F.array("a", "b").alias("nodes"), *lone))
+        cells = cut(reduce(DataFrame.unionByName, rows))
+        kind = "struct<kinds:array<struct<t:string,s:bigint>>,links:array<struct<l:int,r:int,c:bigint>>>"
+        few = cells.select("form").distinct().withColumn("v", F.from_json("form", kind))
+        named = _forms_ids(few.select("form", "v.kinds", "v.links"), directed)
+        self.cells = cut(_ordered_starts(cells.join(named, "form").drop("form"), "structure_id", "key", "n"))
+
+    def frequencies(self) -> DataFrame:
+        return proportions(self.cells.groupBy("structure_id").agg(F.sum("n").alias("n")))
+
+    def located(self, wanted: DataFrame) -> DataFrame:
+        """wanted (structure_id, pos, ...) with nodes: the sorted names of the structure's set of that number, from 1."""
+        names = [c for c in wanted.columns if c not in ("structure_id", "pos")]
+        asked = cut(wanted.select("structure_id", (F.col("pos") - 1).alias("at"), *([F.struct(*names).alias("_of")] if names else [F.lit(None).alias("_of")])))
+        # the last cell that starts at or before the number: parts first, one row each, then the cells of the parts that are asked
+        starts = self.cells.groupBy("structure_id", "part").agg(F.min("start").alias("start"))
+        part = self._last_before(asked.select("structure_id", "at", "_of"), starts.select("structure_id", "start", F.col("part").alias("v")), ["structure_id"]).withColumnRenamed("v", "part")
+        part = cut(part)
+        few = self.cells.join(part.select("structure_id", "part").distinct(), ["structure_id", "part"], "left_semi")
+        cell = F.struct("key", "nodes", "node", "x", "y", "ky", F.col("start").alias("s")).alias("v")
+        hit = cut(self._last_before(part, few.select("structure_id", "part", "start", cell), ["structure_id", "part"]).select("structure_id", "at", "_of", "v.*").withColumn("at", F.col("at") - F.col("s")).drop("s"))
+        whole = hit.filter("nodes is not null").select("structure_id", "_of", "nodes")
+        wedge = hit.filter("nodes is null")
+        # neighbours of the classes that are asked, numbered from 0
+        sides = wedge.select("node", F.col("x").alias("class")).unionByName(wedge.select("node", F.col("y").alias("class"))).distinct()
+        members = self.classes.select("node", "class", "other").join(sides, ["node", "class"], "left_semi")
+        group = _cell_key("node", *_class_key("class")).alias("group")
+        members = cut(_ordered_starts(members.select(group, "other", F.lit(1).alias("one")), "group", "other", "one").select("group", "other", F.col("start").alias("i")))
+        side = lambda c: _cell_key("node", *_class_key(c))
+        placed = lambda df, of, c, i: df.withColumn("group", side(c)).join(members.withColumnsRenamed({"other": of, "i": i}), ["group", of]).drop("group")
+        shut = self.closed.join(wedge.select("key", "ky").distinct(), "key")
+        shut = placed(placed(shut, "p", "x", "i"), "q", "y", "j")
+        low, high = F.least("i", "j"), F.greatest("i", "j")
+        shut = shut.select("key", F.when(F.col("x") == F.col("y"), F.floor(high * (high - 1) / 2) + low).otherwise(F.col("i") * F.col("ky") + F.col("j")).cast("long").alias("c"))
+        ranked = shut.withColumn("free", F.col("c") - F.row_number().over(W.partitionBy("key").orderBy("c")) + 1)
+        # the closed wedges in front of the open one that is asked
+        over = wedge.select("key", "at").distinct().join(ranked, "key").filter("free <= at").groupBy("key", "at").agg(F.count("*").alias("over"))
+        wedge = wedge.join(over, ["key", "at"], "left").withColumn("at", F.col("at") + F.coalesce("over", F.lit(0)))
+        guess = F.floor((1 + F.sqrt(1 + 8 * F.col("at").cast("double"))) / 2).cast("long")
+        half = lambda j: F.floor(j * (j - 1) / 2).cast("long")
+        right = guess + F.when(half(guess) > F.col("at"), -1).when(half(guess + 1) <= F.col("at"), 1).otherwise(0)
+        same = F.col("x") == F.col("y")
+        wedge = wedge.withColumn("j", F.when(same, right).otherwise(F.col("at") % F.col("ky"))).withColumn("i", F.when(same, F.col("at") - half(F.col("j"))).otherwise(F.floor(F.col("at") / F.col("ky")).cast("long")))
+        met = lambda df, c, i, of: df.withColumn("group", side(c)).join(members.withColumnsRenamed({"i": i, "other": of}), ["group", i]).drop("group")
+        wedge = met(met(wedge, "x", "i", "p"), "y", "j", "q").select("structure_id", "_of", F.array_sort(F.array("node", "p", "q")).alias("nodes"))
+        return whole.unionByName(wedge).select("structure_id", *[f"_of.{c}" for c in names], "nodes")
+
+    @staticmethod
+    def _last_before(asked: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
+        """asked with v of the last row of starts (by, start, v) with start <= at."""
+        extra = [c for c in asked.columns if c not in (*by, "at")]
+        kind = starts.schema["v"].dataType
+        rows = starts.select(*by, F.col("start").alias("at"), F.lit(0).alias("_asks"), "v", *[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in extra])
+        rows = rows.unionByName(asked.select(*by, "at", F.lit(1).alias("_asks"), F.lit(None).cast(kind).alias("v"), *extra))
+        last = F.last("v", ignorenulls=True).over(W.partitionBy(*by).orderBy("at", "_asks").rowsBetween(W.unboundedPreceding, 0))
+        return rows.withColumn("v", last).filter("_asks = 1").select(*by, "at", *extra, "v")
+
+    def draw_with_replacement(self, count: int, policy: str = "proportional", strength: float = 2.0, seed: int = 0) -> DataFrame:
+        """(draw, structure_id, nodes, n, weight): the draws of draw_with_replacement, over sets that aren't listed."""
+        return self.located(drawn_numbers(self.frequencies(), count, policy, strength, seed)).select("draw", "structure_id", "nodes", "n", "weight")
+
+    def draw_without_replacement(self, count: int, policy: str = "proportional", strength: float = 2.0, seed: int = 0) -> DataFrame:
+        """(draw, structure_id, nodes): the draws of draw_without_replacement, over sets that aren't listed.
+
+        A structure's k-th ring takes number 1 + (a k + b) mod n, with a prime to n and both from the seed: another set each time.
+        """
+        chosen = drawn_rings(self.frequencies(), count, policy, strength, seed)
+        n = F.col("n")
+        prime = lambda x: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.struct(x.alias("a"), n.alias("b")), lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).alias("b"))), lambda s: s["a"] == 1)
+        tries = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.when(n > 1, draw(seed, "step", F.col("structure_id"), i) % n + F.when(n > 1, 0).otherwise(1)).otherwise(F.lit(1).cast("long")))
+        step = F.coalesce(F.try_element_at(F.filter(tries, lambda x: prime(x)), F.lit(1)), F.lit(1).cast("long"))
+        known = chosen.select("structure_id", "n").distinct().withColumn("a", step).withColumn("b", draw(seed, "shift", F.col("structure_id")) % n).drop("n")
+        wide = "decimal(38,0)"
+        number = ((F.col("a").cast(wide) * F.col("pos").cast(wide) + F.col("b").cast(wide)) % n.cast(wide)).cast("long") + 1
+        return self.located(chosen.join(known, "structure_id").select("draw", "structure_id", number.alias("pos"))).select("draw", "structure_id", "nodes")
+
+
+def proportions(counts: DataFrame) -> DataFrame:
+    """(structure_id, n, proportion) of (structure_id, n), most frequent first."""
+    return counts.withColumn("proportion", F.col("n") / F.sum("n").over(W.partitionBy(F.lit(1)))).orderBy(F.col("n").desc(), "structure_id")
+
+
 def frequencies(instances: DataFrame) -> DataFrame:
     """(structure_id, n, proportion), most frequent first."""
-    counts = instances.groupBy("structure_id").agg(F.count("*").alias("n"))
-    return counts.withColumn("proportion", F.col("n") / F.sum("n").over(W.partitionBy(F.lit(1)))).orderBy(F.col("n").desc(), "structure_id")
+    return proportions(instances.groupBy("structure_id").agg(F.count("*").alias("n")))
 
 
 def policy_weight(n: Column, policy: str, strength: float = 2.0) -> Column:
@@ -138,39 +406,53 @@ def numbered(instances: DataFrame, *seed: str) -> DataFrame:
     return inside.join(offsets, ["structure_id", "_part"]).withColumn("pos", (F.col("_offset") + F.col("_inside")).cast("long")).drop("_h", "_part", "_offset", "_inside")
 
 
-def draw_with_replacement(instances: DataFrame, count: int, policy: str = "proportional", strength: float = 2.0, seed: int = 0) -> DataFrame:
-    """(draw, structure_id, set_id, n, weight): count draws of a structure by weight, then of one of its instances evenly.
+def drawn_numbers(table: DataFrame, count: int, policy: str, strength: float, seed: int) -> DataFrame:
+    """(draw, structure_id, n, weight, pos): count draws of a structure of (structure_id, n) by weight, then of one of its numbers evenly.
 
     The cumulative weights have one row a structure. [0, 1) is cut into SLICES equal slices and a structure's interval
-    goes to those that it meets, so draws meet it by an equal slice and then by the interval, and an instance by its number.
+    goes to those that it meets, so draws meet it by an equal slice and then by the interval.
     """
     every = W.partitionBy(F.lit(1)).orderBy("structure_id")
-    table = frequencies(instances).withColumn("weight", policy_weight(F.col("n"), policy, strength))
+    table = table.select("structure_id", "n").withColumn("weight", policy_weight(F.col("n"), policy, strength))
     upper = F.sum("weight").over(every.rowsBetween(W.unboundedPreceding, 0)) / F.sum("weight").over(W.partitionBy(F.lit(1)))
     table = table.withColumn("upper", upper).withColumn("lower", F.coalesce(F.lag("upper").over(every), F.lit(0.0)))
     table = table.withColumn("upper", F.when(F.lead("upper").over(every).isNull(), F.lit(1.0)).otherwise(F.col("upper")))
-    draws = instances.sparkSession.range(count).select(F.col("id").alias("draw"), _uniform(seed, "structure", F.col("id")).alias("u"), _uniform(seed, "instance", F.col("id")).alias("v"))
+    draws = table.sparkSession.range(count).select(F.col("id").alias("draw"), _uniform(seed, "structure", F.col("id")).alias("u"), _uniform(seed, "instance", F.col("id")).alias("v"))
     slices = table.withColumn("slice", F.explode(F.sequence(F.floor(F.col("lower") * SLICES).cast("int"), F.least(F.lit(SLICES - 1), F.floor(F.col("upper") * SLICES).cast("int")))))
-    picked = draws.withColumn("slice", F.floor(F.col("u") * SLICES).cast("int")).join(slices, "slice").filter("u >= lower and u < upper").drop("slice").withColumn("pos", F.floor(F.col("v") * F.col("n")).cast("long") + 1)
-    return picked.join(numbered(instances), ["structure_id", "pos"]).select("draw", "structure_id", "set_id", "n", "weight")
+    met = draws.withColumn("slice", F.floor(F.col("u") * SLICES).cast("int")).join(slices, "slice").filter("u >= lower and u < upper")
+    return met.select("draw", "structure_id", "n", "weight", (F.floor(F.col("v") * F.col("n")).cast("long") + 1).alias("pos"))
 
 
-def draw_without_replacement(instances: DataFrame, count: int, policy: str = "proportional", strength: float = 2.0, seed: int = 0) -> DataFrame:
-    """(draw, structure_id, set_id): as above, but an instance is drawn once and structures run out; weights keep the first frequencies.
+def drawn_rings(table: DataFrame, count: int, policy: str, strength: float, seed: int) -> DataFrame:
+    """(draw, structure_id, n, pos): count draws of structures of (structure_id, n) without replacement, the pos-th of a structure; weights keep the first frequencies.
 
     Every structure rings like a clock with exponential gaps whose rate is its weight, once per instance; the first count
     rings of all are the draws. The next clock to ring is each time one that isn't exhausted, with probability in proportion to its
-    weight, so this is drawing one by one, without a sequence. A structure's k-th ring takes its k-th instance in hash order.
+    weight, so this is drawing one by one, without a sequence.
     """
-    table = frequencies(instances).withColumn("weight", policy_weight(F.col("n"), policy, strength))
+    table = table.select("structure_id", "n").withColumn("weight", policy_weight(F.col("n"), policy, strength))
     if count > (table.agg(F.sum("n")).first()[0] or 0):
         raise ValueError("more draws than instances")
-    rings = table.select("structure_id", "weight", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n"), F.lit(count).cast("long")))).alias("pos"))
+    rings = table.select("structure_id", "n", "weight", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n"), F.lit(count).cast("long")))).alias("pos"))
     gap = -F.log((draw(seed, "gap", F.col("structure_id"), F.col("pos")) + 1).cast("double") / F.lit(float((1 << 52) + 1))) / F.col("weight")
     timed = rings.withColumn("at", F.sum(gap).over(W.partitionBy("structure_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
     # count rows
     first = timed.orderBy("at", "structure_id", "pos").limit(count)
-    chosen = first.withColumn("draw", (F.row_number().over(W.partitionBy(F.lit(1)).orderBy("at", "structure_id", "pos")) - 1).cast("long"))
+    return first.withColumn("draw", (F.row_number().over(W.partitionBy(F.lit(1)).orderBy("at", "structure_id", "pos")) - 1).cast("long")).select("draw", "structure_id", "n", "pos")
+
+
+def draw_with_replacement(instances: DataFrame, count: int, policy: str = "proportional", strength: float = 2.0, seed: int = 0) -> DataFrame:
+    """(draw, structure_id, set_id, n, weight): count draws of a structure by weight, then of one of its instances evenly, by its number."""
+    picked = drawn_numbers(frequencies(instances), count, policy, strength, seed)
+    return picked.join(numbered(instances), ["structure_id", "pos"]).select("draw", "structure_id", "set_id", "n", "weight")
+
+
+def draw_without_replacement(instances: DataFrame, count: int, policy: str = "proportional", strength: float = 2.0, seed: int = 0) -> DataFrame:
+    """(draw, structure_id, set_id): as above, but an instance is drawn once and structures run out.
+
+    A structure's k-th draw takes its k-th instance in hash order.
+    """
+    chosen = drawn_rings(frequencies(instances), count, policy, strength, seed)
     return chosen.join(numbered(instances, str(seed)), ["structure_id", "pos"]).select("draw", "structure_id", "set_id")
 
 

@@ -110,11 +110,23 @@ def sampled_sets(pairs: DataFrame, entities: DataFrame, low: int, high: int, cou
     n = numbered.count()
     if not n:
         return spark.createDataFrame([], "attempt long, nodes array<string>")
-    draws = spark.range(attempts).select(F.col("id").alias("attempt"), (draw(seed, "size", F.col("id")) % (high - low + 1) + low).alias("size"), (draw(seed, "start", F.col("id")) % n + 1).alias("pos"))
-    grown = draws.join(numbered, "pos").select("attempt", "size", F.array("a").alias("nodes"))
-    for step in range(1, high):
-        frontier = grown.filter(F.size("nodes") < F.col("size")).select("attempt", "nodes", F.explode("nodes").alias("a")).join(pairs, "a").filter(~F.array_contains("nodes", F.col("b")))
-        pick = frontier.groupBy("attempt").agg(F.min(F.struct(draw(seed, step, F.col("attempt"), F.col("b")).alias("h"), "b"))["b"].alias("b"))
-        grown = grown.join(pick, "attempt", "left").select("attempt", "size", F.when(F.col("b").isNotNull(), F.array_append("nodes", F.col("b"))).otherwise(F.col("nodes")).alias("nodes"))
-    sets = grown.filter(F.size("nodes") >= low).groupBy(F.array_sort("nodes").alias("nodes")).agg(F.min("attempt").alias("attempt"))
-    return sets.select("attempt", "nodes").orderBy("attempt").limit(count)
+    def grown(first: int, last: int) -> DataFrame:
+        """(attempt, nodes) of the attempts first to last - 1 that come to at least low nodes, the first of each set."""
+        draws = spark.range(first, last).select(F.col("id").alias("attempt"), (draw(seed, "size", F.col("id")) % (high - low + 1) + low).alias("size"), (draw(seed, "start", F.col("id")) % n + 1).alias("pos"))
+        rows = draws.join(numbered, "pos").select("attempt", "size", F.array("a").alias("nodes"))
+        for step in range(1, high):
+            frontier = rows.filter(F.size("nodes") < F.col("size")).select("attempt", "nodes", F.explode("nodes").alias("a")).join(pairs, "a").filter(~F.array_contains("nodes", F.col("b")))
+            pick = frontier.groupBy("attempt").agg(F.min(F.struct(draw(seed, step, F.col("attempt"), F.col("b")).alias("h"), "b"))["b"].alias("b"))
+            rows = rows.join(pick, "attempt", "left").select("attempt", "size", F.when(F.col("b").isNotNull(), F.array_append("nodes", F.col("b"))).otherwise(F.col("nodes")).alias("nodes"))
+        return rows.filter(F.size("nodes") >= low).groupBy(F.array_sort("nodes").alias("nodes")).agg(F.min("attempt").alias("attempt"))
+
+    # attempts run in waves, each twice as long, until enough sets are found
+    done, wave, found = 0, min(attempts, 2 * count), None
+    while done < attempts:
+        last = min(attempts, done + wave)
+        new = grown(done, last)
+        found = cut(new if found is None else found.unionByName(new.select(*found.columns)).groupBy("nodes").agg(F.min("attempt").alias("attempt")))
+        done, wave = last, 2 * wave
+        if found.count() >= count:
+            break
+    return found.select("attempt", "nodes").orderBy("attempt").limit(count)

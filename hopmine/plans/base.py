@@ -11,15 +11,16 @@ from ..sources import star_graph
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+GRAPHS = {True: star_graph.SQL, "places": star_graph.PLACES_SQL, "whole": star_graph.WHOLE_SQL}
 
 
 def query(sql: str | None = None, graph: bool | str = False) -> Callable[[Query], Query]:
-    """Registers a query; graph puts the table expressions of the star graph, or of its `places`, before the SQL."""
+    """Registers a query; graph puts the table expressions of the star graph, of its `places`, or of the `whole` with trades, before the SQL."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = f"with {star_graph.PLACES_SQL if graph == 'places' else star_graph.SQL} {sql}" if graph else sql
+            SQL[f.__name__] = f"with {GRAPHS[graph]} {sql}" if graph else sql
         return f
 
     return add

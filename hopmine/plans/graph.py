@@ -250,8 +250,40 @@ def d9_grouped_instances(spark, d):
     return groups.select("structure_id", "n_instances", "first_instance", F.get("schema.entity_types", F.lit(0)).alias("first_type"), F.size("schema.edges").alias("n_pairs"))
 
 
-@query(CANON_SQL + " select structure_id, count(*) n, round(count(*) / sum(count(*)) over (), 9) proportion from canon group by 1", graph="places")
+#: Linked pairs from both ends, with what a neighbour looks like.
+CLASSES_SQL = """,
+kinds as (select name, {'t': type, 's': (select count(*) from rels where source = name and target = name)} kind from ents),
+ways as (select source a, target b, count(*) f from rels where source <> target group by all),
+nb as (select u.a, u.b, ka.kind ka, {'k': kb.kind, 'f': coalesce(x.f, 0), 'r': coalesce(y.f, 0)} cls from und u join kinds ka on ka.name = u.a join kinds kb on kb.name = u.b left join ways x on x.a = u.a and x.b = u.b left join ways y on y.a = u.b and y.b = u.a)"""
+#: Structures by counts: pairs by kind, wedges by the sizes of each node's classes of neighbours less those of triangles, triangles.
+CENSUS_SQL = CLASSES_SQL + """,
+sizes as (select a, ka, cls, count(*) k from nb group by all),
+wd as (select x.ka, x.cls x, y.cls y, sum(case when x.cls = y.cls then x.k * (x.k - 1) // 2 else x.k * y.k end) n from sizes x join sizes y on x.a = y.a and x.cls <= y.cls group by all),
+tri as (select x.a, x.b, y.b c, x.ka, x.cls ab, y.cls ac, z.cls bc from nb x join nb y on x.a = y.a and x.b < y.b join nb z on z.a = x.b and z.b = y.b where x.a < x.b),
+shut as (select x.ka, least(x.cls, y.cls) x, greatest(x.cls, y.cls) y, count(*) n from nb x join nb y on x.a = y.a and x.b < y.b join und on und.a = x.b and und.b = y.b group by all),
+forms as (
+  select [ka, x.k, y.k] k, [x.f, x.r, y.f, y.r, 0, 0] e, n from (select wd.ka, wd.x, wd.y, wd.n - coalesce(shut.n, 0) n from wd left join shut on shut.ka = wd.ka and shut.x = wd.x and shut.y = wd.y) where n > 0
+  union all select [ka, ab.k, ac.k], [ab.f, ab.r, ac.f, ac.r, bc.f, bc.r], count(*) from tri group by all
+  union all select [ka, cls.k], [cls.f, cls.r, 0, 0, 0, 0], count(*) from nb where a < b group by all),
+numbered as (select row_number() over () id, * from forms),
+perms as (select unnest([[0,1,2],[0,2,1],[1,0,2],[1,2,0],[2,0,1],[2,1,0]]) p),
+good as (select id, n, p, k, e, [x.t for x in list_transform(range(len(k)), lambda j: k[list_position(p, j)])] ts from numbered, perms where len(k) = 3 or p[3] = 2),
+spots as (select *, unnest([[1, 2], [2, 1], [1, 3], [3, 1], [2, 3], [3, 2]]) ij, unnest(e) c from good where ts = list_sort(ts)),
+links as (select id, n, p, ts, p[ij[1]] l, p[ij[2]] r, c from spots where c > 0 union all select id, n, p, ts, p[j], p[j], k[j].s from (select *, unnest(range(1, len(k) + 1)) j from good where ts = list_sort(ts)) where k[j].s > 0),
+texts as (select id, n, p, '{"directed":true,"entity_types":["' || array_to_string(any_value(ts), '","') || '"],"edges":[' || string_agg('[' || l || ',' || r || ',' || c || ']', ',' order by l, r, c) || ']}' t from links group by id, n, p),
+canon as (select structure_id, sum(n)::bigint n from (select id, n, min(t) structure_id from texts group by id, n) group by 1)"""
+
+
+@query(CENSUS_SQL + " select structure_id, n, round(n / sum(n) over (), 9) proportion from canon", graph="whole")
 def d10_structure_frequencies(spark, d):
+    """All connected sets of two and three nodes of the whole graph with trades, counted without being listed."""
+    found = S.census(star_graph.relationships(spark, d, with_trades=True), star_graph.entities(spark, d), 2, 3)
+    return S.proportions(found).withColumn("proportion", F.round("proportion", 9))
+
+
+@query(CANON_SQL + " select structure_id, count(*) n, round(count(*) / sum(count(*)) over (), 9) proportion from canon group by 1", graph="places")
+def d26_listed_frequencies(spark, d):
+    """The frequencies of the places' sets of three, by listing them."""
     return S.frequencies(_canonical(spark, d)).withColumn("proportion", F.round("proportion", 9))
 
 
@@ -285,11 +317,36 @@ def d13_draw_without_replacement(spark, d):
     return S.draw_without_replacement(_canonical(spark, d), 50, "rare", seed=3)
 
 
-@query(f", {sampled_sql(10_000, 40_000, 7)} select array_to_string(nodes, '|') nodes, len(nodes) size from smp", graph="places")
+#: All sets of three listed and numbered: by a hash of their cell, then by their place in it.
+NUMBERED_SQL = DRAWS_SQL + CLASSES_SQL + f""",
+ranked as (select a node, b other, cls, concat_ws('|', cls.k.t, cls.k.s, cls.f, cls.r) c, row_number() over (partition by a, cls order by md5(b), b) - 1 i, count(*) over (partition by a, cls) k from nb),
+opened as (select list_sort([x.node, x.other, y.other]) nodes, concat_ws('|', 'w', x.node, x.c, y.c) key, case when x.cls = y.cls then y.i * (y.i - 1) // 2 + x.i else x.i * y.k + y.i end idx
+  from ranked x join ranked y on x.node = y.node and (x.cls < y.cls or x.cls = y.cls and x.i < y.i) where not exists (select 1 from und where und.a = x.other and und.b = y.other)),
+shut as (select [x.a, x.b, y.b] nodes, concat_ws('|', 't', x.a, x.b, y.b) key, 0 idx from und x join und y on x.a = y.a and x.b < y.b join und z on z.a = x.b and z.b = y.b where x.a < x.b),
+placed_sets as (select array_to_string(nodes, '|') set_id, key, idx from (select * from opened union all select * from shut)),
+num_cells as (select structure_id, set_id, row_number() over (partition by structure_id order by md5(key), key, idx) pos from placed_sets join canon using (set_id)),
+coprime as (select structure_id, n, coalesce(first(x order by i) filter (gcd(x, n) = 1), 1) a, {draw_sql("'3'", "'shift'", "structure_id")} % n b from (select structure_id, n, i, case when n > 1 then {draw_sql("'3'", "'step'", "structure_id", "i")} % n else 1 end x from f, range(100) t(i)) group by structure_id, n)"""
+
+
+@query(NUMBERED_SQL + " select draw, structure_id, set_id, n, weight from drw join iv on u >= lower and u < upper join num_cells using (structure_id) where pos = floor(v * n)::bigint + 1", graph="places")
+def d27_draws_by_number(spark, d):
+    """500 draws with replacement out of sets that are numbered without being listed; the count is the sampler's argument."""
+    e, r = _places(spark, d)
+    return S.CountedSets(r, e, 3).draw_with_replacement(500, "common", seed=3).select("draw", "structure_id", F.array_join("nodes", "|").alias("set_id"), "n", "weight")
+
+
+@query(NUMBERED_SQL + " select draw, structure_id, set_id from seq join coprime using (structure_id) join num_cells using (structure_id) where num_cells.pos = ((a::hugeint * seq.pos + b) % n)::bigint + 1", graph="places")
+def d28_draws_without_repeats_by_number(spark, d):
+    """50 draws without replacement out of sets that are numbered without being listed; the count is the sampler's argument."""
+    e, r = _places(spark, d)
+    return S.CountedSets(r, e, 3).draw_without_replacement(50, "rare", seed=3).select("draw", "structure_id", F.array_join("nodes", "|").alias("set_id"))
+
+
+@query(f", {sampled_sql(10_000, 500_000, 7)} select array_to_string(nodes, '|') nodes, len(nodes) size from smp", graph="places")
 def d14_enumerate_or_sample(spark, d):
-    """The instances: with more than 100,000 combinations of 2 or 3 entities 10,000 sampled sets out of 40,000 attempts (the operator's arguments), else all connected ones."""
+    """The instances: with more than 100,000 combinations of 2 or 3 entities 10,000 sampled sets out of 50 attempts each at most (the operator's rule), else all connected ones."""
     e, r = _places(spark, d)
-    return S.instances(P.undirected(r), e, 2, 3, seed=7, max_attempts=40_000).select(F.array_join("nodes", "|").alias("nodes"), F.size("nodes").alias("size"))
+    return S.instances(P.undirected(r), e, 2, 3, seed=7).select(F.array_join("nodes", "|").alias("nodes"), F.size("nodes").alias("size"))
 
 
 @query(", n as (select count(*)::double n from ents) select 2 low, 3 high, n * (n - 1) / 2 + n * (n - 1) * (n - 2) / 6 > 100000 sampled from n", graph="places")

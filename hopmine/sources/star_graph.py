@@ -2,7 +2,9 @@
 
 The whole graph has regions, nations, suppliers, customers, parts and brands. The graph of places leaves parts and brands
 out: it is the one whose connected sets of three are listed, since there are as many of them in the whole graph as the
-sum of the squared degrees.
+sum of the squared degrees. Trades link nations with nations: for each lane (return flag and line status) the nation that
+a nation's suppliers sell most lines to, and the one that its customers buy most lines from. So nations have parallel
+relationships in both directions, relationships to themselves, and triangles with each other and with regions.
 """
 
 from __future__ import annotations
@@ -34,8 +36,26 @@ def entities(spark: SparkSession, sf_dir: str, places: bool = False) -> DataFram
     return out.withColumn("description", F.concat("name", F.lit(" is a "), F.lower("type")))
 
 
-def relationships(spark: SparkSession, sf_dir: str, places: bool = False) -> DataFrame:
-    """(id, source, target, description, weight)."""
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, target, description, weight): each nation's main buyer and main seller in each lane; weight is their share of the nation's lines."""
+    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    nation = t("nation")
+    sells = t("supplier").join(nation, F.col("s_nationkey") == nation["n_nationkey"]).select("s_suppkey", F.col("n_name").alias("seller"))
+    buys = t("customer").join(nation, F.col("c_nationkey") == nation["n_nationkey"]).select("c_custkey", F.col("n_name").alias("buyer"))
+    lines = t("lineitem").select("l_orderkey", "l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("lane")).join(sells, F.col("l_suppkey") == F.col("s_suppkey"))
+    sold = lines.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(buys, F.col("o_custkey") == F.col("c_custkey"))
+    counts = sold.groupBy("seller", "buyer", "lane").agg(F.count("*").alias("n"))
+
+    def main(one: str, other: str, verb: str) -> DataFrame:
+        best = counts.groupBy(one, "lane").agg(F.min(F.struct(-F.col("n"), F.col(other).alias("o"))).alias("b"), F.sum("n").alias("all"))
+        said = F.concat(F.col(one), F.lit(f" {verb} "), F.col("b.o"), F.lit(" in lane "), "lane")
+        return best.select(F.col(one).alias("source"), F.col("b.o").alias("target"), said.alias("description"), (-F.col("b.col1") / F.col("all")).alias("weight"))
+
+    return main("seller", "buyer", "sells most to").unionByName(main("buyer", "seller", "buys most from"))
+
+
+def relationships(spark: SparkSession, sf_dir: str, places: bool = False, with_trades: bool | None = None) -> DataFrame:
+    """(id, source, target, description, weight); trades are among them by default in the graph of places only."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     nation, region, supplier = t("nation"), t("region"), t("supplier")
     part_name = lambda c: F.concat(F.lit("Part#"), F.col(c).cast("string"))
@@ -50,6 +70,8 @@ def relationships(spark: SparkSession, sf_dir: str, places: bool = False) -> Dat
     ]
     out = reduce(DataFrame.unionByName, parts[:3] if places else parts)
     out = out.withColumn("description", F.concat("source", F.lit(" is linked to "), "target"))
+    if places if with_trades is None else with_trades:
+        out = out.unionByName(trades(spark, sf_dir))
     return out.withColumn("id", uuid5(F.concat(F.lit("relation:"), F.concat_ws("\u0000", "source", "target", "description"))))
 
 
@@ -67,13 +89,23 @@ _MORE_LINKS = """
     union all select 'Part#' || p_partkey::varchar, p_brand, greatest(0.0, least(1.0, p_size::double / 50)) from part"""
 
 
-def _sql(ends: str, links: str) -> str:
+_TRADES = """
+    union all select seller, b.o, seller || ' sells most to ' || b.o || ' in lane ' || lane, b.n / total from (select seller, lane, first({'o': buyer, 'n': n} order by n desc, buyer) b, sum(n) total from trade_counts group by all)
+    union all select buyer, b.o, buyer || ' buys most from ' || b.o || ' in lane ' || lane, b.n / total from (select buyer, lane, first({'o': seller, 'n': n} order by n desc, seller) b, sum(n) total from trade_counts group by all)"""
+_TRADE_COUNTS = """
+trade_counts as (select x.n_name seller, y.n_name buyer, l_returnflag || l_linestatus lane, count(*) n from lineitem join supplier on l_suppkey = s_suppkey join nation x on s_nationkey = x.n_nationkey
+  join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation y on c_nationkey = y.n_nationkey group by all),"""
+
+
+def _sql(ends: str, links: str, trades: bool = False) -> str:
     return f"""
+{_TRADE_COUNTS if trades else ''}
 ents as (select name, type, name || ' is a ' || lower(type) description from ({ends})),
-rels as (select source, target, weight, source || ' is linked to ' || target description from ({links})),
+rels as (select source, target, source || ' is linked to ' || target description, weight from ({links}){_TRADES if trades else ''}),
 und as (select distinct a, b from (select source a, target b from rels union all select target, source from rels) where a <> b)
 """
 
 
 #: The same tables as SQL common table expressions.
-SQL, PLACES_SQL = _sql(_ENDS + _MORE_ENDS, _LINKS + _MORE_LINKS), _sql(_ENDS, _LINKS)
+SQL, PLACES_SQL = _sql(_ENDS + _MORE_ENDS, _LINKS + _MORE_LINKS), _sql(_ENDS, _LINKS, trades=True)
+WHOLE_SQL = _sql(_ENDS + _MORE_ENDS, _LINKS + _MORE_LINKS, trades=True)

@@ -498,3 +498,57 @@ def test_evaluation_sample_is_stable(spark):
     a = [r.item_id for r in generation.evaluation_sample(items, 10, 79).collect()]
     assert a == [r.item_id for r in generation.evaluation_sample(items.repartition(3), 10, 79).collect()]
     assert a != [r.item_id for r in generation.evaluation_sample(items, 10, 44).collect()] and len(set(a)) == 10
+
+
+# -- sets that are counted and numbered, not listed ---------------------------------------------------------------------
+
+
+def tangled(spark, seed):
+    """A graph with triangles, parallel relationships, self-loops, a hub, a missing type and an unknown end."""
+    rng = random.Random(seed)
+    names = [f"n{i:02d}" for i in range(13)]
+    ents = spark.createDataFrame([(n, rng.choice(["A", "B", None])) for n in names], "name string, type string")
+    ends = [(rng.choice(names), rng.choice(names)) for _ in range(40)] + [("n01", n) for n in names] + [("n00", "unknown")]
+    return ents, spark.createDataFrame([(str(i), a, b, "d", 1.0) for i, (a, b) in enumerate(ends)], "id string, source string, target string, description string, weight double")
+
+
+def listed(ents, rels, low, directed):
+    sets = subgraphs.connected_sets(paths.undirected(paths.valid_edges(rels, ents)), ents, low, 3).withColumn("set_id", F.array_join("nodes", "|"))
+    return sorted((r.structure_id, r.set_id) for r in structures.canonical_sets(sets, rels, ents, 3, directed).collect())
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_census_counts_what_listing_finds(spark, directed):
+    for seed in (1, 2):
+        ents, rels = tangled(spark, seed)
+        for low in (1, 3):
+            got = {r.structure_id: r.n for r in structures.census(rels, ents, low, 3, directed).collect()}
+            assert got == Counter(s for s, _ in listed(ents, rels, low, directed))
+    with pytest.raises(ValueError, match="1 to 3"):
+        structures.census(rels, ents, 2, 4)
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_every_number_is_another_set(spark, directed):
+    ents, rels = tangled(spark, 3)
+    counted = structures.CountedSets(rels, ents, 2, directed)
+    every = counted.frequencies().select("structure_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("pos"))
+    got = counted.located(every)
+    assert sorted((r.structure_id, "|".join(r.nodes)) for r in got.collect()) == listed(ents, rels, 2, directed)
+
+
+def test_draws_of_numbers_are_draws_of_sets(spark):
+    ents, rels = tangled(spark, 4)
+    counted, want = structures.CountedSets(rels, ents, 3), set(listed(ents, rels, 3, True))
+    again = [sorted((r.draw, r.structure_id, "|".join(r.nodes)) for r in counted.draw_with_replacement(200, "common", seed=5).collect()) for _ in range(2)]
+    assert again[0] == again[1] and [r[0] for r in again[0]] == list(range(200)) and {r[1:] for r in again[0]} <= want
+    once = {(r.structure_id, "|".join(r.nodes)) for r in counted.draw_without_replacement(len(want), "rare", seed=5).collect()}
+    assert once == want
+    with pytest.raises(ValueError, match="more draws"):
+        counted.draw_without_replacement(len(want) + 1)
+
+
+def test_empty_graphs_have_no_structures(spark):
+    ents, rels = tangled(spark, 4)
+    assert structures.census(rels.limit(0), ents.limit(0)).collect() == []
+    assert structures.CountedSets(rels.limit(0), ents).frequencies().collect() == []
