@@ -552,3 +552,42 @@ def test_empty_graphs_have_no_structures(spark):
     ents, rels = tangled(spark, 4)
     assert structures.census(rels.limit(0), ents.limit(0)).collect() == []
     assert structures.CountedSets(rels.limit(0), ents).frequencies().collect() == []
+
+
+# -- first paths ----------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [2, 3, 4])
+@pytest.mark.parametrize("limit", [1, 3, 40])
+def test_first_paths_by_brute_force(spark, n, limit):
+    """One type and a dense graph: walks come back to their own nodes, so prefixes die and searches run again."""
+    rng = random.Random(10 * n + limit)
+    names = [f"n{i}" for i in range(8)]
+    kind = {m: rng.choice("AAB") for m in names}
+    pairs = sorted({(a, b) for a in names for b in names if a != b and rng.random() < 0.35})
+    ents = spark.createDataFrame(list(kind.items()), "name string, type string")
+    asked = {}
+    for i in range(6):
+        types = [rng.choice("AAB") for _ in range(n)]
+        fixed = [rng.choice([m for m in names if kind[m] == t]) if rng.random() < 0.4 else None for t in types]
+        asked[f"q{i}"] = (types, fixed)
+    searches = spark.createDataFrame([(q, t, f) for q, (t, f) in asked.items()], "search string, types array<string>, fixed array<string>")
+    search = ambiguity.PathSearch(spark.createDataFrame(pairs, "a string, b string"), ents, n)
+    got = {}
+    for r in search.first(searches, limit).collect():
+        got.setdefault(r.search, []).append(tuple(r.path))
+    for q, (types, fixed) in asked.items():
+        every = sorted(p for p in itertools.permutations(names, n) if all(e in pairs for e in zip(p, p[1:])) and all(kind[x] == t and f in (None, x) for x, t, f in zip(p, types, fixed)))
+        assert sorted(got.get(q, [])) == every[:limit]
+
+
+def test_a_hub_does_not_widen_a_search(spark):
+    """2,000 nodes on either side of a hub have 4 million paths through it; no level has more than a few times the limit."""
+    left, right = [f"l{i:04d}" for i in range(2000)], [f"r{i:04d}" for i in range(2000)]
+    ents = spark.createDataFrame([("hub", "H"), *[(x, "L") for x in left], *[(x, "R") for x in right]], "name string, type string")
+    pairs = [(x, "hub") for x in left] + [("hub", x) for x in right] + [(x, y) for x, y in zip(right, right[1:])]
+    search = ambiguity.PathSearch(spark.createDataFrame(pairs, "a string, b string"), ents, 4)
+    searches = spark.createDataFrame([("s", ["L", "H", "R", "R"], [None] * 4)], "search string, types array<string>, fixed array<string>")
+    got = sorted(tuple(r.path) for r in search.first(searches, 51).collect())
+    assert got == [("l0000", "hub", x, y) for x, y in zip(right, right[1:])][:51]
+    assert search.widest <= 51 * 4 + 4
