@@ -52,8 +52,8 @@ def json_object(text: Column) -> Column:
 
 
 def word_set(text: Column) -> Column:
-    """The distinct words of a text, lower-cased."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1))
+    """The distinct words of a text, case-folded."""
+    return F.array_distinct(F.regexp_extract_all(casefold(text), F.lit(r"([\p{L}\p{N}_]+)"), 1))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -95,12 +95,14 @@ def catalogue_gate(instances: DataFrame, view: DataFrame) -> DataFrame:
 
 
 def hop_texts(hops: DataFrame, relationships: DataFrame) -> DataFrame:
-    """(hop_id, text): descriptions of a hop's relationships, by line; against its direction if marked, in either if there are none.
+    """(hop_id, text): descriptions of a hop's relationships in row order, by line; against its direction if marked, in either if there are none.
 
-    hops: (hop_id, a, b, reverse).
+    hops: (hop_id, a, b, reverse). Row order is that of `position`, where the relationships have it, then of the descriptions.
     """
+    order = [c for c in ("position",) if c in relationships.columns]
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(*order, "description"))), lambda x: x["description"])
     facing = hops.select("hop_id", "a", "b", F.when(is_true(F.col("reverse")), F.col("b")).otherwise(F.col("a")).alias("source"), F.when(is_true(F.col("reverse")), F.col("a")).otherwise(F.col("b")).alias("target"))
-    text = lambda df, name: df.groupBy("hop_id").agg(F.array_join(F.sort_array(F.collect_list("description")), "\n").alias(name))
+    text = lambda df, name: df.groupBy("hop_id").agg(F.array_join(listed, "\n").alias(name))
     exact = text(facing.join(relationships, ["source", "target"]), "exact")
     either = text(facing.select("hop_id", F.col("target").alias("source"), F.col("source").alias("target")).join(relationships, ["source", "target"]), "other")
     return hops.select("hop_id").join(exact, "hop_id", "left").join(either, "hop_id", "left").select("hop_id", F.coalesce("exact", "other").alias("text"))
@@ -182,23 +184,29 @@ def staged_evaluation(items: DataFrame, responses: DataFrame) -> DataFrame:
     return rows.select("item_id", "processable", reduce(lambda a, b: a + b, done).alias("n_stages"), F.coalesce(accepted, F.lit(False)).alias("accepted"))
 
 
-def ablation_items(contexts: DataFrame, attempts: DataFrame, direct: DataFrame, joined: DataFrame, count: int) -> DataFrame:
+def ablation_items(contexts: DataFrame, attempts: DataFrame, direct: DataFrame, listed: DataFrame, joined: DataFrame, count: int) -> DataFrame:
     """(mode, item_id, question, context) of the five modes, to be evaluated alike.
 
     contexts: (pos, context); attempts: generation's (attempt, question, context, passes, reviewed), where `passes` leaves
     the self-review out and `reviewed` has it; direct and joined: (key, question) responses to the `direct` prompt of a
-    context and to the `hop_join` prompt that follows its `hop_list` (by the key of the latter). baseline and no_graph
+    context and to the `hop_join` prompt, which shows the answer to the context's `hop_list` prompt: listed (key, hops). baseline and no_graph
     take the first count contexts; full and no_self_review the first count attempts that get through; no_composition is
     full with its questions asked directly of their contexts.
     """
     first = contexts.orderBy("pos").limit(count).withColumn("item_id", F.col("pos").cast("string"))
     taken = lambda flag: accepted_attempts(attempts.withColumn("accepted", F.col(flag)), count).select(F.col("attempt").cast("string").alias("item_id"), "question", "context")
-    asked = lambda rows, kind, said: prompts(rows.drop("question"), kind).select("item_id", "context", "key").join(said.select("key", "question"), "key").drop("key")
+    asked = lambda rows, kind, said, *names: prompts(rows.drop(*names), kind).select("item_id", "context", "key").join(said.select("key", *names), "key").drop("key")
+
+    def joined_up(rows: DataFrame) -> DataFrame:
+        """Two prompts in a row: the hops of a context, then one question out of them."""
+        shown = prompts(asked(rows, "hop_list", listed, "hops"), "hop_join")
+        return shown.select("item_id", "context", "key").join(joined.select("key", "question"), "key").drop("key")
+
     full = taken("reviewed")
     branches = {
-        "baseline": asked(first, "direct", direct),
-        "no_graph": asked(first, "hop_list", joined),
-        "no_composition": asked(full, "direct", direct),
+        "baseline": asked(first, "direct", direct, "question"),
+        "no_graph": joined_up(first),
+        "no_composition": asked(full, "direct", direct, "question"),
         "no_self_review": taken("passes"),
         "full": full,
     }

@@ -557,12 +557,29 @@ def ordered_path(hops: Column) -> Column:
     return F.when(F.size(path) >= 2, path)
 
 
+def relation_text(descriptions: Column) -> Column:
+    """What an instance is compared by: its relationships' descriptions as a JSON list."""
+    return F.to_json(F.coalesce(descriptions, F.array().cast("array<string>")))
+
+
+def example_text(questions: Column, contexts: Column, relations: Column) -> Column:
+    """What an example is compared by: the JSON text of its single-hop questions, contexts and relations, the keys' names included."""
+    none = F.array().cast("array<string>")
+    return F.to_json(F.struct(F.coalesce(questions, none).alias("questions"), F.coalesce(contexts, none).alias("contexts"), F.coalesce(relations, none).alias("relations")))
+
+
+def missing_structures(catalogue: DataFrame, instances: DataFrame) -> DataFrame:
+    """(structure_id, schema, instance): structures of the instances (structure_id, set_id) that the catalogue lacks, to be induced from their first instance before examples are filled in."""
+    lacking = instances.join(catalogue.select("structure_id"), "structure_id", "left_anti")
+    return lacking.groupBy("structure_id").agg(F.min("set_id").alias("instance")).select("structure_id", F.col("structure_id").alias("schema"), "instance")
+
+
 def nearest_examples(wanted: DataFrame, examples: DataFrame, n: int) -> DataFrame:
     """(set_id, rank, example_id, overlap): the n examples of the same structure whose words overlap most, then with most contexts, then in order.
 
     wanted: (set_id, structure_id, text); examples: (structure_id, example_id, pos, text, n_contexts). Sets meet the examples that
     share a word with them, by word; only the first n examples of a structure are offered to all its sets, for those that
-    share words with fewer than n.
+    share words with fewer than n. Texts are those of relation_text and example_text, or any others.
     """
     w = wanted.select("set_id", "structure_id", word_set(F.col("text")).alias("w"))
     x = examples.select("structure_id", "example_id", "pos", "n_contexts", word_set(F.col("text")).alias("x"))

@@ -8,6 +8,7 @@ from ..functions.ids import draw_sql
 from ..operators import paths as P
 from ..operators import structures as S
 from ..operators import subgraphs as G
+from ..operators.generation import TASKS, prompts
 from ..sources import star_graph
 from ..sources.shared import cut
 from .base import query, table
@@ -406,6 +407,15 @@ def d18_example_backfill(spark, d):
     return S.backfill(have, scored, 3)
 
 
+@query(CANON_SQL + f""", lacking as (select structure_id, min(set_id) instance from canon where substr(md5(structure_id), 1, 1) < '8' group by 1)
+    select structure_id, instance, sha256('structure_induction' || chr(0) || 'Task: {TASKS["structure_induction"][0]}' || chr(10) || chr(10) || 'Schema:' || chr(10) || structure_id || chr(10) || chr(10) || 'Instance:' || chr(10) || instance) key from lacking""", graph="places")
+def d18_structures_to_induce(spark, d):
+    """Prompts for the structures that a catalogue lacks, with their first instance each."""
+    found = cut(_canonical(spark, d))
+    have = found.filter(F.substring(F.md5("structure_id"), 1, 1) >= "8").select("structure_id").distinct()
+    return prompts(S.missing_structures(have, found), "structure_induction").select("structure_id", "instance", "key")
+
+
 ROLES_SQL = f""", {SETS_SQL}, roles as (select 1 pos, 'a' role, 'ORGANIZATION' type union all select 2, 'b', 'LOCATION' union all select 3, 'c', 'LOCATION' union all select 4, 'd', 'PRODUCT'),
 asg as (select s.set_id, role, n.name from sets s cross join (select *, row_number() over (partition by type order by pos) i from roles) r
   left join (select set_id, name, type, row_number() over (partition by set_id, type order by name) i from mem join ents using (name)) n on n.set_id = s.set_id and n.type = r.type and n.i = r.i)"""
@@ -463,14 +473,19 @@ def d22_ordered_path(spark, d):
     return _hops(spark, d).select("set_id", P.sequence_text(S.ordered_path(resolved)).alias("path"))
 
 
+_WORDS = "list_distinct(regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+'))"
+
+
 @query(
-    """with q as (select conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) w from conversations where role = 'user'),
-    x as (select item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) w, length(text) % 3 n_contexts from benchmark),
+    f"""with q as (select conv_id, turn, {_WORDS.format("to_json([text])::varchar")} w from conversations where role = 'user'),
+    x as (select item_id, {_WORDS.format("to_json({'questions': []::varchar[], 'contexts': case length(text) % 3 when 0 then []::varchar[] when 1 then [text] else [text, 'and more'] end, 'relations': [text]})::varchar")} w, length(text) % 3 n_contexts from benchmark),
     s as (select conv_id || ':' || turn set_id, item_id, n_contexts, len(list_intersect(q.w, x.w)) / greatest(1, len(list_distinct(list_concat(q.w, x.w)))) overlap from q, x)
     select set_id, rank, item_id example_id, round(overlap, 6) overlap from (select *, row_number() over (partition by set_id order by overlap desc, n_contexts desc, item_id) rank from s) where rank <= 2"""
 )
 def d23_nearest_examples(spark, d):
-    """The two nearest benchmark items of every user turn."""
-    wanted = table(spark, d, "conversations").filter("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("set_id"), F.lit("s").alias("structure_id"), "text")
-    examples = table(spark, d, "benchmark").select(F.lit("s").alias("structure_id"), F.col("item_id").alias("example_id"), F.col("item_id").alias("pos"), "text", (F.char_length("text") % 3).alias("n_contexts"))
+    """The two nearest benchmark items of every user turn, items as examples with contexts and relations."""
+    wanted = table(spark, d, "conversations").filter("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("set_id"), F.lit("s").alias("structure_id"), S.relation_text(F.array("text")).alias("text"))
+    k, none = F.char_length("text") % 3, F.array().cast("array<string>")
+    contexts = F.when(k == 0, none).when(k == 1, F.array("text")).otherwise(F.array(F.col("text"), F.lit("and more")))
+    examples = table(spark, d, "benchmark").select(F.lit("s").alias("structure_id"), F.col("item_id").alias("example_id"), F.col("item_id").alias("pos"), S.example_text(none, contexts, F.array("text")).alias("text"), k.alias("n_contexts"))
     return S.nearest_examples(wanted, examples, 2).withColumn("overlap", F.round("overlap", 6))

@@ -212,6 +212,46 @@ def g4_intended_constraints(spark, d):
     return A.intended_constraints(q, r, e).select("question_id", "hop", "a", "b", "a_type", "b_type", F.array_join("descriptions", ";").alias("descriptions"))
 
 
+#: Per trade of a nation with another one, the path from the seller over the buyer to the buyer's region; the seller is open.
+TRADE_SQL = """
+tq as (select distinct seller || '>' || o question_id, seller p0, o p1, r_name p2 from (select seller, lane, first(buyer order by n desc, buyer) o from trade_counts group by all) join nation on n_name = o join region on r_regionkey = n_regionkey where seller <> o),
+tc as (select question_id, p0 x, u.b y, v.b z, p1, p2 from tq join und u on u.a = p0 join ents e1 on e1.name = u.b and e1.type = 'LOCATION' join und v on v.a = u.b and v.b <> p0 join ents e2 on e2.name = v.b and e2.type = 'LOCATION'),
+dl as (select source, target, list(description order by ord, description) l, max(weight) w from rels group by all),
+hop_list as (select question_id, x, y, z, p1, p2, list_concat(coalesce(a.l, []), coalesce(b.l, [])) d1, list_concat(coalesce(c.l, []), coalesce(d.l, [])) d2, greatest(a.w, b.w) w1, greatest(c.w, d.w) w2
+  from tc left join dl a on a.source = x and a.target = y left join dl b on b.source = y and b.target = x left join dl c on c.source = y and c.target = z left join dl d on d.source = z and d.target = y)"""
+
+
+def _trade_questions(spark, d):
+    """Places with trades, and a question per nation and main buyer."""
+    e, r = star_graph.entities(spark, d, places=True), star_graph.relationships(spark, d, places=True)
+    sold = r.filter(F.col("description").contains(" sells most to ")).filter("source <> target").select(F.col("source").alias("p0"), F.col("target").alias("p1")).distinct()
+    homes = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("p1"), F.col("r_name").alias("p2"))
+    return e, r, cut(sold.join(homes, "p1").select(F.concat_ws(">", "p0", "p1").alias("question_id"), F.array("p0", "p1", "p2").alias("path")))
+
+
+@query(
+    f", {TRADE_SQL} select question_id, x || ' > ' || y || ' > ' || z path, array_to_string(d1, '; ') || ' / ' || array_to_string(d2, '; ') descriptions, round(w1 + w2, 6) total_weight, 1 + (y = p1)::int + (z = p2)::int matching_positions from hop_list",
+    graph="places",
+)
+def g3_path_hops(spark, d):
+    """Records over parallel relationships in both directions, with all descriptions of each hop in row order."""
+    e, r, q = _trade_questions(spark, d)
+    records = A.path_records(cut(A.path_numbers(A.candidate_paths(q, P.undirected(r), e, 3))), r, q)
+    said = F.array_join(F.transform("hops", lambda h: F.array_join(h["descriptions"], "; ")), " / ")
+    return records.select("question_id", P.sequence_text("path").alias("path"), said.alias("descriptions"), F.round("total_weight", 6).alias("total_weight"), "matching_positions")
+
+
+@query(
+    f""", {TRADE_SQL}, own as (select * from hop_list where y = p1 and z = p2)
+    select question_id, 1 hop, x a, y b, array_to_string(d1, '; ') descriptions from own union all select question_id, 2, y, z, array_to_string(d2, '; ') from own""",
+    graph="places",
+)
+def g4_trade_constraints(spark, d):
+    """The intended hops' descriptions over parallel relationships, in row order."""
+    e, r, q = _trade_questions(spark, d)
+    return A.intended_constraints(q, r, e).select("question_id", "hop", "a", "b", F.array_join("descriptions", "; ").alias("descriptions"))
+
+
 @query(f", {CAND_SQL} select question_id, (path_id // 20)::int batch, string_agg(path_id::varchar, ',' order by path_id) path_ids from rec group by all", graph=True)
 def g5_validation_batches(spark, d):
     r, q, c = _candidates(spark, d)
@@ -514,18 +554,18 @@ def f12_operation_verdict(spark, d):
 
 
 def _prompt_sql(kind: str) -> str:
-    task, shown = H.TASKS[kind]
+    task, shown = H.TASKS[kind][0].replace("'", "''"), H.TASKS[kind][1]
     blocks = " || ".join(f"chr(10) || chr(10) || '{c.capitalize()}:' || chr(10) || coalesce({c}, '')" for c in shown)
     return f"select doc_id, '{kind}' kind, sha256('{kind}' || chr(0) || 'Task: {task}' || {blocks}) key from p"
 
 
-_PROMPTED = ("single_hop", "composition", "answer_review", "regeneration", "rewrite", "direct")
+_PROMPTED = tuple(H.TASKS)
 _SHOWN = sorted({c for k in _PROMPTED for c in H.TASKS[k][1]})
 
 
 @query(f"with p as (select doc_id, {', '.join('text as context' if c == 'context' else f'lang source' if c == 'source' else f'source as {c}' for c in _SHOWN)} from documents) " + " union all ".join(_prompt_sql(k) for k in _PROMPTED))
 def h1_prompt_table(spark, d):
-    """Six kinds of prompts over every document as context."""
+    """All kinds of prompts over every document as context."""
     rows = table(spark, d, "documents").select("doc_id", *[(F.col("text") if c == "context" else F.col("lang") if c == "source" else F.col("source")).alias(c) for c in _SHOWN])
     out = [H.prompts(rows, k).select("doc_id", F.lit(k).alias("kind"), "key") for k in _PROMPTED]
     return reduce(DataFrame.unionByName, out)
@@ -546,6 +586,18 @@ def h3_hop_texts(spark, d):
     return H.hop_texts(hops, star_graph.relationships(spark, d))
 
 
+@query(
+    """, dl as (select source, target, string_agg(description, chr(10) order by ord, description) t from rels group by all), np as (select x.n_name a, y.n_name b, (x.n_nationkey + y.n_nationkey) % 2 = 0 back from nation x join nation y on x.n_name <> y.n_name)
+    select a || '>' || b hop_id, case when back then coalesce(r.t, f.t) else coalesce(f.t, r.t) end as text from np left join dl f on f.source = a and f.target = b left join dl r on r.source = b and r.target = a""",
+    graph="places",
+)
+def h3_trade_texts(spark, d):
+    """All ordered pairs of nations as hops, half of them marked as against the direction: parallel, reverse and missing relationships."""
+    x, y = (table(spark, d, "nation").select(F.col("n_nationkey").alias(f"k{i}"), F.col("n_name").alias(i)) for i in "ab")
+    pairs = x.join(y, F.col("a") != F.col("b")).select(F.concat_ws(">", "a", "b").alias("hop_id"), "a", "b", ((F.col("ka") + F.col("kb")) % 2 == 0).alias("reverse"))
+    return H.hop_texts(pairs, star_graph.relationships(spark, d, places=True))
+
+
 @query(f", {CHAIN_SQL} select a || ' > ' || b || ' > ' || c path_id, case when right(a, 1)::int % 3 = 0 then 'op ' || b when right(a, 1)::int % 2 = 0 then c else 'composed ' || a end answer from walks", graph=True)
 def h4_expected_answer(spark, d):
     """Operations answer some questions; of the others some have an answer role among their entities."""
@@ -650,16 +702,19 @@ def h9_stage_prompts(spark, d):
 @query(
     f"""with p as (select doc_id, coalesce(text, '') context, md5(coalesce(text, '')) h from documents), f as (select * from p order by doc_id limit 40),
     u as (select * from p where doc_id % 3 <> 0 and doc_id < 800 order by doc_id limit 40), w as (select * from p where doc_id % 3 <> 0 and doc_id % 2 = 0 and doc_id < 800 order by doc_id limit 40),
-    items as (select 'baseline' "mode", 'D ' || h question from f union all select 'no_graph', 'J ' || h from f union all select 'no_composition', 'D ' || h from w union all select 'no_self_review', 'G ' || doc_id from u union all select 'full', 'G ' || doc_id from w), {EVAL_SQL}
+    items as (select 'baseline' "mode", 'D ' || h question from f union all select 'no_graph', 'J ' || md5('H ' || h) from f union all select 'no_composition', 'D ' || h from w union all select 'no_self_review', 'G ' || doc_id from u union all select 'full', 'G ' || doc_id from w), {EVAL_SQL}
     select "mode", count(*) n, count(*) filter (accepted) n_accepted, round(avg(accepted::int), 6) rate from i group by 1"""
 )
 def h10_ablation(spark, d):
     """Five modes of up to 40 questions each (the operator's count), every one with its own prompts, responses and gates."""
     contexts = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.coalesce("text", F.lit("")).alias("context"))
-    answered = lambda kind, name: H.prompts(contexts, kind).select("key", F.concat(F.lit(name), F.md5(F.encode("context", "UTF-8"))).alias("question")).distinct()
+    answered = lambda rows, kind, name, digest, out: H.prompts(rows, kind).select("key", F.concat(F.lit(name), digest).alias(out)).distinct()
+    of_context = F.md5(F.encode("context", "UTF-8"))
+    listed = answered(contexts, "hop_list", "H ", of_context, "hops")
+    joined = answered(contexts.withColumn("hops", F.concat(F.lit("H "), of_context)), "hop_join", "J ", F.md5("hops"), "question")
     x = F.col("pos")
     attempts = contexts.select(x.alias("attempt"), F.concat(F.lit("G "), x.cast("string")).alias("question"), "context", (x % 3 != 0).alias("passes"), ((x % 3 != 0) & (x % 2 == 0)).alias("reviewed"))
-    made = H.ablation_items(contexts, attempts, answered("direct", "D "), answered("hop_list", "J "), 40)
+    made = H.ablation_items(contexts, attempts, answered(contexts, "direct", "D ", of_context, "question"), listed, joined, 40)
     items = cut(made.withColumn("item_id", F.concat_ws(":", "mode", "item_id")))
     return H.ablation(H.staged_evaluation(items, _answers(items)).join(items.select("item_id", "mode"), "item_id"))
 

@@ -37,7 +37,7 @@ def entities(spark: SparkSession, sf_dir: str, places: bool = False) -> DataFram
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, target, description, weight): each nation's main buyer and main seller in each lane; weight is their share of the nation's lines."""
+    """(source, target, description, weight, position): each nation's main buyer and main seller in each lane; weight is their share of the nation's lines, and rows are in the order of their lines, most first."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     nation = t("nation")
     sells = t("supplier").join(nation, F.col("s_nationkey") == nation["n_nationkey"]).select("s_suppkey", F.col("n_name").alias("seller"))
@@ -49,13 +49,16 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     def main(one: str, other: str, verb: str) -> DataFrame:
         best = counts.groupBy(one, "lane").agg(F.min(F.struct(-F.col("n"), F.col(other).alias("o"))).alias("b"), F.sum("n").alias("all"))
         said = F.concat(F.col(one), F.lit(f" {verb} "), F.col("b.o"), F.lit(" in lane "), "lane")
-        return best.select(F.col(one).alias("source"), F.col("b.o").alias("target"), said.alias("description"), (-F.col("b.col1") / F.col("all")).alias("weight"))
+        return best.select(F.col(one).alias("source"), F.col("b.o").alias("target"), said.alias("description"), (-F.col("b.col1") / F.col("all")).alias("weight"), F.col("b.col1").alias("position"))
 
     return main("seller", "buyer", "sells most to").unionByName(main("buyer", "seller", "buys most from"))
 
 
 def relationships(spark: SparkSession, sf_dir: str, places: bool = False, with_trades: bool | None = None) -> DataFrame:
-    """(id, source, target, description, weight); trades are among them by default in the graph of places only."""
+    """(id, source, target, description, weight, position); trades are among them by default in the graph of places only.
+
+    position is the order of the rows of one source and target.
+    """
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     nation, region, supplier = t("nation"), t("region"), t("supplier")
     part_name = lambda c: F.concat(F.lit("Part#"), F.col(c).cast("string"))
@@ -69,7 +72,7 @@ def relationships(spark: SparkSession, sf_dir: str, places: bool = False, with_t
         t("part").select(part_name("p_partkey").alias("source"), name("p_brand").alias("target"), clamp(F.col("p_size").cast("double") / 50).alias("weight")),
     ]
     out = reduce(DataFrame.unionByName, parts[:3] if places else parts)
-    out = out.withColumn("description", F.concat("source", F.lit(" is linked to "), "target"))
+    out = out.withColumn("description", F.concat("source", F.lit(" is linked to "), "target")).withColumn("position", F.lit(0).cast("long"))
     if places if with_trades is None else with_trades:
         out = out.unionByName(trades(spark, sf_dir))
     return out.withColumn("id", uuid5(F.concat(F.lit("relation:"), F.concat_ws("\u0000", "source", "target", "description"))))
@@ -90,8 +93,8 @@ _MORE_LINKS = """
 
 
 _TRADES = """
-    union all select seller, b.o, seller || ' sells most to ' || b.o || ' in lane ' || lane, b.n / total from (select seller, lane, first({'o': buyer, 'n': n} order by n desc, buyer) b, sum(n) total from trade_counts group by all)
-    union all select buyer, b.o, buyer || ' buys most from ' || b.o || ' in lane ' || lane, b.n / total from (select buyer, lane, first({'o': seller, 'n': n} order by n desc, seller) b, sum(n) total from trade_counts group by all)"""
+    union all select seller, b.o, seller || ' sells most to ' || b.o || ' in lane ' || lane, b.n / total, -b.n from (select seller, lane, first({'o': buyer, 'n': n} order by n desc, buyer) b, sum(n) total from trade_counts group by all)
+    union all select buyer, b.o, buyer || ' buys most from ' || b.o || ' in lane ' || lane, b.n / total, -b.n from (select buyer, lane, first({'o': seller, 'n': n} order by n desc, seller) b, sum(n) total from trade_counts group by all)"""
 _TRADE_COUNTS = """
 trade_counts as (select x.n_name seller, y.n_name buyer, l_returnflag || l_linestatus lane, count(*) n from lineitem join supplier on l_suppkey = s_suppkey join nation x on s_nationkey = x.n_nationkey
   join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation y on c_nationkey = y.n_nationkey group by all),"""
@@ -101,7 +104,7 @@ def _sql(ends: str, links: str, trades: bool = False) -> str:
     return f"""
 {_TRADE_COUNTS if trades else ''}
 ents as (select name, type, name || ' is a ' || lower(type) description from ({ends})),
-rels as (select source, target, source || ' is linked to ' || target description, weight from ({links}){_TRADES if trades else ''}),
+rels as (select source, target, source || ' is linked to ' || target description, weight, 0::bigint ord from ({links}){_TRADES if trades else ''}),
 und as (select distinct a, b from (select source a, target b from rels union all select target, source from rels) where a <> b)
 """
 

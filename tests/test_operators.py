@@ -591,3 +591,40 @@ def test_a_hub_does_not_widen_a_search(spark):
     got = sorted(tuple(r.path) for r in search.first(searches, 51).collect())
     assert got == [("l0000", "hub", x, y) for x, y in zip(right, right[1:])][:51]
     assert search.widest <= 51 * 4 + 4
+
+
+# -- texts, order of rows ---------------------------------------------------------------------------------------------------
+
+
+def best(spark, examples, described, n):
+    """Names of the examples (name, relations) chosen for a set with these descriptions."""
+    wanted = spark.createDataFrame([("s", "k", described)], "set_id string, structure_id string, d array<string>").select("set_id", "structure_id", structures.relation_text(F.col("d")).alias("text"))
+    none = F.lit(None).cast("array<string>")
+    known = spark.createDataFrame([("k", name, i, r) for i, (name, r) in enumerate(examples)], "structure_id string, example_id string, pos int, r array<string>")
+    known = known.withColumn("text", structures.example_text(none, none, F.col("r"))).withColumn("n_contexts", F.lit(0)).drop("r")
+    return [r.example_id for r in structures.nearest_examples(wanted, known, n).orderBy("rank").collect()]
+
+
+def test_nearest_examples_compare_relations_and_keys(spark):
+    assert best(spark, [("Q1", ["was born in a city"]), ("Q2", ["directed a film"])], ["film directed by person"], 1) == ["Q2"]
+    assert set(best(spark, [("Q1", ["born in city"]), ("Q2", ["city birthplace"]), ("Q3", ["directed film"])], ["birth city"], 2)) == {"Q1", "Q2"}
+    # a key's name is a word of every example, and case is folded
+    assert best(spark, [("Q1", ["x y z"]), ("Q2", ["STRASSE"])], ["Straße"], 1) == ["Q2"]
+    rows = spark.createDataFrame([(["a"], ["b\nc"], ["D_1"])], "q array<string>, c array<string>, r array<string>").select(structures.example_text(F.col("q"), F.col("c"), F.col("r")).alias("t"))
+    text = json.dumps({"questions": ["a"], "contexts": ["b\nc"], "relations": ["D_1"]}, ensure_ascii=False, separators=(",", ":"))
+    assert rows.first().t == text
+
+
+def test_descriptions_keep_the_order_of_rows(spark):
+    rels = spark.createDataFrame([("a", "b", "zulu", 0.1, 1), ("a", "b", "alpha", 0.4, 2), ("b", "a", "mike", 0.9, 0), ("a", "b", None, None, 3)], "source string, target string, description string, weight double, position int")
+    ents = spark.createDataFrame([("a", "A"), ("b", "B")], "name string, type string")
+    q = spark.createDataFrame([("q", ["a", "b"])], "question_id string, path array<string>")
+    found = spark.createDataFrame([("q", 0, ["a", "b"], True, True)], "question_id string, path_id int, path array<string>, is_intended boolean, complete boolean")
+    for directed, want, weight in ((False, ["zulu", "alpha", "", "mike"], 0.9), (True, ["zulu", "alpha", ""], 0.4)):
+        record = ambiguity.path_records(found, rels, q, directed=directed).first()
+        assert record.hops[0].descriptions == want and record.total_weight == weight
+        assert ambiguity.intended_constraints(q, rels, ents, directed).first().descriptions == want
+    hops = spark.createDataFrame([("f", "a", "b", False), ("r", "a", "b", True), ("n", "b", "c", None)], "hop_id string, a string, b string, reverse boolean")
+    assert {r.hop_id: r.text for r in generation.hop_texts(hops, rels.filter("description is not null")).collect()} == {"f": "zulu\nalpha", "r": "mike", "n": None}
+    only = rels.filter("source = 'a' and description is not null")
+    assert {r.hop_id: r.text for r in generation.hop_texts(hops, only).collect()}["r"] == "zulu\nalpha"
