@@ -332,6 +332,20 @@ def g10_pattern_assignments(spark, d):
     return _assignments(spark, d)
 
 
+@query(
+    """, lo as (select name from ents where type = 'LOCATION'),
+    pat as (select x.a r, x.b n, y.b m from und x join und y on y.a = x.b and y.b <> x.a join und z on z.a = y.b and z.b = x.a where x.a in (from lo) and x.b in (from lo) and y.b in (from lo)),
+    kept as (select * from (select *, row_number() over (order by r, n, m) pos, count(*) over () total from pat) where pos <= 500)
+    select r_name question_id, r, n, m, pos, total <= 500 complete from kept, region""",
+    graph="places",
+)
+def g10_open_triangles(spark, d):
+    """A cyclic pattern without fixed roles over places with trades: up to 500 assignments (the operator's cap), the same for every question."""
+    e, r = star_graph.entities(spark, d, places=True), star_graph.relationships(spark, d, places=True)
+    q = table(spark, d, "region").select(F.col("r_name").alias("question_id"))
+    return A.pattern_assignments(q, e, P.undirected(r), [(x, "LOCATION") for x in "rnm"], [("r", "n"), ("n", "m"), ("m", "r")], ())
+
+
 @query(
     PATTERN3_SQL
     + """, dd as (select question_id, 'discard' policy, case when u1 then 'accepted' else 'discarded' end decision, a1 answers, case when u1 then [intended] else [] end fine, w1 wrong from u

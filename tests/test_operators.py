@@ -391,8 +391,8 @@ def test_patterns_by_brute_force(spark):
         if all(kind[at[k]] == t for k, t in roles) and all(at[b] in near.get(at[a], ()) for a, b in edges):
             want.add(p)
     assert got == want and want
-    with pytest.raises(ValueError):
-        ambiguity.pattern_assignments(q, e, paths.undirected(r), [*roles, ("v", "A")], edges, ("x",))
+    with pytest.raises(ValueError, match="unknown roles"):
+        ambiguity.pattern_assignments(q, e, paths.undirected(r), roles, [*edges, ("x", "v")], ("x",))
 
 
 @pytest.mark.parametrize("cap", [2, 3])
@@ -628,3 +628,38 @@ def test_descriptions_keep_the_order_of_rows(spark):
     assert {r.hop_id: r.text for r in generation.hop_texts(hops, rels.filter("description is not null")).collect()} == {"f": "zulu\nalpha", "r": "mike", "n": None}
     only = rels.filter("source = 'a' and description is not null")
     assert {r.hop_id: r.text for r in generation.hop_texts(hops, only).collect()}["r"] == "zulu\nalpha"
+
+
+PATTERNS = {
+    "chain": ([("x", "A"), ("y", "B"), ("z", "A")], [("x", "y"), ("y", "z")], ("x",)),
+    "late": ([("x", "A"), ("y", "B"), ("z", "A")], [("x", "y"), ("y", "z")], ("z",)),
+    "converge": ([("x", "A"), ("y", "A"), ("z", "B")], [("x", "z"), ("y", "z")], ("x",)),
+    "diverge": ([("x", "B"), ("y", "A"), ("z", "A")], [("x", "y"), ("x", "z")], ()),
+    "diamond": ([("x", "A"), ("y", "B"), ("z", "B"), ("w", "A")], [("x", "y"), ("x", "z"), ("y", "w"), ("z", "w")], ()),
+    "triangle": ([("x", "A"), ("y", "A"), ("z", "B")], [("x", "y"), ("y", "z"), ("z", "x")], ("y",)),
+    "apart": ([("x", "A"), ("y", "B"), ("z", "A")], [("x", "y")], ("x",)),
+    "alone": ([("x", "B"), ("y", "B")], [], ()),
+}
+
+
+@pytest.mark.parametrize("shape", sorted(PATTERNS))
+def test_patterns_of_every_shape_in_table_order(spark, shape):
+    """Backtracking in role order over entities in table order, which isn't that of their names."""
+    roles, edges, fixed = PATTERNS[shape]
+    ents, rels, e, r = graph(spark, 9, 24, seed=6)
+    kind, near = {n: t for n, t, _ in ents}, neighbours(rels)
+    order = sorted(kind, key=lambda n: hashlib.md5(n.encode()).hexdigest())
+    e = e.join(spark.createDataFrame([(n, i) for i, n in enumerate(order)], "name string, position long"), "name")
+    starts = [n for n in kind if fixed and kind[n] == dict(roles)[fixed[0]]] or [None]
+    q = spark.createDataFrame([(str(n), n) for n in starts], f"question_id string, {fixed[0] if fixed else 'unused'} string")
+    for cap in (2, 1000):
+        got = {}
+        for g in ambiguity.pattern_assignments(q, e, paths.undirected(r), roles, edges, fixed, cap).orderBy("pos").collect():
+            got.setdefault(g.question_id, []).append((tuple(g[x] for x, _ in roles), g.complete))
+        for n in starts:
+            every = []
+            for p in itertools.permutations(order, len(roles)):
+                at = dict(zip((x for x, _ in roles), p))
+                if all(kind[at[x]] == t for x, t in roles) and all(at[y] in near.get(at[x], ()) for x, y in edges) and all(at[f] == n for f in fixed):
+                    every.append((p, None))
+            assert got.get(str(n), []) == [(p, len(every) <= cap) for p, _ in every[:cap]]
