@@ -6,20 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import uuid5
+from ..functions.plugins import Coder, coded_windows
 from ..functions.text import json_object, strip
 
 RESPONSE = "struct<entities:array<struct<name:string,type:string,description:string>>,relationships:array<struct<source:string,target:string,description:string,weight:string>>,claims:array<struct<subject:string,description:string>>>"
 
 
-def chunks(docs: DataFrame, size: int = 1200, overlap: int = 100, unit: str = "char") -> DataFrame:
+def chunks(docs: DataFrame, size: int = 1200, overlap: int = 100, unit: str | Coder = "char") -> DataFrame:
     """(document_id, chunk, id, text, n_tokens) of sliding windows over each text, starting every size - overlap tokens.
 
-    Tokens are characters, white-space words or UTF-8 bytes. In bytes, incomplete characters at a window's edges are
+    Tokens are characters, white-space words or UTF-8 bytes (`char`, `word`, `byte`), or those of a caller's coder. In bytes, incomplete characters at a window's edges are
     dropped and n_tokens counts what is left. The last window may lie inside the one before; empty texts have none.
     """
     if size < 2 or not 0 <= overlap < size:
         raise ValueError("size must be at least 2 and overlap in [0, size)")
     step = size - overlap
+    if callable(unit):
+        return _named(coded_windows(docs, unit, size, step))
     if unit == "byte":
         return _byte_chunks(docs, size, step)
     tokens = F.col("raw_content") if unit == "char" else F.filter(F.split("raw_content", r"\s+"), lambda w: w != "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.ids import uuid5
@@ -10,7 +12,8 @@ from ..operators import index as B
 from ..operators.paths import valid_edges
 from ..sources import star_graph
 from ..sources import tables as T
-from ..sources.shared import cut
+from ..sources.shared import cut, shared_folder
+from ..sources.store import ResponseStore
 from .base import query, table
 
 TYPES = ["person", "organization", "location", "event", "other"]
@@ -21,6 +24,33 @@ def _docs(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), F.coalesce("text", F.lit("")).alias("raw_content"))
 
 
+def _own_folder(spark, name):
+    """A new folder in the shared place."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    """select 'entities' "table", name key, type value from ents union all select 'relationships', source || '>' || target, description from rels""",
+    graph=True,
+)
+def a1_graph_tables(spark, d):
+    """The star graph written as graph tables and read again under their schemas."""
+    folder, none = _own_folder(spark, "graph"), F.array().cast("array<string>").alias("text_unit_ids")
+    entities = star_graph.entities(spark, d).select(uuid5(F.concat(F.lit("entity:"), "name")).alias("id"), "*", none)
+    T.write_tables({"entities": entities, "relationships": star_graph.relationships(spark, d).select("*", none)}, folder)
+    back = {name: spark.read.schema(T.SCHEMAS[name]).parquet(f"{folder}/{name}.parquet") for name in ("entities", "relationships")}
+    rows = back["entities"].select(F.lit("entities").alias("table"), F.col("name").alias("key"), F.col("type").alias("value"))
+    return rows.unionByName(back["relationships"].select(F.lit("relationships").alias("table"), F.concat_ws(">", "source", "target").alias("key"), F.col("description").alias("value")))
+
+
+@query("select doc_id, md5(coalesce(text, '')) digest, source title from documents")
+def a5_json_records(spark, d):
+    """All documents written as JSON records and read again; other scripts stay as they are."""
+    folder = _own_folder(spark, "records")
+    T.write_records(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("source").alias("title")), folder)
+    return spark.read.schema("doc_id long, text string, title string").json(folder).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"), "title")
+
+
 @query(
     """with b as (select distinct doc_id from labels) select doc_id::varchar id, case when b.doc_id is null then source else 'new ' || source end title, (b.doc_id is not null)::int is_new
     from documents left join b using (doc_id)"""
@@ -43,6 +73,22 @@ def a7_pending_prompts(spark, d):
     return T.pending_prompts(prompts, responses).select("key")
 
 
+@query(
+    """with p as (select distinct doc_id, sha256('extract' || chr(0) || coalesce(text, '')) key from documents), r as (select distinct key from p join labels using (doc_id))
+    select distinct key, case when key in (select key from r) then md5(key) end response from p"""
+)
+def a7_response_store(spark, d):
+    """All prompts with their stored responses: those of labelled documents are stored, twice over, then those still pending are asked for."""
+    prompts = table(spark, d, "documents").select("doc_id", T.prompt_key(F.lit("extract"), F.coalesce("text", F.lit(""))).alias("key"))
+    store = ResponseStore(spark, _own_folder(spark, "responses"))
+    first = prompts.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("key", F.md5("key").alias("response"))
+    store.append(first)
+    # the job again, with other answers: nothing is stored twice
+    store.append(first.withColumn("response", F.lit("!")))
+    waiting = store.pending(prompts).select("key", F.lit(None).cast("string").alias("response"))
+    return waiting.unionByName(store.answered(prompts.select("key").distinct()).select("key", "response"))
+
+
 @query("select p_name, count(*) n from part group by 1 having count(*) > 1")
 def a8_repeated_keys(spark, d):
     return T.repeated_keys(table(spark, d, "part"), "p_name")
@@ -114,8 +160,8 @@ rels as (select source, target, 'Seen with ' || target description, max(weight)
 """
 
 
-def _units(spark, d):
-    return B.chunks(_docs(spark, d))
+def _units(spark, d, unit="char"):
+    return B.chunks(_docs(spark, d), unit=unit)
 
 
 def _responses(spark, d):
@@ -147,6 +193,17 @@ def b1_chunks(spark, d):
     return _units(spark, d).select("document_id", "chunk", "id", "n_tokens", F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
+def _letters():
+    """A caller's token coder: its tokens are characters."""
+    return lambda texts: [list(t) for t in texts], lambda windows: ["".join(w) for w in windows]
+
+
+@query(f"with {CHUNKS_SQL} select document_id, chunk, unit_id id, length(text) n_tokens, md5(text) digest from units")
+def b1_coded_chunks(spark, d):
+    """Chunks by a coder that the caller brings."""
+    return _units(spark, d, _letters).select("document_id", "chunk", "id", "n_tokens", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
 @query(f"with {CHUNKS_SQL} select document_id, count(*) n_chunks, sum(length(text))::bigint n_tokens from units group by 1")
 def b2_token_counts(spark, d):
     return _units(spark, d).groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"))

@@ -663,3 +663,63 @@ def test_patterns_of_every_shape_in_table_order(spark, shape):
                 if all(kind[at[x]] == t for x, t in roles) and all(at[y] in near.get(at[x], ()) for x, y in edges) and all(at[f] == n for f in fixed):
                     every.append((p, None))
             assert got.get(str(n), []) == [(p, len(every) <= cap) for p, _ in every[:cap]]
+
+
+# -- what callers bring, and what is stored -----------------------------------------------------------------------------------
+
+
+def letters():
+    return lambda texts: [list(t) for t in texts], lambda windows: ["".join(w) for w in windows]
+
+
+def utf8():
+    return lambda texts: [list(t.encode()) for t in texts], lambda windows: [bytes(w).decode("utf-8", "ignore") for w in windows]
+
+
+def test_a_callers_tokens_make_the_chunks(spark):
+    df = spark.createDataFrame([("d", "abcdef"), ("e", ""), ("f", None), ("g", "größe 😀 x")], "id string, raw_content string")
+    got = index.chunks(df, 3, 1, letters).filter("document_id = 'd'").orderBy("chunk").collect()
+    assert [(r.text, r.n_tokens) for r in got] == [("abc", 3), ("cde", 3), ("ef", 2)]
+    rows = lambda unit: sorted(map(tuple, index.chunks(df, 4, 1, unit).select("document_id", "chunk", "id", "text", "n_tokens").collect()))
+    assert rows(utf8) == rows("byte") and index.chunks(df.limit(0), 3, 1, letters).collect() == []
+
+
+def moody():
+    """A provider that fails on its first call in a worker, then answers all but prompts with an x, and those with a y in the second try only."""
+    calls, seen = [], set()
+
+    def ask(prompts):
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("busy")
+        again = [p in seen for p in prompts]
+        seen.update(prompts)
+        return [None if "x" in p or ("y" in p and not old) else p.upper() for p, old in zip(prompts, again)]
+
+    return ask
+
+
+def test_a_provider_is_asked_again_for_what_it_left_out(spark):
+    prompts = spark.createDataFrame([("1", "a"), ("2", "bx"), ("3", "cy"), ("1", "a")], "key string, prompt string").coalesce(1)
+    from hopmine.functions.plugins import provided
+
+    got = {r.key: (r.response, r.attempts) for r in provided(prompts.repartition(1), moody, attempts=3).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"1": "A", "2": None, "3": "CY"} and got["2"][1] == 3
+
+
+def test_the_store_keeps_first_answers_and_opens_few_buckets(spark, tmp_path):
+    from hopmine.sources.store import ResponseStore
+
+    store = ResponseStore(spark, str(tmp_path / "store"))
+    key = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    rows = lambda ids, said: spark.createDataFrame([(key(i), said) for i in ids], "key string, response string")
+    asked = rows(range(40), "").select("key")
+    assert store.pending(asked).count() == 40 and store.answered(asked).count() == 0
+    store.append(rows(range(20), "one"))
+    store.append(rows(range(10, 30), "two").unionByName(rows([35], None)))
+    store.append(rows(range(30), "three"))
+    got = {r.key: r.response for r in store.answered(asked).collect()}
+    assert got == {key(i): "one" if i < 20 else "two" for i in range(30)}
+    assert {r.key for r in store.pending(asked.unionByName(asked)).collect()} == {key(i) for i in range(30, 40)}
+    plan = store.read(rows([3], ""))._jdf.queryExecution().toString()
+    assert "bucket" in plan and key(3)[:2] in plan
