@@ -102,7 +102,11 @@ def _fold(fingerprints, k: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, k: int = K) -> DataFrame:
-    """(doc_id, fingerprint) of every row's whole text; a null text is empty and has an empty fingerprint."""
+    """(doc_id, fingerprint) of every row's whole text.
+
+    Null and empty texts, and those without words, have an empty fingerprint. A row is sketched for itself: repeated rows
+    have equal fingerprints, null ids stay null. An empty table has no rows.
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

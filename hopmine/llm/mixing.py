@@ -4,7 +4,8 @@ Rows get a hash key that is as good as random. Within a source, the leading hex
 equal ranges; word counts are summed per (source, range), a running sum over the ranges gives each range its offset, and
 a running sum inside a range gives each row its own. There are about sqrt(rows) ranges of sqrt(rows) rows, so neither
 running sum is long, and a source that holds a third of all rows is dealt over all tasks. Words are counted once, into a
-narrow table of sizes that all sums are taken from.
+narrow table of sizes that all sums are taken from; only where rows are to carry further columns are they read, and their
+words counted, a second time.
 """
 
 from __future__ import annotations

@@ -298,7 +298,10 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
 
 def token_ids(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, decoded) of every row's whole text: its ids and the text that they decode to."""
+    """(doc_id, ids, decoded) of every row's whole text: its ids and the text that they decode to.
+
+    Null and empty texts have no ids. Repeated rows repeat their result, null ids stay null. An empty table has no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model)

@@ -133,7 +133,11 @@ def counter(path: str) -> WordCounter:
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every row's whole text; null texts are empty."""
+    """doc_id, n_bytes, n_tokens, over_limit of every row's whole text.
+
+    Null and empty texts have no bytes and no tokens. A row is counted for itself, so repeated rows have repeated
+    results, and null ids stay null. An empty table has no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(vocabulary)

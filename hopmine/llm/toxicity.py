@@ -221,7 +221,11 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float =
 
 
 def offending_sentences(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, score, sentence) of every sentence that alone reaches threshold; places in code points of the text."""
+    """(doc_id, start, end, score, sentence) of every sentence that alone reaches threshold; places in code points of the text.
+
+    Null and empty texts have no sentences. Rows are read one by one: repeated rows repeat their sentences, null ids stay
+    null. An empty table has no rows.
+    """
     raw, bias = model[0].tobytes(), model[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +238,11 @@ def offending_sentences(docs: DataFrame, model: tuple[np.ndarray, float], thresh
 
 
 def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of docs that score below threshold, with all their columns; texts without words stay, and so do all rows of a text that stays."""
+    """The rows of docs that score below threshold, with all their columns, whatever their names.
+
+    Null and empty texts, and those without words, score 0 and stay. Only the text decides, so rows that share it stay or
+    go together, with or without an id. An empty table stays empty.
+    """
     raw, bias = model[0].tobytes(), model[1]
     place = docs.columns.index(text_col)
 
