@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from .paths import hops_of
 
+#: Units of a path that one round of a budgeted selection looks at.
+PER_ROUND = 64
+
 
 def hop_relations(hops: DataFrame, relationships: DataFrame, directed: bool = False) -> DataFrame:
     """hops (.., a, b) with the relationship rows from a to b, or in either direction; a self-loop once."""
@@ -35,21 +39,33 @@ def ranked_units(paths: DataFrame, relationships: DataFrame, entities: DataFrame
     return firsts.select("path_id", "unit_id", F.row_number().over(W.partitionBy("path_id").orderBy("ord")).alias("rank"))
 
 
-def selected_units(ranked: DataFrame, units: DataFrame, max_units: int | None = None, max_tokens: int | None = None) -> DataFrame:
-    """(path_id, unit_id, n_tokens, pos): units in rank order up to max_units, skipping any that would pass max_tokens."""
-    sized = ranked.join(units.select(F.col("id").alias("unit_id"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")), "unit_id")
+def selected_units(ranked: DataFrame, units: DataFrame, max_units: int | None = None, max_tokens: int | None = None, per_round: int = PER_ROUND) -> DataFrame:
+    """(path_id, unit_id, n_tokens, pos): units in rank order up to max_units, skipping any that would pass max_tokens.
+
+    With a token budget paths take their units in rounds. Of the units that still fit by themselves, a path looks at the
+    first per_round by rank and takes those in front of the first one that doesn't fit with them; what is left over is
+    what fits into the rest of the budget behind them, and a path without any leaves. A path carries its tokens and its
+    number of units only, however many units its entities have. Units of a null or no size count 0 tokens.
+    """
+    sized = ranked.join(units.select(F.col("id").alias("unit_id"), F.greatest(F.lit(0), F.coalesce("n_tokens", F.lit(0))).cast("long").alias("n_tokens")), "unit_id")
     if max_tokens is None:
         kept = sized if max_units is None else sized.filter(F.col("rank") <= max_units)
-        return kept.select("path_id", "unit_id", "n_tokens", F.col("rank").alias("pos"))
-    listed = sized.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("rank", "unit_id", "n_tokens"))).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<unit_id:string,n_tokens:int>>").alias("out"))
-
-    def step(s, x):
-        fits = (s["used"] + x["n_tokens"] <= max_tokens) & (F.lit(True) if max_units is None else F.size(s["out"]) < max_units)
-        return F.when(fits, F.struct((s["used"] + x["n_tokens"]).cast("long").alias("used"), F.array_append(s["out"], F.struct(x["unit_id"].alias("unit_id"), x["n_tokens"].cast("int").alias("n_tokens"))).alias("out"))).otherwise(s)
-
-    folded = listed.select("path_id", F.aggregate("all", start, step, lambda s: s["out"]).alias("out"))
-    return folded.select("path_id", F.posexplode("out").alias("p", "u")).select("path_id", "u.unit_id", "u.n_tokens", (F.col("p") + 1).alias("pos"))
+        return kept.select("path_id", "unit_id", F.col("n_tokens").cast("int").alias("n_tokens"), F.col("rank").alias("pos"))
+    most = max_units if max_units is not None else (1 << 31) - 1
+    none = F.lit(0).cast("long")
+    left = cut(sized.filter((F.col("n_tokens") <= max_tokens) & F.lit(most > 0)).select("path_id", "unit_id", "n_tokens", "rank", none.alias("used"), none.alias("had")))
+    taken = left.limit(0).select("path_id", "unit_id", "n_tokens", F.col("rank").cast("long").alias("pos"))
+    by_rank = W.partitionBy("path_id").orderBy("rank")
+    while left.limit(1).count():
+        # Spark cuts a path down to its first units before it shuffles them
+        looked = left.withColumn("i", F.row_number().over(by_rank)).filter(F.col("i") <= per_round)
+        fits = (F.col("used") + F.sum("n_tokens").over(by_rank.rowsBetween(W.unboundedPreceding, 0)) <= max_tokens) & (F.col("had") + F.col("i") <= most)
+        new = cut(looked.withColumn("fits", fits).filter("fits").select("path_id", "unit_id", "n_tokens", "rank", (F.col("had") + F.col("i")).alias("pos")))
+        taken = taken.unionByName(new.drop("rank"))
+        state = new.groupBy("path_id").agg(F.sum("n_tokens").alias("more"), F.count("*").alias("n"), F.max("rank").alias("upto"))
+        rest = left.join(state, "path_id").filter(F.col("rank") > F.col("upto")).withColumn("used", F.col("used") + F.col("more")).withColumn("had", F.col("had") + F.col("n"))
+        left = cut(rest.filter((F.col("used") + F.col("n_tokens") <= max_tokens) & (F.col("had") < most)).select(*left.columns))
+    return taken.select("path_id", "unit_id", F.col("n_tokens").cast("int").alias("n_tokens"), F.col("pos").cast("int").alias("pos"))
 
 
 def titled(units: DataFrame, documents: DataFrame) -> DataFrame:

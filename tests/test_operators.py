@@ -723,3 +723,21 @@ def test_the_store_keeps_first_answers_and_opens_few_buckets(spark, tmp_path):
     assert {r.key for r in store.pending(asked.unionByName(asked)).collect()} == {key(i) for i in range(30, 40)}
     plan = store.read(rows([3], ""))._jdf.queryExecution().toString()
     assert "bucket" in plan and key(3)[:2] in plan
+
+
+@pytest.mark.parametrize("per_round", [1, 3, 64])
+@pytest.mark.parametrize("most", [None, 0, 4])
+def test_budgets_in_rounds_by_brute_force(spark, per_round, most):
+    rng = random.Random(per_round)
+    size = {f"u{i}": rng.choice([None, 0, 1, 2, 3, 5, 8, 13, 40]) for i in range(60)}
+    ranked = [(p, u, i + 1) for p in range(8) for i, u in enumerate(rng.sample(sorted(size), 10 * p % 61))]
+    units = spark.createDataFrame(list(size.items()), "id string, n_tokens int")
+    got = provenance.selected_units(spark.createDataFrame(ranked, "path_id int, unit_id string, rank int"), units, most, 30, per_round).collect()
+    want = set()
+    for p in range(8):
+        used, n = 0, 0
+        for _, u, _ in sorted((r for r in ranked if r[0] == p), key=lambda r: r[2]):
+            if used + (size[u] or 0) <= 30 and (most is None or n < most):
+                used, n = used + (size[u] or 0), n + 1
+                want.add((p, u, size[u] or 0, n))
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
