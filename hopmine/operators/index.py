@@ -11,6 +11,9 @@ from ..functions.text import json_object, strip
 
 RESPONSE = "struct<entities:array<struct<name:string,type:string,description:string>>,relationships:array<struct<source:string,target:string,description:string,weight:string>>,claims:array<struct<subject:string,description:string>>>"
 
+#: Documents whose first words about a name are joined before the pieces are.
+PIECE_DOCS = 1000
+
 
 def chunks(docs: DataFrame, size: int = 1200, overlap: int = 100, unit: str | Coder = "char") -> DataFrame:
     """(document_id, chunk, id, text, n_tokens) of sliding windows over each text, starting every size - overlap tokens.
@@ -84,15 +87,26 @@ def entity_units(found: DataFrame) -> DataFrame:
     return found.select("name", "unit_id").distinct()
 
 
-def merged_entities(found: DataFrame) -> DataFrame:
-    """(id, name, type, description): the first mention's type, distinct descriptions in first-seen order.
+def description_pieces(found: DataFrame, docs_per_piece: int = PIECE_DOCS) -> DataFrame:
+    """(name, piece, text): the distinct descriptions of a name in first-seen order, those that docs_per_piece documents in a row were the first to give in one piece.
 
-    Descriptions are reduced to their first place per (name, description) before a name's few distinct ones are collected.
+    The long form of descriptions: a name that a third of all chunks mention has many pieces, and no group of rows is larger than
+    what the documents of one piece say of it.
     """
-    head = found.groupBy("name").agg(F.min_by("type", "ord").alias("type"))
     firsts = found.filter("description <> ''").groupBy("name", "description").agg(F.min("ord").alias("ord"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "description"))), lambda s: s["description"]), " ")
-    said = firsts.groupBy("name").agg(text.alias("description"))
+    return firsts.groupBy("name", F.floor(F.col("ord.doc_pos") / docs_per_piece).alias("piece")).agg(text.alias("text"))
+
+
+def merged_entities(found: DataFrame, docs_per_piece: int = PIECE_DOCS) -> DataFrame:
+    """(id, name, type, description): the first mention's type, distinct descriptions in first-seen order.
+
+    Descriptions are reduced to their first place per (name, description) and joined into pieces; only pieces meet in a
+    name's one value, for tables that want it.
+    """
+    head = found.groupBy("name").agg(F.min_by("type", "ord").alias("type"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "text"))), lambda s: s["text"]), " ")
+    said = description_pieces(found, docs_per_piece).groupBy("name").agg(text.alias("description"))
     return head.join(said, "name", "left").select(uuid5(F.concat(F.lit("entity:"), "name")).alias("id"), "name", "type", F.coalesce("description", F.lit("")).alias("description"))
 
 

@@ -741,3 +741,20 @@ def test_budgets_in_rounds_by_brute_force(spark, per_round, most):
                 used, n = used + (size[u] or 0), n + 1
                 want.add((p, u, size[u] or 0, n))
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_descriptions_are_joined_in_pieces(spark):
+    """A name in a third of all mentions, with descriptions of its own and repeated ones."""
+    rng = random.Random(2)
+    rows = [(f"u{d}", (d, c, 0, i), rng.choice(["hub", "a", "b"]), "T", rng.choice(["", f"said {d} {i}", "again", f"again {d % 3}"])) for d in range(60) for c in range(2) for i in range(2)]
+    rng.shuffle(rows)
+    found = spark.createDataFrame(rows, "unit_id string, ord struct<doc_pos:long,chunk:int,pass:int,item:int>, name string, type string, description string")
+    want = {}
+    for _, _, name, _, text in sorted(rows, key=lambda r: r[1]):
+        seen = want.setdefault(name, [])
+        if text and text not in seen:
+            seen.append(text)
+    for size in (1, 7, 1000):
+        assert {r.name: r.description for r in index.merged_entities(found, size).collect()} == {n: " ".join(t) for n, t in want.items()}
+        pieces = index.description_pieces(found, size).collect()
+        assert len(pieces) == len({(r.name, r.piece) for r in pieces}) and max(r.piece for r in pieces) == 59 // size
