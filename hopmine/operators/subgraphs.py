@@ -26,10 +26,19 @@ def check_sizes(low: int, high: int, n_entities: int) -> None:
         raise ValueError("sizes must satisfy 1 <= min <= max <= number of entities")
 
 
+def _sets_of_three(pairs: DataFrame) -> DataFrame:
+    """(nodes) of all connected sets of three, each once: the two neighbours of a middle node, and a triangle from its smallest node only."""
+    one, two = (pairs.select(F.col("a").alias("c"), F.col("b").alias(n)) for n in "xy")
+    closing = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(True).alias("closed"))
+    wedges = one.join(two, "c").filter("x < y").join(closing, ["x", "y"], "left")
+    return wedges.filter("closed is null or c < x").select(F.array_sort(F.array("c", "x", "y")).alias("nodes"))
+
+
 def connected_sets(pairs: DataFrame, entities: DataFrame, low: int, high: int, max_degree: int | None = None, limit: int | None = None) -> DataFrame:
     """(nodes) of all connected node sets with low to high nodes, sorted names; pairs are the undirected (a, b) both ways.
 
-    Sets grow level by level along edges and repeats go at each level, which is kept before the next one grows: a connected
+    Pairs are (a, b) itself and sets of three the pairs of neighbours of each node, so neither has repeats to remove. Larger
+    sets grow level by level along edges and repeats go at each level, which is kept before the next one grows: a connected
     set of k nodes holds a connected set of k - 1. max_degree, if given, leaves out nodes with more neighbours, whose
     sets would dominate everything. Sizes that the entities can't have are an error.
     """
@@ -40,9 +49,14 @@ def connected_sets(pairs: DataFrame, entities: DataFrame, low: int, high: int, m
     level = entities.select(F.array("name").alias("nodes"))
     levels = [level] if low == 1 else []
     for k in range(2, high + 1):
-        grown = level.select("nodes", F.explode("nodes").alias("a")).join(pairs, "a").filter(~F.array_contains("nodes", F.col("b")))
-        level = grown.select(F.array_sort(F.array_append("nodes", F.col("b"))).alias("nodes")).distinct()
-        if k < high:
+        if k == 2:
+            level = pairs.filter("a < b").select(F.array("a", "b").alias("nodes"))
+        elif k == 3:
+            level = _sets_of_three(pairs)
+        else:
+            grown = level.select("nodes", F.explode("nodes").alias("a")).join(pairs, "a").filter(~F.array_contains("nodes", F.col("b")))
+            level = grown.select(F.array_sort(F.array_append("nodes", F.col("b"))).alias("nodes")).distinct()
+        if 3 <= k < high:
             level = cut(level)
         if k >= low:
             levels.append(level)

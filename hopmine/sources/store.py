@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 
 class ResponseStore:
     """Responses (key, response) in a folder that all executors share.
@@ -36,8 +38,8 @@ class ResponseStore:
         return rows.groupBy("key").agg(F.min("response").alias("response"))
 
     def append(self, responses: DataFrame) -> None:
-        """Stores the responses (key, response) of keys that have none; null responses are none."""
-        new = responses.filter(F.col("key").isNotNull() & F.col("response").isNotNull()).groupBy("key").agg(F.min("response").alias("response"))
+        """Stores the responses (key, response) of keys that have none; null responses are none. Responses are computed once."""
+        new = cut(responses.filter(F.col("key").isNotNull() & F.col("response").isNotNull()).groupBy("key").agg(F.min("response").alias("response")))
         new = new.join(self.read(new).select("key"), "key", "left_anti")
         new.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self.folder)
 

@@ -449,7 +449,8 @@ def test_directed_records(spark):
     c = spark.createDataFrame([("q", 0, ["a", "b"], True, True)], "question_id string, path_id int, path array<string>, is_intended boolean, complete boolean")
     r = spark.createDataFrame([("a", "b", "there", 0.25), ("b", "a", "back", 0.5)], "source string, target string, description string, weight double")
     both, one = (ambiguity.path_records(c, r, q, directed=x).first() for x in (False, True))
-    assert (both.hops[0].descriptions, both.total_weight) == (["back", "there"], 0.5) and (one.hops[0].descriptions, one.total_weight) == (["there"], 0.25)
+    # the rows of the hop's own direction come first
+    assert (both.hops[0].descriptions, both.total_weight) == (["there", "back"], 0.5) and (one.hops[0].descriptions, one.total_weight) == (["there"], 0.25)
 
 
 def test_nearest_examples_by_brute_force(spark):
