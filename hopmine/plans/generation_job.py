@@ -84,7 +84,7 @@ class GenerationJob:
         pairs, found = undirected(self.relationships), []
         for n in (2, 3):
             q = cut(rows.filter(F.size("path") == n).select(F.col("attempt").alias("question_id"), "path", "question"))
-            records = cut(A.path_records(A.path_numbers(A.candidate_paths(q.select("question_id", "path"), pairs, self.entities, n)), self.relationships, q))
+            records = cut(A.path_records(A.numbered_candidates(q.select("question_id", "path"), pairs, self.entities, n), self.relationships, q))
             batches = A.validation_batches(records).drop("prompt", "key").join(q.select("question_id", "question"), "question_id")
             shown = records.select("question_id", F.floor(F.col("path_id") / A.BATCH).cast("int").alias("batch"), F.concat_ws(": ", F.col("path_id").cast("string"), F.array_join("path", " > ")).alias("line"), "path_id")
             lines = shown.groupBy("question_id", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path_id", "line"))), lambda x: x["line"]), "\n").alias("candidates"))
